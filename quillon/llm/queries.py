@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from quillon.llm.licenses import op4_license_scan
+from quillon.llm.quality_gam import op8_quality_classifier
 from quillon.llm.quality_rules import op9_quality_rules
 from quillon.llm.sharding import op1_sharding
+from quillon.llm.simhash import op6_simhash
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_license_scan, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_license_scan, op6_simhash, op8_quality_classifier, op9_quality_rules)}
 #: Where SQL can't express the method, tests compare with brute force instead.
 ORACLES: dict[str, str] = {}
