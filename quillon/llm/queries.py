@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillon.llm.decontamination import op5_decontamination
+from quillon.llm.html_extraction import op10_html_extraction
 from quillon.llm.licenses import op4_license_scan
 from quillon.llm.mixing import op7_mixing
 from quillon.llm.quality_gam import op8_quality_classifier
@@ -10,6 +11,6 @@ from quillon.llm.quality_rules import op9_quality_rules
 from quillon.llm.sharding import op1_sharding
 from quillon.llm.simhash import op6_simhash
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_license_scan, op5_decontamination, op6_simhash, op7_mixing, op8_quality_classifier, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_license_scan, op5_decontamination, op6_simhash, op7_mixing, op8_quality_classifier, op9_quality_rules, op10_html_extraction)}
 #: Where SQL can't express the method, tests compare with brute force instead.
 ORACLES: dict[str, str] = {}
