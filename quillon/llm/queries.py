@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillon.llm.chat import OP2_SQL, op2_chat
 from quillon.llm.decontamination import op5_decontamination
 from quillon.llm.html_extraction import op10_html_extraction
 from quillon.llm.licenses import op4_license_scan
@@ -10,7 +11,9 @@ from quillon.llm.quality_gam import op8_quality_classifier
 from quillon.llm.quality_rules import op9_quality_rules
 from quillon.llm.sharding import op1_sharding
 from quillon.llm.simhash import op6_simhash
+from quillon.llm.warc import OP3_SQL, op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_license_scan, op5_decontamination, op6_simhash, op7_mixing, op8_quality_classifier, op9_quality_rules, op10_html_extraction)}
+_ALL = (op1_sharding, op2_chat, op3_warc, op4_license_scan, op5_decontamination, op6_simhash, op7_mixing, op8_quality_classifier, op9_quality_rules, op10_html_extraction)
+QUERIES = {f.__name__: f for f in _ALL}
 #: Where SQL can't express the method, tests compare with brute force instead.
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_chat": OP2_SQL, "op3_warc": OP3_SQL}
