@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from quillon.catalog import compat, events, evidence
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = evidence.QUERIES | events.QUERIES | compat.QUERIES
+ORACLES: dict[str, str] = evidence.ORACLES | events.ORACLES | compat.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
