@@ -13,12 +13,17 @@ tiles, by numpy exclusive-or and bit counts. Tiles are formed in two steps, neit
 
 A comparison emits no more links than a spanning forest has. Links go to connected components, in the
 cluster.
+
+``near_duplicates`` links by fingerprints alone. ``drop_near_duplicates`` finds candidates within a wider
+radius, up to two per text and tile (the nearest text, and the nearest one before it), and keeps those whose
+shingle sets have the similarity asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -33,7 +38,12 @@ from quillon.llm.components import connected_components
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-TILE = 2_048
+TILE = 16_384
+#: Choices of blocks, at most.
+MAX_MASKS = 300
+#: Similarity (Jaccard, of sets of five-word shingles) of near-duplicates that are dropped, and the radius in
+#: which they are looked for: at similarity 0.9 the expected distance is 7 bits.
+SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS = 5, 0.8, 10
 #: Hashes whose bits are counted at once.
 CHUNK = 65_536
 
@@ -57,15 +67,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with its column ``text`` replaced by ``fp``."""
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, nodes: bool = False) -> DataFrame:
+    """``docs`` with its column ``text`` replaced by ``fp``, and, with ``nodes``, by a hash of its words as well."""
     keep = [c for c in docs.columns if c != "text"]
     schema = docs.select(*[quoted(c) for c in keep]).schema.add("fp", "long")
+    if nodes:
+        schema = schema.add("node", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = pa.array([fingerprint(x.as_py(), shingle) for x in b.column("text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [fps], names=[*keep, "fp"])
+            texts = [x.as_py() for x in b.column("text")]
+            made = [pa.array([fingerprint(t, shingle) for t in texts], pa.int64())]
+            if nodes:
+                made.append(pa.array([_signed(xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "replace").lower().split()))) for t in texts], pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + made, names=[*keep, "fp", "node"][: len(keep) + len(made)])
 
     return docs.mapInArrow(run, schema)
 
@@ -80,99 +95,112 @@ def block_masks(m: int, radius: int) -> list[int]:
 def masks_for(n: int, radius: int, tile: int) -> list[int]:
     """The masks of the least m at which n random fingerprints leave a tile's worth or less to a key."""
     m = radius + 1
-    while m < 2 * radius and n >> (64 * (m - radius) // m) > tile:
+    while n >> (64 * (m - radius) // m) > tile and comb(m + 1, radius) <= MAX_MASKS:
         m += 1
     return block_masks(m, radius)
 
 
-def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the fingerprints (uint64, distinct) within the radius of each other."""
-    n = len(fps)
-    if n < 2:
-        return []
-    if n <= 64:
-        close = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
-        if np.count_nonzero(close) == n:
-            return []
-    links, rest = [], fps
+def forest(fps: np.ndarray, radius: int) -> np.ndarray:
+    """Links (two columns of positions) of a spanning forest of the fingerprints (uint64) within the radius."""
+    n, links = len(fps), []
+    if n < 2 or n <= 64 and np.count_nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius) == n:
+        return np.empty((0, 2), dtype=np.int64)
+    rest = np.arange(n)
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
-            near = np.bitwise_count(rest ^ (one := queue.pop())) <= radius
+            near = np.bitwise_count(fps[rest] ^ fps[(one := queue.pop())]) <= radius
             if near.any():
                 found = rest[near]
-                links += [(int(one), int(x)) for x in found]
-                queue += list(found)
+                links.append(np.column_stack([np.full(len(found), one), found]))
+                queue += found.tolist()
                 rest = rest[~near]
-    return links
+    return np.concatenate(links) if links else np.empty((0, 2), dtype=np.int64)
+
+
+def nearest(fps: np.ndarray, radius: int) -> np.ndarray:
+    """Links of each fingerprint to the nearest one, and to the nearest one before it, within the radius."""
+    n, links = len(fps), [np.empty((0, 2), dtype=np.int64)]
+    step = max(1, 4_000_000 // max(n, 1))
+    for k in range(0, n if n > 1 else 0, step):
+        own = np.arange(k, min(n, k + step))
+        far = np.bitwise_count(fps[own][:, None] ^ fps[None, :])
+        far[np.arange(len(own)), own] = 255
+        for last in (False, True):
+            if last:
+                far[np.arange(n)[None, :] > own[:, None]] = 255
+            to = far.argmin(axis=1)
+            close = far[np.arange(len(own)), to] <= radius
+            links.append(np.column_stack([own[close], to[close]]))
+    return np.concatenate(links)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    a = pa.array([_signed(x) for x, _ in links], pa.int64())
-    return pa.RecordBatch.from_arrays([a, pa.array([_signed(y) for _, y in links], pa.int64())], names=["a", "b"])
+def _batch(nodes: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.concatenate([*nodes, np.empty((0, 2), dtype=np.int64)])
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0], pa.int64()), pa.array(ends[:, 1], pa.int64())], names=["a", "b"])
 
 
-def _links_of_runs(radius: int):  # noqa: ANN202
-    """Compares within each run of equal (band, key) of a sorted partition. A run has a tile's rows at most."""
+def _links_of_runs(compare: Callable[[np.ndarray, int], np.ndarray], radius: int):  # noqa: ANN202
+    """Compares within each run of an equal key of a sorted partition. A run has a tile's rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] = (np.empty(0, np.int64),) * 3
+        held = (np.empty(0, np.int64),) * 3  # key, fp, node
         for b in batches:
-            cols = [np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
-            if not len(cols[0]):
-                continue
-            cut = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
+            key, fp, node = (np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
+            cut = np.flatnonzero(np.diff(key)) + 1
             done = int(cut[-1]) if len(cut) else 0
-            yield _batch([x for lo, hi in zip([0, *cut[:-1]], cut) for x in forest(cols[2][lo:hi].view(np.uint64), radius)])
-            held = tuple(c[done:] for c in cols)
-        yield _batch(forest(np.ascontiguousarray(held[2]).view(np.uint64), radius))
+            bounds = [(lo, hi) for lo, hi in zip([0, *cut[:-1].tolist()], cut.tolist()) if hi - lo > 1]
+            yield _batch([node[lo:hi][compare(fp[lo:hi].view(np.uint64), radius)] for lo, hi in bounds])
+            held = (key[done:], fp[done:], node[done:])
+        if len(held[0]) > 1:
+            yield _batch([held[2][compare(np.ascontiguousarray(held[1]).view(np.uint64), radius)]])
 
     return run
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) that connect all of the distinct fingerprints in ``fps`` (fp) within the radius."""
-    n = fps.count()
-    masks = masks_for(n, radius, tile)
-    keys = F.array(*[F.struct(F.lit(i).cast("long").alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for i, mask in enumerate(masks)])
-    keyed = fps.select("fp", F.inline(keys), F.bit_count("fp").cast("int").alias("pop"))
-    counts = staged(keyed.groupBy("band", "key", "pop").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("band", "key"))).where(F.col("total") > tile), "simhash-large")
-    large = counts.select("band", "key").distinct()
-    small = keyed.join(large, ["band", "key"], "left_anti").select("band", "key", "fp")
-    parts = fps.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    runs = small.repartition(int(parts), "band", "key").sortWithinPartitions("band", "key")
-    links = runs.mapInArrow(_links_of_runs(radius), "a long, b long")
-    return links.unionByName(_tiled_links(keyed, counts, radius, tile))
+def near_links(prints: DataFrame, compare: Callable[[np.ndarray, int], np.ndarray] = forest, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between nodes of ``prints`` (node, fp) within the radius, as ``compare`` chooses them in
+    each set of fingerprints that have a key or a pair of tiles in common. With ``forest``, they connect all
+    that is within the radius."""
+    masks = masks_for(prints.count(), radius, tile)
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(mask)))) for i, mask in enumerate(masks)])
+    keyed = prints.select(F.explode(keys).alias("key"), "fp", "node")
+    counts = keyed.groupBy("key", F.bit_count("fp").cast("int").alias("pop")).agg(F.count("*").alias("n"))
+    large = staged(counts.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).where(F.col("total") > tile).select("key", "pop", "n"), "simhash-large")
+    small = keyed.join(large.select("key").distinct(), "key", "left_anti").select("key", "fp", "node")
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links_of_runs(compare, radius), "a long, b long")
+    return links.unionByName(_tiled_links(keyed, large, compare, radius, tile))
 
 
-def _tiled_links(keyed: DataFrame, counts: DataFrame, radius: int, tile: int) -> DataFrame:
+def _tiled_links(keyed: DataFrame, large: DataFrame, compare: Callable[[np.ndarray, int], np.ndarray], radius: int, tile: int) -> DataFrame:
     """Links within keys of more than a tile: every pair of tiles that population counts do not rule out."""
-    cut = counts.withColumn("cuts", F.ceil(F.col("n") / tile).cast("int")).select("band", "key", "pop", "cuts")
-    tiles = cut.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    one, two = tiles.select("band", "key", "pop", "cut"), tiles.select("band", "key", F.col("pop").alias("pop2"), F.col("cut").alias("cut2"))
+    cuts = large.select("key", "pop", F.ceil(2 * F.col("n") / tile).cast("int").alias("cuts"))
+    tiles = cuts.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    one, two = tiles.select("key", "pop", "cut"), tiles.select("key", F.col("pop").alias("pop2"), F.col("cut").alias("cut2"))
     # an equality join on the key: pairs of tiles, not of rows
-    pairs = one.join(two, ["band", "key"]).where((F.col("pop2") - F.col("pop")).between(0, radius) & ((F.col("pop2") > F.col("pop")) | (F.col("cut2") >= F.col("cut"))))
-    pair = F.struct("pop", "cut", "pop2", "cut2").alias("pair")
-    to = pairs.select("band", "key", pair, F.inline(F.array_distinct(F.array(F.struct("pop", "cut"), F.struct(F.col("pop2").alias("pop"), F.col("cut2").alias("cut"))))))
-    rows = keyed.join(cut, ["band", "key", "pop"]).withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
-    dealt = rows.join(to, ["band", "key", "pop", "cut"]).select("band", "key", "pair", "fp")
+    pairs = one.join(two, "key").where((F.col("pop2") - F.col("pop")).between(0, radius) & ((F.col("pop2") > F.col("pop")) | (F.col("cut2") >= F.col("cut"))))
+    ends = F.array_distinct(F.array(F.struct("pop", "cut"), F.struct(F.col("pop2").alias("pop"), F.col("cut2").alias("cut"))))
+    to = pairs.select("key", F.struct("pop", "cut", "pop2", "cut2").alias("pair"), F.inline(ends))
+    rows = keyed.withColumn("pop", F.bit_count("fp").cast("int")).join(cuts, ["key", "pop"]).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    dealt = rows.join(to, ["key", "pop", "cut"]).select("key", "pair", "fp", "node")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        links = forest(group["fp"].to_numpy(np.int64).view(np.uint64), radius)
-        return pd.DataFrame([(_signed(a), _signed(b)) for a, b in links], columns=["a", "b"]).astype("int64")
+    def of_pair(group: pd.DataFrame) -> pd.DataFrame:
+        node = group["node"].to_numpy(np.int64)
+        return pd.DataFrame(node[compare(group["fp"].to_numpy(np.int64).view(np.uint64), radius)], columns=["a", "b"])
 
-    return dealt.groupBy("band", "key", "pair").applyInPandas(compare, "a long, b long")
+    return dealt.groupBy("key", "pair").applyInPandas(of_pair, "a long, b long")
 
 
 def fingerprint_groups(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """``prints`` (fp, doc_id, ...) with ``component_id``: the smallest doc_id that links reach, null where
     no document of the component has an id."""
     firsts = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-prints")
-    roots = staged(connected_components(near_links(firsts.select("fp"), radius, tile)), "simhash-roots")
+    roots = staged(connected_components(near_links(firsts.select(F.col("fp").alias("node"), "fp"), forest, radius, tile)), "simhash-roots")
     rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = staged(rooted.join(least, "root").select("fp", "component_id"), "simhash-of")
@@ -193,14 +221,49 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """One row of each component: that of the smallest doc_id (nulls last), of equal ids an arbitrary but
-    fixed one. All columns of ``docs`` stay."""
+def shingles(text: str | None, n: int = SIMILAR_SHINGLE) -> set[bytes]:
+    """The set of a text's shingles; fewer words than n make one, none make none."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    return {b" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def similarity(one: str | None, two: str | None, n: int = SIMILAR_SHINGLE) -> float:
+    a, b = shingles(one, n), shingles(two, n)
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def similar_links(texts: DataFrame, links: DataFrame, n: int, least: float) -> DataFrame:
+    """The ``links`` (a, b) between nodes of ``texts`` (node, text) that are similar enough."""
+    ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    of = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
+    both = ends.join(of("a"), "a").join(of("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("text_a"), batch.column("text_b")
+            alike = [similarity(x.as_py(), y.as_py(), n) >= least for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, radius: int = SIMILAR_RADIUS, least: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest doc_id (nulls last), of equal ids an
+    arbitrary but fixed one. All columns of ``docs`` stay.
+
+    Texts of the same words are one node, by a 64-bit hash; null and blank texts are one. Nodes within the
+    radius are linked if their shingle sets have similarity ``least``. Texts are read whole; an empty table
+    stays empty."""
     rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
-    prints = staged(with_fingerprints(rows.select("__row", "doc_id", "text"), shingle), "simhash-docs")
-    firsts = staged(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")), "simhash-prints")
-    roots = staged(connected_components(near_links(firsts.select("fp"), radius, tile)), "simhash-roots")
-    rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints = staged(with_fingerprints(rows.select("__row", "doc_id", "text"), shingle, nodes=True), "simhash-docs")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
+    nodes = staged(prints.groupBy("node").agg(F.min("fp").alias("fp"), first), "simhash-nodes")
+    links = staged(near_links(nodes.select("node", "fp"), nearest, radius, tile), "simhash-candidates")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    firsts = nodes.join(ends, "node", "left_semi").select("node", F.col("first.__row").alias("__row"))
+    texts = staged(rows.select("__row", "text").join(firsts, "__row").select("node", "text"), "simhash-texts")
+    roots = staged(connected_components(similar_links(texts, links, shingle, least)), "simhash-roots")
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
     return rows.join(kept, "__row", "left_semi").select(*[quoted(c) for c in without(docs, "__row").columns])
 
