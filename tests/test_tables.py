@@ -1,0 +1,92 @@
+"""Capability tables and described policies."""
+
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.operators import compat, lint, policy
+
+
+def test_support(spark):
+    m = compat.support_matrix(spark)
+    assert [r.format for r in m.orderBy("format_ord").collect()] == ["Png", "Jpeg", "Webp", "Unknown"]
+    got = compat.with_support(spark.createDataFrame([("Png",), ("Tiff",), (None,)], "format string"), m).collect()
+    assert {r.format: r.level for r in got} == {"Png": "Full", "Tiff": "Unsupported", None: "Unsupported"}
+    order = spark.range(1).select(*[compat.level_ord(F.lit(x)).alias(x) for x in compat.LEVELS], compat.level_ord(F.lit("?")).alias("q")).first()
+    assert list(order) == [0, 1, 2, 3, None]
+
+
+def test_negotiation(spark):
+    df = spark.createDataFrame([("CpuRgba",), ("Static",), ("DeviceEncoded",)], "k string")
+    got = [(r.n.tag, r.n.notes, r.m) for r in df.select(compat.negotiate(F.col("k")).alias("n"), compat.mock_negotiate().alias("m")).collect()]
+    assert got == [("Compatible", [], "Compatible"), ("Compatible", [], "Compatible"), ("CompatibleWithLimitations", [compat.DEVICE_NOTE], "Compatible")]
+
+
+def test_reports(spark):
+    rows = [(1, "Full", 10, False, False), (2, "Full", 10, True, True), (3, "Unsupported", 10, True, False), (4, "Full", None, None, None)]
+    out = compat.load_reports(spark.createDataFrame(rows, "asset_id int, level string, bytes long, small boolean, exif_broken boolean"))
+    got = {r.asset_id: r.report for r in out.collect()}
+    assert (got[1].status, got[1].severity, got[1].stats.image_count) == ("Ok", None, 1)
+    assert (got[2].status, got[2].severity, got[2].warnings, got[2].ignored) == ("Partial", "Cosmetic", ["W001", "W002"], ["exif"])
+    assert (got[3].status, got[3].stats.total_bytes) == ("Failed", 0)
+    assert {r.status: r.reports for r in compat.coverage(out).collect()} == {"Ok": 2, "Partial": 1, "Failed": 1}
+
+
+def test_warnings_and_licences(spark):
+    c = compat.warning_catalog(spark).where("code = 'W001'")
+    text = c.select(compat.warning_text(F.col("code"), F.col("name"), F.lit("small"), F.col("impact"), F.lit(None).cast("string")).alias("t")).first().t
+    assert text == "[W001] ImageSmallerThanOutput\n  Context: small\n  Impact:  Upscaling with quality loss"
+    bad = compat.not_allowed(spark.createDataFrame([("MIT",), ("GPL-3.0",), (None,)], "license string"), spark)
+    assert {r.license for r in bad.collect()} == {"GPL-3.0", None}
+
+
+def test_degradation_and_recovery(spark):
+    rows = [("a", p) for p in (*policy.REQUIRED, "FractionalScale", "Viewporter")] + [("b", "LayerShell"), ("b", "Other")]
+    got = {r.c: r for r in policy.degradation(spark.createDataFrame(rows, "c string, protocol string"), "c").collect()}
+    assert (got["a"].usable, got["a"].scaling, got["a"].warnings) == (True, "fractional", "W040")
+    assert (got["b"].usable, got["b"].scaling, got["b"].content_hint) == (False, "integer", None)
+    assert spark.range(1).select(policy.recovery_of(F.lit("DeviceLost")).alias("r")).first().r == "recreate_runtime"
+    assert policy.fallback_table(spark).count() == 5
+
+
+def test_windows_over_events(spark):
+    t = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    df = spark.createDataFrame([("k", t(s), s) for s in range(12)], "key string, ts timestamp, id int")
+    assert [r.in_window for r in policy.bursts(df, "key", "ts", 3, 4).orderBy("id").collect()] == [1, 2, 3] + [4] * 9
+    assert [r.id for r in policy.recent(df, "key", ["ts"], 2).orderBy("age").collect()] == [11, 10]
+    assert policy.last_state(df, "key", "ts").first().id == 11
+
+
+@pytest.mark.parametrize(("scale_ms", "expected"), [(40, 40), (100, 100), (900, 100), (None, 100), (-5, 100)])
+def test_deferred_present(spark, scale_ms, expected):
+    base = 1_700_000_000_000_000
+    at = lambda ms: F.timestamp_micros(F.lit(base + ms * 1000))
+    surfaces = spark.range(1).select(F.lit("k").alias("key"), at(0).alias("surface_ts"))
+    scales = spark.range(0 if scale_ms is None else 1).select(F.lit("k").alias("key"), at(scale_ms or 0).alias("scale_ts"))
+    out = policy.deferred_present(surfaces, scales, "key").select(F.unix_micros("present_ts").alias("us")).first()
+    assert out.us - base == expected * 1000
+
+
+def test_gates(spark):
+    df = spark.createDataFrame([("a", 1, 100.0), ("a", 2, 110.0), ("a", 3, 122.0)], "k string, n int, v double")
+    assert [r.blocked for r in policy.regressions(df, "k", "n", "v").orderBy("n").collect()] == [False, False, True]
+    checks = [("v", True, date(2026, 5, 1)), ("v", True, date(2026, 6, 2)), ("w", True, date(2026, 6, 1)), ("x", None, None)]
+    got = policy.gate(spark.createDataFrame(checks, "k string, passed boolean, done_on date"), "k", "2026-06-01").collect()
+    assert {r.k: r.open for r in got} == {"v": False, "w": True, "x": False}
+    issues = spark.createDataFrame([(datetime(2024, 1, 1), datetime(2024, 1, 3)), (datetime(2024, 1, 1), datetime(2024, 3, 1)), (datetime(2024, 1, 1), datetime(2024, 1, 2))], "opened timestamp, answered timestamp")
+    assert policy.response_gate(issues).first() == (2.0, True)
+
+
+def test_surface_order_and_pause(spark):
+    rows = [("a", 1, "PendingConfigure", False), ("a", 2, "Configured", False), ("a", 3, "Live", True), ("a", 4, "Live", True), ("b", 1, "PendingConfigure", True), ("b", 2, "Live", True)]
+    out = policy.surface_order(spark.createDataFrame(rows, "k string, n int, state string, has_buffer boolean"), "k", "n").orderBy("k", "n").collect()
+    assert [r.fault for r in out] == [None, None, None, None, "buffer in initial commit", "out of order"]
+    clients = spark.createDataFrame([(True, True), (True, False), (None, True)], "fullscreen boolean, fullscreen_detection boolean")
+    assert [r.p for r in clients.select(policy.pause_on_fullscreen().alias("p")).collect()] == [True, False, False]
+
+
+def test_lint(spark):
+    lines = spark.createDataFrame([("a", "x", 1, "use gpu;"), ("b", "y", 1, "use gpu;")], "folder string, path string, line_no int, line string")
+    assert [r.path for r in lint.forbidden_imports(lines, {"a": r"\buse\s+gpu", "gone": "."}).collect()] == ["x"]
+    assert lint.lint_failed(lint.forbidden_imports(lines, {"gone": "."})).first().failed is False
