@@ -164,6 +164,8 @@ def parse(html: str | None) -> Tree:
                     break
         if tag in ("html", "body") and any(x == tag for x, _ in stack):
             continue
+        if not stack and tag not in ("html", "body"):
+            add("body", "")  # as it is implied
         add(tag, attrs)
     text(html[at:])
     flush()

@@ -77,10 +77,11 @@ def page(seed: int) -> str:
     rng = random.Random(seed)
     out = [f"<!DOCTYPE html><html><head><title>{_words(rng, 6)}</title></head><body data-y=\"0\">"]
     if rng.random() < 0.5:
-        out.append(f'<header data-y="0"{_attr(rng, "header", "masthead")}><p>{_words(rng, 3)}</p><ul>{_links(rng, 3)}</ul></header>')
+        out.append(f'<header data-y="0"{_attr(rng, "header", "masthead")}>{rng.choice(["<h1>", "<p>"])}{_words(rng, 3)}{rng.choice(["</h1>", "</p>"])}<ul>{_links(rng, 3)}</ul></header>')
     out += [_chrome(rng) for _ in range(rng.randint(0, 3))]
     tag, attr = rng.choice([("article", ""), ("article", _attr(rng, "post", "entry")), ("main", ""), ("div", ' class="content"'), ("div", ' id="article"'), ("div", ' class="post-body"'), ("section", ' class="story text"')])
-    inside = [f"<h1>{_words(rng, rng.randint(1, 12))}</h1>"] if rng.random() < 0.8 else []
+    title = f"<h1>{_words(rng, rng.randint(1, 12))}</h1>"
+    inside = [f"<header>{title}</header>" if rng.random() < 0.2 else title] if rng.random() < 0.8 else []
     inside += [_block(rng) for _ in range(rng.choice([1, 2, 3, 5, 8, 12]))]
     for _ in range(rng.choice([0, 0, 0, 1])):
         inside.insert(rng.randint(0, len(inside)), _chrome(rng))

@@ -73,11 +73,17 @@ def fit_lengths(sizes: np.ndarray, counts: np.ndarray, target: float, cap: int =
 
 
 def _knapsack(sizes: np.ndarray, free: np.ndarray, budget: int, order: np.ndarray) -> np.ndarray:
-    """How many of each length to take for the largest sum up to ``budget``. Bit s of a number says that sum
-    s can be reached; counts are split into powers of two."""
-    reach, mask, steps = 1, (1 << (budget + 1)) - 1, []
-    for j in order:
-        size, n, bundle = int(sizes[j]), min(int(free[j]), budget // int(sizes[j]) if sizes[j] else 0), 1
+    """How many of each length to take for the sum nearest to ``budget``, of equally near ones the smaller.
+    Bit s of a number says that sum s can be reached; counts are split into powers of two."""
+    taken = np.zeros(len(sizes), dtype=np.int64)
+    open_ = [int(j) for j in order if free[j] > 0 and sizes[j] > 0]
+    if budget <= 0 or not open_:
+        return taken
+    most = budget + min(max(int(sizes[j]) for j in open_), DP_WORDS)
+    reach, mask, steps = 1, (1 << (most + 1)) - 1, []
+    for j in open_:
+        size, bundle = int(sizes[j]), 1
+        n = min(int(free[j]), most // size)
         while n > 0 and not reach >> budget & 1:
             take = min(bundle, n)
             steps.append((j, take, reach))
@@ -85,7 +91,14 @@ def _knapsack(sizes: np.ndarray, free: np.ndarray, budget: int, order: np.ndarra
             n, bundle = n - take, bundle * 2
         if reach >> budget & 1:
             break
-    at, taken = reach.bit_length() - 1, np.zeros(len(sizes), dtype=np.int64)
+    below = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    over = reach >> (budget + 1)
+    above = budget + (over & -over).bit_length() if over else None
+    at = below if above is None or budget - below <= above - budget else above
+    # a document longer than all sums looked at may still be the nearest
+    if (long := min((int(sizes[j]) for j in open_ if sizes[j] > most), default=None)) is not None and long - budget < abs(at - budget):
+        taken[next(j for j in open_ if sizes[j] == long)] = 1
+        return taken
     for j, take, before in reversed(steps):
         if not before >> at & 1:
             taken[j] += take

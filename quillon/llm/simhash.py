@@ -41,9 +41,10 @@ SEED = 42
 TILE = 16_384
 #: Choices of blocks, at most.
 MAX_MASKS = 300
-#: Similarity (Jaccard, of sets of five-word shingles) of near-duplicates that are dropped, and the radius in
-#: which they are looked for: at similarity 0.9 the expected distance is 7 bits.
-SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS = 5, 0.8, 10
+#: Similarity (Jaccard, of sets of five-word shingles) of near-duplicates that are dropped. They are looked for
+#: by fingerprints of two-word shingles, of which an edited word changes fewer: of 720 pairs of documents at 0.8
+#: or more, 99.7 % were within 12 bits, and 1 pair in 60,000 of other documents.
+SIMILAR_SHINGLE, SIMILARITY, SEARCH_SHINGLE, SEARCH_RADIUS = 5, 0.8, 2, 12
 #: Hashes whose bits are counted at once.
 CHUNK = 65_536
 
@@ -119,20 +120,23 @@ def forest(fps: np.ndarray, radius: int) -> np.ndarray:
 
 
 def nearest(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Links of each fingerprint to the nearest one, and to the nearest one before it, within the radius."""
-    n, links = len(fps), [np.empty((0, 2), dtype=np.int64)]
-    step = max(1, 4_000_000 // max(n, 1))
+    """Links of each fingerprint to the nearest one before it, and to the nearest one after it if that is
+    nearer, within the radius. Each pair is compared once."""
+    n = len(fps)
+    before, to_before = np.full(n, 255, dtype=np.uint8), np.zeros(n, dtype=np.int64)
+    after, to_after = before.copy(), to_before.copy()
+    step = max(64, 2_000_000 // max(n, 1))
     for k in range(0, n if n > 1 else 0, step):
-        own = np.arange(k, min(n, k + step))
-        far = np.bitwise_count(fps[own][:, None] ^ fps[None, :])
-        far[np.arange(len(own)), own] = 255
-        for last in (False, True):
-            if last:
-                far[np.arange(n)[None, :] > own[:, None]] = 255
-            to = far.argmin(axis=1)
-            close = far[np.arange(len(own)), to] <= radius
-            links.append(np.column_stack([own[close], to[close]]))
-    return np.concatenate(links)
+        end = min(n, k + step)
+        far = np.bitwise_count(fps[k:end, None] ^ fps[None, :end])
+        far[:, k:][np.triu_indices(end - k)] = 255
+        to_before[k:end] = far.argmin(axis=1)
+        before[k:end] = far[np.arange(end - k), to_before[k:end]]
+        at = far.argmin(axis=0)
+        nearer = np.flatnonzero((least := far[at, np.arange(end)]) < after[:end])
+        after[nearer], to_after[nearer] = least[nearer], at[nearer] + k
+    one, two = np.flatnonzero(before <= radius), np.flatnonzero((after <= radius) & (after < before))
+    return np.concatenate([np.column_stack([one, to_before[one]]), np.column_stack([two, to_after[two]])])
 
 
 def _signed(x: int) -> int:
@@ -247,15 +251,16 @@ def similar_links(texts: DataFrame, links: DataFrame, n: int, least: float) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, radius: int = SIMILAR_RADIUS, least: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, least: float = SIMILARITY, search: int = SEARCH_SHINGLE, radius: int = SEARCH_RADIUS, tile: int = TILE) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest doc_id (nulls last), of equal ids an
     arbitrary but fixed one. All columns of ``docs`` stay.
 
-    Texts of the same words are one node, by a 64-bit hash; null and blank texts are one. Nodes within the
-    radius are linked if their shingle sets have similarity ``least``. Texts are read whole; an empty table
+    Texts of the same words are one node, by a 64-bit hash; null and blank texts are one. Nodes whose
+    fingerprints (of ``search`` words) are within the radius are linked if their sets of ``shingle``-word
+    shingles have similarity ``least``. Texts are read whole; an empty table
     stays empty."""
     rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
-    prints = staged(with_fingerprints(rows.select("__row", "doc_id", "text"), shingle, nodes=True), "simhash-docs")
+    prints = staged(with_fingerprints(rows.select("__row", "doc_id", "text"), search, nodes=True), "simhash-docs")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
     nodes = staged(prints.groupBy("node").agg(F.min("fp").alias("fp"), first), "simhash-nodes")
     links = staged(near_links(nodes.select("node", "fp"), nearest, radius, tile), "simhash-candidates")

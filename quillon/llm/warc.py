@@ -206,7 +206,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             for r in b.to_pylist():
                 if out is None:
                     name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done)}.warc.zst"
-                    out = fs.open_output_stream(f"{at}/{name}")
+                    out = fs.open_output_stream(f"{at}/{name}", compression=None)  # frames are made here, not by the suffix
                     out.write(head := dictionary_frame(dictionary) if dictionary else b"")
                     written = len(head)
                 payload = None if r["html"] is None else r["html"].encode()
@@ -234,7 +234,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         for b in batches:
             for path in b.column("path").to_pylist():
                 fs, at = _file_system(path)
-                with fs.open_input_stream(at) as f:
+                with fs.open_input_stream(at, compression=None) as f:
                     rows, held = [], 0
                     for r in read_archive(iter(lambda: f.read(READ_BYTES) or None, None)):
                         if not payloads:
