@@ -77,3 +77,19 @@ def dump(answers: DataFrame) -> DataFrame:
     """(question_id, dump): each answer with its trace as one JSON text, for a sink."""
     traced = trace(answers)
     return traced.select("question_id", F.to_json(F.struct(*traced.columns)).alias("dump"))
+
+
+def states(chunks: DataFrame, questions: DataFrame, preferences: DataFrame, detectors: str | Sequence[Detector] = "base") -> DataFrame:
+    """The whole state of each question in one row: K (map of key to claim), H (array, in order of arrival), E, T,
+    P (the intent's priorities), the goal and the trace. A question's evidence is what its top chunks hold."""
+    claims = claims_of(chunks, questions, detectors)
+    claim = F.struct("value", "source_type", "scope_operator", "evidence", "items", "chunk_id")
+    k = resolve.evidence(claims).groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("key", claim))).alias("K"))
+    answered = answer_primary(chunks, questions, preferences, detectors)
+    h = resolve.hypotheses(claims)
+    h = resolve.deactivate_losers(h, resolve.narrow(h, preferences).join(answered.where("found = 'conflicting'").select("question_id"), "question_id", "left_semi"))
+    kept = F.struct("h_ord", "label", "source_type", "value", "scope_operator", "support", "active")
+    h = h.groupBy("question_id").agg(F.transform(F.sort_array(F.collect_list(kept)), lambda x: x.dropFields("h_ord")).alias("H"))
+    p = preferences.groupBy("intent").agg(F.transform(F.sort_array(F.collect_list(F.struct("priority", "source_type"))), lambda x: x["source_type"]).alias("P"))
+    out = questions.select("question_id", "intent").join(trace(answered), "question_id").join(k, "question_id", "left").join(h, "question_id", "left").join(p, "intent", "left")
+    return out.select("question_id", "intent", "K", "H", F.col("state").alias("E"), F.col("tensions").alias("T"), "P", "goal", "trace")

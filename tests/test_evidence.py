@@ -7,7 +7,7 @@ from quillon.functions.text import overlap, query_words, to_int
 from quillon.operators import resolve
 from quillon.operators.extract import extract
 from quillon.operators.retrieve import refined, retrieve, score
-from quillon.plans.answers import answer_alternative, answer_primary, dump, seeded, trace
+from quillon.plans.answers import answer_alternative, answer_primary, dump, seeded, states, trace
 from quillon.sources.tables import corpus, preferences, questions
 
 DEFS = "class Vector:\n" + "".join(f"    def __{n}__(self):\n        pass\n" for n in ("init", "repr", "abs", "bool", "add", "mul"))
@@ -141,3 +141,12 @@ def test_null_texts_and_many_questions(spark):
     out = {r.question_id: r.answer for r in answer_primary(chunks, asked, preferences(spark)).collect()}
     assert out == {"q": 5, "q2": None, "q3": None}
     assert score(chunks, asked).where("text is null and question_id = 'q'").first().score == 0
+
+
+def test_whole_state(spark):
+    s = states(corpus(spark, "c", VECTOR), questions(spark, [Q_VECTOR]), preferences(spark)).first()
+    assert set(s.K) == {"stated:author_anchor", "list:forward_reference", "code:code_literal"} and s.K["list:forward_reference"]["value"] == 4
+    assert [(h["label"], h["active"]) for h in s.H] == [("count=5/author_anchor", True), ("count=4/forward_reference", False), ("count=6/code_literal", False)]
+    assert (s.E, s.T, s.P, s.goal) == ("supported", {}, ["author_anchor", "forward_reference", "code_literal"], "solved")
+    none = states(corpus(spark, "c", VECTOR[:1]), questions(spark, [Q_VECTOR]), preferences(spark)).first()
+    assert (none.K, none.H, none.E, none.goal) == (None, None, "unsupported", "open")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import compat, lint, policy
+from quillon.sources import model
 
 
 def test_support(spark):
@@ -90,3 +91,15 @@ def test_lint(spark):
     lines = spark.createDataFrame([("a", "x", 1, "use gpu;"), ("b", "y", 1, "use gpu;")], "folder string, path string, line_no int, line string")
     assert [r.path for r in lint.forbidden_imports(lines, {"a": r"\buse\s+gpu", "gone": "."}).collect()] == ["x"]
     assert lint.lint_failed(lint.forbidden_imports(lines, {"gone": "."})).first().failed is False
+
+
+def test_frame_outputs(spark):
+    full = ("Full", None)
+    rows = [
+        (("Cpu", (bytearray(8), 2, 1, 8), full, None),), (("Cpu", (bytearray(7), 2, 1, 8), full, None),), (("Cpu", (bytearray(8), 2, 1, 4), full, None),), (("Cpu", (bytearray(8), 2, 1, 8), None, None),),
+        (("Unchanged", None, None, None),), (("SkippedDegraded", None, None, ""),), (("SkippedDegraded", None, None, "busy"),), (("Other", None, None, None),), (("Cpu", None, full, None),),
+    ]
+    df = spark.createDataFrame(rows, f"o {model.FRAME_OUTPUT}")
+    assert [r.f for r in df.select(model.frame_output_fault(F.col("o")).alias("f")).collect()] == [None, "length", "stride", "damage", None, "reason", None, "tag", "length"]
+    one = spark.range(1).select(model.is_case(F.lit("Photo"), "content_type_hint").alias("a"), model.is_case(F.lit(None), "phase").alias("b"), model.millis_to_ns(F.lit(3)).alias("c")).first()
+    assert (one.a, one.b, one.c) == (True, False, 3_000_000)
