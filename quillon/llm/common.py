@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quillon-{tag}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark)}/quillon-{tag}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what this process has staged. To be called once the results that read from it are written."""
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
@@ -47,6 +56,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[quoted(c) for c in df.columns if c.lower() not in taken])
 
 
+def bounded_sample(keys: DataFrame, most: int, seed: int) -> DataFrame:
+    """Rows of ``keys`` (its first column is distinct) whose key's hash is below the share that leaves about ``most``
+    of them, all if there are no more. What is sent to the driver is counts: it does not grow with partitions."""
+    n, key = keys.count(), keys.columns[0]
+    if n <= most:
+        return keys
+    cut = int((2 * most / n - 1) * 2**63)
+    return keys.where(F.xxhash64(F.lit(seed), quoted(key)) < F.lit(max(-(2**63), min(cut, 2**63 - 1))))
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

@@ -22,11 +22,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import scratch_path, staged, table
+from quillon.llm.common import bounded_sample, scratch_path, staged, table
 
 #: Fixed value: magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
-#: The dictionary is trained on so many pages at most (those of least hash), each of up to so many bytes.
+#: The dictionary is trained on about so many pages at most (chosen by hash), each of up to so many bytes.
 DICTIONARY_PAGES, DICTIONARY_PAGE_BYTES, DICTIONARY_BYTES = 400, 32_768, 65_536
 #: An archive is closed once it has so many bytes.
 ARCHIVE_BYTES = 128 << 20
@@ -156,8 +156,11 @@ def _file_system(uri: str):  # noqa: ANN202
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary for the archives; empty where there are too few pages to train one."""
-    small = pages.where(F.octet_length("html").between(64, DICTIONARY_PAGE_BYTES)).select("html").orderBy(F.xxhash64("html"), "html").limit(DICTIONARY_PAGES)
-    samples = [r["html"].encode() for r in small.collect()]
+    small = pages.where(F.octet_length("html").between(64, DICTIONARY_PAGE_BYTES)).select(F.xxhash64("html").alias("h"), "html")
+    chosen = bounded_sample(small.select("h").distinct(), DICTIONARY_PAGES, 3)
+    # equal pages count once; the sample is bounded, and so is each of its pages
+    rows = small.join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("html").alias("html")).collect()
+    samples = [r["html"].encode() for r in sorted(rows)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 8 else b""
     except zstandard.ZstdError:
@@ -175,7 +178,7 @@ def _records(pages: DataFrame) -> DataFrame:
     rows = rows.select("page_id", "url", "sha1", "size").groupBy("sha1", "page_id", "url", "size").agg(F.count("*").alias("n"))
     shared = rows.groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("best"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
     shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    of_shared = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(shared, ["sha1", "salt"])
+    of_shared = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(shared.hint("merge"), ["sha1", "salt"])
     is_best = F.col("page_id").eqNullSafe(F.col("best.page_id")) & F.col("url").eqNullSafe(F.col("best.url"))
     again = of_shared.withColumn("n", F.col("n") - is_best.cast("long")).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return responses.unionByName(again.select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha1", "size", F.col("best.page_id").alias("refers_to"), F.lit(True).alias("revisit")))
