@@ -21,9 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import table, without
+from quillon.llm.common import bounded_sample, table, without
 
-#: Labelled rows to fit on, at most: those of least hash of their id.
+#: Labelled rows to fit on, about and at most: those of least hash of their id.
 MAX_TRAIN = 20_000
 MAX_BINS = 32
 PAIR_BINS = 8
@@ -179,10 +179,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Additive:
-    """Fits on at most ``max_rows`` labelled documents outside the held-out third. Contradicting labels of an
+    """Fits on about ``max_rows`` labelled documents at most, outside the held-out third. Contradicting labels of an
     id count as bad; null labels and ids are ignored."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(max_rows)
+    known = bounded_sample(known.groupBy("doc_id").agg(F.min("quality").alias("quality")), max_rows, 5)
     measure = F.pandas_udf(lambda text: pd.Series([features(t) for t in text]), "array<double>")
     # bounded by max_rows
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", measure("text").alias("x"), "doc_id")
