@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import quoted, table, without
+from quillon.llm.common import quoted, staged, table, without
 
 K1, B = 1.2, 0.75
 BLOCK = 64
@@ -40,7 +40,7 @@ PART_OVERLAP = 0.5
 WHOLE_OVERLAP = 0.6
 GRAM = 3
 #: Text of benchmark items held in one index, in bytes; larger benchmarks are searched index by index.
-INDEX_BYTES = 32 << 20
+INDEX_BYTES = 8 << 20
 HIT = "array<struct<item_id:bigint,score:double,question:double,answer:double>>"
 
 _WORD = re.compile(r"\w+")
@@ -188,27 +188,33 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BY
 
     A null text has none. Items of equal text are each reported. Texts are read whole, equal rows get equal
     hits, an empty table stays empty and an empty benchmark gives no hits; an input column named hits is
-    replaced. A benchmark of more than ``index_bytes`` is dealt by hash over several indexes."""
+    replaced. A benchmark of more than ``index_bytes`` is dealt by hash over several indexes, each of which
+    all texts are searched in; no worker holds more than one."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rounds = -(-size // index_bytes)
-    out = without(docs, "hits")
-    names = []
-    for k in range(rounds):
-        # bounded by index_bytes, give or take the hash's spread
-        part = benchmark.where((F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k) & F.col("text").isNotNull())
-        held = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.select("item_id", "text").collect()])
-        names.append(f"__hits{k}")
-        out = out.withColumn(names[-1], _searcher(held)(F.col("text")))
-    hits = reduce(lambda a, b: F.concat(a, b), map(F.col, names)) if names else F.array().cast(HIT)
-    return out.select(*[quoted(c) for c in without(docs, "hits").columns], hits.alias("hits"))
-
-
-def _searcher(held):  # noqa: ANN001, ANN202
+    docs = without(docs, "hits", "__row")
+    names = [quoted(c) for c in docs.columns]
+    if rounds == 0:
+        return docs.select(*names, F.array().cast(HIT).alias("hits"))
+    if rounds == 1:
+        return docs.select(*names, _searcher(benchmark)(F.col("text")).alias("hits"))
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "decontamination-rows")
+    parts = [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k) for k in range(rounds)]
+    found = reduce(DataFrame.unionByName, [staged(rows.select("__row", F.inline(_searcher(p)(F.col("text")))), "decontamination-hits") for p in parts])
+    hits = found.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("item_id", "score", "question", "answer"))).alias("hits"))
+    return rows.join(hits, "__row", "left").select(*names, F.coalesce("hits", F.array().cast(HIT)).alias("hits"))
+
+
+def _searcher(benchmark: DataFrame):  # noqa: ANN202
+    """A function of texts. The items collected are those of one index: its bytes are bounded, give or take
+    the spread of the hash that deals them."""
+    items = [(r["item_id"], r["text"]) for r in benchmark.where(F.col("text").isNotNull()).select("item_id", "text").collect()]
+    held = benchmark.sparkSession.sparkContext.broadcast(build_indexes(items))
+
     @F.pandas_udf(HIT)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        indexes = build_indexes(held.value)
         for texts in batches:
-            yield pd.Series([hits_of(t, indexes) for t in texts], dtype=object)
+            yield pd.Series([hits_of(t, held.value) for t in texts], dtype=object)
 
     return search
 
