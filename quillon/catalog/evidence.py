@@ -57,6 +57,11 @@ def evidence_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.evidence(_all_claims(spark, sf_dir)).select("question_id", "key", "source_type", F.col("value").cast("long").alias("value"))
 
 
+def evidence_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resolve.kinds_of_evidence(_all_claims(spark, sf_dir))
+    return out.select("question_id", F.array_join("source_types", ",").alias("source_types"), F.array_join(F.col("values").cast("array<string>"), ",").alias("values"))
+
+
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = resolve.hypotheses(_all_claims(spark, sf_dir))
     return h.select("question_id", "label", F.col("value").cast("long").alias("value"), F.array_join("support", ",").alias("support"), F.col("h_ord").cast("long").alias("h_ord"), "active")
@@ -122,7 +127,7 @@ def total_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", "stated", "derived", F.when(same, "supported").otherwise("conflicting").alias("state"), F.when(~same, "rule_1").alias("rule"), F.col("stated").alias("answer"))
 
 
-QUERIES = {f.__name__: f for f in (keyword_score, retrieve_topk, extract_claims, evidence_k, hypotheses, evaluate_state, tensions, narrow_hypothesis, deactivated, single_claim_path, total_reconcile)}
+QUERIES = {f.__name__: f for f in (keyword_score, retrieve_topk, extract_claims, evidence_k, evidence_kinds, hypotheses, evaluate_state, tensions, narrow_hypothesis, deactivated, single_claim_path, total_reconcile)}
 QUERIES |= {"answer_primary": primary, "answer_alternative": alternative}
 
 _WORDS = "list_distinct(list_transform(list_filter(string_split_regex('{}', '\\s+'), lambda t: length(t) > 2), lambda t: lower(t)))"
@@ -188,6 +193,7 @@ ORACLES = {
     "retrieve_topk": f"WITH {_D}, {_top('t', QUERY, 1)} SELECT question_id, doc_id, score, rank FROM t",
     "extract_claims": f"WITH {_C} SELECT doc_id, CAST(pos AS BIGINT) AS pos, value, source_type, evidence FROM c",
     "evidence_k": f"WITH {_C}, {_K} SELECT question_id, key, source_type, value FROM k",
+    "evidence_kinds": f"WITH {_C}, {_K} SELECT question_id, (SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT DISTINCT source_type AS t FROM k WHERE k.question_id = q.question_id)) AS source_types, (SELECT string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) FROM (SELECT DISTINCT value AS v FROM k WHERE k.question_id = q.question_id)) AS values FROM (SELECT DISTINCT question_id FROM k) q",
     "hypotheses": f"WITH {_C}, {_H} SELECT question_id, label, value, doc_id || ':' || source_type AS support, h_ord, true AS active FROM h",
     "evaluate_state": f"WITH {_C}, {_K}, {_H}, {_Q}, {_S} SELECT question_id, n_evidence, n_hypotheses, n_hypotheses AS n_active, n_values, {_STATE} AS state FROM s",
     "tensions": f"WITH {_C}, {_K}, {_H}, {_Q}, {_S} SELECT question_id, CASE WHEN n_evidence = 0 THEN 'HIGH' END AS evidence_gap, CASE WHEN n_values > 1 THEN 'HIGH' WHEN n_hypotheses > 1 THEN 'MEDIUM' END AS unresolved_ambiguity FROM s",

@@ -82,3 +82,9 @@ def first_active(hypotheses_: DataFrame) -> DataFrame:
     """The earliest active hypothesis of each question; priorities are not asked."""
     cols = [c for c in hypotheses_.columns if c != "question_id"]
     return hypotheses_.where("active").groupBy("question_id").agg(F.min_by(F.struct(*cols), "h_ord").alias("h")).select("question_id", "h.*")
+
+
+def kinds_of_evidence(claims: DataFrame) -> DataFrame:
+    """(question_id, source_types, values): the distinct ones of a question's evidence, sorted."""
+    distinct = lambda c: F.array_sort(F.collect_set(c))
+    return evidence(claims).groupBy("question_id").agg(distinct("source_type").alias("source_types"), distinct("value").alias("values"))

@@ -19,6 +19,11 @@ BACKEND_CAPABILITIES = "struct<source_kind:string,resize:string,pause_semantics:
 NEGOTIATION = "struct<tag:string,notes:array<string>,error:struct<reason:string,renderer_supports:string,backend_requires:string>>"
 LOAD_REPORT = "struct<status:string,severity:string,warnings:array<string>,ignored:array<string>,stats:struct<total_bytes:bigint,image_count:int>>"
 HYPOTHESIS = "struct<label:string,source_type:string,value:int,scope_operator:string,support:array<string>,active:boolean>"
+#: The four separate entities around a profile: what is drawn, how, when, and what happens besides.
+PROFILE = "name string, outputs map<string,struct<path:string,backend:string,fit:string>>"
+RUNTIME_POLICY = "name string, pause_on_fullscreen boolean"
+ACTIVATION = "name string, seq long"
+HOOK = "name string, event string, action string"
 #: The cases of each enumeration.
 ENUMS = {
     "source_kind": ("CpuRgba", "DeviceEncoded", "Static"), "resize": ("Immediate", "Deferred"), "pause_semantics": ("Freeze", "LogicOnly", "Unsupported"), "content_type_hint": ("None", "Photo"),

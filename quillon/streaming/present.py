@@ -1,4 +1,4 @@
-"""A first presentation that waits for a scale event or a time limit, over a stream."""
+"""Presentation over a stream: the deferred first one, and attempts with error recovery."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "key string, present_us long, cause string"
@@ -46,3 +47,43 @@ def deferred_present_stream(events: DataFrame, key: str, limit_us: int = LIMIT_U
     and why. The limit runs in event time, by the watermark."""
     of = events.withWatermark("ts", late).select(F.col(key).cast("string").alias("key"), "kind", F.unix_micros("ts").alias("us"), "ts")
     return of.groupBy("key").applyInPandasWithState(_waiting(limit_us), OUT, "surface long, scale long, done int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+SHOWN = "key string, event_id long, result string, status string, present_count long, recreate_count long"
+
+
+def present_step(state: tuple, tag: str | None, error: str | None, recreate: bool) -> tuple[tuple, str | None]:
+    """One attempt: state (status, armed error or "", presented, recreated) -> state, result."""
+    status, armed, presented, recreated = state
+    if recreate:
+        status, recreated = "Ready", recreated + 1
+    armed = error or armed
+    if tag is None:
+        return (status, armed, presented, recreated), None
+    if armed:
+        return (armed if armed in ("SurfaceLost", "DeviceLost") else status, "", presented, recreated), armed
+    drawn = tag in ("Cpu", "DeviceEncoded")
+    return (status, "", presented + drawn, recreated), "Presented" if drawn else "Skipped"
+
+
+def _present(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    at, out = state.get if state.exists else ("Ready", "", 0, 0), []
+    events = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+    text = lambda x: x if isinstance(x, str) else None
+    for event_id, tag, error, recreate in zip(events["event_id"], events["frame_tag"], events["inject_error"], events["recreate"]):
+        at, result = present_step(at, text(tag), text(error), bool(recreate) if pd.notna(recreate) else False)
+        out.append((key[0], event_id, result, at[0], at[2], at[3]))
+    state.update(at)
+    yield pd.DataFrame(out, columns=["key", "event_id", "result", "status", "present_count", "recreate_count"])
+
+
+def present_stream(events: DataFrame, key: str) -> DataFrame:
+    """A stream of ``events`` (key, ts, event_id, frame_tag, inject_error, recreate) -> results, in append mode."""
+    of = events.select(F.col(key).cast("string").alias("key"), "ts", "event_id", "frame_tag", "inject_error", "recreate")
+    return of.groupBy("key").applyInPandasWithState(_present, SHOWN, "status string, armed string, presented long, recreated long", "append", GroupStateTimeout.NoTimeout)
+
+
+def present_to(results: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Writes the frames that were presented to Parquet files in ``sink``, for what is there now, and ends."""
+    shown = results.where("result = 'Presented'")
+    return shown.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

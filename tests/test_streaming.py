@@ -5,12 +5,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillon.catalog.events import OPS, _mapped
-from quillon.operators import lifecycle
+from quillon.catalog.events import ERRORS, OPS, TAGS, _k, _mapped
+from quillon.operators import lifecycle, present
 from quillon.sources.tables import event_stream, events
 from quillon.streaming import ipc
 from quillon.streaming.lifecycle import replay_stream
-from quillon.streaming.present import deferred_present_stream
+from quillon.streaming.present import deferred_present_stream, present_stream, present_to
 from tests.conftest import SF
 
 
@@ -51,3 +51,19 @@ def test_ipc_stream(spark, tmp_path):
     ipc.serve(reads, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     got = {r.conn_id: r.reply for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: "pong\n", 3: "error: unknown command 'nope'\n", 4: "frames=0 animate=true ipc_commands=4\n"}
+
+
+def test_present_stream_equals_batch(spark, tmp_path):
+    error = F.when(_k() % 17 == 0, ERRORS[0]).when(_k() % 17 == 1, ERRORS[1]).when(_k() % 17 == 2, ERRORS[2])
+    tag = F.when(F.col("event_id") % 6 > 0, _mapped(TAGS))
+    of = events(spark, SF).select("event_id", "user_id", "ts", tag.alias("frame_tag"), error.alias("inject_error"), F.when(_k() % 7 > 0, _k() % 5 == 0).alias("recreate"))
+    middle = of.selectExpr("percentile_approx(unix_micros(ts), 0.5)").first()[0]
+    for part in (F.unix_micros("ts") < middle, F.unix_micros("ts") >= middle):
+        of.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    names = ["event_id", "result", "status", "present_count", "recreate_count"]
+    schema = "event_id long, user_id long, ts timestamp, frame_tag string, inject_error string, recreate boolean"
+    got = drain(present_stream(event_stream(spark, str(tmp_path / "in"), schema), "user_id"), "presented", spark, tmp_path).select(*names)
+    batch = present.present(of, "user_id", ["ts", "event_id"]).select(*names)
+    assert got.count() == of.count() and got.exceptAll(batch).count() == 0
+    present_to(present_stream(event_stream(spark, str(tmp_path / "in"), schema), "user_id"), str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == batch.where("result = 'Presented'").count()
