@@ -9,31 +9,31 @@ from quillon.functions.text import overlap, query_words
 
 #: Questions of up to so many rows are broadcast to the chunks; more are joined by a shuffle on the corpus.
 BROADCAST_QUESTIONS = 100_000
+DEFAULT_K = 4
 
 
-def score(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+def score(chunks: DataFrame, questions: DataFrame, n_questions: int | None = None) -> DataFrame:
     """Each question's chunks (those of its corpus) with ``score``. A null text or query scores 0."""
+    n = questions.count() if n_questions is None else n_questions
     asked = questions.withColumn("words", query_words(F.coalesce("query", F.lit(""))))
-    if asked.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS:
+    if n <= BROADCAST_QUESTIONS:
         asked = F.broadcast(asked)
     lowered = chunks.withColumn("lowered", F.lower(F.coalesce("text", F.lit(""))))
     return lowered.join(asked, "corpus_id").withColumn("score", overlap(F.col("words"), F.col("lowered"))).drop("lowered", "words")
 
 
-def top_k(scored: DataFrame, default_k: int = 4) -> DataFrame:
+def top_k(scored: DataFrame, most: int, default_k: int = DEFAULT_K) -> DataFrame:
     """The first k chunks of each question by score, equal scores in corpus order, without those that score 0.
 
-    ``rank`` counts from 1. k is the question's ``top_k``, or the default where it is null. The rank limit works
-    on either side of the shuffle: a task sends on k rows of a question at most."""
-    k = F.coalesce("top_k", F.lit(default_k))
+    ``rank`` counts from 1. k is the question's ``top_k``, or the default where it is null; ``most`` is the
+    largest of them: a constant, so that ranks are limited on either side of the shuffle."""
     ranked = scored.where("score > 0").withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "ord")))
-    most = scored.sparkSession.conf.get("quillon.retrieve.max_k", "1000")
-    # a constant bound next to the row's own is what lets the optimizer limit ranks before the shuffle
-    return ranked.where((F.col("rank") <= int(most)) & (F.col("rank") <= k))
+    return ranked.where((F.col("rank") <= most) & (F.col("rank") <= F.coalesce("top_k", F.lit(default_k))))
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    return top_k(score(chunks, questions))
+def retrieve(chunks: DataFrame, questions: DataFrame, default_k: int = DEFAULT_K) -> DataFrame:
+    n, most = questions.agg(F.count("*"), F.max(F.coalesce("top_k", F.lit(default_k)))).first()
+    return top_k(score(chunks, questions, n), most or 0, default_k)
 
 
 def refined(questions: DataFrame) -> DataFrame:
