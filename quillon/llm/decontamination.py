@@ -34,10 +34,10 @@ RANGE, MAX_RANGES = 4, 64
 TOGETHER = 512
 SMALLEST_CLASS = 16
 #: Share of an item's own score that a passage has to reach.
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 #: Shares of trigrams: of question and of answer both, or of the whole item.
 PART_OVERLAP = 0.5
-WHOLE_OVERLAP = 0.6
+WHOLE_OVERLAP = 0.5
 GRAM = 3
 #: Text of benchmark items held in one index, in bytes; larger benchmarks are searched index by index.
 INDEX_BYTES = 8 << 20
