@@ -42,7 +42,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and returns it reread: lineage is cut, and
     values that depend on the physical plan (partition ids, row numbers) are fixed from here on."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
