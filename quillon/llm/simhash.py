@@ -7,9 +7,9 @@ tiles, by numpy exclusive-or and bit counts. Tiles are formed in two steps, neit
 * The 64 bits are cut into m > radius blocks. Two fingerprints within the radius agree on at least
   m - radius blocks, so each choice of m - radius blocks is a key, and only fingerprints equal in some key
   are compared. m grows with the number of fingerprints until a key holds a tile's worth or less.
-* A key that holds more than ``TILE`` fingerprints is cut into tiles by population count (and by a hash
-  where one count fills several). Tile pairs whose population counts differ beyond the radius are skipped;
-  each remaining pair is a task's group of its own, of two tiles at most.
+* A key that holds more than ``TILE`` fingerprints is cut into tiles by ranges of population counts (and by
+  a hash where one count fills several). Tile pairs whose population counts differ beyond the radius are
+  skipped; each remaining pair is a group of its own, of about ``TILE`` fingerprints.
 
 A comparison emits no more links than a spanning forest has. Links go to connected components, in the
 cluster.
@@ -38,7 +38,7 @@ from quillon.llm.components import connected_components
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-TILE = 16_384
+TILE = 65_536
 #: Choices of blocks, at most.
 MAX_MASKS = 300
 #: Similarity (Jaccard, of sets of five-word shingles) of near-duplicates that are dropped. They are looked for
@@ -182,16 +182,22 @@ def near_links(prints: DataFrame, compare: Callable[[np.ndarray, int], np.ndarra
 
 
 def _tiled_links(keyed: DataFrame, large: DataFrame, compare: Callable[[np.ndarray, int], np.ndarray], radius: int, tile: int) -> DataFrame:
-    """Links within keys of more than a tile: every pair of tiles that population counts do not rule out."""
-    cuts = large.select("key", "pop", F.ceil(2 * F.col("n") / tile).cast("int").alias("cuts"))
-    tiles = cuts.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    one, two = tiles.select("key", "pop", "cut"), tiles.select("key", F.col("pop").alias("pop2"), F.col("cut").alias("cut2"))
+    """Links within keys of more than a tile: every pair of half tiles that population counts do not rule out.
+
+    A half tile is a range of population counts, or, where one count alone is more, a part of it by hash."""
+    half = max(1, tile // 2)
+    upto = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("pop").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = large.select("key", "pop", F.floor(upto / half).alias("range"), F.ceil(F.col("n") / half).cast("int").alias("cuts"))
+    ranges = cuts.groupBy("key", "range").agg(F.min("pop").alias("low"), F.max("pop").alias("high"), F.max("cuts").alias("most"))
+    tiles = ranges.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("most") - 1))).drop("most")
+    one, two = tiles.drop("low"), tiles.select("key", F.col("range").alias("range2"), F.col("low").alias("low2"), F.col("cut").alias("cut2"))
     # an equality join on the key: pairs of tiles, not of rows
-    pairs = one.join(two, "key").where((F.col("pop2") - F.col("pop")).between(0, radius) & ((F.col("pop2") > F.col("pop")) | (F.col("cut2") >= F.col("cut"))))
-    ends = F.array_distinct(F.array(F.struct("pop", "cut"), F.struct(F.col("pop2").alias("pop"), F.col("cut2").alias("cut"))))
-    to = pairs.select("key", F.struct("pop", "cut", "pop2", "cut2").alias("pair"), F.inline(ends))
+    later = (F.col("range2") > F.col("range")) | (F.col("range2") == F.col("range")) & (F.col("cut2") >= F.col("cut"))
+    pairs = one.join(two, "key").where(later & (F.col("low2") - F.col("high") <= radius))
+    ends = F.array_distinct(F.array(F.struct("range", "cut"), F.struct(F.col("range2").alias("range"), F.col("cut2").alias("cut"))))
+    to = pairs.select("key", F.struct("range", "cut", "range2", "cut2").alias("pair"), F.inline(ends))
     rows = keyed.withColumn("pop", F.bit_count("fp").cast("int")).join(cuts, ["key", "pop"]).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    dealt = rows.join(to, ["key", "pop", "cut"]).select("key", "pair", "fp", "node")
+    dealt = rows.join(to, ["key", "range", "cut"]).select("key", "pair", "fp", "node")
 
     def of_pair(group: pd.DataFrame) -> pd.DataFrame:
         node = group["node"].to_numpy(np.int64)
