@@ -13,6 +13,7 @@ around the passage: word trigrams of its question and of its answer have to stan
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,12 +211,14 @@ def _searcher(benchmark: DataFrame):  # noqa: ANN202
     """A function of texts. The items collected are those of one index: its bytes are bounded, give or take
     the spread of the hash that deals them."""
     items = [(r["item_id"], r["text"]) for r in benchmark.where(F.col("text").isNotNull()).select("item_id", "text").collect()]
-    held = benchmark.sparkSession.sparkContext.broadcast(build_indexes(items))
+    # as bytes that carry their classes: executors need no copy of the package
+    held = benchmark.sparkSession.sparkContext.broadcast(cloudpickle.dumps(build_indexes(items)))
 
     @F.pandas_udf(HIT)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        indexes = pickle.loads(held.value)
         for texts in batches:
-            yield pd.Series([hits_of(t, held.value) for t in texts], dtype=object)
+            yield pd.Series([hits_of(t, indexes) for t in texts], dtype=object)
 
     return search
 
