@@ -14,15 +14,15 @@ tiles, by numpy exclusive-or and bit counts. Tiles are formed in two steps, neit
 A comparison emits no more links than a spanning forest has. Links go to connected components, in the
 cluster.
 
-``near_duplicates`` links by fingerprints alone. ``drop_near_duplicates`` finds candidates within a wider
-radius, up to two per text and tile (the nearest text, and the nearest one before it), and keeps those whose
-shingle sets have the similarity asked for.
+``near_duplicates`` links by fingerprints alone. ``drop_near_duplicates`` uses them to find candidate groups
+only: fingerprints within a wider radius, whose sketches of the shingle sets agree as well, make a group, and
+within each group the shingle sets are compared exactly, all with all, by counting common shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 from math import comb
 
 import numpy as np
@@ -41,10 +41,14 @@ SEED = 42
 TILE = 65_536
 #: Choices of blocks, at most.
 MAX_MASKS = 300
-#: Similarity (Jaccard, of sets of five-word shingles) of near-duplicates that are dropped. They are looked for
-#: by fingerprints of two-word shingles, of which an edited word changes fewer: of 720 pairs of documents at 0.8
-#: or more, 99.7 % were within 12 bits, and 1 pair in 60,000 of other documents.
-SIMILAR_SHINGLE, SIMILARITY, SEARCH_SHINGLE, SEARCH_RADIUS = 5, 0.8, 2, 12
+#: Similarity (Jaccard, of sets of five-word shingles) of near-duplicates that are dropped. Candidates are found
+#: by fingerprints of two-word shingles, of which an edited word changes fewer: of 720 pairs of texts at 0.8 or
+#: more, 99.7 % were within 12 bits and all within 14.
+SIMILAR_SHINGLE, SIMILARITY, SEARCH_SHINGLE, SEARCH_RADIUS = 5, 0.8, 2, 14
+#: Of the 16 bytes of two candidates' sketches, so many are equal: at similarity 0.8 all but 1 pair in 5,000.
+SKETCH_AGREES = 7
+#: Texts and bytes of half a tile of texts that are compared exactly.
+TEXTS, TEXT_BYTES = 2_048, 8 << 20
 #: Hashes whose bits are counted at once.
 CHUNK = 65_536
 
@@ -68,20 +72,37 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, nodes: bool = False) -> DataFrame:
-    """``docs`` with its column ``text`` replaced by ``fp``, and, with ``nodes``, by a hash of its words as well."""
+def shingle_hashes(text: str | None, n: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; fewer words than n make one, none make none."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    hashed = xxhash.xxh64_intdigest
+    return np.unique(np.array([hashed(b" ".join(words[k : k + n])) for k in range(max(1, len(words) - n + 1))] if words else [], dtype=np.uint64))
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """16 bytes: of each of 16 classes of hashes the low byte of the smallest; an empty class takes the next one's."""
+    if not len(hashes):
+        return np.zeros(16, dtype=np.uint8)
+    cuts = np.searchsorted(hashes, np.arange(16, dtype=np.uint64) << np.uint64(60))
+    return (hashes[np.minimum(cuts, len(hashes) - 1)] & np.uint64(255)).astype(np.uint8)
+
+
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with its column ``text`` replaced by ``fp``."""
+    return _measured(docs, ["fp"], lambda t: (fingerprint(t, shingle),))
+
+
+def _measured(docs: DataFrame, names: list[str], measure: Callable[[str | None], tuple[int, ...]]) -> DataFrame:
+    """``docs`` with its column ``text`` replaced by bigint measures of it."""
     keep = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*[quoted(c) for c in keep]).schema.add("fp", "long")
-    if nodes:
-        schema = schema.add("node", "long")
+    schema = docs.select(*[quoted(c) for c in keep]).schema
+    for name in names:
+        schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x.as_py() for x in b.column("text")]
-            made = [pa.array([fingerprint(t, shingle) for t in texts], pa.int64())]
-            if nodes:
-                made.append(pa.array([_signed(xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "replace").lower().split()))) for t in texts], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + made, names=[*keep, "fp", "node"][: len(keep) + len(made)])
+            made = list(zip(*(measure(x.as_py()) for x in b.column("text")))) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(m, pa.int64()) for m in made], names=[*keep, *names])
 
     return docs.mapInArrow(run, schema)
 
@@ -101,8 +122,9 @@ def masks_for(n: int, radius: int, tile: int) -> list[int]:
     return block_masks(m, radius)
 
 
-def forest(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Links (two columns of positions) of a spanning forest of the fingerprints (uint64) within the radius."""
+def forest(fps: np.ndarray, radius: int, sketches: np.ndarray | None = None) -> np.ndarray:
+    """Links (two columns of positions) of a spanning forest of the fingerprints (uint64) within the radius,
+    whose sketches (rows of 16 bytes), if given, agree as well."""
     n, links = len(fps), []
     if n < 2 or n <= 64 and np.count_nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius) == n:
         return np.empty((0, 2), dtype=np.int64)
@@ -111,6 +133,9 @@ def forest(fps: np.ndarray, radius: int) -> np.ndarray:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             near = np.bitwise_count(fps[rest] ^ fps[(one := queue.pop())]) <= radius
+            if sketches is not None and near.any():
+                at = np.flatnonzero(near)
+                near[at] = (sketches[rest[at]] == sketches[one]).sum(axis=1) >= SKETCH_AGREES
             if near.any():
                 found = rest[near]
                 links.append(np.column_stack([np.full(len(found), one), found]))
@@ -119,24 +144,11 @@ def forest(fps: np.ndarray, radius: int) -> np.ndarray:
     return np.concatenate(links) if links else np.empty((0, 2), dtype=np.int64)
 
 
-def nearest(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Links of each fingerprint to the nearest one before it, and to the nearest one after it if that is
-    nearer, within the radius. Each pair is compared once."""
-    n = len(fps)
-    before, to_before = np.full(n, 255, dtype=np.uint8), np.zeros(n, dtype=np.int64)
-    after, to_after = before.copy(), to_before.copy()
-    step = max(64, 2_000_000 // max(n, 1))
-    for k in range(0, n if n > 1 else 0, step):
-        end = min(n, k + step)
-        far = np.bitwise_count(fps[k:end, None] ^ fps[None, :end])
-        far[:, k:][np.triu_indices(end - k)] = 255
-        to_before[k:end] = far.argmin(axis=1)
-        before[k:end] = far[np.arange(end - k), to_before[k:end]]
-        at = far.argmin(axis=0)
-        nearer = np.flatnonzero((least := far[at, np.arange(end)]) < after[:end])
-        after[nearer], to_after[nearer] = least[nearer], at[nearer] + k
-    one, two = np.flatnonzero(before <= radius), np.flatnonzero((after <= radius) & (after < before))
-    return np.concatenate([np.column_stack([one, to_before[one]]), np.column_stack([two, to_after[two]])])
+def _links_between(columns: list[np.ndarray], radius: int) -> np.ndarray:
+    """Links between nodes, of columns node, fp and, if there are any, two of the sketch."""
+    node, fps = columns[0], np.ascontiguousarray(columns[1]).view(np.uint64)
+    sketches = np.ascontiguousarray(np.column_stack(columns[2:])).view(np.uint8) if len(columns) > 2 else None
+    return node[forest(fps, radius, sketches)]
 
 
 def _signed(x: int) -> int:
@@ -148,40 +160,40 @@ def _batch(nodes: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ends[:, 0], pa.int64()), pa.array(ends[:, 1], pa.int64())], names=["a", "b"])
 
 
-def _links_of_runs(compare: Callable[[np.ndarray, int], np.ndarray], radius: int):  # noqa: ANN202
+def _links_of_runs(n_columns: int, radius: int):  # noqa: ANN202
     """Compares within each run of an equal key of a sorted partition. A run has a tile's rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.empty(0, np.int64),) * 3  # key, fp, node
+        held = (np.empty(0, np.int64),) * (1 + n_columns)
         for b in batches:
-            key, fp, node = (np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
+            key, *columns = (np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
             cut = np.flatnonzero(np.diff(key)) + 1
             done = int(cut[-1]) if len(cut) else 0
             bounds = [(lo, hi) for lo, hi in zip([0, *cut[:-1].tolist()], cut.tolist()) if hi - lo > 1]
-            yield _batch([node[lo:hi][compare(fp[lo:hi].view(np.uint64), radius)] for lo, hi in bounds])
-            held = (key[done:], fp[done:], node[done:])
+            yield _batch([_links_between([c[lo:hi] for c in columns], radius) for lo, hi in bounds])
+            held = (key[done:], *(c[done:] for c in columns))
         if len(held[0]) > 1:
-            yield _batch([held[2][compare(np.ascontiguousarray(held[1]).view(np.uint64), radius)]])
+            yield _batch([_links_between(list(held[1:]), radius)])
 
     return run
 
 
-def near_links(prints: DataFrame, compare: Callable[[np.ndarray, int], np.ndarray] = forest, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between nodes of ``prints`` (node, fp) within the radius, as ``compare`` chooses them in
-    each set of fingerprints that have a key or a pair of tiles in common. With ``forest``, they connect all
-    that is within the radius."""
+def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that connect all nodes of ``prints`` (node, fp, and two bigints of a sketch or none) that are
+    within the radius, and whose sketches agree."""
+    columns = prints.columns
     masks = masks_for(prints.count(), radius, tile)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(mask)))) for i, mask in enumerate(masks)])
-    keyed = prints.select(F.explode(keys).alias("key"), "fp", "node")
+    keyed = prints.select(F.explode(keys).alias("key"), *columns)
     counts = keyed.groupBy("key", F.bit_count("fp").cast("int").alias("pop")).agg(F.count("*").alias("n"))
     large = staged(counts.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).where(F.col("total") > tile).select("key", "pop", "n"), "simhash-large")
-    small = keyed.join(large.select("key").distinct(), "key", "left_anti").select("key", "fp", "node")
+    small = keyed.join(large.select("key").distinct(), "key", "left_anti").select("key", *columns)
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links_of_runs(compare, radius), "a long, b long")
-    return links.unionByName(_tiled_links(keyed, large, compare, radius, tile))
+    links = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links_of_runs(len(columns), radius), "a long, b long")
+    return links.unionByName(_tiled_links(keyed, columns, large, radius, tile))
 
 
-def _tiled_links(keyed: DataFrame, large: DataFrame, compare: Callable[[np.ndarray, int], np.ndarray], radius: int, tile: int) -> DataFrame:
+def _tiled_links(keyed: DataFrame, columns: list[str], large: DataFrame, radius: int, tile: int) -> DataFrame:
     """Links within keys of more than a tile: every pair of half tiles that population counts do not rule out.
 
     A half tile is a range of population counts, or, where one count alone is more, a part of it by hash."""
@@ -197,11 +209,10 @@ def _tiled_links(keyed: DataFrame, large: DataFrame, compare: Callable[[np.ndarr
     ends = F.array_distinct(F.array(F.struct("range", "cut"), F.struct(F.col("range2").alias("range"), F.col("cut2").alias("cut"))))
     to = pairs.select("key", F.struct("range", "cut", "range2", "cut2").alias("pair"), F.inline(ends))
     rows = keyed.withColumn("pop", F.bit_count("fp").cast("int")).join(cuts, ["key", "pop"]).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    dealt = rows.join(to, ["key", "range", "cut"]).select("key", "pair", "fp", "node")
+    dealt = rows.join(to, ["key", "range", "cut"]).select("key", "pair", *columns)
 
     def of_pair(group: pd.DataFrame) -> pd.DataFrame:
-        node = group["node"].to_numpy(np.int64)
-        return pd.DataFrame(node[compare(group["fp"].to_numpy(np.int64).view(np.uint64), radius)], columns=["a", "b"])
+        return pd.DataFrame(_links_between([group[c].to_numpy(np.int64) for c in columns], radius), columns=["a", "b"])
 
     return dealt.groupBy("key", "pair").applyInPandas(of_pair, "a long, b long")
 
@@ -210,7 +221,7 @@ def fingerprint_groups(prints: DataFrame, radius: int = RADIUS, tile: int = TILE
     """``prints`` (fp, doc_id, ...) with ``component_id``: the smallest doc_id that links reach, null where
     no document of the component has an id."""
     firsts = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-prints")
-    roots = staged(connected_components(near_links(firsts.select(F.col("fp").alias("node"), "fp"), forest, radius, tile)), "simhash-roots")
+    roots = staged(connected_components(near_links(firsts.select(F.col("fp").alias("node"), "fp"), radius, tile)), "simhash-roots")
     rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = staged(rooted.join(least, "root").select("fp", "component_id"), "simhash-of")
@@ -231,53 +242,85 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def shingles(text: str | None, n: int = SIMILAR_SHINGLE) -> set[bytes]:
-    """The set of a text's shingles; fewer words than n make one, none make none."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    return {b" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
-
-
-def similarity(one: str | None, two: str | None, n: int = SIMILAR_SHINGLE) -> float:
-    a, b = shingles(one, n), shingles(two, n)
-    return len(a & b) / len(a | b) if a or b else 1.0
-
-
-def similar_links(texts: DataFrame, links: DataFrame, n: int, least: float) -> DataFrame:
-    """The ``links`` (a, b) between nodes of ``texts`` (node, text) that are similar enough."""
-    ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    of = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
-    both = ends.join(of("a"), "a").join(of("b"), "b")
+def similar_pairs(hashes: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the shingle sets (sorted distinct hashes) of similarity ``least`` or more.
+    Common shingles are counted through an index of all sets; two empty sets are alike."""
+    size = np.array([len(h) for h in hashes])
+    empty = np.flatnonzero(size == 0)
+    links = [(int(empty[0]), int(x)) for x in empty[1:]]
+    if not size.sum():
+        return links
+    _, term = np.unique(np.concatenate(hashes), return_inverse=True)
+    owner = np.repeat(np.arange(len(hashes)), size)[np.argsort(term, kind="stable")]
+    start = np.concatenate([[0], np.cumsum(np.bincount(term))])
+    of = np.split(term, np.cumsum(size)[:-1])
+    rest = size > 0
+    while rest.any():
+        queue = [int(np.argmax(rest))]
+        rest[queue[0]] = False
+        while queue and rest.any():
+            one = queue.pop()
+            common = np.bincount(np.concatenate([owner[start[t] : start[t + 1]] for t in of[one]]), minlength=len(hashes))
+            found = np.flatnonzero(rest & (common > 0) & (common >= least * (size + size[one] - common) - 1e-9))
+            links += [(one, int(x)) for x in found]
+            queue += found.tolist()
+            rest[found] = False
+    return links
+
+
+def similar_links(rows: DataFrame, groups: DataFrame, n: int, least: float, texts: int = TEXTS, text_bytes: int = TEXT_BYTES) -> DataFrame:
+    """Links (a, b) that connect all similar nodes of each group. ``rows``: __row, text; ``groups``: root, node,
+    __row, size (bytes). A group is cut into half tiles of bounded texts and bytes; each pair of them is
+    compared by itself, and only texts of groups of several nodes move."""
+    sums = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / texts), F.ceil(F.sum("size") / text_bytes)).cast("int").alias("cuts"))
+    cut = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    # a node of half tile c meets half tiles 0 to c as the later one, and those after it as the earlier one
+    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    dealt = groups.join(sums, "root").withColumn("cut", cut).withColumn("other", other)
+    dealt = dealt.select("node", "__row", F.xxhash64("root", F.least("cut", "other"), F.greatest("cut", "other")).alias("pair"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = rows.join(dealt, "__row").select("pair", "node", "text").repartition(parts, "pair").sortWithinPartitions("pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("text_a"), batch.column("text_b")
-            alike = [similarity(x.as_py(), y.as_py(), n) >= least for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+        found: list[tuple[int, int]] = []
+        each = ((p.as_py(), x.as_py(), t.as_py()) for b in batches for p, x, t in zip(*b.columns))
+        for _, run_ in groupby(each, lambda r: r[0]):
+            nodes, hashes = zip(*((x, shingle_hashes(t, n)) for _, x, t in run_))
+            found += [(nodes[a], nodes[b]) for a, b in similar_pairs(list(hashes), least)]
+            if len(found) > 10_000:
+                yield _batch([np.array(found, dtype=np.int64)])
+                found = []
+        yield _batch([np.array(found, dtype=np.int64).reshape(-1, 2)])
 
-    return both.mapInArrow(run, "a long, b long")
+    return sent.mapInArrow(run, "a long, b long")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, least: float = SIMILARITY, search: int = SEARCH_SHINGLE, radius: int = SEARCH_RADIUS, tile: int = TILE) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, least: float = SIMILARITY, search: int = SEARCH_SHINGLE, radius: int = SEARCH_RADIUS, tile: int = TILE, texts: int = TEXTS) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest doc_id (nulls last), of equal ids an
     arbitrary but fixed one. All columns of ``docs`` stay.
 
-    Texts of the same words are one node, by a 64-bit hash; null and blank texts are one. Nodes whose
-    fingerprints (of ``search`` words) are within the radius are linked if their sets of ``shingle``-word
-    shingles have similarity ``least``. Texts are read whole; an empty table
-    stays empty."""
+    Texts of the same words are one node, by a 64-bit hash; null and blank texts are one. Nodes are candidates
+    if fingerprints of ``search`` words are within the radius and sketches agree; they are linked if their sets
+    of ``shingle``-word shingles have similarity ``least``. Texts are read whole; an empty table stays empty."""
     rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
-    prints = staged(with_fingerprints(rows.select("__row", "doc_id", "text"), search, nodes=True), "simhash-docs")
+    prints = staged(_measured(rows.select("__row", "doc_id", "text"), ["fp", "sketch1", "sketch2", "node", "size"], lambda t: _node_measures(t, search, shingle)), "simhash-docs")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
-    nodes = staged(prints.groupBy("node").agg(F.min("fp").alias("fp"), first), "simhash-nodes")
-    links = staged(near_links(nodes.select("node", "fp"), nearest, radius, tile), "simhash-candidates")
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    firsts = nodes.join(ends, "node", "left_semi").select("node", F.col("first.__row").alias("__row"))
-    texts = staged(rows.select("__row", "text").join(firsts, "__row").select("node", "text"), "simhash-texts")
-    roots = staged(connected_components(similar_links(texts, links, shingle, least)), "simhash-roots")
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kinds = [F.min(c).alias(c) for c in ("fp", "sketch1", "sketch2", "size")]
+    nodes = staged(prints.groupBy("node").agg(*kinds, first), "simhash-nodes")
+    candidates = connected_components(near_links(nodes.select("node", "fp", "sketch1", "sketch2"), radius, tile))
+    groups = staged(candidates.join(nodes, "node").select("root", "node", F.col("first.__row").alias("__row"), "size"), "simhash-groups")
+    roots = staged(connected_components(similar_links(rows.select("__row", "text"), groups, shingle, least, texts)), "simhash-roots")
+    rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
     return rows.join(kept, "__row", "left_semi").select(*[quoted(c) for c in without(docs, "__row").columns])
 
 
+def _node_measures(text: str | None, search: int, shingle: int) -> tuple[int, int, int, int, int]:
+    """Fingerprint, two halves of the sketch, hash and size of the words."""
+    words = b" ".join((text or "").encode("utf-8", "replace").lower().split())
+    one, two = sketch(shingle_hashes(text, shingle)).view("<i8").tolist()
+    return fingerprint(text, search), one, two, _signed(xxhash.xxh64_intdigest(words)), len(words)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -61,13 +61,16 @@ def test_links_lose_nothing(spark, radius, n):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     want = roots(signed, [(a, b) for k, a in enumerate(signed) for b in signed[k + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= radius])
     for tile in (7, 50, s.TILE):
-        links = s.near_links(spark.createDataFrame([(x, x) for x in signed], "node long, fp long"), s.forest, radius, tile)
+        links = s.near_links(spark.createDataFrame([(x, x) for x in signed], "node long, fp long"), radius, tile)
         assert roots(signed, [(x.a, x.b) for x in links.collect()]) == want
 
 
 def test_large_group_emits_a_forest_only():
     fps = np.array([1 << a | 1 << b for a in range(64) for b in range(a)], dtype=np.uint64)
-    assert len(s.forest(fps, 4)) == len(fps) - 1 and len(s.nearest(fps, 4)) <= 2 * len(fps)
+    assert len(s.forest(fps, 4)) == len(fps) - 1
+    other = np.zeros((len(fps), 16), dtype=np.uint8)
+    other[1000:] = 9
+    assert len(s.forest(fps, 4, other)) == len(fps) - 2
 
 
 def test_masks_cover_every_choice():
@@ -107,9 +110,48 @@ def test_near_copies_go_and_others_stay(spark):
     assert {x.doc_id for x in s.drop_near_duplicates(docs_of(spark, texts)).collect()} == want
 
 
-def test_similarity():
-    assert s.similarity(None, "") == 1.0 and s.similarity("a", "") == 0.0 and s.similarity("A b", "a  B") == 1.0
-    assert s.similarity("a b c d e f", "a b c d e g") == pytest.approx(1 / 3)
+def jaccard(one, two, n=5):
+    sets = [{tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set() for w in ((t or "").lower().split() for t in (one, two))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] or sets[1] else 1.0
+
+
+def test_similar_pairs_against_sets():
+    r = rng(12)
+    texts = [None, "", "a", "A", "a b c d e f", "a b c d e g"]
+    for _ in range(30):
+        base = words(r, r.randint(3, 90), 300).split()
+        for _ in range(r.randint(1, 4)):
+            c = list(base)
+            for _ in range(r.randint(0, 5)):
+                c[r.randrange(len(c))] = "new"
+            texts.append(" ".join(c))
+    want = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    links = s.similar_pairs([s.shingle_hashes(t, 5) for t in texts], 0.8)
+    assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in links) and roots(range(len(texts)), links) == roots(range(len(texts)), want)
+    assert s.similar_pairs([], 0.8) == [] and s.similar_pairs([s.shingle_hashes(None, 5)] * 3, 0.8) == [(0, 1), (0, 2)]
+
+
+def test_sketches():
+    r = rng(2)
+    a = s.sketch(s.shingle_hashes(words(r, 300), 5))
+    assert a.shape == (16,) and (a == s.sketch(s.shingle_hashes(None, 5))).sum() < 5
+    assert (s.sketch(s.shingle_hashes("a", 5)) == s.sketch(s.shingle_hashes(" A ", 5))).all()
+
+
+@pytest.mark.parametrize("texts_a_tile", [2, 5, s.TEXTS])
+def test_chained_and_dense_groups_are_whole(spark, texts_a_tile):
+    """Copies of copies, all near each other: the group is what exact similarity links, however it is tiled."""
+    r, texts = rng(21), []
+    for _ in range(6):
+        chain = [words(r, 150, 4000).split()]
+        for _ in range(9):
+            c = list(r.choice(chain))
+            for _ in range(r.choice([1, 2, 3, 4])):
+                c[r.randrange(150)] = f"n{r.randrange(10**6)}"
+            chain.append(c)
+        texts += [" ".join(c) for c in chain]
+    want = roots(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8])
+    assert {x.doc_id for x in s.drop_near_duplicates(docs_of(spark, texts), texts=texts_a_tile).collect()} == set(want.values())
 
 
 def test_connected_components(spark):
