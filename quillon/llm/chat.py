@@ -14,7 +14,6 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.llm.common import table
 from quillon.llm.templates import compile_template, unescape
