@@ -279,7 +279,8 @@ def similar_links(rows: DataFrame, groups: DataFrame, n: int, least: float, text
     dealt = groups.join(sums, "root").withColumn("cut", cut).withColumn("other", other)
     dealt = dealt.select("node", "__row", F.xxhash64("root", F.least("cut", "other"), F.greatest("cut", "other")).alias("pair"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = rows.join(dealt, "__row").select("pair", "node", "text").repartition(parts, "pair").sortWithinPartitions("pair")
+    # by a merge join at any size: ids grow with the rows
+    sent = rows.join(dealt.hint("merge"), "__row").select("pair", "node", "text").repartition(parts, "pair").sortWithinPartitions("pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
@@ -312,7 +313,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, least:
     roots = staged(connected_components(similar_links(rows.select("__row", "text"), groups, shingle, least, texts)), "simhash-roots")
     rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*[quoted(c) for c in without(docs, "__row").columns])
+    return rows.join(kept.hint("merge"), "__row", "left_semi").select(*[quoted(c) for c in without(docs, "__row").columns])
 
 
 def _node_measures(text: str | None, search: int, shingle: int) -> tuple[int, int, int, int, int]:
