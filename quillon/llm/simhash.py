@@ -16,11 +16,15 @@ cluster.
 
 ``near_duplicates`` links by fingerprints alone. ``drop_near_duplicates`` uses them to find candidate groups
 only: fingerprints within a wider radius, whose sketches of the shingle sets agree as well, make a group, and
-within each group the shingle sets are compared exactly, all with all, by counting common shingles.
+within each group the shingle sets are compared exactly, all with all, by counting common shingles. What
+fingerprints miss is found by a prefix filter, which loses no pair: in any one order of all shingles, two sets of
+similarity t have one in common among the first (1 - t) n + 1 of each. Sets that share such a shingle, are not
+linked yet and are not too far apart by size and by parities of their hashes are compared exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations, groupby
 from math import comb
@@ -47,14 +51,17 @@ MAX_MASKS = 300
 SIMILAR_SHINGLE, SIMILARITY, SEARCH_SHINGLE, SEARCH_RADIUS = 5, 0.8, 2, 14
 #: Of the 16 bytes of two candidates' sketches, so many are equal: at similarity 0.8 all but 1 pair in 5,000.
 SKETCH_AGREES = 7
+#: Classes of shingle hashes that are counted: shingles of rarer classes come first in the prefix filter's order.
+CLASSES = 1 << 18
 #: Texts and bytes of half a tile of texts that are compared exactly.
 TEXTS, TEXT_BYTES = 2_048, 8 << 20
 #: Hashes whose bits are counted at once.
 CHUNK = 65_536
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint, signed as Spark's bigint is. Null and blank texts give 0."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, distinct: bool = False) -> int:
+    """The 64-bit fingerprint, signed as Spark's bigint is; of ``distinct`` shingles, or of all with their repeats.
+    Null and blank texts give 0."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A-Z, and the six ASCII white-space bytes
     if not words:
         return 0
@@ -65,9 +72,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         at += len(w) + 1
     ends = [s - 1 for s in starts[shingle:]] + [len(joined)]
     hashed = xxhash.xxh64_intdigest
-    ones, n = np.zeros(64, dtype=np.int64), len(ends)
+    spans = list({joined[a:b]: (a, b) for a, b in zip(starts, ends)}.values()) if distinct else list(zip(starts, ends))
+    ones, n = np.zeros(64, dtype=np.int64), len(spans)
     for k in range(0, n, CHUNK):
-        h = np.array([hashed(joined[a:b], SEED) for a, b in zip(starts[k : k + CHUNK], ends[k : k + CHUNK])], dtype="<u8")
+        h = np.array([hashed(joined[a:b], SEED) for a, b in spans[k : k + CHUNK]], dtype="<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
@@ -296,13 +304,109 @@ def similar_links(rows: DataFrame, groups: DataFrame, n: int, least: float, text
     return sent.mapInArrow(run, "a long, b long")
 
 
+def class_counts(rows: DataFrame, n: int) -> np.ndarray:
+    """How many shingles of each class of hashes the texts have, each once a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CLASSES, dtype=np.int64)
+        for b in batches:
+            for x in b.column(0):
+                np.add.at(counts, _class_of(shingle_hashes(x.as_py(), n)), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["class", "n"])
+
+    found = rows.select("text").mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CLASSES, dtype=np.int64)
+    counts[found.column("class").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def _class_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(CLASSES - 1)).astype(np.int64)
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles, rarest classes first: sets of similarity ``least`` have one of theirs in common."""
+    most = len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1
+    return hashes[np.lexsort((hashes, counts[_class_of(hashes)]))[:most]]
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """128 bits: parities of the counts of 128 classes of hashes. Two sets differ in as many shingles, or more."""
+    return np.packbits(np.bincount((hashes >> np.uint64(32) & np.uint64(127)).astype(np.int64), minlength=128) & 1, bitorder="little").view("<i8")
+
+
+def _pairs_of_runs(least: float):  # noqa: ANN202
+    """Pairs of nodes of unequal roots within each run of an equal key of a partition sorted by key and size, but
+    for those whose sizes or parities rule similarity out."""
+    names = ["key", "size", "node", "root", "bits1", "bits2"]
+
+    def pairs(c: list[np.ndarray]) -> np.ndarray:
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(c[0])) + 1])
+        several = np.minimum.reduceat(c[3], cut) != np.maximum.reduceat(c[3], cut)
+        of = np.repeat(several, np.diff([*cut, len(c[0])]))
+        key, size, node, root, one, two = (x[of] for x in c)
+        low, found, d = np.arange(len(key)), [np.empty((0, 2), dtype=np.int64)], 0
+        while len(low):
+            d += 1
+            low = low[low + d < len(key)]
+            low = low[(key[low] == key[low + d]) & (size[low] >= least * size[low + d] - 1e-9)]
+            a = low[root[low] != root[low + d]]
+            apart = np.bitwise_count(one[a] ^ one[a + d]).astype(np.int64) + np.bitwise_count(two[a] ^ two[a + d])
+            a = a[apart <= (1 - least) / (1 + least) * (size[a] + size[a + d]) + 1e-9]
+            found.append(np.column_stack([np.minimum(node[a], node[a + d]), np.maximum(node[a], node[a + d])]))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * len(names)
+        for b in batches:
+            rows = [np.concatenate([h, b.column(x).to_numpy(zero_copy_only=False)]) for h, x in zip(held, names)]
+            cut = np.flatnonzero(np.diff(rows[0])) + 1
+            done = int(cut[-1]) if len(cut) else 0
+            if done:
+                yield _batch([pairs([x[:done].view(np.uint64) if k > 3 else x[:done] for k, x in enumerate(rows)])])
+            held = [x[done:] for x in rows]
+        if len(held[0]):
+            yield _batch([pairs([x.view(np.uint64) if k > 3 else x for k, x in enumerate(held)])])
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame, counts: np.ndarray, n: int, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes of unequal roots among which all of similarity ``least`` are. ``texts``: node, root,
+    text; a node once."""
+    names = ["key", "size", "node", "root", "bits1", "bits2"]
+
+    def batch(made: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(made).T.copy()], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[np.ndarray] = []
+        for b in batches:
+            for node, root, text in zip(*(b.column(x) for x in ("node", "root", "text"))):
+                if len(hashes := shingle_hashes(text.as_py(), n)):
+                    keys = prefix(hashes, counts, least).view(np.int64)
+                    same = [len(hashes), node.as_py(), root.as_py(), *parities(hashes).tolist()]
+                    made.append(np.column_stack([keys, np.tile(np.array(same, dtype=np.int64), (len(keys), 1))]))
+                if made and (len(made) >= 256 or len(made[-1]) > 10_000):
+                    yield batch(made)
+                    made = []
+        if made:
+            yield batch(made)
+
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = texts.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return keyed.repartition(parts, "key").sortWithinPartitions("key", "size").mapInArrow(_pairs_of_runs(least), "a long, b long").distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, least: float = SIMILARITY, search: int = SEARCH_SHINGLE, radius: int = SEARCH_RADIUS, tile: int = TILE, texts: int = TEXTS) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest doc_id (nulls last), of equal ids an
     arbitrary but fixed one. All columns of ``docs`` stay.
 
-    Texts of the same words are one node, by a 64-bit hash; null and blank texts are one. Nodes are candidates
-    if fingerprints of ``search`` words are within the radius and sketches agree; they are linked if their sets
-    of ``shingle``-word shingles have similarity ``least``. Texts are read whole; an empty table stays empty."""
+    Texts of the same words are one node, by a 64-bit hash; null and blank texts are one. Nodes are linked if
+    their sets of ``shingle``-word shingles have similarity ``least``. First candidates are those whose
+    fingerprints of ``search`` words are within the radius and whose sketches agree; then, so that none is missed,
+    those not linked yet that share a shingle of their prefixes. Texts are read whole; an empty table stays empty."""
     rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
     prints = staged(_measured(rows.select("__row", "doc_id", "text"), ["fp", "sketch1", "sketch2", "node", "size"], lambda t: _node_measures(t, search, shingle)), "simhash-docs")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
@@ -310,7 +414,14 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, least:
     nodes = staged(prints.groupBy("node").agg(*kinds, first), "simhash-nodes")
     candidates = connected_components(near_links(nodes.select("node", "fp", "sketch1", "sketch2"), radius, tile))
     groups = staged(candidates.join(nodes, "node").select("root", "node", F.col("first.__row").alias("__row"), "size"), "simhash-groups")
-    roots = staged(connected_components(similar_links(rows.select("__row", "text"), groups, shingle, least, texts)), "simhash-roots")
+    found = staged(connected_components(similar_links(rows.select("__row", "text"), groups, shingle, least, texts)), "simhash-found")
+    each = nodes.select("node", F.col("first.__row").alias("__row"), "size")
+    ids = each.join(found, "node", "left").select("__row", "node", F.coalesce("root", "node").alias("root"))
+    pairs = staged(prefix_pairs(rows.select("__row", "text").join(ids.hint("merge"), "__row"), class_counts(rows, shingle), shingle, least), "simhash-pairs")
+    ends = pairs.select(F.xxhash64("a", "b").alias("root"), F.explode(F.array("a", "b")).alias("node")).join(each, "node")
+    missed = similar_links(rows.select("__row", "text"), ends, shingle, least, texts)
+    links = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(missed)
+    roots = staged(connected_components(links), "simhash-roots")
     rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
     return rows.join(kept.hint("merge"), "__row", "left_semi").select(*[quoted(c) for c in without(docs, "__row").columns])
@@ -320,7 +431,7 @@ def _node_measures(text: str | None, search: int, shingle: int) -> tuple[int, in
     """Fingerprint, two halves of the sketch, hash and size of the words."""
     words = b" ".join((text or "").encode("utf-8", "replace").lower().split())
     one, two = sketch(shingle_hashes(text, shingle)).view("<i8").tolist()
-    return fingerprint(text, search), one, two, _signed(xxhash.xxh64_intdigest(words)), len(words)
+    return fingerprint(text, search, distinct=True), one, two, _signed(xxhash.xxh64_intdigest(words)), len(words)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

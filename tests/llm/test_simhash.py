@@ -154,6 +154,40 @@ def test_chained_and_dense_groups_are_whole(spark, texts_a_tile):
     assert {x.doc_id for x in s.drop_near_duplicates(docs_of(spark, texts), texts=texts_a_tile).collect()} == set(want.values())
 
 
+def near_texts():
+    """Lines repeated at the end, and short texts with a word or two changed or added."""
+    r, texts = rng(31), []
+    zipf = lambda n: [f"z{min(int(r.paretovariate(1)), 5000)}" for _ in range(n)]
+    for times in (10, 30) * 12:
+        base, line = zipf(400), zipf(10)
+        texts += [" ".join(base + line), " ".join(base + line * times)]
+    for n in range(8, 31):
+        for _ in range(6):
+            base = words(r, n, 3000).split()
+            texts += [" ".join(base), " ".join([*base, "more"]), " ".join(["first", *base[1:]]), " ".join([*base[:-1], "other", "end"])]
+    return texts
+
+
+def test_repeated_lines_and_short_texts_against_all_pairs(spark):
+    texts = near_texts()
+    want = roots(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8])
+    assert len(set(want.values())) < len(texts) - 100
+    assert {x.doc_id for x in s.drop_near_duplicates(docs_of(spark, texts)).collect()} == set(want.values())
+
+
+def test_prefix_filter_loses_no_pair(spark):
+    r, texts = rng(32), near_texts()
+    for common in (words(r, 12, 50), words(r, 40, 50)):  # a line that many texts have
+        texts += [f"{common} {words(r, n, 3000)}" for n in range(1, 60)]
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "node long, root long, text string")
+    counts = s.class_counts(rows, 5)
+    assert counts.sum() == sum(len(s.shingle_hashes(t, 5)) for t in texts)
+    got = {(x.a, x.b) for x in s.prefix_pairs(rows, counts, 5, 0.8).collect()}
+    alike = {(b, a) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8}
+    assert alike <= got and len(got) < 3 * len(alike)
+    assert s.prefix_pairs(rows.withColumn("root", rows.node * 0), counts, 5, 0.8).collect() == []
+
+
 def test_connected_components(spark):
     r = rng(3)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 470)] + [(5, 5), (None, 3)]
