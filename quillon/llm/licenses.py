@@ -2,7 +2,7 @@
 
 Each licence template is a short word sequence with a mandatory key phrase. Over all documents, the
 document frequency of every template word is counted; the rarest words of each template (its anchors)
-form the index word -> postings (template, position). A file looks up its highest-IDF anchor words,
+form the index word -> postings (template, position). A file looks up all anchor words it has,
 subtracts posting positions from its own and intersects the results: anchors that agree on one relative
 position place the template. There, the key phrase must stand word for word, and the share of template
 words in place is the score. All of it happens within a row: no shuffle, whatever the texts hold.
@@ -38,7 +38,6 @@ TEMPLATES = (
     ("mpl-2", "subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
 )
 ANCHORS_PER_TEMPLATE = 3
-WORDS_PER_FILE = 12
 #: Anchors that have to agree on the relative position, and the share of template words in place.
 MIN_AGREEING = 2
 MIN_SCORE = 0.75
@@ -102,11 +101,9 @@ def scan_licences(docs: DataFrame, idf: dict[str, float] | None = None) -> DataF
     none = F.array().cast("array<struct<i:bigint,label:string>>")
     out = out.withColumn("__base", F.concat(*[F.coalesce(s, none) for s in starts]))
 
-    # the file's own highest-IDF anchors, then where they stand
-    own = F.slice(F.array_intersect(F.lit(order), w), 1, WORDS_PER_FILE)
+    # where the file's anchors stand
     hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda h: h["w"].isin(order))
-    out = out.withColumn("__own", F.when(F.arrays_overlap(w, F.lit(order)), own)).withColumn("__hits", F.when(F.size("__own") >= 1, hits))
-    out = out.withColumn("__hits", F.filter("__hits", lambda h: F.array_contains("__own", h["w"])))
+    out = out.withColumn("__hits", F.when(F.arrays_overlap(w, F.lit(order)), hits))
     postings = F.array(*[F.struct(F.lit(x).alias("w"), F.lit(t).alias("t"), F.lit(i).alias("i")) for x in order for t, i in index[x]])
     places = F.flatten(F.transform("__hits", lambda h: F.transform(F.filter(postings, lambda p: p["w"] == h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["i"]).alias("at")))))
     # sorted, equal (template, relative position) stand side by side: MIN_AGREEING of them make a candidate

@@ -61,3 +61,10 @@ def test_index_holds_the_rarest_words_with_ties_by_name():
 def test_main_path_is_native(spark):
     plan = op4_license_scan(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Exchange"))
+
+
+def test_text_of_all_templates_has_all_labels(spark):
+    whole = " and ".join(t for _, t, _ in TEMPLATES)
+    df = docs_of(spark, [t for _, t, _ in TEMPLATES] + [whole])
+    [row] = scan_licences(df, template_idf(df)).where(f"doc_id = {len(TEMPLATES)}").collect()
+    assert row.labels == ",".join(sorted({label for label, _, _ in TEMPLATES})) and row.score == 1.0
