@@ -1,32 +1,28 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-A text's fingerprint has a bit set where over half of its shingles' hashes have it. Equal fingerprints
-are merged first, so copies cost nothing further. Distinct fingerprints are then compared exactly, in
-tiles, by numpy exclusive-or and bit counts. Tiles are formed in two steps, neither of which loses a link:
-
-* The 64 bits are cut into m > radius blocks. Two fingerprints within the radius agree on at least
-  m - radius blocks, so each choice of m - radius blocks is a key, and only fingerprints equal in some key
-  are compared. m grows with the number of fingerprints until a key holds a tile's worth or less.
-* A key that holds more than ``TILE`` fingerprints is cut into tiles by ranges of population counts (and by
-  a hash where one count fills several). Tile pairs whose population counts differ beyond the radius are
-  skipped; each remaining pair is a group of its own, of about ``TILE`` fingerprints.
-
-A comparison emits no more links than a spanning forest has. Links go to connected components, in the
-cluster.
-
-``near_duplicates`` links by fingerprints alone. ``drop_near_duplicates`` uses them to find candidate groups
-only: fingerprints within a wider radius, whose sketches of the shingle sets agree as well, make a group, and
-within each group the shingle sets are compared exactly, all with all, by counting common shingles. What
-fingerprints miss is found by a prefix filter, which loses no pair: in any one order of all shingles, two sets of
-similarity t have one in common among the first (1 - t) n + 1 of each. Sets that share such a shingle, are not
-linked yet and are not too far apart by size and by parities of their hashes are compared exactly.
+A text's fingerprint has a bit set where over half of its shingles' hashes have it. Equal fingerprints are merged
+first, so copies cost nothing further. Distinct fingerprints are compared exactly, in tiles, by numpy exclusive-or
+and bit counts:
+
+* Fingerprints are dealt by keys, so that comparisons do not grow with the square of the table. Any keys do, as
+  long as two fingerprints within the radius share one. ``block_keys`` gives such keys without losing a pair: the 64
+  bits are cut into m > radius blocks, two fingerprints within the radius agree on m - radius of them at least, and
+  each choice of m - radius blocks is a key. Of each block so many bits count that a key holds about ``RUN``
+  fingerprints, whatever their number.
+* The fingerprints of a key are sorted by population count and cut into tiles of ``TILE``. Tile pairs whose
+  population counts differ beyond the radius are skipped, and so are those that are wholly linked already; the
+  others are compared, all with all.
+* A key of more than ``TASK`` fingerprints is cut over tasks, again by ranges of population counts (and by a hash
+  where one count fills several), and the same pairs are skipped. What is within the radius of a few leaders is
+  linked to them first and not compared with its like, so that a dense key costs no square either.
+
+A comparison emits no more links than a spanning forest has. Links go to connected components, in the cluster.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
-from itertools import combinations, groupby
+from itertools import combinations
 from math import comb
 
 import numpy as np
@@ -36,32 +32,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import quoted, staged, table, without
+from quillon.llm.common import quoted, staged, table
 from quillon.llm.components import connected_components
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-TILE = 65_536
+#: Fingerprints in a tile; in a key, about; and in a key that one task compares, at most.
+TILE, RUN, TASK = 512, 2_048, 65_536
 #: Choices of blocks, at most.
 MAX_MASKS = 300
-#: Similarity (Jaccard, of sets of five-word shingles) of near-duplicates that are dropped. Candidates are found
-#: by fingerprints of two-word shingles, of which an edited word changes fewer: of 720 pairs of texts at 0.8 or
-#: more, 99.7 % were within 12 bits and all within 14.
-SIMILAR_SHINGLE, SIMILARITY, SEARCH_SHINGLE, SEARCH_RADIUS = 5, 0.8, 2, 14
-#: Of the 16 bytes of two candidates' sketches, so many are equal: at similarity 0.8 all but 1 pair in 5,000.
-SKETCH_AGREES = 7
-#: Classes of shingle hashes that are counted: shingles of rarer classes come first in the prefix filter's order.
-CLASSES = 1 << 18
-#: Texts and bytes of half a tile of texts that are compared exactly.
-TEXTS, TEXT_BYTES = 2_048, 8 << 20
+#: Fingerprints whose neighbours are linked first, as long as each of them has an eighth of the rest.
+LEADERS = 4
+#: Runs of up to so many rows are compared side by side.
+SHORT = 8
 #: Hashes whose bits are counted at once.
 CHUNK = 65_536
+_BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, distinct: bool = False) -> int:
-    """The 64-bit fingerprint, signed as Spark's bigint is; of ``distinct`` shingles, or of all with their repeats.
-    Null and blank texts give 0."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of all shingles, repeats included, signed as Spark's bigint is. Null and blank texts
+    give 0."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A-Z, and the six ASCII white-space bytes
     if not words:
         return 0
@@ -71,368 +63,234 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, distinct: bool = False
         starts.append(at)
         at += len(w) + 1
     ends = [s - 1 for s in starts[shingle:]] + [len(joined)]
-    hashed = xxhash.xxh64_intdigest
-    spans = list({joined[a:b]: (a, b) for a, b in zip(starts, ends)}.values()) if distinct else list(zip(starts, ends))
+    hashed, spans = xxhash.xxh64_intdigest, list(zip(starts, ends))
     ones, n = np.zeros(64, dtype=np.int64), len(spans)
     for k in range(0, n, CHUNK):
-        h = np.array([hashed(joined[a:b], SEED) for a, b in spans[k : k + CHUNK]], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += bit_sums(np.array([hashed(joined[a:b], SEED) for a, b in spans[k : k + CHUNK]], dtype="<u8"))
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def shingle_hashes(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; fewer words than n make one, none make none."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    hashed = xxhash.xxh64_intdigest
-    return np.unique(np.array([hashed(b" ".join(words[k : k + n])) for k in range(max(1, len(words) - n + 1))] if words else [], dtype=np.uint64))
-
-
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """16 bytes: of each of 16 classes of hashes the low byte of the smallest; an empty class takes the next one's."""
-    if not len(hashes):
-        return np.zeros(16, dtype=np.uint8)
-    cuts = np.searchsorted(hashes, np.arange(16, dtype=np.uint64) << np.uint64(60))
-    return (hashes[np.minimum(cuts, len(hashes) - 1)] & np.uint64(255)).astype(np.uint8)
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits: bytes are spread to a byte a bit, of which 255 can be added."""
+    spread = _BITS_OF_BYTE.take(hashes.view(np.uint8)).reshape(-1, 8)
+    some = np.add.reduceat(spread, np.arange(0, len(hashes), 255), axis=0) if len(hashes) else spread
+    return some.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with its column ``text`` replaced by ``fp``."""
-    return _measured(docs, ["fp"], lambda t: (fingerprint(t, shingle),))
-
-
-def _measured(docs: DataFrame, names: list[str], measure: Callable[[str | None], tuple[int, ...]]) -> DataFrame:
-    """``docs`` with its column ``text`` replaced by bigint measures of it."""
     keep = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*[quoted(c) for c in keep]).schema
-    for name in names:
-        schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = list(zip(*(measure(x.as_py()) for x in b.column("text")))) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(m, pa.int64()) for m in made], names=[*keep, *names])
+            fps = pa.array([fingerprint(x.as_py(), shingle) for x in b.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), fps], names=[*keep, "fp"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.select(*[quoted(c) for c in keep]).schema.add("fp", "long"))
 
 
-def block_masks(m: int, radius: int) -> list[int]:
-    """Bit masks of every choice of m - radius of m blocks of the 64 bits."""
+def block_masks(m: int, radius: int, width: int = 64) -> list[int]:
+    """Bit masks of every choice of m - radius of m blocks of the 64 bits; ``width`` bits of each block at most."""
     edges = [64 * k // m for k in range(m + 1)]
-    blocks = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(m)]
-    return [sum(blocks[k] for k in of) for of in combinations(range(m), m - radius)]
+    blocks = [(1 << min(edges[k + 1], edges[k] + width)) - (1 << edges[k]) for k in range(m)]
+    return list(dict.fromkeys(sum(blocks[k] for k in of) for of in combinations(range(m), m - radius)))
 
 
-def masks_for(n: int, radius: int, tile: int) -> list[int]:
-    """The masks of the least m at which n random fingerprints leave a tile's worth or less to a key."""
-    m = radius + 1
-    while n >> (64 * (m - radius) // m) > tile and comb(m + 1, radius) <= MAX_MASKS:
+def masks_for(n: int, radius: int, run: int = RUN) -> list[int]:
+    """The masks at which n random fingerprints leave about ``run`` to a key, or less: the least m whose blocks have
+    enough bits, and of these no more bits than that takes."""
+    m, bits = radius + 1, max(0, (max(n, 1) // run).bit_length() - 1)
+    while 64 * (m - radius) // m < bits and comb(m + 1, radius) <= MAX_MASKS:
         m += 1
-    return block_masks(m, radius)
-
-
-def forest(fps: np.ndarray, radius: int, sketches: np.ndarray | None = None) -> np.ndarray:
-    """Links (two columns of positions) of a spanning forest of the fingerprints (uint64) within the radius,
-    whose sketches (rows of 16 bytes), if given, agree as well."""
-    n, links = len(fps), []
-    if n < 2 or n <= 64 and np.count_nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius) == n:
-        return np.empty((0, 2), dtype=np.int64)
-    rest = np.arange(n)
-    while len(rest):
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            near = np.bitwise_count(fps[rest] ^ fps[(one := queue.pop())]) <= radius
-            if sketches is not None and near.any():
-                at = np.flatnonzero(near)
-                near[at] = (sketches[rest[at]] == sketches[one]).sum(axis=1) >= SKETCH_AGREES
-            if near.any():
-                found = rest[near]
-                links.append(np.column_stack([np.full(len(found), one), found]))
-                queue += found.tolist()
-                rest = rest[~near]
-    return np.concatenate(links) if links else np.empty((0, 2), dtype=np.int64)
-
-
-def _links_between(columns: list[np.ndarray], radius: int) -> np.ndarray:
-    """Links between nodes, of columns node, fp and, if there are any, two of the sketch."""
-    node, fps = columns[0], np.ascontiguousarray(columns[1]).view(np.uint64)
-    sketches = np.ascontiguousarray(np.column_stack(columns[2:])).view(np.uint8) if len(columns) > 2 else None
-    return node[forest(fps, radius, sketches)]
+    return block_masks(m, radius, -(-bits // (m - radius)))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _batch(nodes: list[np.ndarray]) -> pa.RecordBatch:
-    ends = np.concatenate([*nodes, np.empty((0, 2), dtype=np.int64)])
+def block_keys(prints: DataFrame, radius: int, run: int = RUN) -> DataFrame:
+    """``prints`` (node, fp, ...) once for each of its keys, with ``key``."""
+    masks = masks_for(prints.count(), radius, run)
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(mask)))) for i, mask in enumerate(masks)])
+    return prints.select(F.explode(keys).alias("key"), *prints.columns)
+
+
+def _apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, whose last axis is their words."""
+    x = np.bitwise_count(one ^ two)
+    return x[..., 0] if x.shape[-1] == 1 else x.sum(axis=-1, dtype=np.uint16)
+
+
+def _merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after linking a with b: the smallest position of each component."""
+    while True:
+        one, two = root[a], root[b]
+        if not (new := one != two).any():
+            return root
+        a, b, up = a[new], b[new], np.arange(len(root))
+        np.minimum.at(up, np.maximum(one, two)[new], np.minimum(one, two)[new])
+        while (up != up[up]).any():
+            up = up[up]
+        root = up[root]
+
+
+def tile_roots(fps: np.ndarray, radius: int, tile: int = TILE, seen: list[str] | None = None) -> np.ndarray:
+    """The root (smallest position reached) of each of the fingerprints (rows of uint64 words) of one key.
+
+    Every pair is compared but those that population counts rule out and those that are linked already. ``seen``
+    gets a word for each tile pair: compared, linked or skipped."""
+    n = len(fps)
+    root, free = np.arange(n), np.arange(n)
+    for _ in range(LEADERS):
+        if len(free) < 2:
+            break
+        near = _apart(fps[free], fps[free[0]]) <= radius
+        root[free[near]] = free[0]
+        n_near, free = np.count_nonzero(near), free[~near]
+        if 8 * n_near < len(near):
+            break
+    pop = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
+    led = root.copy()
+    led[free] = n
+    order = np.lexsort((pop, led))
+    ends = [0, *(np.flatnonzero(np.diff(led[order])) + 1).tolist(), n]
+    cuts = [k for lo, hi in zip(ends, ends[1:]) for k in range(lo, hi, tile)]
+    tiles = np.split(order, cuts[1:])
+    low, high = [int(pop[t[0]]) for t in tiles], [int(pop[t[-1]]) for t in tiles]
+    for i, one in enumerate(tiles):
+        for j in range(i, len(tiles)):
+            two = tiles[j]
+            if low[j] - high[i] > radius or low[i] - high[j] > radius:
+                said = "skipped"
+            elif (root[one] == (r := root[one[0]])).all() and (root[two] == r).all():
+                said = "linked"
+            else:
+                said = "compared"
+                a, b = np.nonzero(_apart(fps[one][:, None], fps[two][None, :]) <= radius)
+                root = _merged(root, one[a], two[b])
+            if seen is not None:
+                seen.append(said)
+    return root
+
+
+def _batch(links: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.concatenate([*links, np.empty((0, 2), dtype=np.int64)])
     return pa.RecordBatch.from_arrays([pa.array(ends[:, 0], pa.int64()), pa.array(ends[:, 1], pa.int64())], names=["a", "b"])
 
 
-def _links_of_runs(n_columns: int, radius: int):  # noqa: ANN202
-    """Compares within each run of an equal key of a sorted partition. A run has a tile's rows at most."""
+def _forest(node: np.ndarray, fps: np.ndarray, radius: int, tile: int) -> np.ndarray:
+    root = tile_roots(fps, radius, tile)
+    return np.column_stack([node, node[root]])[root != np.arange(len(root))]
+
+
+def _links_of_runs(radius: int, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Compares within each run of an equal key of a sorted partition. A run has ``TASK`` rows at most."""
+
+    def links(key: np.ndarray, node: np.ndarray, fps: np.ndarray) -> Iterator[np.ndarray]:
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        size = np.diff(cut)
+        short = np.flatnonzero(np.repeat((size > 1) & (size <= SHORT), size))
+        for d in range(1, SHORT):
+            short = short[short + d < len(key)]
+            short = short[key[short] == key[short + d]]
+            near = short[_apart(fps[short], fps[short + d]) <= radius]
+            yield np.column_stack([node[near], node[near + d]])
+        for k in np.flatnonzero(size > SHORT):
+            yield _forest(node[cut[k] : cut[k + 1]], fps[cut[k] : cut[k + 1]], radius, tile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.empty(0, np.int64),) * (1 + n_columns)
+        held: list[list[np.ndarray]] = []  # columns of batches, of which the last key may go on
         for b in batches:
-            key, *columns = (np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
-            cut = np.flatnonzero(np.diff(key)) + 1
-            done = int(cut[-1]) if len(cut) else 0
-            bounds = [(lo, hi) for lo, hi in zip([0, *cut[:-1].tolist()], cut.tolist()) if hi - lo > 1]
-            yield _batch([_links_between([c[lo:hi] for c in columns], radius) for lo, hi in bounds])
-            held = (key[done:], *(c[done:] for c in columns))
-        if len(held[0]) > 1:
-            yield _batch([_links_between(list(held[1:]), radius)])
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            key = held[-1][0]
+            if not len(key) or key[0] == key[-1] and (len(held) == 1 or held[0][0][-1] == key[0]):
+                continue
+            columns = [np.concatenate(c) for c in zip(*held)]
+            done = int(np.flatnonzero(np.diff(columns[0]))[-1]) + 1
+            yield _batch(list(links(columns[0][:done], columns[1][:done], np.column_stack(columns[2:])[:done].view(np.uint64))))
+            held = [[c[done:] for c in columns]]
+        columns = [np.concatenate(c) for c in zip(*held)]
+        if columns and len(columns[0]):
+            yield _batch(list(links(columns[0], columns[1], np.column_stack(columns[2:]).view(np.uint64))))
 
     return run
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) that connect all nodes of ``prints`` (node, fp, and two bigints of a sketch or none) that are
-    within the radius, and whose sketches agree."""
-    columns = prints.columns
-    masks = masks_for(prints.count(), radius, tile)
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(mask)))) for i, mask in enumerate(masks)])
-    keyed = prints.select(F.explode(keys).alias("key"), *columns)
-    counts = keyed.groupBy("key", F.bit_count("fp").cast("int").alias("pop")).agg(F.count("*").alias("n"))
-    large = staged(counts.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).where(F.col("total") > tile).select("key", "pop", "n"), "simhash-large")
-    small = keyed.join(large.select("key").distinct(), "key", "left_anti").select("key", *columns)
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links_of_runs(len(columns), radius), "a long, b long")
-    return links.unionByName(_tiled_links(keyed, columns, large, radius, tile))
-
-
-def _tiled_links(keyed: DataFrame, columns: list[str], large: DataFrame, radius: int, tile: int) -> DataFrame:
-    """Links within keys of more than a tile: every pair of half tiles that population counts do not rule out.
-
-    A half tile is a range of population counts, or, where one count alone is more, a part of it by hash."""
-    half = max(1, tile // 2)
-    upto = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("pop").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = large.select("key", "pop", F.floor(upto / half).alias("range"), F.ceil(F.col("n") / half).cast("int").alias("cuts"))
-    ranges = cuts.groupBy("key", "range").agg(F.min("pop").alias("low"), F.max("pop").alias("high"), F.max("cuts").alias("most"))
-    tiles = ranges.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("most") - 1))).drop("most")
-    one, two = tiles.drop("low"), tiles.select("key", F.col("range").alias("range2"), F.col("low").alias("low2"), F.col("cut").alias("cut2"))
-    # an equality join on the key: pairs of tiles, not of rows
-    later = (F.col("range2") > F.col("range")) | (F.col("range2") == F.col("range")) & (F.col("cut2") >= F.col("cut"))
-    pairs = one.join(two, "key").where(later & (F.col("low2") - F.col("high") <= radius))
-    ends = F.array_distinct(F.array(F.struct("range", "cut"), F.struct(F.col("range2").alias("range"), F.col("cut2").alias("cut"))))
-    to = pairs.select("key", F.struct("range", "cut", "range2", "cut2").alias("pair"), F.inline(ends))
-    rows = keyed.withColumn("pop", F.bit_count("fp").cast("int")).join(cuts, ["key", "pop"]).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    dealt = rows.join(to, ["key", "range", "cut"]).select("key", "pair", *columns)
+def near_links(keyed: DataFrame, radius: int = RADIUS, tile: int = TILE, task: int = TASK) -> DataFrame:
+    """Links (a, b) that connect all nodes of ``keyed`` (key, node, and the words of a fingerprint: bigints) which
+    share a key and are within the radius. Repeated rows and self-links do no harm."""
+    spark, columns = keyed.sparkSession, keyed.columns
+    large = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > task).select("key"), "simhash-large")
+    several = not large.isEmpty()
+    small = keyed.join(large, "key", "left_anti").select(*columns) if several else keyed
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links_of_runs(radius, tile), "a long, b long")
+    return links.unionByName(_links_over_tasks(staged(keyed.join(large, "key").select(*columns), "simhash-hot"), radius, tile, task)) if several else links
+
+
+def _links_over_tasks(keyed: DataFrame, radius: int, tile: int, task: int) -> DataFrame:
+    """Links within keys of more than a task's rows: to a few leaders, and of every pair of half tasks that population
+    counts and leaders do not rule out. A half task is a range of population counts, or, where one count alone is
+    more, a part of it by hash."""
+    columns, fps, half = keyed.columns, keyed.columns[2:], max(1, task // 2)
+    rows = keyed.withColumns({"led": F.lit(None).cast("long"), "pop": sum((F.bit_count(c).cast("int") for c in fps), F.lit(0))})
+    for _ in range(LEADERS):
+        # one row a large key
+        lead = rows.where("led IS NULL").groupBy("key").agg(F.min(F.struct(*columns[1:])).alias("l"))
+        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"l.{c}"))).cast("int") for c in fps), F.lit(0))
+        near = F.when(apart <= radius, F.col("l.node"))
+        rows = staged(rows.join(staged(lead, "simhash-leaders"), "key", "left").withColumn("led", F.coalesce("led", near)).drop("l"), "simhash-led")
+    linked = rows.where("led <> node").select(F.col("node").alias("a"), F.col("led").alias("b"))
+    of = ["key", "led"]
+    counts = rows.groupBy(*of, "pop").agg(F.count("*").alias("n"))
+    upto = F.coalesce(F.sum("n").over(Window.partitionBy(*of).orderBy("pop").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = staged(counts.select(*of, "pop", F.floor(upto / half).alias("range"), F.ceil(F.col("n") / half).cast("int").alias("cuts")), "simhash-cuts")
+    ranges = cuts.groupBy(*of, "range").agg(F.min("pop").alias("low"), F.max("pop").alias("high"), F.max("cuts").alias("most"))
+    tiles = ranges.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("most") - 1))).select("key", F.struct("led", "range", "cut").alias("tile"), "low", "high")
+    two = tiles.select("key", *[F.col(c).alias(f"{c}2") for c in ("tile", "low", "high")])
+    # an equality join on the key: pairs of half tasks, not of rows
+    ruled_out = (F.col("low2") - F.col("high") > radius) | (F.col("low") - F.col("high2") > radius) | F.coalesce(F.col("tile.led") == F.col("tile2.led"), F.lit(False))
+    pairs = tiles.join(two, "key").where((F.col("tile2") >= F.col("tile")) & ~ruled_out)
+    to = pairs.select("key", F.xxhash64("tile", "tile2").alias("pair"), F.explode(F.array_distinct(F.array("tile", "tile2"))).alias("tile"))
+    cut = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    same = (F.col("r.key") == F.col("c.key")) & F.col("r.led").eqNullSafe(F.col("c.led")) & (F.col("r.pop") == F.col("c.pop"))
+    placed = rows.alias("r").join(cuts.alias("c"), same).select("r.*", F.struct(F.col("r.led").alias("led"), "range", cut.alias("cut")).alias("tile"))
+    on = (F.col("p.key") == F.col("t.key")) & F.col("p.tile").eqNullSafe(F.col("t.tile"))
+    dealt = placed.alias("p").join(to.alias("t"), on).select("p.key", "t.pair", *[F.col(f"p.{c}") for c in columns[1:]])
 
     def of_pair(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_links_between([group[c].to_numpy(np.int64) for c in columns], radius), columns=["a", "b"])
+        words = np.column_stack([group[c].to_numpy(np.int64) for c in fps]).view(np.uint64)
+        return pd.DataFrame(_forest(group["node"].to_numpy(np.int64), words, radius, tile), columns=["a", "b"])
 
-    return dealt.groupBy("key", "pair").applyInPandas(of_pair, "a long, b long")
+    return linked.unionByName(dealt.groupBy("key", "pair").applyInPandas(of_pair, "a long, b long"))
 
 
-def fingerprint_groups(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def fingerprint_groups(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, run: int = RUN, task: int = TASK) -> DataFrame:
     """``prints`` (fp, doc_id, ...) with ``component_id``: the smallest doc_id that links reach, null where
     no document of the component has an id."""
     firsts = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-prints")
-    roots = staged(connected_components(near_links(firsts.select(F.col("fp").alias("node"), "fp"), radius, tile)), "simhash-roots")
+    links = near_links(block_keys(firsts.select(F.col("fp").alias("node"), "fp"), radius, run), radius, tile, task)
+    roots = staged(connected_components(links), "simhash-roots")
     rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = staged(rooted.join(least, "root").select("fp", "component_id"), "simhash-of")
     return prints.join(of, "fp")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE, run: int = RUN, task: int = TASK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``.
 
     Null and blank texts share the fingerprint zero and link to what is within the radius of it. Null ids
     take part and get their component's smallest id. Equal rows are rows of one component each; texts are
     read whole; an empty table gives an empty one; other columns are ignored."""
     prints = staged(with_fingerprints(docs.select("doc_id", "text"), shingle), "simhash-docs")
-    return fingerprint_groups(prints, radius, tile).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+    return fingerprint_groups(prints, radius, tile, run, task).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def similar_pairs(hashes: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the shingle sets (sorted distinct hashes) of similarity ``least`` or more.
-    Common shingles are counted through an index of all sets; two empty sets are alike."""
-    size = np.array([len(h) for h in hashes])
-    empty = np.flatnonzero(size == 0)
-    links = [(int(empty[0]), int(x)) for x in empty[1:]]
-    if not size.sum():
-        return links
-    _, term = np.unique(np.concatenate(hashes), return_inverse=True)
-    owner = np.repeat(np.arange(len(hashes)), size)[np.argsort(term, kind="stable")]
-    start = np.concatenate([[0], np.cumsum(np.bincount(term))])
-    of = np.split(term, np.cumsum(size)[:-1])
-    rest = size > 0
-    while rest.any():
-        queue = [int(np.argmax(rest))]
-        rest[queue[0]] = False
-        while queue and rest.any():
-            one = queue.pop()
-            common = np.bincount(np.concatenate([owner[start[t] : start[t + 1]] for t in of[one]]), minlength=len(hashes))
-            found = np.flatnonzero(rest & (common > 0) & (common >= least * (size + size[one] - common) - 1e-9))
-            links += [(one, int(x)) for x in found]
-            queue += found.tolist()
-            rest[found] = False
-    return links
-
-
-def similar_links(rows: DataFrame, groups: DataFrame, n: int, least: float, texts: int = TEXTS, text_bytes: int = TEXT_BYTES) -> DataFrame:
-    """Links (a, b) that connect all similar nodes of each group. ``rows``: __row, text; ``groups``: root, node,
-    __row, size (bytes). A group is cut into half tiles of bounded texts and bytes; each pair of them is
-    compared by itself, and only texts of groups of several nodes move."""
-    sums = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / texts), F.ceil(F.sum("size") / text_bytes)).cast("int").alias("cuts"))
-    cut = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
-    # a node of half tile c meets half tiles 0 to c as the later one, and those after it as the earlier one
-    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    dealt = groups.join(sums, "root").withColumn("cut", cut).withColumn("other", other)
-    dealt = dealt.select("node", "__row", F.xxhash64("root", F.least("cut", "other"), F.greatest("cut", "other")).alias("pair"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # by a merge join at any size: ids grow with the rows
-    sent = rows.join(dealt.hint("merge"), "__row").select("pair", "node", "text").repartition(parts, "pair").sortWithinPartitions("pair")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-        each = ((p.as_py(), x.as_py(), t.as_py()) for b in batches for p, x, t in zip(*b.columns))
-        for _, run_ in groupby(each, lambda r: r[0]):
-            nodes, hashes = zip(*((x, shingle_hashes(t, n)) for _, x, t in run_))
-            found += [(nodes[a], nodes[b]) for a, b in similar_pairs(list(hashes), least)]
-            if len(found) > 10_000:
-                yield _batch([np.array(found, dtype=np.int64)])
-                found = []
-        yield _batch([np.array(found, dtype=np.int64).reshape(-1, 2)])
-
-    return sent.mapInArrow(run, "a long, b long")
-
-
-def class_counts(rows: DataFrame, n: int) -> np.ndarray:
-    """How many shingles of each class of hashes the texts have, each once a text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CLASSES, dtype=np.int64)
-        for b in batches:
-            for x in b.column(0):
-                np.add.at(counts, _class_of(shingle_hashes(x.as_py(), n)), 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["class", "n"])
-
-    found = rows.select("text").mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(CLASSES, dtype=np.int64)
-    counts[found.column("class").to_numpy()] = found.column("n").to_numpy()
-    return counts
-
-
-def _class_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(CLASSES - 1)).astype(np.int64)
-
-
-def prefix(hashes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """The first shingles, rarest classes first: sets of similarity ``least`` have one of theirs in common."""
-    most = len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1
-    return hashes[np.lexsort((hashes, counts[_class_of(hashes)]))[:most]]
-
-
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """128 bits: parities of the counts of 128 classes of hashes. Two sets differ in as many shingles, or more."""
-    return np.packbits(np.bincount((hashes >> np.uint64(32) & np.uint64(127)).astype(np.int64), minlength=128) & 1, bitorder="little").view("<i8")
-
-
-def _pairs_of_runs(least: float):  # noqa: ANN202
-    """Pairs of nodes of unequal roots within each run of an equal key of a partition sorted by key and size, but
-    for those whose sizes or parities rule similarity out."""
-    names = ["key", "size", "node", "root", "bits1", "bits2"]
-
-    def pairs(c: list[np.ndarray]) -> np.ndarray:
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(c[0])) + 1])
-        several = np.minimum.reduceat(c[3], cut) != np.maximum.reduceat(c[3], cut)
-        of = np.repeat(several, np.diff([*cut, len(c[0])]))
-        key, size, node, root, one, two = (x[of] for x in c)
-        low, found, d = np.arange(len(key)), [np.empty((0, 2), dtype=np.int64)], 0
-        while len(low):
-            d += 1
-            low = low[low + d < len(key)]
-            low = low[(key[low] == key[low + d]) & (size[low] >= least * size[low + d] - 1e-9)]
-            a = low[root[low] != root[low + d]]
-            apart = np.bitwise_count(one[a] ^ one[a + d]).astype(np.int64) + np.bitwise_count(two[a] ^ two[a + d])
-            a = a[apart <= (1 - least) / (1 + least) * (size[a] + size[a + d]) + 1e-9]
-            found.append(np.column_stack([np.minimum(node[a], node[a + d]), np.maximum(node[a], node[a + d])]))
-        return np.unique(np.concatenate(found), axis=0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * len(names)
-        for b in batches:
-            rows = [np.concatenate([h, b.column(x).to_numpy(zero_copy_only=False)]) for h, x in zip(held, names)]
-            cut = np.flatnonzero(np.diff(rows[0])) + 1
-            done = int(cut[-1]) if len(cut) else 0
-            if done:
-                yield _batch([pairs([x[:done].view(np.uint64) if k > 3 else x[:done] for k, x in enumerate(rows)])])
-            held = [x[done:] for x in rows]
-        if len(held[0]):
-            yield _batch([pairs([x.view(np.uint64) if k > 3 else x for k, x in enumerate(held)])])
-
-    return run
-
-
-def prefix_pairs(texts: DataFrame, counts: np.ndarray, n: int, least: float) -> DataFrame:
-    """Pairs (a, b) of nodes of unequal roots among which all of similarity ``least`` are. ``texts``: node, root,
-    text; a node once."""
-    names = ["key", "size", "node", "root", "bits1", "bits2"]
-
-    def batch(made: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(made).T.copy()], names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: list[np.ndarray] = []
-        for b in batches:
-            for node, root, text in zip(*(b.column(x) for x in ("node", "root", "text"))):
-                if len(hashes := shingle_hashes(text.as_py(), n)):
-                    keys = prefix(hashes, counts, least).view(np.int64)
-                    same = [len(hashes), node.as_py(), root.as_py(), *parities(hashes).tolist()]
-                    made.append(np.column_stack([keys, np.tile(np.array(same, dtype=np.int64), (len(keys), 1))]))
-                if made and (len(made) >= 256 or len(made[-1]) > 10_000):
-                    yield batch(made)
-                    made = []
-        if made:
-            yield batch(made)
-
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = texts.mapInArrow(run, ", ".join(f"{x} long" for x in names))
-    return keyed.repartition(parts, "key").sortWithinPartitions("key", "size").mapInArrow(_pairs_of_runs(least), "a long, b long").distinct()
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, least: float = SIMILARITY, search: int = SEARCH_SHINGLE, radius: int = SEARCH_RADIUS, tile: int = TILE, texts: int = TEXTS) -> DataFrame:
-    """One row of each group of near-duplicates: that of the smallest doc_id (nulls last), of equal ids an
-    arbitrary but fixed one. All columns of ``docs`` stay.
-
-    Texts of the same words are one node, by a 64-bit hash; null and blank texts are one. Nodes are linked if
-    their sets of ``shingle``-word shingles have similarity ``least``. First candidates are those whose
-    fingerprints of ``search`` words are within the radius and whose sketches agree; then, so that none is missed,
-    those not linked yet that share a shingle of their prefixes. Texts are read whole; an empty table stays empty."""
-    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
-    prints = staged(_measured(rows.select("__row", "doc_id", "text"), ["fp", "sketch1", "sketch2", "node", "size"], lambda t: _node_measures(t, search, shingle)), "simhash-docs")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
-    kinds = [F.min(c).alias(c) for c in ("fp", "sketch1", "sketch2", "size")]
-    nodes = staged(prints.groupBy("node").agg(*kinds, first), "simhash-nodes")
-    candidates = connected_components(near_links(nodes.select("node", "fp", "sketch1", "sketch2"), radius, tile))
-    groups = staged(candidates.join(nodes, "node").select("root", "node", F.col("first.__row").alias("__row"), "size"), "simhash-groups")
-    found = staged(connected_components(similar_links(rows.select("__row", "text"), groups, shingle, least, texts)), "simhash-found")
-    each = nodes.select("node", F.col("first.__row").alias("__row"), "size")
-    ids = each.join(found, "node", "left").select("__row", "node", F.coalesce("root", "node").alias("root"))
-    pairs = staged(prefix_pairs(rows.select("__row", "text").join(ids.hint("merge"), "__row"), class_counts(rows, shingle), shingle, least), "simhash-pairs")
-    ends = pairs.select(F.xxhash64("a", "b").alias("root"), F.explode(F.array("a", "b")).alias("node")).join(each, "node")
-    missed = similar_links(rows.select("__row", "text"), ends, shingle, least, texts)
-    links = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(missed)
-    roots = staged(connected_components(links), "simhash-roots")
-    rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
-    return rows.join(kept.hint("merge"), "__row", "left_semi").select(*[quoted(c) for c in without(docs, "__row").columns])
-
-
-def _node_measures(text: str | None, search: int, shingle: int) -> tuple[int, int, int, int, int]:
-    """Fingerprint, two halves of the sketch, hash and size of the words."""
-    words = b" ".join((text or "").encode("utf-8", "replace").lower().split())
-    one, two = sketch(shingle_hashes(text, shingle)).view("<i8").tolist()
-    return fingerprint(text, search, distinct=True), one, two, _signed(xxhash.xxh64_intdigest(words)), len(words)
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ import xxhash
 
 from quillon.llm import simhash as s
 from quillon.llm.components import connected_components
-from tests.llm.helpers import DOCS, SMALL, docs_of, rng, roots, words
+from tests.llm.helpers import DOCS, SMALL, docs_of, rng, roots
 
 
 def slow_print(text, k=4):
@@ -39,9 +39,9 @@ def expected(prints):
     return [least[up[k]] for k in range(len(prints))]
 
 
-@pytest.mark.parametrize("tile", [3, s.TILE])
-def test_components_against_all_pairs(spark, tile):
-    rows = s.near_duplicates(spark.read.parquet(f"{SMALL}/documents.parquet"), tile=tile).collect()
+@pytest.mark.parametrize("how", [{"tile": 3, "run": 4, "task": 20}, {"tile": 64}, {}])
+def test_components_against_all_pairs(spark, how):
+    rows = s.near_duplicates(spark.read.parquet(f"{SMALL}/documents.parquet"), **how).collect()
     assert [r.component_id for r in rows] == expected([(r.doc_id, int(r.fingerprint, 16)) for r in rows])
 
 
@@ -60,17 +60,37 @@ def test_links_lose_nothing(spark, radius, n):
     fps = list(dict.fromkeys(fps))
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     want = roots(signed, [(a, b) for k, a in enumerate(signed) for b in signed[k + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= radius])
-    for tile in (7, 50, s.TILE):
-        links = s.near_links(spark.createDataFrame([(x, x) for x in signed], "node long, fp long"), radius, tile)
-        assert roots(signed, [(x.a, x.b) for x in links.collect()]) == want
+    prints = spark.createDataFrame([(x, x) for x in signed], "node long, fp long")
+    for tile, run, task in ((3, 8, 30), (7, 50, s.TASK), (s.TILE, s.RUN, 40), (s.TILE, s.RUN, s.TASK)):
+        links = s.near_links(s.block_keys(prints, radius, run), radius, tile, task).collect()
+        assert roots(signed, [(x.a, x.b) for x in links]) == want
 
 
-def test_large_group_emits_a_forest_only():
-    fps = np.array([1 << a | 1 << b for a in range(64) for b in range(a)], dtype=np.uint64)
-    assert len(s.forest(fps, 4)) == len(fps) - 1
-    other = np.zeros((len(fps), 16), dtype=np.uint8)
-    other[1000:] = 9
-    assert len(s.forest(fps, 4, other)) == len(fps) - 2
+def test_tiles_skip_by_population_count_and_compare_the_rest():
+    r, fps = rng(6), []
+    for _ in range(900):
+        fps.append(sum(1 << b for b in r.sample(range(64), r.randint(8, 56))))
+        fps.append(fps[-1] ^ 1 << r.randrange(64))
+    fps, seen = np.array(list(dict.fromkeys(fps)), dtype=np.uint64)[:, None], []
+    got = s.tile_roots(fps, 4, 64, seen)
+    close = np.argwhere(np.triu(s._apart(fps[:, None], fps[None, :]) <= 4, 1))
+    assert got.tolist() == list(roots(range(len(fps)), close.tolist()).values())
+    assert seen.count("skipped") > seen.count("compared") > len(fps) / 64
+
+
+def test_tiles_of_a_dense_key_are_not_compared_once_linked():
+    fps, seen = np.array([[1 << a | 1 << b] for a in range(64) for b in range(a)], dtype=np.uint64), []
+    assert not s.tile_roots(fps, 4, 32, seen).any() and set(seen) == {"linked"}
+    assert len(s._forest(np.arange(len(fps)), fps, 4, 32)) == len(fps) - 1
+
+
+def test_query_skips_and_compares_tiles(spark):
+    """At 1,000 documents already, keys hold several tiles, of which population counts rule out some."""
+    rows = s.with_fingerprints(spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").select("text")).distinct()
+    fps = np.array([[r.fp] for r in rows.collect()]).view(np.uint64)
+    assert s.masks_for(len(fps), s.RADIUS) == [0]
+    s.tile_roots(fps, s.RADIUS, 128, seen := [])
+    assert {"skipped", "compared"} <= set(seen)
 
 
 def test_masks_cover_every_choice():
@@ -80,7 +100,12 @@ def test_masks_cover_every_choice():
         for _ in range(300):
             flip = sum(1 << b for b in r.sample(range(64), 4))
             assert any(not flip & mask for mask in masks)
-    assert len(s.masks_for(10**6, 4, s.TILE)) == 5 < len(s.masks_for(10**9, 4, s.TILE)) <= s.MAX_MASKS
+    for n in (5_000, 10**6, 10**8):
+        r = rng(n)
+        for _ in range(100):
+            flip = sum(1 << b for b in r.sample(range(64), 4))
+            assert any(not flip & mask for mask in s.masks_for(n, 4))
+    assert len(s.masks_for(10**6, 4)) == 5 < len(s.masks_for(10**9, 4)) <= s.MAX_MASKS
 
 
 def test_edge_cases(spark):
@@ -89,103 +114,6 @@ def test_edge_cases(spark):
     f = lambda t: f"{s.fingerprint(t) % (1 << 64):016x}"
     assert got == {(5, "0" * 16, 3), (3, "0" * 16, 3), (9, f("x"), 9), (None, f("x"), 9), (None, f("only"), None), (7, f("y" * 200_000), 7)}
     assert s.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
-    kept = s.drop_near_duplicates(docs_of(spark, texts))
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and sorted(map(str, (r.doc_id for r in kept.collect()))) == ["3", "7", "9", "None"]
-    assert s.drop_near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
-
-
-def test_near_copies_go_and_others_stay(spark):
-    r = rng(8)
-    base = [words(r, 120, 5000).split() for _ in range(25)]
-    texts, want = [], set()
-    for k, b in enumerate(base):
-        want.add(len(texts))
-        texts.append(" ".join(b))
-        for _ in range(k % 4):
-            c = list(b)
-            c[r.randrange(120)] = "changed"
-            texts.append(" ".join(c) + " end" * (k % 2))
-        want.add(len(texts))
-        texts.append(" ".join(b[:40] + words(r, 80, 5000).split()))  # a third in common: not a near-duplicate
-    assert {x.doc_id for x in s.drop_near_duplicates(docs_of(spark, texts)).collect()} == want
-
-
-def jaccard(one, two, n=5):
-    sets = [{tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set() for w in ((t or "").lower().split() for t in (one, two))]
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] or sets[1] else 1.0
-
-
-def test_similar_pairs_against_sets():
-    r = rng(12)
-    texts = [None, "", "a", "A", "a b c d e f", "a b c d e g"]
-    for _ in range(30):
-        base = words(r, r.randint(3, 90), 300).split()
-        for _ in range(r.randint(1, 4)):
-            c = list(base)
-            for _ in range(r.randint(0, 5)):
-                c[r.randrange(len(c))] = "new"
-            texts.append(" ".join(c))
-    want = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
-    links = s.similar_pairs([s.shingle_hashes(t, 5) for t in texts], 0.8)
-    assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in links) and roots(range(len(texts)), links) == roots(range(len(texts)), want)
-    assert s.similar_pairs([], 0.8) == [] and s.similar_pairs([s.shingle_hashes(None, 5)] * 3, 0.8) == [(0, 1), (0, 2)]
-
-
-def test_sketches():
-    r = rng(2)
-    a = s.sketch(s.shingle_hashes(words(r, 300), 5))
-    assert a.shape == (16,) and (a == s.sketch(s.shingle_hashes(None, 5))).sum() < 5
-    assert (s.sketch(s.shingle_hashes("a", 5)) == s.sketch(s.shingle_hashes(" A ", 5))).all()
-
-
-@pytest.mark.parametrize("texts_a_tile", [2, 5, s.TEXTS])
-def test_chained_and_dense_groups_are_whole(spark, texts_a_tile):
-    """Copies of copies, all near each other: the group is what exact similarity links, however it is tiled."""
-    r, texts = rng(21), []
-    for _ in range(6):
-        chain = [words(r, 150, 4000).split()]
-        for _ in range(9):
-            c = list(r.choice(chain))
-            for _ in range(r.choice([1, 2, 3, 4])):
-                c[r.randrange(150)] = f"n{r.randrange(10**6)}"
-            chain.append(c)
-        texts += [" ".join(c) for c in chain]
-    want = roots(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8])
-    assert {x.doc_id for x in s.drop_near_duplicates(docs_of(spark, texts), texts=texts_a_tile).collect()} == set(want.values())
-
-
-def near_texts():
-    """Lines repeated at the end, and short texts with a word or two changed or added."""
-    r, texts = rng(31), []
-    zipf = lambda n: [f"z{min(int(r.paretovariate(1)), 5000)}" for _ in range(n)]
-    for times in (10, 30) * 12:
-        base, line = zipf(400), zipf(10)
-        texts += [" ".join(base + line), " ".join(base + line * times)]
-    for n in range(8, 31):
-        for _ in range(6):
-            base = words(r, n, 3000).split()
-            texts += [" ".join(base), " ".join([*base, "more"]), " ".join(["first", *base[1:]]), " ".join([*base[:-1], "other", "end"])]
-    return texts
-
-
-def test_repeated_lines_and_short_texts_against_all_pairs(spark):
-    texts = near_texts()
-    want = roots(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8])
-    assert len(set(want.values())) < len(texts) - 100
-    assert {x.doc_id for x in s.drop_near_duplicates(docs_of(spark, texts)).collect()} == set(want.values())
-
-
-def test_prefix_filter_loses_no_pair(spark):
-    r, texts = rng(32), near_texts()
-    for common in (words(r, 12, 50), words(r, 40, 50)):  # a line that many texts have
-        texts += [f"{common} {words(r, n, 3000)}" for n in range(1, 60)]
-    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "node long, root long, text string")
-    counts = s.class_counts(rows, 5)
-    assert counts.sum() == sum(len(s.shingle_hashes(t, 5)) for t in texts)
-    got = {(x.a, x.b) for x in s.prefix_pairs(rows, counts, 5, 0.8).collect()}
-    alike = {(b, a) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8}
-    assert alike <= got and len(got) < 3 * len(alike)
-    assert s.prefix_pairs(rows.withColumn("root", rows.node * 0), counts, 5, 0.8).collect() == []
 
 
 def test_connected_components(spark):
