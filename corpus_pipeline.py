@@ -11,7 +11,7 @@ from quillon.llm.decontamination import drop_contaminated
 from quillon.llm.mixing import draw_mix
 from quillon.llm.quality_gam import score_quality, train
 from quillon.llm.sharding import shard_uniformly
-from quillon.llm.simhash import drop_near_duplicates
+from quillon.llm.similar import drop_near_duplicates
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
