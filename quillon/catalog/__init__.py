@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.catalog import compat, events, evidence
+from quillon.catalog import claims, compat, events, evidence
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = evidence.QUERIES | events.QUERIES | compat.QUERIES
-ORACLES: dict[str, str] = evidence.ORACLES | events.ORACLES | compat.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = evidence.QUERIES | claims.QUERIES | events.QUERIES | compat.QUERIES
+ORACLES: dict[str, str] = evidence.ORACLES | claims.ORACLES | events.ORACLES | compat.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

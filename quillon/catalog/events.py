@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import frames, ipc, lifecycle, policy, present
-from quillon.sources.tables import events, solid_buffer, table
+from quillon.operators import compat, frames, ipc, lifecycle, policy, present
+from quillon.sources.tables import events, mock_frame_request, solid_buffer, table
 
 ORDER = ("ts", "event_id")
 OPS = {"signup": "prepare", "view": "render_frame", "click": "resize", "error": "pause", "purchase": "resume"}
 TAGS = {"click": "Cpu", "view": "Unchanged", "purchase": "DeviceEncoded", "signup": "SkippedDegraded", "error": "Cpu"}
 RAW = {"click": "ping", "view": " status ", "error": "quit\n", "purchase": "noise", "signup": ""}
+CLI = {"click": "profile set", "view": "output list", "purchase": "status", "signup": "diag", "error": "statuses"}
 ERRORS = {0: "SurfaceLost", 1: "DeviceLost", 2: "Transient"}
 
 
@@ -27,12 +28,14 @@ def _k() -> Column:
 
 
 def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = events(spark, sf_dir).select("event_id", "user_id", "ts", _mapped(OPS).alias("op"), F.lit(False).alias("is_first_frame"))
+    size = lambda most: F.when(F.col("event_type").isin("signup", "click"), _k() % most + 1)
+    of = events(spark, sf_dir).select("event_id", "user_id", "ts", _mapped(OPS).alias("op"), (_k() % 7 == 0).alias("is_first_frame"), size(400).alias("width"), size(300).alias("height"))
     return lifecycle.replay(of, "user_id", ORDER)
 
 
 def lifecycle_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replayed(spark, sf_dir).select("event_id", "phase_before", "outcome", "message", "phase", "output")
+    surface = [F.col(f"surface.{c}").alias(c) for c in ("width", "height")]
+    return _replayed(spark, sf_dir).select("event_id", "phase_before", "outcome", "message", "phase", "output", *surface, F.col("frame.bytes").alias("bytes"), F.col("frame.stride").alias("stride"), F.col("frame.damage").alias("damage"))
 
 
 def lifecycle_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +86,7 @@ def ipc_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.recent(events(spark, sf_dir).select("event_id", "user_id", "ts"), "user_id", ORDER, 5).select("event_id", "user_id", F.col("age").cast("long").alias("age"))
+    return policy.recent(events(spark, sf_dir).select("event_id", "user_id", "ts"), "user_id", ORDER).select("event_id", "user_id", F.col("age").cast("long").alias("age"))
 
 
 def hotplug_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +94,69 @@ def hotplug_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.bursts(of, "user_id", "ts", seconds=259_200, least=3).select("event_id", "in_window", "burst")
 
 
+def hotplug_burst_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the window and the count that the policy states: ten in thirty seconds. An hour's events are one output's."""
+    of = events(spark, sf_dir).select("event_id", F.date_trunc("hour", "ts").alias("output"), "ts")
+    return policy.bursts(of, "output", "ts").select("event_id", "in_window", "burst")
+
+
+def deferred_present_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the timeout that the policy states, a tenth of a second: a scale comes 0 to 199 milliseconds later."""
+    surfaces = events(spark, sf_dir).select("event_id", F.col("ts").alias("surface_ts"))
+    scales = events(spark, sf_dir).where(_k().isNotNull()).select("event_id", F.timestamp_micros(F.unix_micros("ts") + (_k() % 200) * 1000).alias("scale_ts"))
+    out = policy.deferred_present(surfaces, scales, "event_id")
+    return out.select("event_id", F.unix_micros("surface_ts").alias("surface_us"), F.unix_micros("present_ts").alias("present_us"))
+
+
+def surface_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = _mapped({"signup": "PendingConfigure", "click": "Configured", "view": "Live", "purchase": "Live", "error": "Configured"})
+    of = events(spark, sf_dir).select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), state.alias("state"), (_k() % 3 == 0).alias("has_buffer"))
+    return policy.surface_order(of, "user_id", "at").select("event_id", "state", "fault")
+
+
+def reentrancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that come while the frame of the event before is still being rendered, as every third one is."""
+    of = events(spark, sf_dir).select("event_id", _mapped(OPS).alias("op"), F.coalesce(_k() % 3 == 0, F.lit(False)).alias("in_render"))
+    return of.select("event_id", "op", lifecycle.reentrant(F.col("in_render"), F.col("op")).alias("outcome"))
+
+
+def capability_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every user's frame source answers, and what its first prepare reports."""
+    ready = lifecycle.load_report((F.col("op") == "prepare") & (F.col("outcome") == "ok"))
+    of = _replayed(spark, sf_dir).withColumn("report", ready).where("report IS NOT NULL")
+    said = [F.lit(v).alias(c) for c, v in lifecycle.CAPABILITIES.items()]
+    return of.select("user_id", *said, F.col("report.status").alias("status"), F.col("report.stats.total_bytes").alias("total_bytes"), F.col("report.stats.image_count").cast("long").alias("image_count"))
+
+
+def fullscreen_pause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = events(spark, sf_dir).select("event_id", (F.col("event_type") == "view").alias("fullscreen"), (_k() % 2 == 0).alias("fullscreen_detection"))
+    return of.select("event_id", policy.pause_on_fullscreen().alias("pause"))
+
+
+def cli_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(_mapped(CLI), F.when(_k() % 2 == 0, F.concat(F.lit(" "), F.col("user_id").cast("string"))).otherwise(F.lit("")))
+    return events(spark, sf_dir).select("event_id", ipc.cli_verb(line).alias("verb"))
+
+
+def date_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderstatus") != "P").alias("passed"), F.col("o_orderdate").cast("date").alias("done_on"))
+    return policy.gate(checks, "o_custkey", "1997-06-01").select("o_custkey", "open")
+
+
+def response_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("answered"))
+    issues = table(spark, sf_dir, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderdate").cast("timestamp").alias("opened"), F.col("answered").cast("timestamp").alias("answered"))
+    return policy.response_gate(issues).select("median_days", "ok")
+
+
+def mock_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mock frame source, prepared and rendered once, and what the mock renderer says to it."""
+    asked = mock_frame_request(spark)
+    rendered = asked.select("case_id", (F.col("seq") + 1).alias("seq"), F.lit("render_frame").alias("op"), F.lit(True).alias("is_first_frame"), *[F.lit(None).cast(t).alias(c) for c, t in (("width", "long"), ("height", "long"), ("scale", "double"))])
+    out = lifecycle.replay(asked.unionByName(rendered), "case_id", ["seq"])
+    return out.select("seq", "op", "phase", "output", F.col("surface.width").alias("width"), F.col("surface.height").alias("height"), F.col("frame.bytes").alias("bytes"), compat.mock_negotiate().alias("negotiation"))
+
+
 def deferred_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     surfaces = e.where("event_type = 'view'").groupBy("user_id").agg(F.min("ts").alias("surface_ts"))
@@ -111,7 +177,7 @@ def solid_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.buffer_faults(made).select("p_partkey", F.octet_length(b["data"]).cast("long").alias("n_bytes"), b["stride"].alias("stride"), F.hex(F.substring(b["data"], 1, 4)).alias("pixel"), "fault")
 
 
-QUERIES = {f.__name__: f for f in (lifecycle_outcomes, lifecycle_status, call_traces, pause_noop_counts, frame_output_counts, present_recovery, frame_loop, ipc_router, ipc_json, recent_events, hotplug_burst, deferred_present, last_state)}
+QUERIES = {f.__name__: f for f in (lifecycle_outcomes, lifecycle_status, call_traces, pause_noop_counts, frame_output_counts, present_recovery, frame_loop, ipc_router, ipc_json, recent_events, hotplug_burst, hotplug_burst_stated, deferred_present, deferred_present_stated, last_state, surface_order, reentrancy, capability_queries, fullscreen_pause, cli_verbs, date_gate, response_gate, mock_source)}
 QUERIES["solid_buffer"] = solid_buffers
 
 
@@ -125,17 +191,19 @@ _OK = """CASE e.op WHEN 'prepare' THEN CASE WHEN r.phase = 'Created' THEN 'ok' E
   WHEN 'render_frame' THEN CASE WHEN r.phase = 'Created' THEN 'panic' WHEN r.phase IN ('Paused', 'Failed') THEN 'err' ELSE 'ok' END
   WHEN 'pause' THEN CASE WHEN r.phase = 'Failed' THEN 'noop' ELSE 'ok' END WHEN 'resume' THEN CASE WHEN r.phase = 'Paused' THEN 'ok' ELSE 'noop' END ELSE 'noop' END"""
 _FOLD = f"""RECURSIVE {_E}, r AS (
-  SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, 'Created' AS phase, 'Created' AS phase_before, '' AS outcome, '' AS op, false AS shown, CAST(NULL AS VARCHAR) AS output FROM (SELECT DISTINCT user_id FROM e)
+  SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, 'Created' AS phase, 'Created' AS phase_before, '' AS outcome, '' AS op, false AS shown, CAST(NULL AS VARCHAR) AS output, CAST(NULL AS BIGINT) AS width, CAST(NULL AS BIGINT) AS height FROM (SELECT DISTINCT user_id FROM e)
   UNION ALL
   SELECT user_id, rn, event_id, CASE WHEN o = 'ok' AND op = 'prepare' THEN 'Prepared' WHEN o = 'ok' AND op IN ('render_frame', 'resume') THEN 'Rendering' WHEN o = 'ok' AND op = 'pause' THEN 'Paused' ELSE p END, p, o, op,
-    s OR (o = 'ok' AND op = 'render_frame'), CASE WHEN o = 'ok' AND op = 'render_frame' THEN CASE WHEN s THEN 'Unchanged' ELSE 'Cpu' END END
-  FROM (SELECT e.user_id, e.rn, e.event_id, e.op, r.phase AS p, r.shown AS s, {_OK} AS o FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)),
+    s OR (o = 'ok' AND op = 'render_frame'), CASE WHEN o = 'ok' AND op = 'render_frame' THEN CASE WHEN s AND NOT first THEN 'Unchanged' ELSE 'Cpu' END END,
+    CASE WHEN o = 'ok' AND op IN ('prepare', 'resize') THEN k % 400 + 1 ELSE w END, CASE WHEN o = 'ok' AND op IN ('prepare', 'resize') THEN k % 300 + 1 ELSE h END
+  FROM (SELECT e.user_id, e.rn, e.event_id, e.op, e.k, coalesce(e.k % 7 = 0, false) AS first, r.phase AS p, r.shown AS s, r.width AS w, r.height AS h, {_OK} AS o FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)),
 l AS (SELECT * FROM r WHERE rn > 0)"""
 _STATUS = "CASE WHEN phase IN ('Paused', 'Failed') THEN phase ELSE 'Ready' END"
 _TRIMMED = "regexp_replace(raw, '^\\s+|\\s+$', '', 'g')"
 ORACLES = {
     "lifecycle_outcomes": f"""WITH {_FOLD} SELECT event_id, phase_before, outcome, CASE WHEN outcome = 'panic' AND op = 'prepare' THEN 'prepare called in phase ' || phase_before || ', expected Created'
-      WHEN outcome = 'panic' THEN 'render_frame called before prepare' WHEN outcome = 'err' AND op = 'resize' THEN 'resize before prepare' WHEN outcome = 'err' THEN 'render_frame while paused' END AS message, phase, output FROM l""",
+      WHEN outcome = 'panic' THEN 'render_frame called before prepare' WHEN outcome = 'err' AND op = 'resize' THEN 'resize before prepare' WHEN outcome = 'err' THEN 'render_frame while paused' END AS message, phase, output, width, height,
+      CASE WHEN output = 'Cpu' THEN 4 * width * height END AS bytes, CASE WHEN output = 'Cpu' THEN 4 * width END AS stride, CASE WHEN output = 'Cpu' THEN 'Full' END AS damage FROM l""",
     "lifecycle_status": f"""WITH {_FOLD}, g AS (SELECT user_id, max_by(phase, rn) AS phase, count(*) AS events, count(*) FILTER (WHERE outcome IN ('err', 'panic')) AS rejected, count(*) FILTER (WHERE output = 'Cpu') AS frames_shown FROM l GROUP BY user_id)
       SELECT user_id, phase, {_STATUS} AS status, events, rejected, frames_shown FROM g""",
     "call_traces": f"WITH {_E} SELECT user_id, string_agg(op, ',' ORDER BY rn) AS trace FROM e GROUP BY user_id",
@@ -165,8 +233,25 @@ ORACLES = {
       SELECT event_id, command, handled, CASE command WHEN 'ping' THEN 'pong' || chr(10) WHEN 'status' THEN 'frames=0 animate=true ipc_commands=' || handled || chr(10) WHEN 'quit' THEN 'bye' || chr(10) ELSE 'error: unknown command ''' || command || '''' || chr(10) END AS reply FROM h""",
     "ipc_json": """SELECT event_id, CASE event_type WHEN 'click' THEN 'Ping' WHEN 'view' THEN 'Pause' END AS verb,
       CASE event_type WHEN 'purchase' THEN 'unknown request Shout' WHEN 'error' THEN 'malformed request' WHEN 'signup' THEN 'malformed request' END AS error FROM events""",
-    "recent_events": "SELECT event_id, user_id, age FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM events) WHERE age <= 5",
+    "recent_events": "SELECT event_id, user_id, age FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM events) WHERE age <= 100",
     "hotplug_burst": "SELECT a.event_id, count(*) AS in_window, count(*) >= 3 AS burst FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 259200 SECOND GROUP BY a.event_id",
+    "hotplug_burst_stated": """WITH o AS (SELECT event_id, ts, date_trunc('hour', ts) AS output FROM events)
+      SELECT event_id, count(*) OVER (PARTITION BY output ORDER BY ts RANGE BETWEEN INTERVAL 30 SECOND PRECEDING AND CURRENT ROW) AS in_window,
+      count(*) OVER (PARTITION BY output ORDER BY ts RANGE BETWEEN INTERVAL 30 SECOND PRECEDING AND CURRENT ROW) >= 10 AS burst FROM o""",
+    "deferred_present_stated": f"WITH {_E} SELECT event_id, epoch_us(ts) AS surface_us, epoch_us(ts) + 1000 * least(100, coalesce(k % 200, 100)) AS present_us FROM e",
+    "surface_order": f"""WITH {_E}, s AS (SELECT event_id, user_id, rn, {_case({"signup": "PendingConfigure", "click": "Configured", "view": "Live", "purchase": "Live", "error": "Configured"})} AS state,
+        CASE event_type WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 2 ELSE 3 END AS place, coalesce(k % 3 = 0, false) AS has_buffer FROM e),
+      t AS (SELECT s.*, p.place AS before FROM s LEFT JOIN s p ON p.user_id = s.user_id AND p.rn = s.rn - 1)
+      SELECT event_id, state, CASE WHEN before IS NULL AND has_buffer THEN 'buffer in initial commit' WHEN place = coalesce(before, 0) + 1 OR (place = 3 AND before = 3) THEN NULL ELSE 'out of order' END AS fault FROM t""",
+    "reentrancy": f"WITH {_E} SELECT event_id, op, CASE WHEN op = 'resize' AND k % 3 = 0 THEN 'panic' END AS outcome FROM e",
+    "capability_queries": f"WITH {_FOLD} SELECT DISTINCT user_id, 'Static' AS source_kind, 'Immediate' AS resize, 'Freeze' AS pause_semantics, 'Photo' AS content_type_hint, 'Ok' AS status, CAST(1024 AS BIGINT) AS total_bytes, CAST(1 AS BIGINT) AS image_count FROM l WHERE op = 'prepare' AND outcome = 'ok'",
+    "fullscreen_pause": f"WITH {_E} SELECT event_id, coalesce(event_type = 'view' AND k % 2 = 0, false) AS pause FROM e",
+    "cli_verbs": "SELECT event_id, CASE event_type WHEN 'click' THEN 'SetProfile' WHEN 'view' THEN 'GetOutputs' WHEN 'purchase' THEN 'GetActiveProfile' WHEN 'signup' THEN 'Diag' END AS verb FROM events",
+    "date_gate": "SELECT o_custkey, bool_and(coalesce(o_orderstatus <> 'P' AND CAST(o_orderdate AS DATE) <= DATE '1997-06-01', false)) AS open FROM orders GROUP BY o_custkey",
+    "response_gate": """WITH f AS (SELECT date_diff('day', CAST(o_orderdate AS DATE), CAST(min(l_shipdate) AS DATE)) AS days FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate)
+      SELECT CAST(median(days) AS DOUBLE) AS median_days, median(days) < 14 AS ok FROM f""",
+    "mock_source": """SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'prepare', 'Prepared', CAST(NULL AS VARCHAR), CAST(1920 AS BIGINT), CAST(1080 AS BIGINT), CAST(NULL AS BIGINT), 'Compatible'),
+      (1, 'render_frame', 'Rendering', 'Cpu', 1920, 1080, 8294400, 'Compatible')) AS v(seq, op, phase, output, width, height, bytes, negotiation)""",
     "deferred_present": """WITH s AS (SELECT user_id, epoch_us(min(ts)) AS surface_us FROM events WHERE event_type = 'view' GROUP BY user_id)
       SELECT s.user_id, surface_us, least(surface_us + 86400000000, coalesce(min(epoch_us(e.ts)), surface_us + 86400000000)) AS present_us
       FROM s LEFT JOIN events e ON e.user_id = s.user_id AND e.event_type = 'click' AND epoch_us(e.ts) >= surface_us GROUP BY s.user_id, surface_us""",

@@ -123,8 +123,15 @@ def total_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     derived = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(cents(line)).alias("derived"))
     out = table(spark, sf_dir, "orders").select("o_orderkey", cents(F.col("o_totalprice")).alias("stated")).join(derived, "o_orderkey")
-    same = F.col("stated") == F.col("derived")
-    return out.select("o_orderkey", "stated", "derived", F.when(same, "supported").otherwise("conflicting").alias("state"), F.when(~same, "rule_1").alias("rule"), F.col("stated").alias("answer"))
+    # two claims an order, in one array: a question is an order
+    of = enumerate((("author_anchor", "stated"), ("code_literal", "derived")))
+    kinds = F.inline(F.array(*[F.struct(F.lit(k).alias("pos"), F.lit(source).alias("source_type"), F.col(c).alias("value")) for k, (source, c) in of]))
+    claims = out.select(F.col("o_orderkey").alias("question_id"), F.lit("order").alias("chunk_id"), F.lit(1).alias("rank"), F.lit("how_many").alias("intent"), kinds)
+    h = resolve.hypotheses(claims)
+    states = resolve.evaluate(claims.select("question_id").distinct(), claims).select("question_id", "state")
+    won = resolve.narrow(h, preferences(spark)).select("question_id", "rule", F.col("value").alias("answer"))
+    both = states.join(won, "question_id").withColumnRenamed("question_id", "o_orderkey").join(out, "o_orderkey")
+    return both.select("o_orderkey", "stated", "derived", "state", F.when(F.col("state") == "conflicting", F.col("rule")).alias("rule"), "answer")
 
 
 QUERIES = {f.__name__: f for f in (keyword_score, retrieve_topk, extract_claims, evidence_k, evidence_kinds, hypotheses, evaluate_state, tensions, narrow_hypothesis, deactivated, single_claim_path, total_reconcile)}

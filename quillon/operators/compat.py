@@ -16,6 +16,7 @@ WARNINGS = (
     ("W024", "ViewporterUnavailable", "Fractional scaling degrades to integer scaling", "Update your compositor"),
     ("W025", "ContentTypeUnavailable", "No content hints for the compositor", "Update your compositor"),
     ("W040", "ForeignToplevelUnavailable", "No detection of fullscreen clients", "Update your compositor"),
+    ("W050", "ForeignConfigDetected", "The settings of another program are not read", "Convert them to a profile"),
 )
 DEVICE_NOTE = "DeviceEncoded requires device target support"
 #: Licences that dependencies may have.

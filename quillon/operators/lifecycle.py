@@ -12,16 +12,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What a capability query answers, and what prepare reports.
+#: What a capability query answers, what prepare reports, the colour of a rendered buffer, and the
+#: texts of rejections.
 CAPABILITIES = {"source_kind": "Static", "resize": "Immediate", "pause_semantics": "Freeze", "content_type_hint": "Photo"}
 LOADED_BYTES, LOADED_IMAGES = 1024, 1
+COLOUR = (38, 51, 77, 255)
+PREPARED_TWICE, RENDER_EARLY, RESIZE_EARLY, RESIZE_FAILED = "prepare called in phase {}, expected Created", "render_frame called before prepare", "resize before prepare", "resize after failure"
+RENDER_PAUSED, RENDER_FAILED = "render_frame while paused", "render_frame after failure"
 
 
 def replay(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """``events`` (key, order, op, is_first_frame) with ``phase_before``, ``phase`` (after), ``status``, ``outcome``
-    (ok, err, panic or noop), ``message`` and ``output`` (Cpu or Unchanged, of successful renders).
-
-    Unknown and null operations are noops. A null is_first_frame is false."""
+    """``events`` (key, order, op, is_first_frame and, if they have sizes, width and height) with ``phase_before``,
+    ``phase`` (after), ``status``, ``outcome`` (ok, err, panic or noop), ``message`` and ``output`` (Cpu or Unchanged,
+    of successful renders).
+
+    With sizes, ``surface`` is the size that the last successful prepare or resize set, and ``frame`` describes
+    the buffer of a Cpu output: bytes, stride and damage, which is always whole. Unknown and null operations are
+    noops. A null is_first_frame is false."""
+    sized = {"width", "height"} <= set(events.columns)
     seen = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     at = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     of = lambda op: F.when(F.col("op") == op, F.col("__at"))
@@ -44,6 +52,12 @@ def replay(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     shown = (op == "render_frame") & (F.col("outcome") == "ok")
     first = F.coalesce("is_first_frame", F.lit(False)) | (F.coalesce(F.max(shown.cast("int")).over(seen), F.lit(0)) == 0)
     out = out.withColumn("output", F.when(shown, F.when(first, "Cpu").otherwise("Unchanged"))).withColumn("status", status_of(F.col("phase")))
+    if sized:
+        here = seen.rowsBetween(Window.unboundedPreceding, 0)
+        given = F.when((F.col("outcome") == "ok") & op.isin("prepare", "resize"), F.struct(F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height")))
+        out = out.withColumn("surface", F.last(given, ignorenulls=True).over(here))
+        w, h = F.col("surface.width"), F.col("surface.height")
+        out = out.withColumn("frame", F.when(F.col("output") == "Cpu", F.struct((4 * w * h).alias("bytes"), (4 * w).alias("stride"), F.lit("Full").alias("damage"))))
     return out.drop("__at", "__pause", "__resume", "__prepare", "__render")
 
 
@@ -60,10 +74,10 @@ def _outcome(p: Column, op: Column) -> Column:
 
 def _message(p: Column, op: Column, outcome: Column) -> Column:
     return (
-        F.when((outcome == "panic") & (op == "prepare"), F.concat(F.lit("prepare called in phase "), p, F.lit(", expected Created")))
-        .when(outcome == "panic", F.lit("render_frame called before prepare"))
-        .when((outcome == "err") & (op == "resize"), F.when(p == "Created", "resize before prepare").otherwise("resize after failure"))
-        .when(outcome == "err", F.when(p == "Paused", "render_frame while paused").otherwise("render_frame after failure"))
+        F.when((outcome == "panic") & (op == "prepare"), F.replace(F.lit(PREPARED_TWICE), F.lit("{}"), p))
+        .when(outcome == "panic", F.lit(RENDER_EARLY))
+        .when((outcome == "err") & (op == "resize"), F.when(p == "Created", RESIZE_EARLY).otherwise(RESIZE_FAILED))
+        .when(outcome == "err", F.when(p == "Paused", RENDER_PAUSED).otherwise(RENDER_FAILED))
     )
 
 

@@ -1,10 +1,14 @@
-"""Answers to questions: retrieve, extract, evaluate, narrow, answer - for all questions in one plan."""
+"""Answers to questions: retrieve, extract, evaluate, narrow, answer - for all questions in one plan.
+
+A question's claims are those of its top chunks, a few by definition: they are gathered in one array in order of
+arrival, and evidence, hypotheses and winners are expressions over it. So a plan reads and ranks chunks once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.detectors import Detector
@@ -20,9 +24,29 @@ def claims_of(chunks: DataFrame, questions: DataFrame, detectors: str | Sequence
     return extract(retrieve(chunks, questions), detectors).select(*_KEPT, F.lit(pass_).alias("pass"))
 
 
+#: Fixed value: the label of the hypothesis that a state is seeded with.
+SEED_LABEL = "single count exists in canonical form"
+_CLAIM = ("pass", "rank", "pos", "value", "source_type", "scope_operator", "chunk_id")
+
+
+def _gathered(questions: DataFrame, claims: DataFrame) -> DataFrame:
+    """``questions`` with ``claims`` (in order of arrival), their counts, ``state`` and ``tensions``."""
+    per = claims.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct(*_CLAIM))).alias("claims"))
+    out = questions.join(per, "question_id", "left")
+    c = F.col("claims")
+    n = lambda *of: F.coalesce(F.size(F.array_distinct(F.transform(c, lambda x: F.struct(*[x[f].alias(f) for f in of])))), F.lit(0)).cast("long")
+    out = out.withColumns({"n_evidence": n("chunk_id", "source_type"), "n_hypotheses": n("value", "source_type"), "n_values": n("value")})
+    out = out.withColumn("n_active", F.col("n_hypotheses")).withColumn("state", resolve.verdict(F.col("n_active"), F.col("n_values")))
+    return out.withColumn("tensions", resolve.tensions(F.col("n_evidence"), F.col("state"), F.col("n_active")))
+
+
+def _winner(claim: Column, rule: Column) -> Column:
+    return F.struct(*[claim[f].alias(f) for f in ("value", "source_type", "scope_operator")], rule.cast("string").alias("rule"))
+
+
 def seeded(questions: DataFrame) -> DataFrame:
     """The state that a question starts in: one hypothesis without a value, an open goal and a gap."""
-    seed = F.struct(F.lit("single count exists in canonical form").alias("label"), F.lit("unknown").alias("source_type"), F.lit(None).cast("int").alias("value"), F.lit(True).alias("active"))
+    seed = F.struct(F.lit(SEED_LABEL).alias("label"), F.lit("unknown").alias("source_type"), F.lit(None).cast("int").alias("value"), F.lit(True).alias("active"))
     return questions.withColumns({"state": F.lit("unknown"), "hypotheses": F.array(seed), "tensions": F.create_map(F.lit("evidence_gap"), F.lit("HIGH")), "goal": F.lit("open")})
 
 
@@ -32,12 +56,15 @@ def answer_primary(chunks: DataFrame, questions: DataFrame, preferences: DataFra
     Values that differ go to the priorities; without one that applies the goal stays open. Values that agree
     are answered by the earliest hypothesis, whatever its type. No evidence leaves the goal open."""
     claims = claims_of(chunks, questions, detectors)
-    states = resolve.evaluate(questions, claims)
-    h = resolve.hypotheses(claims)
-    by_rule = resolve.narrow(h, preferences).select("question_id", F.struct("value", "source_type", "scope_operator", "rule").alias("ruled"))
-    by_order = resolve.first_active(h).select("question_id", F.struct("value", "source_type", "scope_operator", F.lit(None).cast("string").alias("rule")).alias("earliest"))
-    out = states.withColumnRenamed("state", "found").join(by_rule, "question_id", "left").join(by_order, "question_id", "left")
-    out = out.withColumn("winner", F.when(F.col("found") == "conflicting", F.col("ruled")).when(F.col("found") == "supported", F.col("earliest")))
+    # a row per intent
+    of = preferences.groupBy("intent").agg(F.collect_list(F.struct("source_type", "priority")).alias("registry"))
+    out = _gathered(questions, claims).withColumnRenamed("state", "found").join(of, "intent", "left")
+    priority = lambda claim: F.get(F.filter("registry", lambda p: p["source_type"] == claim["source_type"]), F.lit(0))["priority"]
+    ranked = F.transform("claims", lambda x, k: F.when(priority(x).isNotNull(), F.struct(priority(x).alias("priority"), k.alias("at"))))
+    best = F.array_min(F.array_compact(ranked))
+    ruled = F.when(F.col("best").isNotNull(), _winner(F.get("claims", F.col("best.at")), F.concat(F.lit("rule_"), F.col("best.priority").cast("string"))))
+    earliest = _winner(F.get("claims", F.lit(0)), F.lit(None))
+    out = out.withColumn("best", best).withColumn("winner", F.when(F.col("found") == "conflicting", ruled).when(F.col("found") == "supported", earliest))
     settled = (F.col("found") == "conflicting") & F.col("winner").isNotNull()
     out = out.withColumn("active_after", F.when(settled, F.lit(1).cast("long")).otherwise(F.col("n_active")))
     out = out.withColumn("state", F.when(settled, F.lit("supported")).otherwise(F.col("found")))
@@ -53,9 +80,8 @@ def answer_alternative(chunks: DataFrame, questions: DataFrame, detectors: str |
     """A row per question, without priorities: a second retrieval by the second query adds to the evidence of
     the first. Values that differ stall; values that agree are answered, and the goal stays open all the same."""
     claims = claims_of(chunks, questions, detectors, 1).unionByName(claims_of(chunks, refined(questions), detectors, 2))
-    states = resolve.evaluate(questions, claims)
-    earliest = resolve.first_active(resolve.hypotheses(claims)).select("question_id", F.struct("value", "source_type", "scope_operator").alias("earliest"))
-    out = states.join(earliest, "question_id", "left").withColumn("winner", F.when(F.col("state") != "conflicting", F.col("earliest")))
+    out = _gathered(questions, claims)
+    out = out.withColumn("winner", F.when((F.col("state") != "conflicting") & F.col("claims").isNotNull(), _winner(F.get("claims", F.lit(0)), F.lit(None))))
     return out.select(
         "question_id", "n_evidence", "n_hypotheses", "state", "tensions", (F.col("state") == "conflicting").alias("stalled"),
         F.col("winner.value").alias("answer"), "winner.source_type", "winner.scope_operator", F.lit("open").alias("goal"),

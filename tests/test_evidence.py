@@ -64,6 +64,70 @@ def test_detectors_need_their_context(spark):
     assert extract(corpus(spark, "c", texts), "base").count() == 0
 
 
+def claim_of(spark, text, detectors, kind="prose"):
+    r = extract(corpus(spark, "c", [("a", "b", kind, text)]), detectors).collect()
+    return [(x.pos, x.value, x.scope_operator, x.evidence) for x in r]
+
+
+@pytest.mark.parametrize(
+    ("text", "claim"),
+    [
+        ("It provides 3 special methods.", (3, None, "provides 3 special methods.")),
+        ("so we\n implemented Two SPECIAL method\nrest", (2, None, "we\n implemented Two SPECIAL method")),
+        ("It defines one special method not  counting  a b c .\n", (1, "not  counting a b c", "defines one special method not  counting  a b c .")),
+        ("It defines one special method excluding x, y\nmore", (1, "excluding x, y", "defines one special method excluding x, y")),
+        ("It defines two special methods and implements five special methods.", (5, None, "implements five special methods.")),
+        ("It defines two special methods .", None), ("It defines two special methods", None), ("It defines two special methods excluding that", None), ("It defines two special methods excluding.", None),
+        ("It redefines two special methods.", None), ("It defines two, special methods.", None), ("It defines two specials methods.", None), ("It defines eleven special methods. It defines two special methods.", None),
+    ],
+)
+def test_stated_counts(spark, text, claim):
+    assert claim_of(spark, text, "base") == ([(0, *claim)] if claim else [])
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("the special method __a__ , __b__", 2), ("The  special methods __a__,__b__,\nand __c__, __d__", 3), ("the special methods __a__, __b__ and __c__", 2), ("the special methods __a__, __b__, or", 2),
+        ("the special methods __a__, and more. the special methods __x__, __y_z__", 2), ("the special methods __a__ and __b__", None), ("special methods __a__, __b__", None), ("the special methods a, __b__", None), ("the special methods __a__, _b_", None),
+    ],
+)
+def test_listed_names(spark, text, names):
+    got = [(p, v) for p, v, *_ in claim_of(spark, text, "base")]
+    assert got == ([(1, names)] if names else [])
+
+
+@pytest.mark.parametrize(
+    ("text", "n"),
+    [("def __a__(self): def __a__(x)", 2), ("def\n__a__ (x)", 1), ("def a(x)", None), ("def __a__:", None), ("__a__(x)", None), ("def __a_b__(x) def __(x) def ____(y)", 1)],
+)
+def test_defined_names(spark, text, n):
+    assert [(p, v, e) for p, v, _, e in claim_of(spark, text, "base", "code")] == ([(2, n, f"{n} dunder def(s) in code body")] if n else [])
+    assert claim_of(spark, text, "base") == []
+
+
+@pytest.mark.parametrize(
+    ("text", "claim"),
+    [
+        (">>>len(x)\n5", (5, ">>>len(x)\n5")), ("a >>> x\n1\n>>>  len( d.e )  \n\n  12 rest", (12, ">>>  len( d.e )  \n\n  12")), (">>> len(x) 5", None), (">>> len(x)\n5x", None), (">>> Len(x)\n5", None),
+        (">>> len(x)\nNone\n>>> len(y)\n7", (7, ">>> len(y)\n7")), (">>> len(x", None), ("len(x)\n5", None), (">>> len(f(x))\n5", None),
+    ],
+)
+def test_printed_lengths(spark, text, claim):
+    assert [(p, v, e) for p, v, _, e in claim_of(spark, text, "no_author_phrase")] == ([(3, *claim)] if claim else [])
+
+
+@pytest.mark.parametrize(
+    ("text", "claim"),
+    [
+        ("a Deck of 52 cards.", (52, "Deck of 52 cards")), ("List  made\nof ten element", (10, "List  made\nof ten element")), ("a set of three Itemsets", (3, "set of three Items")), ("subset of two cards", (2, "set of two cards")),
+        ("a deck of many cards and a set of two cards", None), ("a pack of 52 cards", None), ("made of two cards", None), ("a deck of 52 big cards", None), ("a deck of things, a set of two cards", (2, "set of two cards")),
+    ],
+)
+def test_counted_things(spark, text, claim):
+    assert [(p, v, e) for p, v, _, e in claim_of(spark, text, "extended")] == ([(1, *claim)] if claim else [])
+
+
 def test_primary_narrows_by_priority(spark):
     a = primary(spark, VECTOR, Q_VECTOR)
     assert (a.n_evidence, a.n_hypotheses, a.found, a.state, a.rule, a.answer, a.goal) == (3, 3, "conflicting", "supported", "rule_1", 5, "solved")
