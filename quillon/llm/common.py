@@ -9,18 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters.
-SPACE_CLASS = r"[\x20\x09-\x0D]+"
+SPACE_CLASS, SPACES = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
 
 _own_dir: list[str] = []
 _paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, only where that is
-    unset (tests in local mode), a fresh temporary folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a fresh temporary
+    folder in local mode; elsewhere, where machines do not share one, an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="quillon-"))
     return "file://" + _own_dir[0]
@@ -72,7 +74,8 @@ def quoted(name: str) -> Column:
 
 def words_of(text: Column) -> Column:
     """The array of words of a text; null and blank texts give an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE_CLASS))
 
 
 def word_count(text: Column) -> Column:

@@ -22,7 +22,8 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,20 +71,22 @@ def _grams(words: list[str]) -> set[tuple[str, ...]]:
 class ClassIndex:
     """Postings of the items of one length class, in blocks with their greatest impacts."""
 
-    def __init__(self, width: int, items: list[tuple[int, str, list[str]]]) -> None:
+    def __init__(self, width: int, items: list[tuple[int, str, list[str]]], n: int, mean: float, df: dict[str, int]) -> None:
+        """``n``, ``mean`` and ``df`` count all items of the class: their number, mean length and document
+        frequencies, whichever of them ``items`` are."""
         self.width, self.ids = width, [i for i, _, _ in items]
         self.parts = [tuple(map(_grams, question_and_answer(text))) for _, text, _ in items]
         self.whole = [_grams(words) for _, _, words in items]
         counts = [Counter(words) for _, _, words in items]
-        df = Counter(w for c in counts for w in c)
-        mean = sum(len(w) for _, _, w in items) / len(items)
-        idf = {w: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
-        self.terms = {w: k for k, w in enumerate(df)}
-        self.docs: list[list[int]] = [[] for _ in df]
-        self.impacts: list[list[float]] = [[] for _ in df]
+        self.terms: dict[str, int] = {}
+        for w in (w for c in counts for w in c):
+            self.terms.setdefault(w, len(self.terms))
+        idf = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in self.terms}
+        self.docs: list[list[int]] = [[] for _ in self.terms]
+        self.impacts: list[list[float]] = [[] for _ in self.terms]
         for d, c in enumerate(counts):
             norm = K1 * (1 - B + B * sum(c.values()) / mean)
-            own = {w: idf[w] * n * (K1 + 1) / (n + norm) for w, n in c.items()}
+            own = {w: idf[w] * tf * (K1 + 1) / (tf + norm) for w, tf in c.items()}
             total = sum(own.values())
             for w, x in own.items():
                 self.docs[self.terms[w]].append(d)
@@ -91,7 +94,7 @@ class ClassIndex:
         self.block_max = [[max(p[k : k + BLOCK]) for k in range(0, len(p), BLOCK)] for p in self.impacts]
         self.most = [max(p) for p in self.impacts]
         step = max(RANGE, -(-len(items) // MAX_RANGES))
-        self.range_max = np.zeros((len(df) + 1, -(-len(items) // step)), dtype=np.float32)  # its last row: no term
+        self.range_max = np.zeros((len(self.terms) + 1, -(-len(items) // step)), dtype=np.float32)  # its last row: no term
         for t, (own, impacts) in enumerate(zip(self.docs, self.impacts)):
             np.maximum.at(self.range_max[t], np.array(own) // step, impacts)
 
@@ -169,14 +172,33 @@ class ClassIndex:
         return best
 
 
-def build_indexes(items: list[tuple[int, str]]) -> list[ClassIndex]:
-    """One index per length class. Items without a word cannot be found and are left out."""
-    classes: dict[int, list] = {}
+def width_of(words: list[str]) -> int:
+    """The length class of an item."""
+    return max(SMALLEST_CLASS, 1 << (len(words) - 1).bit_length())
+
+
+def class_counts(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(width, n, mean) of each length class, and (width, word, df) of its words, over the whole benchmark. Items
+    without a word are of no class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [w for t in b.column("text").to_pylist() if (w := tokens(t))]
+            columns = (map(width_of, words), pa.int32()), (map(len, words), pa.int64()), ((sorted(set(w)) for w in words), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in columns], names=["width", "words", "distinct"])
+
+    items = staged(benchmark.select("text").mapInArrow(run, "width int, words long, distinct array<string>"), "decontamination-items")
+    classes = items.groupBy("width").agg(F.count("*").alias("n"), F.avg("words").alias("mean"))
+    return classes, items.select("width", F.explode("distinct").alias("word")).groupBy("width", "word").agg(F.count("*").alias("df"))
+
+
+def build_indexes(items: list[tuple[int, str]], classes: dict[int, tuple[int, float]], df: dict[int, dict[str, int]]) -> list[ClassIndex]:
+    """One index per length class, by the counts of all items. Items without a word cannot be found and are left out."""
+    of: dict[int, list] = {}
     for item, text in sorted(items, key=lambda x: (x[0] is None, x[0], x[1])):
         if words := tokens(text):
-            width = max(SMALLEST_CLASS, 1 << (len(words) - 1).bit_length())
-            classes.setdefault(width, []).append((item, text, words))
-    return [ClassIndex(width, of) for width, of in sorted(classes.items())]
+            of.setdefault(width_of(words), []).append((item, text, words))
+    return [ClassIndex(width, some, *classes[width], df[width]) for width, some in sorted(of.items())]
 
 
 def hits_of(text: str | None, indexes: list[ClassIndex]) -> list[dict]:
@@ -188,31 +210,49 @@ def hits_of(text: str | None, indexes: list[ClassIndex]) -> list[dict]:
 def with_hits(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``docs`` with ``hits``: the benchmark items that each text contains, by item_id.
 
+    Document frequencies and lengths are counted over the whole benchmark, so scores do not depend on how many
+    indexes it takes.
+
     A null text has none. Items of equal text are each reported. Texts are read whole, equal rows get equal
     hits, an empty table stays empty and an empty benchmark gives no hits; an input column named hits is
     replaced. A benchmark of more than ``index_bytes`` is dealt by hash over several indexes, each of which
     all texts are searched in; no worker holds more than one."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rounds = -(-size // index_bytes)
-    docs = without(docs, "hits", "__row")
+    docs = without(docs, "hits")
     names = [quoted(c) for c in docs.columns]
     if rounds == 0:
         return docs.select(*names, F.array().cast(HIT).alias("hits"))
+    searchers = _searchers(benchmark, rounds)
     if rounds == 1:
-        return docs.select(*names, _searcher(benchmark)(F.col("text")).alias("hits"))
+        return docs.select(*names, searchers[0](F.col("text")).alias("hits"))
     rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "decontamination-rows")
-    parts = [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k) for k in range(rounds)]
-    found = reduce(DataFrame.unionByName, [staged(rows.select("__row", F.inline(_searcher(p)(F.col("text")))), "decontamination-hits") for p in parts])
+    found = reduce(DataFrame.unionByName, [staged(rows.select("__row", F.inline(search(F.col("text")))), "decontamination-hits") for search in searchers])
     hits = found.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("item_id", "score", "question", "answer"))).alias("hits"))
     return rows.join(hits, "__row", "left").select(*names, F.coalesce("hits", F.array().cast(HIT)).alias("hits"))
 
 
-def _searcher(benchmark: DataFrame):  # noqa: ANN202
-    """A function of texts. The items collected are those of one index: its bytes are bounded, give or take
-    the spread of the hash that deals them."""
-    items = [(r["item_id"], r["text"]) for r in benchmark.where(F.col("text").isNotNull()).select("item_id", "text").collect()]
-    # as bytes that carry their classes: executors need no copy of the package
-    held = benchmark.sparkSession.sparkContext.broadcast(cloudpickle.dumps(build_indexes(items)))
+def _searchers(benchmark: DataFrame, rounds: int) -> list:
+    """Functions of texts, one an index. What is collected for each are its items and the counts of their words:
+    its bytes are bounded, give or take the spread of the hash that deals the items."""
+    classes, words = class_counts(benchmark)
+    of_class = {r["width"]: (r["n"], r["mean"]) for r in classes.collect()}
+    words, out = staged(words, "decontamination-words"), []
+    for k in range(rounds):
+        part = benchmark.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k))
+        items, df = [(r["item_id"], r["text"]) for r in part.select("item_id", "text").collect()], {}
+        if rounds == 1:
+            counts = words
+        else:
+            counts = words.join(class_counts(part)[1].select("width", "word"), ["width", "word"])
+        for r in counts.collect():
+            df.setdefault(r["width"], {})[r["word"]] = r["df"]
+        # as bytes that carry their classes: executors need no copy of the package
+        out.append(_search(benchmark.sparkSession.sparkContext.broadcast(cloudpickle.dumps(build_indexes(items, of_class, df)))))
+    return out
+
+
+def _search(held: Broadcast):  # noqa: ANN202
 
     @F.pandas_udf(HIT)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -224,8 +264,9 @@ def _searcher(benchmark: DataFrame):  # noqa: ANN202
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text contains no benchmark item."""
-    return with_hits(docs, benchmark).where(F.size("hits") == 0).select(*[quoted(c) for c in without(docs, "hits").columns])
+    """The rows of ``docs`` whose text contains no benchmark item, with all their columns."""
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("__doc"), "text")
+    return with_hits(rows, benchmark).where(F.size("hits") == 0).select("__doc.*")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

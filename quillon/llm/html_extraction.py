@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page is parsed into a tree of its block elements. Every node is main text or not: its own features (tag,
-words in class and id, links, length of text) give its potential, and parent and child are tied by a
+words in class and id, links, length, sentences and share of text) give its potential, and parent and child are tied by a
 potential that depends on the child's kind of tag. Sum-product messages, once up and once down the tree,
 give each node's marginal; the text of nodes with a marginal of one half or more is kept. The weights
 maximise the conditional likelihood of labelled pages, with gradients from the same messages.
@@ -47,7 +47,8 @@ NAMES = {
 }
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea".split())
-SKIPPED = frozenset("head template iframe svg math noscript select button object audio video canvas".split())
+#: Controls and what is not part of the page's own text; other elements without a kind hand their text to their parent.
+SKIPPED = frozenset("template iframe select button datalist".split())
 _KIND = {tag: k for k, tags in enumerate(KINDS.values()) for tag in tags.split()}
 _NAME = {w: k for k, words in enumerate(NAMES.values()) for w in words.split()}
 #: Opening one of the first closes an open one of the second, unless a third stands between.
@@ -59,7 +60,8 @@ _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LABEL = re.compile(r'data-y="([01])"')
 N_KINDS, N_NAMES = len(KINDS), len(NAMES)
-N_FEATURES = 1 + N_KINDS + N_NAMES + 8
+N_FEATURES = 1 + N_KINDS + N_NAMES + 16
+_SENTENCE = re.compile(r"[.!?](?:\s|$)")
 
 
 @dataclass
@@ -73,15 +75,13 @@ class Tree:
     label: list[int] = field(default_factory=list)
     words: list[int] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
+    sentences: list[int] = field(default_factory=list)
     runs: list[tuple[int, str]] = field(default_factory=list)
 
 
 def parse(html: str | None) -> Tree:
     """A page's tree of block elements; never fails, whatever the markup."""
     t, html = Tree(), html or ""
-    lower = html.lower()
-    if len(lower) != len(html):  # a letter whose lower case is longer: offsets must agree
-        lower = "".join(c.lower() if c < "\x80" else c for c in html)
     stack: list[tuple[str, int]] = []
     run: list[str] = []
     links = 0  # open anchors
@@ -98,6 +98,7 @@ def parse(html: str | None) -> Tree:
         t.names.append(names)
         t.words.append(0)
         t.linked.append(0)
+        t.sentences.append(0)
         stack.append((tag, len(t.parent) - 1))
 
     def flush() -> None:
@@ -109,6 +110,7 @@ def parse(html: str | None) -> Tree:
             t.runs.append((at, text))
             t.words[at] += text.count(" ") + 1
             t.linked[at] += link_words
+            t.sentences[at] += len(_SENTENCE.findall(text))
         run.clear()
         link_words = 0
 
@@ -129,17 +131,17 @@ def parse(html: str | None) -> Tree:
         closing, attrs = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in RAW or tag in SKIPPED:
             if not closing and not (attrs.endswith("/") and tag in SKIPPED):
-                end = lower.find(f"</{tag}", at)
-                if end >= 0:
-                    at = max(lower.find(">", end) + 1, end + len(tag) + 2)
+                if end := _end_of(tag).search(html, at):
+                    at = end.end()
                 elif tag in RAW:
                     at = len(html)
             continue
         if tag == "a":
             links = max(0, links + (-1 if closing else 1))
         if tag in VOID:
-            run.append(" ")
-            if tag == "hr":
+            if tag == "br":
+                run.append(" ")
+            elif tag == "hr":
                 flush()
             continue
         if tag not in _KIND:
@@ -172,6 +174,12 @@ def parse(html: str | None) -> Tree:
     return t
 
 
+@lru_cache(maxsize=16)
+def _end_of(tag: str) -> re.Pattern:
+    """The end tag of a name, whole, up to its end."""
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I | re.A)
+
+
 def node_features(t: Tree) -> np.ndarray:
     n = len(t.parent)
     x = np.zeros((n, N_FEATURES), dtype=np.float32)
@@ -180,15 +188,26 @@ def node_features(t: Tree) -> np.ndarray:
     for i, names in enumerate(t.names):
         for k in names:
             x[i, 1 + N_KINDS + k] = 1
-    words, linked = np.array(t.words, dtype=float), np.array(t.linked, dtype=float)
+    words, linked, sentences = (np.array(v, dtype=float) for v in (t.words, t.linked, t.sentences))
+    parent, kind = np.array(t.parent, dtype=np.int64), np.array(t.kind, dtype=np.int64)
+    blocks = np.isin(kind, (_KIND["p"], _KIND["h1"], _KIND["pre"])).astype(float)
     for i in range(n - 1, 0, -1):  # sums over subtrees; children come after parents
-        if t.parent[i] >= 0:
-            words[t.parent[i]] += words[i]
-            linked[t.parent[i]] += linked[i]
+        if (p := t.parent[i]) >= 0:
+            words[p] += words[i]
+            linked[p] += linked[i]
+            sentences[p] += sentences[i]
+            blocks[p] += blocks[i]
     share = linked / np.maximum(words, 1)
+    all_words = max(1.0, words[parent < 0].sum())
+    of_parent = words / np.maximum(np.where(parent >= 0, words[parent], all_words), 1)
+    of_page = words / all_words
     base = 1 + N_KINDS + N_NAMES
-    for k, on in enumerate((words == 0, (words > 0) & (words <= 5), (words > 5) & (words <= 20), words > 20, words > 100, share > 0.5, share > 0.9, np.array(t.words) > 0)):
-        x[:, base + k] = on
+    on = (
+        words == 0, (words > 0) & (words <= 5), (words > 5) & (words <= 20), words > 20, words > 100, share > 0.5, share > 0.9, np.array(t.words) > 0,
+        sentences == 0, sentences > 2, blocks > 1, (blocks > 1) & (share < 0.3), of_page > 0.25, of_page > 0.6, of_parent > 0.5, (kind == _KIND["h1"]) & (share < 0.5),
+    )
+    for k, column in enumerate(on):
+        x[:, base + k] = column
     return x
 
 

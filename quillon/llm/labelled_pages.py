@@ -24,10 +24,20 @@ def _attr(rng: random.Random, *names: str) -> str:
     return f' {rng.choice(["class", "id"])}="{name}{rng.choice(["", "", " c" + str(rng.randint(1, 99))])}"' if name else ""
 
 
+def _plain(rng: random.Random) -> str:
+    """An attribute that tells nothing, or none."""
+    return rng.choice(["", f' class="c{rng.randint(1, 99)}"', f' id="x{rng.randint(1, 9)}"'])
+
+
 def _links(rng: random.Random, n: int) -> str:
     return "".join(f'<li><a href="/{k}">{_words(rng, rng.randint(1, 4))}</a></li>' for k in range(n))
 
 
+def _linked(rng: random.Random) -> str:
+    """A paragraph that is a link, but for a few words at most."""
+    return f'<p>{rng.choice(["", _words(rng, 2) + " "])}<a href="/x">{_sentences(rng, rng.randint(1, 2))}</a></p>'
+
+
 def _block(rng: random.Random) -> str:
     kind = rng.random()
     if kind < 0.62:
@@ -37,6 +47,8 @@ def _block(rng: random.Random) -> str:
         if rng.random() < 0.2:
             text += f' <a href="/x">{_words(rng, 2)}</a> {_words(rng, 5)}.'
         return f"<p>{text}" + rng.choice(["</p>", "</p>", ""])
+    if kind < 0.65:
+        return _linked(rng)
     if kind < 0.7:
         return f"<p>{_words(rng, rng.randint(1, 4))}</p>"
     if kind < 0.78:
@@ -63,6 +75,8 @@ def _chrome(rng: random.Random) -> str:
         lambda: f'<div data-y="0" class="{rng.choice(["cookie", "notice", "consent", "newsletter", "popup"])}"><p>{_sentences(rng, rng.randint(1, 3))}</p></div>',
         lambda: f'<form data-y="0"{_attr(rng, "search", "login", "signup")}><p>{_words(rng, 5)}</p><label>{_words(rng, 2)}</label></form>',
         lambda: f'<div data-y="0" class="{rng.choice(["share", "social", "follow"])}"><ul>{_links(rng, 4)}</ul></div>',
+        lambda: f'<{(t := rng.choice(["div", "section"]))} data-y="0"{_plain(rng)}><ul>{_links(rng, rng.randint(3, 8))}</ul></{t}>',
+        lambda: f'<div data-y="0"{_plain(rng)}>' + " | ".join(f'<a href="/{k}">{_words(rng, rng.randint(1, 3))}</a>' for k in range(rng.randint(2, 6))) + "</div>",
     ])()
 
 
@@ -79,10 +93,11 @@ def page(seed: int) -> str:
     if rng.random() < 0.5:
         out.append(f'<header data-y="0"{_attr(rng, "header", "masthead")}>{rng.choice(["<h1>", "<p>"])}{_words(rng, 3)}{rng.choice(["</h1>", "</p>"])}<ul>{_links(rng, 3)}</ul></header>')
     out += [_chrome(rng) for _ in range(rng.randint(0, 3))]
-    tag, attr = rng.choice([("article", ""), ("article", _attr(rng, "post", "entry")), ("main", ""), ("div", ' class="content"'), ("div", ' id="article"'), ("div", ' class="post-body"'), ("section", ' class="story text"')])
+    tag, attr = rng.choice([("article", ""), ("article", _attr(rng, "post", "entry")), ("main", ""), ("div", ' class="content"'), ("div", ' id="article"'), ("div", ' class="post-body"'), ("section", ' class="story text"'), ("div", _plain(rng)), ("section", _plain(rng)), ("article", _plain(rng))])
     title = f"<h1>{_words(rng, rng.randint(1, 12))}</h1>"
     inside = [f"<header>{title}</header>" if rng.random() < 0.2 else title] if rng.random() < 0.8 else []
-    inside += [_block(rng) for _ in range(rng.choice([1, 2, 3, 5, 8, 12]))]
+    n = rng.choice([1, 2, 3, 5, 8, 12])
+    inside += [_linked(rng) if n == 1 and rng.random() < 0.3 else _block(rng) for _ in range(n)]
     for _ in range(rng.choice([0, 0, 0, 1])):
         inside.insert(rng.randint(0, len(inside)), _chrome(rng))
     if rng.random() < 0.15:

@@ -26,8 +26,8 @@ CAP = 2
 SEED = 77
 #: Words that the dynamic programme fits, at most (and the longest document more).
 DP_WORDS = 32_768
-#: Tables of up to so many rows (of under 100 bytes) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+#: Tables of up to so many bytes are broadcast; larger ones are joined by a shuffle over salted keys.
+BROADCAST_BYTES = 32 << 20
 SALTS = 32
 ADDED = ("size", "source_size", "target", "times", "taken")
 
@@ -36,18 +36,33 @@ def source_targets(sizes: DataFrame, share: float = SHARE, cap: int = CAP, weigh
     """(source, source_size) -> those with ``target``: ``share`` of all sizes by weight, where no source is
     above ``cap`` times its size and what that cuts off is shared by weight among the others.
 
-    Weights repeat over the sources in code point order, null last. One row per source is sorted."""
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    out = sizes.withColumn("w", F.element_at(F.lit([float(w) for w in weights]), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1))
-    out = out.withColumn("most", F.col("source_size") * float(cap)).withColumn("fill", F.col("most") / F.col("w"))
-    order = Window.orderBy("fill", F.col("source").isNull(), "source")
-    upto, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(whole) * share - F.coalesce(F.sum("most").over(upto), F.lit(0.0))
-    level = left / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(upto), F.lit(0.0)))
-    out = out.withColumn("level", level)
-    final = F.first(F.when(F.col("fill") > F.col("level"), F.col("level")), ignorenulls=True).over(whole)
-    out = out.withColumn("target", F.least("most", F.coalesce(F.col("w") * final, F.col("most"))))
-    return out.select("source", "source_size", "target")
+    Weights repeat over the sources in code point order, null last. Sources may be many: they are ranked over
+    sorted partitions, and the level at which the targets add up is found by sums over all of them, each of which
+    finds more of the sources that are at their most."""
+    weight = F.element_at(F.lit([float(w) for w in weights]), F.pmod("rank", F.lit(len(weights))).cast("int") + 1)
+    out = _ranked(sizes, F.col("source").isNull(), F.col("source")).withColumn("w", weight)
+    out = staged(out.select("source", "source_size", "w", (F.col("source_size") * float(cap)).alias("most")), "mix-sources")
+    budget, level, before = share * float(out.agg(F.sum("source_size")).first()[0] or 0), 0.0, None
+    full = lambda: F.col("most") <= F.col("w") * level
+    while before != level:
+        before = level
+        n, at_most, open_ = out.agg(F.count_if(~full()), F.sum(F.when(full(), F.col("most"))), F.sum(F.when(~full(), F.col("w")))).first()
+        if not n:
+            break
+        level = max(level, (budget - (at_most or 0.0)) / open_)
+    return out.select("source", "source_size", F.least("most", F.col("w") * level).alias("target"))
+
+
+def _ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``rank`` (from 0) in this order: partitions by range, and a number for each row of a partition.
+    One row a partition is summed up."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = staged(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "mix-ranks")
+    numbered = numbered.withColumn("__part", F.shiftright("__id", 33))
+    sums = numbered.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row a partition, of which there are shuffle.partitions
+    return numbered.join(F.broadcast(sums.select("__part", before.alias("__before"))), "__part").withColumn("rank", F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__part", "__before")
 
 
 def fit_lengths(sizes: np.ndarray, counts: np.ndarray, target: float, cap: int = CAP, seed: int = SEED) -> tuple[int, np.ndarray]:
@@ -107,9 +122,10 @@ def _knapsack(sizes: np.ndarray, free: np.ndarray, budget: int, order: np.ndarra
 
 
 def _joined(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Joins on keys that may be null and may be hot: by a broadcast where ``small`` has BROADCAST_ROWS at
-    most, else over salted keys."""
-    if small.count() <= BROADCAST_ROWS:
+    """Joins on keys that may be null and may be hot: by a broadcast where ``small`` has BROADCAST_BYTES at
+    most (of text, and 16 for every other value), else over salted keys."""
+    bytes_ = sum((F.octet_length(F.coalesce(c, F.lit(""))) if t == "string" else F.lit(16) for c, t in small.dtypes), F.lit(8))
+    if (small.agg(F.sum(bytes_)).first()[0] or 0) <= BROADCAST_BYTES:
         return _null_safe(rows, F.broadcast(small), keys, how)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return _null_safe(rows.withColumn("__salt", F.pmod("__key", F.lit(SALTS)).cast("int")), salted, [*keys, "__salt"], how).drop("__salt")
@@ -169,10 +185,10 @@ def _with_cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def draw_mix(docs: DataFrame, **how: object) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as ``mix_sources`` says, with its own columns."""
-    mixed = mix_sources(docs, **how).where("times > 0")
-    names = [quoted(c) for c in without(docs, *ADDED).columns]
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*names)
+    """The mix itself: every row of ``docs`` as often as ``mix_sources`` says, with all its columns."""
+    rows = docs.select("doc_id", "source", "text", F.struct(*[quoted(c) for c in docs.columns]).alias("__doc"))
+    mixed = mix_sources(rows, **how).where("times > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("__doc.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

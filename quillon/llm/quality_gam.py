@@ -12,7 +12,7 @@ Arrow batches.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -179,22 +179,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Additive:
-    """Fits on about ``max_rows`` labelled documents at most, outside the held-out third. Contradicting labels of an
-    id count as bad; null labels and ids are ignored."""
+    """Fits on about ``max_rows`` labelled ids at most, outside the held-out third, and on one document of each:
+    of several of an id, that of the least hash. Contradicting labels of an id count as bad; null labels and ids
+    are ignored."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = bounded_sample(known.groupBy("doc_id").agg(F.min("quality").alias("quality")), max_rows, 5)
     measure = F.pandas_udf(lambda text: pd.Series([features(t) for t in text]), "array<double>")
-    # bounded by max_rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", measure("text").alias("x"), "doc_id")
-    got = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["x"]))
+    # bounded by max_rows, as is the number of groups
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), measure("text").alias("x"))
+    one = rows.groupBy("doc_id", "quality").agg(F.min(F.struct("h", "x")).alias("of")).select("doc_id", "quality", "of.x")
+    got = sorted(one.collect())
     return fit(np.array([r["x"] for r in got], dtype=float).reshape(-1, len(FEATURES)), np.array([float(r["quality"] > 0) for r in got]))
 
 
-def score_quality(docs: DataFrame, model: Additive) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, of the text alone) and ``predicted`` (1 if score >= 0.5, else 0).
-
-    Null texts score as empty ones. Equal texts score equally, texts are read whole, an empty table stays
-    empty; input columns of the added names are replaced."""
+def score_of(model: Additive) -> Callable[[Column], Column]:
+    """The model as a function of a text column."""
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -202,7 +201,20 @@ def score_quality(docs: DataFrame, model: Additive) -> DataFrame:
             x = np.array([features(t) for t in texts], dtype=float).reshape(-1, len(FEATURES))
             yield pd.Series(model.score(x))
 
-    out = without(docs, "score", "predicted").withColumn("score", scored(F.col("text")))
+    return scored
+
+
+def keep_quality(docs: DataFrame, model: Additive) -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more, with all their columns."""
+    return docs.where(score_of(model)(F.col("text")) >= 0.5)
+
+
+def score_quality(docs: DataFrame, model: Additive) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1, of the text alone) and ``predicted`` (1 if score >= 0.5, else 0).
+
+    Null texts score as empty ones. Equal texts score equally, texts are read whole, an empty table stays
+    empty; input columns of the added names are replaced."""
+    out = without(docs, "score", "predicted").withColumn("score", score_of(model)(F.col("text")))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

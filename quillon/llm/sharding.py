@@ -22,6 +22,8 @@ N_SHARDS = 8
 SEED = 20_240_611
 #: Input partitions are folded into so many cells at most: the matrix has MAX_PARTS x shards entries.
 MAX_PARTS = 16_384
+#: Rows up to which numpy draws the hypergeometric law.
+GENERATOR_ROWS = 1_000_000_000
 #: A shard is permuted in random blocks of about so many rows, one task each.
 ROWS_PER_BLOCK = 1_000_000
 
@@ -42,22 +44,43 @@ def communication_matrix(parts: dict[int, int], n_shards: int, seed: int) -> dic
 
 
 def _draw(room: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """One multivariate hypergeometric draw; beyond the generator's range of 10^9, a normal approximation
-    of each conditional law, clipped to what is possible, keeps the margins exact."""
+    """One multivariate hypergeometric draw, shard by shard."""
     got, left = np.zeros_like(room), int(room.sum())
     for s, cap in enumerate(room.tolist()):
         rest = left - cap
-        if left < 1_000_000_000:
-            k = int(rng.hypergeometric(cap, rest, n)) if n and left else 0
-        else:
-            mean = n * cap / left
-            sd = (max(0.0, mean * (rest / left) * ((left - n) / max(1, left - 1)))) ** 0.5
-            k = round(rng.normal(mean, sd))
-        k = min(max(k, n - rest, 0), cap, n)
-        got[s], n, left = k, n - k, rest
+        got[s] = hypergeometric(cap, rest, n, rng)
+        n, left = n - int(got[s]), rest
     return got
 
 
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of n rows drawn without replacement are good: numpy's generator within its range of 10^9 rows, beyond
+    it inversion of the same law."""
+    if not n or not good:
+        return 0
+    if good + bad < GENERATOR_ROWS:
+        return int(rng.hypergeometric(good, bad, n))
+    first, law = hypergeometric_law(good, bad, n)
+    upto = np.cumsum(law)
+    return first + int(np.searchsorted(upto, rng.random() * upto[-1], side="right"))
+
+
+def hypergeometric_law(good: int, bad: int, n: int) -> tuple[int, np.ndarray]:
+    """The probabilities of first, first + 1, ... good rows, up to a common factor: all within twelve standard
+    deviations of the mode. What lies beyond has less than 10^-30 together, under the steps of a drawn number.
+
+    Each comes from its neighbour by the exact ratio of the two, so that nothing is lost to factorials of large
+    numbers."""
+    total = good + bad
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = 50 + int(12 * (n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5)
+    first, last = max(0, n - bad, mode - reach), min(good, n, mode + reach)
+    k = np.arange(first, last, dtype=np.float64)
+    steps = np.log((good - k) / (k + 1) * ((n - k) / (bad - n + k + 1)))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    return first, np.exp(logs - logs.max())
+
+
 def shard_uniformly(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """All rows and columns of ``docs`` with ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 within
     its shard, in random order).

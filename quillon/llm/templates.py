@@ -367,6 +367,23 @@ def _step(node: tuple) -> Callable[[Scope, bool], Iterator[Piece]]:
 
 
 def compile_template(source: str) -> Callable[[Iterable[dict]], Iterator[Piece]]:
-    """A function from messages (dicts; any iterable, read once) to pieces of text with their generation mark."""
-    run = _closure(fold(parse(source)))
-    return lambda messages: run({"messages": messages}, False)
+    """A function from messages (dicts; any iterable, read once) to pieces of text with their generation mark.
+
+    A template that uses ``messages`` once, as what a loop outside of all loops goes over, renders them as they
+    come. Any other is given them as a list: it may go over them again, count them or pick some."""
+    body = fold(parse(source))
+    run, streams = _closure(body), _uses(body) == 1 and _outer_loops(body) == 1
+    return lambda messages: run({"messages": messages if streams else list(messages)}, False)
+
+
+def _uses(node: Any) -> int:
+    """How often ``messages`` is named in a tree."""
+    if isinstance(node, (list, tuple)):
+        return 1 if tuple(node) == ("name", "messages") else sum(map(_uses, node))
+    return 0
+
+
+def _outer_loops(body: list[tuple]) -> int:
+    """How many loops over ``messages`` stand in no other loop."""
+    inside = {"for": lambda x: int(x[2] == ("name", "messages")), "if": lambda x: sum(_outer_loops(b) for _, b in x[1]) + _outer_loops(x[2]), "generation": lambda x: _outer_loops(x[1])}
+    return sum(inside.get(x[0], lambda _: 0)(x) for x in body)

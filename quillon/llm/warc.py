@@ -26,6 +26,8 @@ from quillon.llm.common import bounded_sample, scratch_path, staged, table
 
 #: Fixed value: magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
+#: Fixed value: the first bytes of a compressed frame.
+FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 #: The dictionary is trained on about so many pages at most (chosen by hash), each of up to so many bytes.
 DICTIONARY_PAGES, DICTIONARY_PAGE_BYTES, DICTIONARY_BYTES = 400, 32_768, 65_536
 #: An archive is closed once it has so many bytes.
@@ -35,6 +37,10 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_BYTES = 1 << 20
 SALTS = 16
+#: Equal rows that one row of a plan stands for, at most.
+COPIES = 65_536
+#: What makes payloads equal: two hashes and the size.
+SAME = ("sha1", "check", "size")
 
 
 class ArchiveError(ValueError):
@@ -136,14 +142,23 @@ def read_archive(chunks: Iterator[bytes]) -> Iterator[dict]:
         size = struct.unpack("<I", buffer[4:8])[0]
         if not more(8 + size):
             raise ArchiveError("the dictionary frame ends early")
-        dictionary, buffer = zstandard.ZstdCompressionDict(buffer[8 : 8 + size]), buffer[8 + size :]
+        held, buffer = buffer[8 : 8 + size], buffer[8 + size :]
+        if held[:4] == FRAME_MAGIC:  # a dictionary may be compressed itself
+            try:
+                held = zstandard.ZstdDecompressor().decompressobj().decompress(held)
+            except zstandard.ZstdError as e:
+                raise ArchiveError(f"the dictionary cannot be decompressed: {e}") from e
+        dictionary = zstandard.ZstdCompressionDict(held)
     decoder = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     while more(1):
         frame, parts = decoder.decompressobj(), []
         while not frame.eof:
             if not more(1):
                 raise ArchiveError("the last frame ends early")
-            parts.append(frame.decompress(buffer))
+            try:
+                parts.append(frame.decompress(buffer))
+            except zstandard.ZstdError as e:
+                raise ArchiveError(f"a frame cannot be decompressed: {e}") from e
             buffer = frame.unused_data if frame.eof else b""
         yield decode_record(b"".join(parts))
 
@@ -170,17 +185,18 @@ def train_dictionary(pages: DataFrame) -> bytes:
 def _records(pages: DataFrame) -> DataFrame:
     """What to write: one response per payload, with html; revisits without."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha1"), F.octet_length(html).cast("long").alias("size"))
+    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha1"), F.xxhash64(html).alias("check"), F.octet_length(html).cast("long").alias("size"))
     of = F.max(F.struct("page_id", "url"))
-    responses = rows.groupBy("sha1").agg(F.first("html").alias("html"), F.first("size").alias("size"), of.alias("best"))
+    responses = rows.groupBy(*SAME).agg(F.first("html").alias("html"), of.alias("best"))
     responses = responses.select("best.page_id", "best.url", "html", "sha1", "size", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit"))
     # equal rows are counted, so that one of them can be the response; payloads stay out of the join
-    rows = rows.select("page_id", "url", "sha1", "size").groupBy("sha1", "page_id", "url", "size").agg(F.count("*").alias("n"))
-    shared = rows.groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("best"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
+    rows = rows.select("page_id", "url", *SAME).groupBy("page_id", "url", *SAME).agg(F.count("*").alias("n"))
+    shared = rows.groupBy(*SAME).agg(F.max(F.struct("page_id", "url")).alias("best"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
     shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    of_shared = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(shared.hint("merge"), ["sha1", "salt"])
+    of_shared = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(shared.hint("merge"), [*SAME, "salt"])
     is_best = F.col("page_id").eqNullSafe(F.col("best.page_id")) & F.col("url").eqNullSafe(F.col("best.url"))
-    again = of_shared.withColumn("n", F.col("n") - is_best.cast("long")).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    again = of_shared.withColumn("n", F.col("n") - is_best.cast("long")).where("n > 0").withColumn("some", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
+    again = again.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col("n") - F.col("some") * COPIES))))
     return responses.unionByName(again.select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha1", "size", F.col("best.page_id").alias("refers_to"), F.lit(True).alias("revisit")))
 
 

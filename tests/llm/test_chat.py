@@ -29,6 +29,29 @@ def test_language():
     assert render("{% for m in nothing %}x{% endfor %}{{ 7 % 4 }}{{ 'a\\nb' | length }}") == "33"
 
 
+def test_templates_that_go_over_the_turns_more_than_once(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c")]
+    twice = "{{ messages | length }}:{{ messages[0].content }}{% for m in messages %}{{ m.role }} {% endfor %}{% for m in messages %}{{ m.content }}{% endfor %}"
+    made = chat.format_conversations(spark.createDataFrame(rows, CONV), twice).collect()
+    assert {r.conv_id: r.text for r in made} == {1: "2:auser assistant ab", 2: "1:cuser c"}
+    one = iter([{"content": "x"}, {"content": "y"}])
+    inner = "{% for m in messages %}{% for n in messages %}{{ m.content ~ n.content }} {% endfor %}{% endfor %}"
+    assert "".join(t for t, _ in compile_template(inner)(one)) == "xx xy yx yy "
+    assert render("{% set all = messages %}{{ all | length }}{% if messages %}y{% endif %}", messages=({"content": k} for k in "ab")) == "2y"
+
+
+def test_templates_that_go_over_them_once_hold_none():
+    held = []
+
+    def turns():
+        for k in range(5):
+            held.append(k)
+            yield {"content": str(k)}
+
+    pieces = compile_template("{% if true %}{% for m in messages %}{{ m.content }}{% endfor %}{% endif %}")(turns())
+    assert next(pieces)[0] == "0" and len(held) < 4
+
+
 @pytest.mark.parametrize("source", ["{% for m in messages %}", "{{ x", "{% what %}", "{{ x | eval }}", "{{ x() }}", "{{ __import__('os') }}", "{% endfor %}", "{{ a b }}", "{{ 'a' - 1 }}", "{% if x %}a{% else %}b{% elif y %}c{% endif %}"])
 def test_errors(source):
     with pytest.raises(TemplateError):

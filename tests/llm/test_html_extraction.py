@@ -82,6 +82,26 @@ def test_raw_and_skipped_elements():
     assert "".join(x for _, x in t.runs).replace(" ", "") == "abfgh"
 
 
+TWO = "<p>First of the long paragraphs, with a number of words in it. It says a thing or two.</p><p>Second of the long ones. It goes on about the matter for a while, and ends.</p>"
+BOTH = "First of the long paragraphs, with a number of words in it. It says a thing or two.\nSecond of the long ones. It goes on about the matter for a while, and ends."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<html><head><title>T</title><body><article>{TWO}</article><header><p>Site</p></header>", BOTH), (f"<head><title>T</title><article><header><h1>Top</h1></header>{TWO}</article>", "Top\n" + BOTH),
+        (f"<body><article>{TWO}<p>See <a href=/>all that was said of this matter before</a></p></article>", BOTH + "\nSee all that was said of this matter before"),
+        ("<body><article><p><a href=/>All of it is a link, from the first word to the last one.</a></p></article>", "All of it is a link, from the first word to the last one."),
+        (f"<body><div><h1>Head</h1>{TWO}</div></body>", "Head\n" + BOTH), (f"<body><div><ul><li><a href=/>Home</a><li><a href=/b>About us</a><li><a href=/c>Contact</a></ul></div><div class=k7><h2>Head</h2>{TWO}</div></body>", "Head\n" + BOTH),
+        ("<article><p>One super<wbr>cali and fra<img src=x>gile word<br>each. It is so.</p></article>", "One supercali and fragile word each. It is so."),
+        ("<article><p>A sum <math><mi>x</mi><mo>+</mo></math> in <svg><text>a drawing</text></svg> and <noscript>no script</noscript>. So it is.</p></article>", "A sum x+ in a drawing and no script. So it is."),
+        ("<article><p>Words here. <script>a</scripty>b</script >And there, it ends.</p></article>", "Words here. And there, it ends."), ("<article><p>Keep this text. <select><option>no</select><button>Press</button> And this.</p></article>", "Keep this text. And this."),
+    ],
+)
+def test_pages_of_other_hands(page, text, model):
+    assert h.extract([page], model) == [text]
+
+
 def test_edge_cases(spark):
     long = "<article>" + "<p>Some words of text, and some more.</p>" * 20_000 + "</article>"
     rows = [(1, None, None), (2, "u", ""), (3, "u", long), (4, "u", "<nav><a href=/>x</a></nav>"), (4, "u", "<nav><a href=/>x</a></nav>"), (None, "u", "<article><p>One.</p>\n\n<p> Two  parts </p></article>")]

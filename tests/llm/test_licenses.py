@@ -1,7 +1,10 @@
+import math
 import re
 
+import pytest
+
 from quillon.llm.licenses import BASE, TEMPLATES, op4_license_scan, rare_index, scan_licences, template_idf
-from tests.llm.helpers import DOCS, SMALL, docs_of
+from tests.llm.helpers import DOCS, SMALL, docs_of, rng
 
 LOWER = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
 
@@ -63,6 +66,40 @@ def test_main_path_is_native(spark):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Exchange"))
 
 
+def slow_labels(text, idf):
+    """Labels and score of a text: every template at every relative position, without an index."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+    found = {(x, 1.0) for x in base(text)[4].split(",") if x}
+    for label, template, key in TEMPLATES:
+        of, phrase = template.split(), key.split()
+        rare = set(sorted(set(of), key=lambda w: (-idf[w], w))[:3])
+        offset = next(k for k in range(len(of)) if of[k : k + len(phrase)] == phrase)
+        for at in range(-len(of), len(words)):
+            same = [0 <= at + k < len(words) and words[at + k] == w for k, w in enumerate(of)]
+            anchors = sum(x and w in rare for x, w in zip(same, of))
+            if anchors >= 2 and at + offset >= 0 and words[at + offset : at + offset + len(phrase)] == phrase and sum(same) >= 0.75 * len(of):
+                found.add((label, sum(same) / len(of)))
+    return ",".join(sorted({x for x, _ in found})), max((x for _, x in found), default=0.0)
+
+
+def test_labels_and_scores_against_brute_force(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    n = len(texts)
+    split = {i: set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))) for i, t in texts.items()}
+    idf = {w: math.log((n + 1) / (sum(w in s for s in split.values()) + 0.5)) for _, t, _ in TEMPLATES for w in t.split()}
+    assert template_idf(spark.read.parquet(f"{SMALL}/documents.parquet")) == pytest.approx(idf)
+    for r in op4_license_scan(spark, SMALL).collect():
+        assert (r.labels, r.score) == slow_labels(texts[r.doc_id], idf)
+    r_, more = rng(7), []
+    for _ in range(150):  # templates with words changed, left out and put in, and several of them
+        some = [w if r_.random() > 0.08 else r_.choice(["other", "", "license", "cc by"]) for t in r_.sample(TEMPLATES, r_.randint(1, 4)) for w in t[1].split()]
+        more.append(" ".join(some))
+    df = docs_of(spark, more)
+    idf = template_idf(df)
+    for r in scan_licences(df, idf).collect():
+        assert (r.labels, r.score) == slow_labels(more[r.doc_id], idf), more[r.doc_id]
+
+
 def test_text_of_all_templates_has_all_labels(spark):
     whole = " and ".join(t for _, t, _ in TEMPLATES)
     df = docs_of(spark, [t for _, t, _ in TEMPLATES] + [whole])

@@ -111,5 +111,5 @@ def test_equal_rows_go_together_and_one_length_is_ranked(spark):
 def test_shuffle_joins_give_the_same(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     one = {(r.doc_id, r.times, r.target) for r in m.mix_sources(docs).collect()}
-    monkeypatch.setattr(m, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(m, "BROADCAST_BYTES", 0)
     assert one == {(r.doc_id, r.times, r.target) for r in m.mix_sources(docs).collect()}

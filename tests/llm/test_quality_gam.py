@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -40,6 +41,63 @@ def test_tables_add_up():
     assert model.score(row[None])[0] == pytest.approx(1 / (1 + np.exp(-total)))
 
 
+def slow_fit(x, y):
+    """The same boosting over rows, one at a time, with dicts for tables: what a text scores, by a function."""
+    bins = lambda v, of: sum(e <= v for e in of)
+    cuts = lambda j, n: sorted({sorted(r[j] for r in x)[math.ceil(k / n * (len(x) - 1) - 1e-9)] for k in range(1, n)})
+    p = (sum(y) + 0.5) / (len(y) + 1)
+    start, edges = math.log(p / (1 - p)), [cuts(j, g.MAX_BINS) for j in range(len(x[0]))]
+    tables, total = [[0.0] * (len(e) + 1) for e in edges], [start] * len(y)
+    gain = lambda a, b: a * a / (b + g.L2)
+
+    def leaves(gs, hs, depth):
+        if depth and len(gs) > 1:
+            best, at = 1e-9, None
+            for k in range(1, len(gs)):
+                l, r = (sum(gs[:k]), sum(hs[:k])), (sum(gs[k:]), sum(hs[k:]))
+                if min(l[1], r[1]) * 4 >= g.LEAF_WEIGHT and (made := gain(*l) + gain(*r) - gain(sum(gs), sum(hs))) > best + 1e-12:
+                    best, at = made, k
+            if at:
+                return leaves(gs[:at], hs[:at], depth - 1) + leaves(gs[at:], hs[at:], depth - 1)
+        return [sum(gs) / (sum(hs) + g.L2)] * len(gs)
+
+    for _ in range(g.ROUNDS):
+        for j, e in enumerate(edges):
+            gs, hs = [0.0] * len(tables[j]), [0.0] * len(tables[j])
+            for row, label, t in zip(x, y, total):
+                q, b = 1 / (1 + math.exp(-t)), bins(row[j], e)
+                gs[b] += label - q
+                hs[b] += q * (1 - q)
+            step = [g.RATE * v for v in leaves(gs, hs, 2)]
+            tables[j] = [a + b for a, b in zip(tables[j], step)]
+            total = [t + step[bins(row[j], e)] for row, t in zip(x, total)]
+    return lambda row: 1 / (1 + math.exp(-(start + sum(t[bins(v, e)] for t, e, v in zip(tables, edges, row)))))
+
+
+def test_fit_against_a_plain_one(monkeypatch):
+    r = np.random.default_rng(4)
+    x = np.round(r.normal(size=(160, 3)), 2)
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + r.normal(size=160) * 0.4 > 0.4).astype(float)
+    monkeypatch.setattr(g, "N_PAIRS", 0)
+    monkeypatch.setattr(g, "ROUNDS", 25)
+    slow, model = slow_fit(x.tolist(), y.tolist()), g.fit(x, y)
+    assert model.score(x) == pytest.approx([slow(v) for v in x.tolist()], abs=1e-9)
+
+
+def test_rows_to_learn_from_are_bounded_and_one_an_id(spark):
+    texts = [(k % 40, f"{'w ' * (k % 7)}{k}", "s") for k in range(2_000)]
+    docs, labels = docs_of(spark, texts), spark.createDataFrame([(k, k % 2, 0) for k in range(40)], LABELS)
+    seen = []
+    g_fit, g.fit = g.fit, lambda x, y: seen.append(len(y)) or g_fit(x, y)
+    try:
+        one, two = g.train(docs, labels), g.train(docs.orderBy("text"), labels)
+        g.train(docs, labels, max_rows=5)
+    finally:
+        g.fit = g_fit
+    assert 20 < seen[0] == seen[1] < 40 and seen[2] <= 14 and one.intercept == two.intercept
+    assert all((a == b).all() for a, b in zip(one.tables, two.tables))
+
+
 def test_main_effects_alone():
     r = np.random.default_rng(1)
     x = r.uniform(size=(1500, 2))
@@ -61,6 +119,8 @@ def test_edge_cases(spark):
     docs = docs_of(spark, [None, "", "a b", "a b", "x " * 100_000, (None, "id", None)])
     rows = g.score_quality(docs.selectExpr("*", "1 AS Score", "2 AS predicted"), g.train(docs, empty)).collect()
     assert [(r.score, r.predicted) for r in rows] == [(0.5, 1)] * 6
+    kept = g.keep_quality(docs.selectExpr("*", "doc_id + 1 AS score", "2 AS predicted"), g.train(docs, empty))
+    assert kept.columns == [*docs.columns, "score", "predicted"] and sorted(r.score for r in kept.where("doc_id < 5").collect()) == [1, 2, 3, 4, 5]
     some = spark.createDataFrame([(0, 1, 0), (2, None, 0), (None, 0, 0), (2, 1, 1), (2, 0, 0), (77, 1, 0)], LABELS)
     scored = g.score_quality(docs, g.train(docs, some)).collect()
     assert all(0 < r.score < 1 for r in scored) and scored[2].score == scored[3].score and scored[0].score == scored[1].score

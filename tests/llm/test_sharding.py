@@ -1,10 +1,13 @@
+import math
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from quillon.llm.sharding import communication_matrix, op1_sharding, shard_uniformly, write_shards
+from quillon.llm import sharding
+from quillon.llm.sharding import communication_matrix, hypergeometric, hypergeometric_law, op1_sharding, shard_uniformly, write_shards
 from tests.llm.helpers import DOCS, SMALL, docs_of
 
 
@@ -41,6 +44,36 @@ def test_matrix_follows_the_law():
     assert abs(np.mean(draws) - 2) < 0.06 and abs(np.var(draws) - 4 / 7) < 0.06
 
 
+@pytest.mark.parametrize(("good", "bad", "n"), [(5, 7, 6), (40, 3, 20), (3, 40, 20), (300, 2_000, 900), (1, 1, 1)])
+def test_law_against_counted_choices(good, bad, n):
+    first, law = hypergeometric_law(good, bad, n)
+    ways = [math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(first, first + len(law))]
+    assert sum(ways) == pytest.approx(1, abs=1e-12) and law / law.sum() == pytest.approx(ways, rel=1e-9, abs=1e-15)
+
+
+def test_law_beyond_the_generator():
+    """At 2.4 x 10^12 rows: neighbours have the exact ratio, mean and variance are those of the law, draws follow it."""
+    good, bad, n = 3 * 10**11, 21 * 10**11, 40_000_000
+    first, law = hypergeometric_law(good, bad, n)
+    law, k = law / law.sum(), np.arange(first, first + len(law), dtype=float)
+    mean, share = n * good / (good + bad), n / (good + bad)
+    variance = mean * bad / (good + bad) * (1 - share)
+    assert law @ k == pytest.approx(mean, rel=1e-9) and law @ (k - mean) ** 2 == pytest.approx(variance, rel=1e-6)
+    at = len(law) // 2
+    exact = Fraction((good - first - at) * (n - first - at), (first + at + 1) * (bad - n + first + at + 1))
+    assert law[at + 1] / law[at] == pytest.approx(float(exact), rel=1e-9)
+    rng = np.random.default_rng(3)
+    z = np.array([(hypergeometric(good, bad, n, rng) - mean) / variance**0.5 for _ in range(2_000)])
+    assert abs(z.mean()) < 0.1 and abs(z.var() - 1) < 0.15 and abs((z < -1).mean() - 0.1587) < 0.03 and abs((z > 2).mean() - 0.0228) < 0.015
+
+
+def test_both_ways_of_drawing_agree(monkeypatch):
+    one = [hypergeometric(600, 1_400, 500, np.random.default_rng(s)) for s in range(3_000)]
+    monkeypatch.setattr(sharding, "GENERATOR_ROWS", 0)
+    two = [hypergeometric(600, 1_400, 500, np.random.default_rng(s)) for s in range(3_000)]
+    assert abs(np.mean(one) - np.mean(two)) < 0.7 and abs(np.std(one) / np.std(two) - 1) < 0.06
+
+
 def test_matrix_of_very_many_rows():
     got = communication_matrix({p: 3_000_000_000 for p in range(4)}, 8, 1)
     assert np.sum([np.diff([0, *c]) for c in got.values()], axis=0).tolist() == [1_500_000_000] * 8

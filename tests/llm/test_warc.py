@@ -80,6 +80,25 @@ def test_broken_records_are_refused(bad):
         warc.decode_record(bad)
 
 
+def test_very_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES", 7)
+    df = spark.range(50).selectExpr("CAST(1 AS long) AS page_id", "'u' AS url", "'<p>x' AS html")
+    rows = warc.archive_round_trip(df).groupBy("record_type", "refers_to").count().collect()
+    assert {tuple(r) for r in rows} == {("response", None, 1), ("revisit", 1, 49)}
+
+
+def test_dictionary_may_be_compressed():
+    samples = [record(page_id=k, payload=bytes(range(k, k + 99)), size=99) for k in range(99)]
+    dictionary = zstandard.train_dictionary(2000, samples).as_bytes()
+    coder = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
+    data = warc.dictionary_frame(zstandard.ZstdCompressor().compress(dictionary)) + coder.compress(samples[0]) + coder.compress(samples[1])
+    assert [r["page_id"] for r in warc.read_archive(iter([data]))] == [0, 1]
+    with pytest.raises(warc.ArchiveError):
+        list(warc.read_archive(iter([warc.dictionary_frame(warc.FRAME_MAGIC + b"broken") + coder.compress(samples[0])])))
+    with pytest.raises(warc.ArchiveError):
+        list(warc.read_archive(iter([zstandard.ZstdCompressor().compress(record())[:4] + b"\xff" * 30])))
+
+
 def test_reading_in_pieces_and_cut_archives():
     frames = b"".join(zstandard.ZstdCompressor().compress(record(page_id=k)) for k in range(5))
     data = warc.dictionary_frame(zstandard.train_dictionary(2000, [record(page_id=k, payload=bytes(range(k, k + 99)), size=99) for k in range(99)]).as_bytes()) + frames
