@@ -33,10 +33,18 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return _paths[-1]
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes what this process has staged. To be called once the results that read from it are written."""
-    while _paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+def scratch_mark() -> int:
+    """How much this process has staged so far."""
+    return len(_paths)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Deletes what this process has staged since a mark, but for the last few tables. To be called once the results
+    that read from it are written."""
+    doomed = _paths[since : len(_paths) - but]
+    del _paths[since : len(_paths) - but]
+    for name in doomed:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

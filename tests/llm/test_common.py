@@ -1,5 +1,6 @@
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import common
@@ -14,6 +15,27 @@ def test_staged_tables_lie_in_the_shared_folder_and_can_be_dropped(spark):
     assert not list(shared.glob("quillon-*"))
 
 
+def test_scratch_since_a_mark_is_dropped_but_for_the_last(spark):
+    kept, mark = common.staged(docs_of(spark, ["a"]), "before"), common.scratch_mark()
+    common.staged(docs_of(spark, ["b"]), "inner")
+    last = common.staged(docs_of(spark, ["c"]), "last")
+    common.drop_scratch(spark, since=mark, but=1)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    assert kept.count() == last.count() == 1 and not list(shared.glob("quillon-inner-*"))
+
+
+def test_no_machine_local_folder_on_a_cluster(spark):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Cluster)
+
+
 def test_clashing_names(spark):
     df = spark.range(1).selectExpr("1 AS Score", "2 AS `a.b`", "3 AS text")
     assert common.without(df, "score").columns == ["a.b", "text"]

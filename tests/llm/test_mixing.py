@@ -53,6 +53,15 @@ def test_result_does_not_depend_on_partitions(spark):
     assert one == two
 
 
+def test_targets_of_very_many_sources(spark):
+    n, r = 100_000, np.random.default_rng(3)
+    sizes = [int(x) for x in r.pareto(0.7, n) * 50]
+    rows = [(f"h{k}", x) for k, x in enumerate(sizes)] + [(None, 77), ("", 5)]
+    got = {x.source: x.target for x in m.source_targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
+    want = plain_targets(dict(rows))
+    assert set(got) == set(want) and all(got[s] == pytest.approx(t, rel=1e-9, abs=1e-9) for s, t in want.items())
+
+
 def best_sum(sizes, counts, budget):
     reach = {0}
     for s, c in zip(sizes, counts):

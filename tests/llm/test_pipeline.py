@@ -69,6 +69,28 @@ def test_run_equals_the_stages(spark, stages):
     assert p.ORACLE_SQL is None and 4 <= len(p.STAGES) <= 5
 
 
+def test_stages_keep_columns_of_any_name_and_repeated_rows(spark):
+    from tests.llm.helpers import docs_of, rng, words
+
+    r = rng(9)
+    texts = [(k, words(r, 80, 5000) + ". And so it goes on.", r.choice("abc")) for k in range(40)] + [(7, None, "a"), (99, "long " + words(r, 60_000, 9000), "b")]
+    texts += [texts[3]] * 2 + [(100, texts[5][1], "c")]
+    extra = {c: f"concat('{c}', doc_id)" for c in ("score", "predicted", "hits", "size", "target", "times", "node", "root", "keys", "words", "a.b", "part")}
+    docs = docs_of(spark, texts).selectExpr("*", *[f"{e} AS `{c}`" for c, e in extra.items()])
+    for name, stage in p.STAGES:
+        made = stage(spark, docs, SMALL)
+        assert made.columns[: len(docs.columns)] == docs.columns
+        rows = made.collect()
+        assert rows and all(x[c] == f"{c}{x.doc_id}" for x in rows for c in extra)
+        count = {k: sum(x.doc_id == k for x in rows) for k in (3, 5, 100)}
+        if name == "near-dedup":
+            assert count == {3: 1, 5: 1, 100: 0} and len(rows) == 42
+        elif name in ("decontamination", "sharding"):
+            assert count == {3: 3, 5: 1, 100: 1} and len(rows) == len(texts)
+        else:
+            assert count[3] in (0, 3, 6)
+
+
 def test_empty_and_null_documents(spark):
     docs = spark.createDataFrame([(None, None, None, None, None), (1, "", None, None, 0), (1, "", None, None, 0)], DOCS)
     empty = spark.createDataFrame([], DOCS)
