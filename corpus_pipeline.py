@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import quality_gam
-from quillon.llm.common import staged, table
+from quillon.llm.common import drop_scratch, scratch_mark, staged, table
 from quillon.llm.decontamination import drop_contaminated
 from quillon.llm.mixing import draw_mix
 from quillon.llm.sharding import shard_uniformly
@@ -61,7 +61,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        mark = scratch_mark()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs, f"stage{k}")
+            drop_scratch(spark, since=mark, but=1)  # what the stage itself has staged is not read again
     return docs
