@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.compat import mock_negotiate, negotiate
+
 LOSSES = ("SurfaceLost", "DeviceLost")
 DRAWN = ("Cpu", "DeviceEncoded")
 
@@ -32,3 +36,37 @@ def present(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
         "present_count": F.sum(F.when(F.col("result") == "Presented", 1).otherwise(0)).over(here),
         "recreate_count": F.sum(F.coalesce("recreate", F.lit(False)).cast("int")).over(here),
     }).drop("__frames", "__error")
+
+
+class Renderer(Protocol):
+    """What presents frames: its surface, what it says to a frame source before that is prepared (without effect), the
+    outcome of every attempt, and its health after them."""
+
+    surface_format: str
+    surface_size: tuple[int, int]
+
+    def negotiate(self, source_kind: Column) -> Column: ...
+
+    def present(self, events: DataFrame, key: str, order: Sequence[str]) -> DataFrame: ...
+
+    def status(self, presented: DataFrame, key: str, order: Sequence[str]) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class TableRenderer:
+    """A renderer whose attempts are rows; its defaults are those of the mock renderer."""
+
+    surface_format: str = "Bgra8Unorm"
+    surface_size: tuple[int, int] = (1920, 1080)
+    mock: bool = True
+
+    def negotiate(self, source_kind: Column) -> Column:
+        return mock_negotiate() if self.mock else negotiate(source_kind)["tag"]
+
+    def present(self, events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+        return present(events, key, order)
+
+    def status(self, presented: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+        """(key, status, present_count) after the last attempt of each key."""
+        last = F.max_by(F.struct("status", "present_count"), F.struct(*order)).alias("last")
+        return presented.groupBy(key).agg(last).select(key, "last.*")

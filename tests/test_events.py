@@ -143,3 +143,15 @@ def test_json_and_cli(spark):
 def test_error_texts(spark):
     df = spark.createDataFrame([("Decoder", "bad"), ("ResourceExhausted", None), ("InvalidState", "x"), ("SurfaceLost", None), ("Other", None)], "c string, m string")
     assert [r.t for r in df.select(error_text(F.col("c"), F.col("m")).alias("t")).collect()] == ["decoder error: bad", "resource exhausted", "invalid state (bug): x", "surface lost", None]
+
+
+def test_renderer_contract(spark):
+    rows = [("a", 1, "Cpu", None, False), ("a", 2, "Cpu", "SurfaceLost", False), ("b", 1, "Unchanged", None, False), ("b", 2, "DeviceEncoded", None, True)]
+    frames = spark.createDataFrame(rows, "case_id string, seq long, frame_tag string, inject_error string, recreate boolean")
+    r: present.Renderer = present.TableRenderer()
+    assert (r.surface_format, r.surface_size) == ("Bgra8Unorm", (1920, 1080))
+    made = r.present(frames, "case_id", ["seq"])
+    assert [x.result for x in made.orderBy("case_id", "seq").collect()] == ["Presented", "SurfaceLost", "Skipped", "Presented"]
+    assert {(x.case_id, x.status, x.present_count) for x in r.status(made, "case_id", ["seq"]).collect()} == {("a", "SurfaceLost", 1), ("b", "Ready", 1)}
+    said = [spark.range(1).select(x.negotiate(F.lit("DeviceEncoded")).alias("n")).first().n for x in (r, present.TableRenderer(mock=False))]
+    assert said == ["Compatible", "CompatibleWithLimitations"]
