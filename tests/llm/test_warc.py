@@ -91,7 +91,7 @@ def test_dictionary_may_be_compressed():
     samples = [record(page_id=k, payload=bytes(range(k, k + 99)), size=99) for k in range(99)]
     dictionary = zstandard.train_dictionary(2000, samples).as_bytes()
     coder = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
-    data = warc.dictionary_frame(zstandard.ZstdCompressor().compress(dictionary)) + coder.compress(samples[0]) + coder.compress(samples[1])
+    data = warc.dictionary_frame(zstandard.ZstdCompressor().compress(dictionary)) + coder.compress(record(page_id=0)) + coder.compress(record(page_id=1))
     assert [r["page_id"] for r in warc.read_archive(iter([data]))] == [0, 1]
     with pytest.raises(warc.ArchiveError):
         list(warc.read_archive(iter([warc.dictionary_frame(warc.FRAME_MAGIC + b"broken") + coder.compress(samples[0])])))
