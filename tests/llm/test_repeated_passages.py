@@ -1,0 +1,117 @@
+import random
+from hashlib import sha256
+
+import numpy as np
+import pytest
+
+from quillon.llm import repeated_passages as rp
+from quillon.llm.queries import ORACLES
+from tests.llm.helpers import DOCS, SMALL, docs_of
+from tests.oracle import assert_same, connection
+
+
+def plain(rows):
+    """(n_words, kept words) of each row: the first place of every window stays."""
+    first, own = {}, [(i, (t or "").encode().split()) for i, t in rows]
+    rank = lambda i, k: (i is not None, i or 0, k)
+    for i, words in own:
+        for k in range(len(words) - 19):
+            w = tuple(words[k : k + 20])
+            first[w] = min(first.get(w, rank(i, k)), rank(i, k))
+    out = []
+    for i, words in own:
+        gone = {j for k in range(len(words) - 19) if first[tuple(words[k : k + 20])] < rank(i, k) for j in range(k, k + 20)}
+        out.append((i, len(words), len(gone), b" ".join(w for k, w in enumerate(words) if k not in gone).decode()))
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in df.collect()), key=repr)
+
+
+def corpus(seed, kinds, n=60):
+    """Texts that share passages of 15 to 400 words, at all offsets, some cut, changed or repeated in one text."""
+    r = random.Random(seed)
+    word = lambda: f"w{int(r.paretovariate(0.6)) % kinds}"
+    passages = [[word() for _ in range(r.choice([15, 19, 20, 21, 25, 40, 100, 400]))] for _ in range(6)]
+    texts = []
+    for _ in range(n):
+        words = [word() for _ in range(r.choice([0, 5, 20, 80]))]
+        for _ in range(r.randint(0, 3)):
+            of = r.choice(passages)
+            a = r.randint(0, len(of) // 3)
+            words += of[a : len(of) - r.randint(0, len(of) // 3)] + [word() for _ in range(r.choice([0, 1, 30]))]
+        if r.random() < 0.2:
+            words = words[: r.randint(0, 30)] * r.randint(1, 4) + words
+        texts.append(" ".join(words))
+    return texts + [texts[0], " ".join(["w1"] * 70), " ".join(["w1", "w2"] * 40), " ".join(["w1"] * 45)]
+
+
+@pytest.mark.parametrize(("seed", "kinds", "block"), [(1, 5, 4_000), (2, 2, 100_000), (3, 500, 2_000), (4, 20_000, 4_000)])
+def test_against_all_windows(spark, monkeypatch, seed, kinds, block):
+    monkeypatch.setattr(rp, "BLOCK_BYTES", block)
+    rows = list(enumerate(corpus(seed, kinds), 7))
+    assert got(rp.repeats(docs_of(spark, [t for _, t in rows], 7))) == plain(rows)
+
+
+def test_query_agrees_with_sql(spark):
+    assert_same(rp.op13_repeated_passages(spark, SMALL), connection(SMALL), ORACLES["op13_repeated_passages"])
+
+
+def test_equal_words_get_equal_interior_symbols():
+    """A stretch is parsed alike wherever it stands, but for symbols whose zones leave it."""
+    r = random.Random(8)
+    for kinds in (2, 30, 5_000):
+        shared = [b"%d" % r.randrange(kinds) for _ in range(200)]
+        texts = [[b"%d" % r.randrange(kinds) for _ in range(r.randint(0, 40))] for _ in range(2)]
+        for rounds in range(1, 7):
+            inside = []
+            for t in texts:
+                words, starts = rp.word_names([t + shared + t[::-1]])
+                s = rp.low_symbols(words, rounds)
+                at = starts[0] + len(t)
+                k = (s.left >= at) & (s.right <= at + 200)
+                inside.append(set(zip(s.name[k].tolist(), (s.start[k] - at).tolist(), (s.end[k] - at).tolist(), (s.left[k] - at).tolist(), (s.right[k] - at).tolist())))
+            here, there = ({x[:3] for x in i} for i in inside)
+            # what one place knows by its zone, the other has as well
+            for one, words_of in ((here, texts[1]), (there, texts[0])):
+                words, starts = rp.word_names([words_of + shared + words_of[::-1]])
+                s, at = rp.low_symbols(words, rounds), starts[0] + len(words_of)
+                assert one <= set(zip(s.name.tolist(), (s.start - at).tolist(), (s.end - at).tolist()))
+
+
+def test_long_symbols_cover_a_copy():
+    r = random.Random(2)
+    words, _ = rp.word_names([[b"%d" % r.randrange(1_000) for _ in range(5_000)]])
+    alive = words != 0
+    alive[-20:] = False
+    low, high = rp.long_symbols(words, alive)
+    assert (high - low).max() == 5_000 and ((high - low) >= rp.LONG).all()
+
+
+def test_names_of_runs_and_gaps():
+    words, starts = rp.word_names([[], [b"a"] * 9, [], [b"a"] * 9, [b"b", b"a", b"a"]])
+    s = rp.low_symbols(words, 3)
+    assert starts.tolist() == [1, 2, 12, 13, 23] and (s.name == 0).sum() == 6
+    runs = s.name[(s.end - s.start) == 9]
+    assert len(runs) == 2 and runs[0] == runs[1]
+
+
+def test_edge_cases(spark):
+    long = " ".join(f"w{k}" for k in range(30_000))
+    copy = " ".join(f"c{k % 7}{k % 11}" for k in range(60))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, copy), (4, copy), (5, copy), (6, "x " + copy + " y"), (7, long), (8, long), (None, copy + " z"), (9, "a b c"), (4, "q " + copy)]
+    docs = docs_of(spark, [(i, t, "s") for i, t in rows]).selectExpr("*", "1 AS kept", "2 AS block", "3 AS `a.b`")
+    out = rp.repeats(docs)
+    assert out.columns == ["doc_id", "n_words", "n_removed", "removed", "kept"] and got(out) == plain(rows)
+    spans = {r.doc_id: r.removed for r in out.where("doc_id > 4").collect()}
+    assert spans[5] == [0, 60] and spans[8] == [0, 30_000] and spans[7] == []
+    hashed = {r.doc_id: r.kept for r in rp.repeats(docs, texts=False).where("doc_id >= 8").collect()}
+    assert hashed == {8: sha256(b"").hexdigest(), 9: sha256(b"a b c").hexdigest()}
+    assert rp.repeats(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_rows_in():
+    a = np.array([[1, 2], [3, 4], [-1, 5]])
+    assert rp._rows_in(a, np.array([[3, 4], [-1, 6]])).tolist() == [False, True, False]
+    assert rp._rows_in(a, np.empty((0, 2), dtype=np.int64)).tolist() == [False] * 3
