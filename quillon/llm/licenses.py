@@ -1,8 +1,8 @@
 """Licence scan by a positional rare-token index.
 
-Each licence template is a short word sequence with a mandatory key phrase. Over all documents, the
-document frequency of every template word is counted; the rarest words of each template (its anchors)
-form the index word -> postings (template, position). A file looks up all anchor words it has,
+Each licence template (a paragraph, a header, a name or an identifier of a licence) is a word sequence with a mandatory
+key phrase. Over all documents, the document frequency of every template word is counted; the rarest words of each
+template (its anchors), at all positions where they stand in it, form the index word -> postings (template, position). A file looks up all anchor words it has,
 subtracts posting positions from its own and intersects the results: anchors that agree on one relative
 position place the template. There, the key phrase must stand word for word, and the share of template
 words in place is the score. All of it happens within a row: no shuffle, whatever the texts hold.
@@ -10,12 +10,15 @@ words in place is the score. All of it happens within a row: no shuffle, whateve
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import quoted, table, without
+from quillon.llm.licence_texts import TEMPLATES
 
 #: Words of a text after lower-casing A-Z.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -23,21 +26,8 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"), ("under the mit license", "mit"))
 #: The word of each base phrase that is looked for first.
 BASE_KEYS = {"apache-2": "apache", "cc-by-nc": "nc", "mit": "mit"}
-#: Label, template words, key phrase that has to stand in it.
-TEMPLATES = (
-    ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
-    ("apache-2", "you may not use this file except in compliance with the license", "in compliance with the license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    ("cc-by", "licensed under cc by 4 0", "cc by 4"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    ("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
-    ("mpl-2", "subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
-)
-ANCHORS_PER_TEMPLATE = 3
+#: A template has so many anchors, and one more for every ``WORDS_PER_ANCHOR`` of its words.
+ANCHORS_PER_TEMPLATE, WORDS_PER_ANCHOR = 3, 12
 #: Anchors that have to agree on the relative position, and the share of template words in place.
 MIN_AGREEING = 2
 MIN_SCORE = 0.75
@@ -51,26 +41,36 @@ def licence_words(text: Column) -> Column:
 
 
 def template_idf(docs: DataFrame) -> dict[str, float]:
-    """IDF, over all documents, of each word of the templates."""
-    vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
+    """IDF, over all documents, of each word of the templates that occurs in one at all."""
+    vocabulary = sorted({w for t in TEMPLATES for w in t.words})
     words = docs.select(licence_words(F.col("text")).alias("w"))
     found = words.select(F.explode(F.array_intersect("w", F.lit(vocabulary))).alias("word"))
     # one row per template word; the count of documents comes from the same scan's files
     df = {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
     n = docs.count()
-    return {w: math.log((n + 1) / (df.get(w, 0) + 0.5)) for w in vocabulary}
+    return {w: math.log((n + 1) / (k + 0.5)) for w, k in df.items()}
 
 
 def rare_index(idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
-    """Postings (template number, position) of each template's highest-IDF words."""
+    """Postings (template number, position) of the highest-IDF words of each template, of those that occur."""
     index: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, words, _) in enumerate(TEMPLATES):
-        of = words.split()
-        for w in sorted(set(of), key=lambda w: (-idf[w], w))[:ANCHORS_PER_TEMPLATE]:
+    for t, template in enumerate(TEMPLATES):
+        of = template.words
+        for w in sorted(idf.keys() & set(of), key=lambda w: (-idf[w], w))[: ANCHORS_PER_TEMPLATE + len(of) // WORDS_PER_ANCHOR]:
             index.setdefault(w, []).extend((t, i) for i, x in enumerate(of) if x == w)
     return index
 
 
+def _literal(value: object, kind: str) -> Column:
+    """A table as one literal: the optimiser reads its text form once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scan_licences(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     """``docs`` with word count, base places, base labels, all labels and score (1 where a base phrase stands,
     else the best share of template words in place, else 0).
@@ -80,8 +80,7 @@ def scan_licences(docs: DataFrame, idf: dict[str, float] | None = None) -> DataF
     added names are replaced."""
     docs = without(docs, *ADDED, "__w", "__hits", "__base", "__places", "__found")
     index = rare_index(idf if idf is not None else template_idf(docs))
-    idf = idf if idf is not None else {}
-    order = sorted(index, key=lambda w: (-idf.get(w, 0.0), w))
+    order = sorted(index)
     w = F.col("__w")
     out = docs.withColumn("__w", licence_words(F.col("text")))
 
@@ -103,27 +102,27 @@ def scan_licences(docs: DataFrame, idf: dict[str, float] | None = None) -> DataF
 
     # where the file's anchors stand
     hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda h: h["w"].isin(order))
-    out = out.withColumn("__hits", F.when(F.arrays_overlap(w, F.lit(order)), hits))
-    postings = F.array(*[F.struct(F.lit(x).alias("w"), F.lit(t).alias("t"), F.lit(i).alias("i")) for x in order for t, i in index[x]])
-    places = F.flatten(F.transform("__hits", lambda h: F.transform(F.filter(postings, lambda p: p["w"] == h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["i"]).alias("at")))))
+    anchors = F.lit(order) if order else F.array().cast("array<string>")
+    out = out.withColumn("__hits", F.when(F.arrays_overlap(w, anchors), hits))
+    postings = _literal({word: [{"t": t, "i": i} for t, i in index[word]] for word in order}, "map<string,array<struct<t:int,i:int>>>")
+    places = F.flatten(F.transform("__hits", lambda h: F.transform(F.try_element_at(postings, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["i"]).alias("at")))))
     # sorted, equal (template, relative position) stand side by side: MIN_AGREEING of them make a candidate
     out = out.withColumn("__places", F.array_sort(places))
     s = F.col("__places")
     agreed = F.array_distinct(F.filter(s, lambda x, k: (k >= MIN_AGREEING - 1) & (F.get(s, k - (MIN_AGREEING - 1)) == x)))
-    tests = []
-    for t, (label, words, key) in enumerate(TEMPLATES):
-        of, phrase = words.split(), key.split()
-        offset = next(i for i in range(len(of)) if of[i : i + len(phrase)] == phrase)
-        tests.append((t, label, of, phrase, offset))
+    templates = _literal([{"label": t.label, "words": t.words, "key": t.key} for t in TEMPLATES], "array<struct<label:string,words:array<string>,key:array<int>>>")
 
     def verdict(c: Column) -> Column:
-        out_ = F.lit(None).cast("struct<label:string,score:double>")
-        for t, label, of, phrase, offset in reversed(tests):
-            same = sum((F.coalesce(F.get(w, c["at"] + k) == x, F.lit(False)).cast("int") for k, x in enumerate(of)), F.lit(0))
-            score = same / F.lit(float(len(of)))
-            good = at(c["at"] + offset, phrase) & (score >= MIN_SCORE)
-            out_ = F.when(c["t"] == t, F.when(good, F.struct(F.lit(label).alias("label"), score.alias("score")))).otherwise(out_)
-        return out_
+        def judged(x: Column) -> Column:
+            same = F.transform(x["t"]["words"], lambda word, k: F.coalesce(F.get(w, x["at"] + k) == word, F.lit(False)))
+            return _let(F.struct(x["t"].alias("t"), same.alias("same")), scored)
+
+        return _let(F.struct(F.get(templates, c["t"]).alias("t"), c["at"].alias("at")), judged)
+
+    def scored(x: Column) -> Column:
+        score = F.size(F.filter(x["same"], lambda s: s)) / F.size(x["same"]).cast("double")
+        whole = F.forall(x["t"]["key"], lambda k: F.get(x["same"], k))
+        return F.when(whole & (score >= MIN_SCORE), F.struct(x["t"]["label"].alias("label"), score.alias("score")))
 
     out = out.withColumn("__agreed", agreed).withColumn("__found", F.array_compact(F.transform("__agreed", verdict)))
     base, found = F.col("__base"), F.coalesce("__found", F.array().cast("array<struct<label:string,score:double>>"))
