@@ -7,7 +7,9 @@ W / 2, so that some passage holds three quarters of an item wherever it stands.
 passages, many at a time: items are cut into ranges, and a passage whose terms' greatest impacts in a range
 do not add up to the threshold, in any range, holds none of them. For the others, block-max WAND retrieves
 all items above the threshold. Each is then verified against the text
-around the passage: word trigrams of its question and of its answer have to stand there.
+around the passage: half of the word trigrams of its question and half of those of its answer have to stand there (of
+parts of fewer than eight words: of their word pairs). An
+item of one sentence has no answer to look for. So a question without its answer, however long, is no hit.
 """
 
 from __future__ import annotations
@@ -38,10 +40,10 @@ TOGETHER = 512
 SMALLEST_CLASS = 16
 #: Share of an item's own score that a passage has to reach.
 THRESHOLD = 0.4
-#: Shares of trigrams: of question and of answer both, or of the whole item.
+#: Share of trigrams that has to stand there, of the question and of the answer alike.
 PART_OVERLAP = 0.5
-WHOLE_OVERLAP = 0.5
-GRAM = 3
+#: Words in a gram, and in one of a part of fewer than ``SHORT_PART`` words, where a single change would cost all.
+GRAM, SHORT_GRAM, SHORT_PART = 3, 2, 8
 #: Text of benchmark items held in one index, in bytes; larger benchmarks are searched index by index.
 INDEX_BYTES = 8 << 20
 HIT = "array<struct<item_id:bigint,score:double,question:double,answer:double>>"
@@ -64,7 +66,7 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 
 
 def _grams(words: list[str]) -> set[tuple[str, ...]]:
-    n = min(GRAM, len(words))
+    n = min(GRAM if len(words) >= SHORT_PART else SHORT_GRAM, len(words))
     return set(zip(*(words[k:] for k in range(n)))) if n else set()
 
 
@@ -76,7 +78,6 @@ class ClassIndex:
         frequencies, whichever of them ``items`` are."""
         self.width, self.ids = width, [i for i, _, _ in items]
         self.parts = [tuple(map(_grams, question_and_answer(text))) for _, text, _ in items]
-        self.whole = [_grams(words) for _, _, words in items]
         counts = [Counter(words) for _, _, words in items]
         self.terms: dict[str, int] = {}
         for w in (w for c in counts for w in c):
@@ -167,7 +168,7 @@ class ClassIndex:
                 there = [set(zip(*(around[k:] for k in range(g)))) for g in range(1, GRAM + 1)]
                 share = lambda grams: len(grams & there[len(next(iter(grams))) - 1]) / len(grams) if grams else 1.0  # noqa: B023, E731
                 q, a = map(share, self.parts[item])
-                if (q >= PART_OVERLAP and a >= PART_OVERLAP or share(self.whole[item]) >= WHOLE_OVERLAP) and (score, q, a) > best.get(item, (0, 0, 0)):
+                if q >= PART_OVERLAP and a >= PART_OVERLAP and (score, q, a) > best.get(item, (0, 0, 0)):
                     best[item] = (score, q, a)
         return best
 
