@@ -1,6 +1,7 @@
 """Main text of web pages by a tree-structured graphical model.
 
-A page is parsed into a tree of its block elements. Every node is main text or not: its own features (tag,
+A page is parsed into a tree of its block elements; text that stands in a container, beside its blocks or
+without any, is a node of its own. Every node is main text or not: its own features (tag,
 words in class and id, links, length, sentences and share of text) give its potential, and parent and child are tied by a
 potential that depends on the child's kind of tag. Sum-product messages, once up and once down the tree,
 give each node's marginal; the text of nodes with a marginal of one half or more is kept. The weights
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import table, without
 from quillon.llm.labelled_pages import pages as labelled_pages
 
-TRAIN_PAGES = 400
+TRAIN_PAGES = 500
 STEPS = 250
 RATE = 0.08
 L2 = 0.002
@@ -36,8 +37,10 @@ FOREST_CHARS = 2_000_000
 KINDS = {
     "article": "article main", "nav": "nav menu", "header": "header hgroup", "footer": "footer", "aside": "aside dialog", "form": "form fieldset legend label",
     "heading": "h1 h2 h3 h4 h5 h6", "paragraph": "p", "list": "ul ol dl dir", "item": "li dt dd", "table": "table thead tbody tfoot tr td th caption",
-    "box": "div section center details summary address", "quote": "blockquote pre figure figcaption", "root": "html body",
+    "box": "div section center details summary address", "quote": "blockquote pre figure figcaption", "root": "html body", "text": "",
 }
+#: Elements that hold their text themselves. Text in other ones makes a node of its own, of kind text.
+HOLDERS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption blockquote pre figcaption label legend summary address".split())
 #: Words in class, id and role, by what they tell.
 NAMES = {
     "main": "article content post entry story body main text", "menu": "nav menu navigation navbar breadcrumb breadcrumbs", "head": "header masthead banner logo",
@@ -47,9 +50,13 @@ NAMES = {
 }
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea".split())
-#: Controls and what is not part of the page's own text; other elements without a kind hand their text to their parent.
-SKIPPED = frozenset("template iframe select button datalist".split())
+#: What a page never shows: copies to be filled in, and what stands in for an embedded page. Other elements without a
+#: kind, controls among them, hand their text to their parent.
+SKIPPED = frozenset("template iframe".split())
+#: Elements without a kind whose text stands apart from the one before.
+APART = frozenset("br option optgroup select datalist".split())
 _KIND = {tag: k for k, tags in enumerate(KINDS.values()) for tag in tags.split()}
+_TEXT = list(KINDS).index("text")
 _NAME = {w: k for k, words in enumerate(NAMES.values()) for w in words.split()}
 #: Opening one of the first closes an open one of the second, unless a third stands between.
 CLOSES = {
@@ -87,26 +94,31 @@ def parse(html: str | None) -> Tree:
     links = 0  # open anchors
     link_words = 0
 
-    def add(tag: str, attrs: str) -> None:
+    def add(tag: str, attrs: str, kind: int | None = None) -> None:
         parent = stack[-1][1] if stack else -1
         names = sorted({_NAME[w] for m in _NAMED.finditer(attrs) for w in re.findall(r"[a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w in _NAME}) if attrs else []
         y = _LABEL.search(attrs) if attrs else None
         t.label.append(int(y[1]) if y else t.label[parent] if parent >= 0 else 0)
         t.parent.append(parent)
-        t.kind.append(_KIND[tag])
+        t.kind.append(_KIND[tag] if kind is None else kind)
         t.depth.append(t.depth[parent] + 1 if parent >= 0 else 0)
         t.names.append(names)
         t.words.append(0)
         t.linked.append(0)
         t.sentences.append(0)
-        stack.append((tag, len(t.parent) - 1))
+        if kind is None:
+            stack.append((tag, len(t.parent) - 1))
 
     def flush() -> None:
         nonlocal link_words
         if run and (text := " ".join(html_.unescape("".join(run)).split())):
             if not stack:
                 add("body", "")
-            at = stack[-1][1]
+            if stack[-1][0] not in HOLDERS:
+                add("", "", _TEXT)
+                at = len(t.parent) - 1
+            else:
+                at = stack[-1][1]
             t.runs.append((at, text))
             t.words[at] += text.count(" ") + 1
             t.linked[at] += link_words
@@ -139,11 +151,13 @@ def parse(html: str | None) -> Tree:
         if tag == "a":
             links = max(0, links + (-1 if closing else 1))
         if tag in VOID:
-            if tag == "br":
+            if tag in APART:
                 run.append(" ")
             elif tag == "hr":
                 flush()
             continue
+        if tag in APART:
+            run.append(" ")
         if tag not in _KIND:
             continue
         flush()
@@ -190,7 +204,7 @@ def node_features(t: Tree) -> np.ndarray:
             x[i, 1 + N_KINDS + k] = 1
     words, linked, sentences = (np.array(v, dtype=float) for v in (t.words, t.linked, t.sentences))
     parent, kind = np.array(t.parent, dtype=np.int64), np.array(t.kind, dtype=np.int64)
-    blocks = np.isin(kind, (_KIND["p"], _KIND["h1"], _KIND["pre"])).astype(float)
+    blocks = np.isin(kind, (_KIND["p"], _KIND["h1"], _KIND["pre"], _TEXT)).astype(float)
     for i in range(n - 1, 0, -1):  # sums over subtrees; children come after parents
         if (p := t.parent[i]) >= 0:
             words[p] += words[i]
@@ -291,7 +305,8 @@ def extract(pages: list[str | None], model: tuple[np.ndarray, np.ndarray]) -> li
 def extract_pages(pages: DataFrame, n_pages: int = TRAIN_PAGES) -> DataFrame:
     """``pages`` with ``text`` (main text, blocks joined by a line feed) and ``n_chars`` (its code points).
 
-    A null or empty page, and one without main text, gives an empty text. Any markup is parsed as far as it
+    A null or empty page, and one without main text, gives an empty text. Text outside any block element is a block,
+    up to the next block element; line breaks in it are white space. Text of controls outside forms is kept. Any markup is parsed as far as it
     goes, whole; equal pages give equal texts, an empty table stays empty; input columns named text or
     n_chars are replaced."""
     model = train(n_pages)

@@ -1,5 +1,8 @@
+import html
 import html as html_
+import html.parser
 import itertools
+import random
 import re
 
 import numpy as np
@@ -74,17 +77,20 @@ def test_parser_closes_what_html_closes():
     t = h.parse("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table><p>h<div>i</div>j")
     assert [x for _, x in t.runs] == list("abcdefghij")
     kinds = list(h.KINDS)
-    assert [kinds[t.kind[k]] for k, _ in t.runs] == ["item"] * 4 + ["table"] * 3 + ["paragraph", "box", "root"]
+    assert [kinds[t.kind[k]] for k, _ in t.runs] == ["item"] * 4 + ["table"] * 3 + ["paragraph", "text", "text"]
+    assert [kinds[t.kind[t.parent[k]]] for k, _ in t.runs[-2:]] == ["box", "root"]
 
 
 def test_raw_and_skipped_elements():
-    t = h.parse("<body>a<script>if (x < y) {'</p>'}</SCRIPT >b<!-- c --><style>d</style><select><option>e</select>f<iframe>g<br/>h")
-    assert "".join(x for _, x in t.runs).replace(" ", "") == "abfgh"
+    t = h.parse("<body>a<script>if (x < y) {'</p>'}</SCRIPT >b<!-- c --><style>d</style><select><option>e<option>f</select>g<template><p>no</p></template>h<iframe>i<br/>j")
+    assert " ".join(x for _, x in t.runs) == "ab e f ghi j"
 
 
 TWO = "<p>First of the long paragraphs, with a number of words in it. It says a thing or two.</p><p>Second of the long ones. It goes on about the matter for a while, and ends.</p>"
 BOTH = "First of the long paragraphs, with a number of words in it. It says a thing or two.\nSecond of the long ones. It goes on about the matter for a while, and ends."
 
+L = "Some lines of plain text stand here, without an element of their own. They say a thing or two, and then they end."
+
 
 @pytest.mark.parametrize(
     ("page", "text"),
@@ -95,7 +101,12 @@ BOTH = "First of the long paragraphs, with a number of words in it. It says a th
         (f"<body><div><h1>Head</h1>{TWO}</div></body>", "Head\n" + BOTH), (f"<body><div><ul><li><a href=/>Home</a><li><a href=/b>About us</a><li><a href=/c>Contact</a></ul></div><div class=k7><h2>Head</h2>{TWO}</div></body>", "Head\n" + BOTH),
         ("<article><p>One super<wbr>cali and fra<img src=x>gile word<br>each. It is so.</p></article>", "One supercali and fragile word each. It is so."),
         ("<article><p>A sum <math><mi>x</mi><mo>+</mo></math> in <svg><text>a drawing</text></svg> and <noscript>no script</noscript>. So it is.</p></article>", "A sum x+ in a drawing and no script. So it is."),
-        ("<article><p>Words here. <script>a</scripty>b</script >And there, it ends.</p></article>", "Words here. And there, it ends."), ("<article><p>Keep this text. <select><option>no</select><button>Press</button> And this.</p></article>", "Keep this text. And this."),
+        ("<article><p>Words here. <script>a</scripty>b</script >And there, it ends.</p></article>", "Words here. And there, it ends."), ("<article><p>Press the <button>OK</button> key now, and choose <select><option>one<option>two</select> of them.</p></article>", "Press the OK key now, and choose one two of them."),
+        (f"<body>{L}<br><br>{L}<br><br>{L}</body>", f"{L} {L} {L}"), (f"<body><h1>Top</h1>{L}</body>", "Top\n" + L), (f"<center><font>{L}</font></center>", L), (L, L), (f"<html><body>{L}", L),
+        (f"<body><b>Top</b><br>{L}<p>{L}<hr>{L}</body>", f"Top {L}\n{L}\n{L}"), (f"<div>{L}<p>{L}</p>{L}</div>", f"{L}\n{L}\n{L}"),
+        (f"<body><nav><a href=/>Home</a> <a href=/a>About</a></nav>{L}<footer>&copy; us</footer>", L),
+        (f"<body><table><tr><td><ul><li><a href=/>Home</a><li><a href=/b>About us</a><li><a href=/c>Contact</a></ul></td><td>{L}<p>{L}</td></tr></table>", f"{L}\n{L}"),
+        (f"<article><p>{L}</p><ul><li><a href=/a>The first source</a><li><a href=/b>The second one</a></ul><p>{L}</p></article>", f"{L}\nThe first source\nThe second one\n{L}"),
     ],
 )
 def test_pages_of_other_hands(page, text, model):
@@ -110,3 +121,54 @@ def test_edge_cases(spark):
     lines = "\n".join(["Some words of text, and some more."] * 20_000)
     assert got == [(1, "", 0), (2, "", 0), (3, lines, len(lines)), (4, "", 0), (4, "", 0), (None, "One.\nTwo parts", 14)]
     assert h.extract_pages(spark.createDataFrame([], PAGES)).collect() == []
+
+
+class _Blocks(html.parser.HTMLParser):
+    """Text of a page by blocks, without a model: for pages that hold main text only."""
+
+    INLINE = {"b", "i", "a", "font", "span", "button", "em"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.blocks = [[]]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.blocks[-1].append(" ")
+        elif tag not in self.INLINE:
+            self.blocks.append([])
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        self.blocks[-1].append(data)
+
+    def text(self):
+        return "\n".join(x for x in (" ".join("".join(b).split()) for b in self.blocks) if x)
+
+
+def random_page(r):
+    """A page of main text, in and outside of elements."""
+    sentence = lambda: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 9))) for _ in range(r.randint(4, 16))).capitalize() + "."
+    text = lambda: " ".join(sentence() for _ in range(r.randint(1, 5)))
+    some = [
+        text, lambda: f"<p>{text()}</p>", lambda: f"<p>{text()}", lambda: f"<font>{text()}</font>", lambda: f"{text()}<br><br>{text()}", lambda: f"{text()}<hr>{text()}",
+        lambda: f"<div>{text()}</div>", lambda: f"<div>{text()}<p>{text()}</p>{text()}</div>", lambda: f"<p>{text()} Press the <button>OK</button> key. {text()}</p>", lambda: f"<blockquote>{text()}</blockquote>",
+    ]
+    body = "".join(r.choice(some)() for _ in range(r.randint(1, 8)))
+    wrap = r.choice(["{}", "<body>{}</body>", "<html><body>{}", "<center>{}</center>", "<body><div>{}</div>", "<article>{}</article>", "<main>{}</main>"])
+    return wrap.format(r.choice(["", "", "<h1>A title of some words</h1>"]) + body)
+
+
+def test_pages_of_main_text_against_a_plain_extractor(model):
+    r = random.Random(21)
+    pages_ = [random_page(r) for _ in range(400)]
+    got = h.extract(pages_, model)
+    want = [_Blocks(p).text() for p in pages_]
+    same = sum(a == b for a, b in zip(got, want))
+    kept, all_ = sum(map(len, got)), sum(map(len, want))
+    assert same >= 396 and kept >= 0.998 * all_
