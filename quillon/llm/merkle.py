@@ -105,12 +105,11 @@ def hex_rows(digests: list[str]) -> np.ndarray:
     return np.frombuffer("".join(digests).encode("ascii"), dtype=np.uint8).reshape(-1, HEX)
 
 
-def sibling_rows(nodes: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For nodes (by index) of a level of ``nodes``: the index of each of their run's 16 places, the place that is
-    their own, and how many of the places are taken."""
+def sibling_bytes(nodes: int, at: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """For nodes (by index) of a level of ``nodes``, in bytes of the level's rows: where each one's run of 16 begins,
+    where its own row does, and where the run ends."""
     first = at // FANOUT * FANOUT
-    places = first[:, None] + np.arange(FANOUT)
-    return np.minimum(places, nodes - 1), at - first, np.minimum(nodes - first, FANOUT)
+    return (first * HEX).tolist(), (at * HEX).tolist(), (np.minimum(first + FANOUT, nodes) * HEX).tolist()
 
 
 def paths_of(levels: list[np.ndarray]) -> list[list[tuple[str, str]]]:
@@ -118,10 +117,9 @@ def paths_of(levels: list[np.ndarray]) -> list[list[tuple[str, str]]]:
     paths: list[list[tuple[str, str]]] = [[] for _ in range(len(levels[0]))]
     at = np.arange(len(levels[0]))
     for level in levels[:-1]:
-        places, own, taken = sibling_rows(len(level), at)
-        runs = level[places].reshape(len(at), -1)
-        for path, run, k, m in zip(paths, runs, own.tolist(), taken.tolist()):
-            path.append((run[: k * HEX].tobytes().decode(), run[(k + 1) * HEX : m * HEX].tobytes().decode()))
+        rows = level.tobytes().decode("ascii")
+        for path, low, own, high in zip(paths, *sibling_bytes(len(level), at)):
+            path.append((rows[low:own], rows[own + HEX : high]))
         at = at // FANOUT
     return paths
 
@@ -129,26 +127,25 @@ def paths_of(levels: list[np.ndarray]) -> list[list[tuple[str, str]]]:
 def folded(levels: list[np.ndarray], digests: np.ndarray, above: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
     """For every leaf of a block, the digest of its siblings up to the root, and the root that ``digests``, a row a
     leaf in their place, lead to with these siblings."""
-    proofs, now, at = [sha256() for _ in digests], digests, np.arange(len(digests))
+    proofs, now, at = [sha256() for _ in digests], [row.tobytes() for row in digests], np.arange(len(digests))
     for level in levels[:-1]:
-        places, own, taken = sibling_rows(len(level), at)
-        rows = level[places]
-        rows[np.arange(len(at)), own] = now
-        # the others of the run: places up to the own one, then those after it
-        others = np.arange(FANOUT - 1) + (np.arange(FANOUT - 1) >= own[:, None])
-        beside = np.take_along_axis(level[places], others[:, :, None], axis=1).reshape(len(at), -1)
-        runs, ends = rows.reshape(len(at), -1), (taken * HEX).tolist()
-        for proof, x, end in zip(proofs, beside, ends):
-            proof.update(x[: end - HEX])
-        now = hex_rows([sha256(x[:end]).hexdigest() for x, end in zip(runs, ends)])
+        rows = memoryview(np.ascontiguousarray(level).reshape(-1))
+        for k, (low, own, high) in enumerate(zip(*sibling_bytes(len(level), at))):
+            left, right = rows[low:own], rows[own + HEX : high]
+            proofs[k].update(left)
+            proofs[k].update(right)
+            node = sha256(left)
+            node.update(now[k])
+            node.update(right)
+            now[k] = node.hexdigest().encode("ascii")
         at = at // FANOUT
-    tail = "".join(left + right for left, right in above).encode("ascii")
+    rest = [(left.encode("ascii"), right.encode("ascii")) for left, right in above]
+    tail = b"".join(left + right for left, right in rest)
     roots = []
-    for proof, row in zip(proofs, now):
+    for proof, digest in zip(proofs, now):
         proof.update(tail)
-        digest = row.tobytes()
-        for left, right in above:
-            digest = sha256(left.encode("ascii") + digest + right.encode("ascii")).hexdigest().encode("ascii")
+        for left, right in rest:
+            digest = sha256(left + digest + right).hexdigest().encode("ascii")
         roots.append(digest.decode("ascii"))
     return [p.hexdigest() for p in proofs], roots
 

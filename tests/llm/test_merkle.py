@@ -119,6 +119,6 @@ def test_edge_cases(spark):
     assert [(r.leaf == r.subroot == r.root, r.proof_sha256) for r in lone] == [(True, sha256(b"").hexdigest())]
 
 
-def test_sibling_rows():
-    places, own, taken = m.sibling_rows(20, np.array([0, 15, 16, 19]))
-    assert own.tolist() == [0, 15, 0, 3] and taken.tolist() == [16, 16, 4, 4] and places[2, :4].tolist() == [16, 17, 18, 19]
+def test_sibling_bytes():
+    low, own, high = m.sibling_bytes(20, np.array([0, 15, 16, 19]))
+    assert low == [0, 0, 1024, 1024] and own == [0, 960, 1024, 1216] and high == [1024, 1024, 1280, 1280]
