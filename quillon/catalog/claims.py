@@ -6,11 +6,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.detectors import SETS
+from quillon.functions.plugin import extract_by, extractor
 from quillon.functions.text import NUMERALS
 from quillon.operators import resolve
 from quillon.operators.extract import extract
 from quillon.plans.answers import answer_primary, claims_of, dump, states, trace
-from quillon.sources.tables import preferences, table
+from quillon.sources.tables import PREFERENCES, preferences, table
 
 #: Words and digits of counts by part size modulo their number; the last two are no numbers.
 COUNTS = (*NUMERALS, "12", "007", "SEVEN", "eleven", "many")
@@ -48,12 +50,36 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _claims(detectors: str):  # noqa: ANN202
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = extract(_chunks(spark, sf_dir), detectors)
-        return out.select(F.col("ord").alias("chunk"), F.col("pos").cast("long").alias("pos"), F.col("value").cast("long").alias("value"), "source_type", "scope_operator", "evidence", F.array_join("items", ",").alias("items"))
+        return _listed_claims(extract(_chunks(spark, sf_dir), detectors))
 
     return query
 
 
+def _listed_claims(claims: DataFrame) -> DataFrame:
+    plain = [F.col(c).cast("long").alias(c) for c in ("pos", "value")]
+    return claims.select(F.col("ord").alias("chunk"), *plain, "source_type", "scope_operator", "evidence", F.array_join("items", ",").alias("items"))
+
+
+def _asked_length(text: str, kind: str) -> list[dict]:
+    """A user's extractor: the number that a prompt for a length is answered with on the next line."""
+    for prompt in text.split(">>>")[1:]:
+        call, closing, rest = prompt.partition(")")
+        lines = rest.split("\n", 1)
+        said = lines[1].strip() if len(lines) == 2 and not lines[0].strip() else ""
+        if call.lstrip().startswith("len(") and closing and said.isascii() and said.isdigit():
+            before = rest[: len(rest) - len(rest.lstrip())]
+            return [{"value": int(said), "source_type": "code_literal", "evidence": f">>>{call}){before}{said}"}]
+    return []
+
+
+def claims_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims of the base set, and beside them those of an extractor in Python."""
+    chunks = _chunks(spark, sf_dir)
+    native = extract(chunks, "base")
+    own = extract_by(chunks, extractor(_asked_length), len(SETS["base"]))
+    return _listed_claims(native.unionByName(own.select(*native.columns)))
+
+
 def _questions(chunks: DataFrame, intent: str = "how_many") -> DataFrame:
     ids, kind = chunks.select("corpus_id").distinct(), F.replace("corpus_id", F.lit("Brand#"), F.lit("")).cast("int") % len(ASKED)
     return ids.select(F.col("corpus_id").alias("question_id"), "corpus_id", _pick(tuple(q for q, _ in ASKED), kind).alias("query"), F.lit(None).cast("string").alias("query2"), F.lit(intent).alias("intent"), _pick(tuple(k for _, k in ASKED), kind).alias("top_k"))
@@ -61,7 +87,7 @@ def _questions(chunks: DataFrame, intent: str = "how_many") -> DataFrame:
 
 def _answered(spark: SparkSession, sf_dir: str, intent: str = "how_many") -> DataFrame:
     chunks = _chunks(spark, sf_dir)
-    return answer_primary(chunks, _questions(chunks, intent), preferences(spark), "extended")
+    return answer_primary(chunks, _questions(chunks, intent), PREFERENCES, "extended")
 
 
 def answer_from_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,12 +121,12 @@ def state_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def whole_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
-    s = states(chunks, _questions(chunks), preferences(spark), "extended")
+    s = states(chunks, _questions(chunks), PREFERENCES, "extended")
     return s.select("question_id", F.coalesce(F.size("K"), F.lit(0)).cast("long").alias("n_evidence"), F.array_join(F.sort_array(F.map_keys("K")), ",").alias("keys"), F.array_join(F.transform("H", lambda h: F.concat_ws(":", h["label"], h["active"].cast("string"))), ",").alias("hypotheses"), F.col("E").alias("state"), F.array_join("P", ",").alias("priorities"), "goal")
 
 
 QUERIES = {f"claims_{name}": _claims(name) for name in ("base", "extended", "no_author_phrase")}
-QUERIES |= {f.__name__: f for f in (answer_from_claims, no_priority_halt, within_type_boundary, answer_trace, state_dump, whole_state)}
+QUERIES |= {f.__name__: f for f in (claims_plugin, answer_from_claims, no_priority_halt, within_type_boundary, answer_trace, state_dump, whole_state)}
 
 
 def _list(of: tuple) -> str:
@@ -155,3 +181,5 @@ ORACLES |= {
       (SELECT string_agg('count=' || value || '/' || source_type || ':' || CASE WHEN n_values > 1 AND h_ord <> won THEN 'false' ELSE 'true' END, ',' ORDER BY h_ord) FROM h WHERE b = question_id) AS hypotheses,
       CASE WHEN n_hypotheses = 0 THEN found ELSE 'supported' END AS state, 'author_anchor,forward_reference,code_literal' AS priorities, goal FROM r""",
 }
+#: The extractor reads what the last detector of this set reads.
+ORACLES["claims_plugin"] = ORACLES["claims_no_author_phrase"]

@@ -12,12 +12,8 @@ from quillon.sources.tables import table
 FORMATS = {"en": "Png", "fr": "Jpeg", "de": "Webp"}
 KINDS = {"click": "CpuRgba", "view": "Static", "purchase": "DeviceEncoded", "signup": "Static", "error": "DeviceEncoded"}
 LICENSES = (("Apache License, Version 2.0", "Apache-2.0"), ("MIT License", "MIT"), ("GNU General Public License, version 3", "GPL-3.0"), ("CC BY-NC 4.0", "CC-BY-NC-4.0"))
-PROTOCOLS = {
-    "bare": ("LayerShell", "XdgOutput"), "full": ("LayerShell", "XdgOutput", "FractionalScale", "Viewporter", "ContentType", "ForeignToplevelList"),
-    "blurry": ("LayerShell", "XdgOutput", "FractionalScale", "ContentType"), "unusable": ("XdgOutput", "Viewporter"),
-}
-PROFILES = (("day", "DP-1", "/a.png", "cover"), ("day", "DP-2", "/b.png", "tile"), ("night", "DP-1", "/c.png", "contain"))
-ACTIVATIONS = (("day", 1), ("night", 2), ("day", 3))
+#: Protocols by the number that an event names.
+PROTOCOLS = (*policy.REQUIRED, *policy.OPTIONAL)
 
 
 def _chosen(column: str, names: dict[str, str], otherwise: str | None = None) -> Column:
@@ -68,20 +64,28 @@ def error_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warning_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = compat.warning_catalog(spark)
-    return c.select("code", compat.warning_text(F.col("code"), F.col("name"), F.lit(None).cast("string"), F.col("impact"), F.col("fix")).alias("text"))
+    """What every asset's warnings say, by the catalog of codes."""
+    told = compat.load_reports(_assets(spark, sf_dir)).select("asset_id", F.explode("report.warnings").alias("code"))
+    # a row per code, a handful by definition
+    c = told.join(F.broadcast(compat.warning_catalog(spark)), "code")
+    return c.select("asset_id", "code", compat.warning_text(F.col("code"), F.col("name"), F.lit(None).cast("string"), F.col("impact"), F.col("fix")).alias("text"))
 
 
 def profile_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(PROFILES), "name string, output string, path string, fit string")
-    entry = F.struct("output", F.struct("path", F.lit("image").alias("backend"), "fit"))
-    profiles = rows.groupBy("name").agg(F.map_from_entries(F.collect_list(entry)).alias("outputs"))
-    return policy.assign(profiles, spark.createDataFrame(list(ACTIVATIONS), "name string, seq int"))
+    """Regions as profiles of their nations; every event activates one."""
+    fit = F.get(F.lit(list(policy.FITS)), (F.col("n_nationkey") % len(policy.FITS)).cast("int"))
+    entry = F.struct("n_name", F.struct(F.concat(F.lit("/"), F.lower("n_name"), F.lit(".png")).alias("path"), F.lit("image").alias("backend"), fit.alias("fit")))
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    profiles = nations.groupBy(F.col("r_name").alias("name")).agg(F.map_from_entries(F.collect_list(entry)).alias("outputs"))
+    k = (F.get_json_object("props", "$.k").cast("long") % 5).alias("r_regionkey")
+    activations = table(spark, sf_dir, "events").select(k, F.struct("ts", "event_id").alias("seq")).join(table(spark, sf_dir, "region"), "r_regionkey")
+    return policy.assign(profiles, activations.select(F.col("r_name").alias("name"), "seq"))
 
 
 def protocol_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(c, p) for c, ps in PROTOCOLS.items() for p in ps], "compositor string, protocol string")
-    return policy.degradation(rows, "compositor")
+    """Users as compositors, whose events name the protocols that they have."""
+    named = F.get(F.lit(list(PROTOCOLS)), (F.get_json_object("props", "$.k").cast("long") % 13).cast("int"))  # seven of thirteen name none
+    return policy.degradation(table(spark, sf_dir, "events").select("user_id", named.alias("protocol")), "user_id")
 
 
 def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +117,6 @@ def _case(column: str, names: dict[str, str], otherwise: str | None = None) -> s
 _A = f"a AS (SELECT doc_id AS asset_id, {_case('lang', FORMATS, 'Unknown')} AS format, n_chars, n_chars < 500 AS small, lang = 'de' AND n_chars % 3 = 0 AS exif FROM documents)"
 _BAD = "format = 'Unknown'"
 _STATUS = f"CASE WHEN {_BAD} THEN 'Failed' WHEN small OR exif THEN 'Partial' ELSE 'Ok' END"
-_WARNING_ROWS = ", ".join("('{}', '{}', '{}', '{}')".format(*w) for w in compat.WARNINGS)
 ORACLES = {
     "support_lookup": f"WITH {_A} SELECT format, CASE WHEN {_BAD} THEN 'Unsupported' ELSE 'Full' END AS level, CAST(CASE WHEN {_BAD} THEN 0 ELSE 3 END AS BIGINT) AS level_ord, count(*) AS assets FROM a GROUP BY format",
     "negotiation": f"SELECT event_id, {_case('event_type', KINDS)} AS source_kind, CASE WHEN event_type IN ('purchase', 'error') THEN 'CompatibleWithLimitations' ELSE 'Compatible' END AS tag, CASE WHEN event_type IN ('purchase', 'error') THEN '{compat.DEVICE_NOTE}' ELSE '' END AS notes FROM events",
@@ -125,10 +128,17 @@ ORACLES = {
     "error_recovery": """SELECT event_id, CASE event_type WHEN 'click' THEN 'SurfaceLost' WHEN 'view' THEN 'DeviceLost' WHEN 'error' THEN 'InvalidState' WHEN 'purchase' THEN 'LoadError' ELSE 'Transient' END AS error,
       CASE event_type WHEN 'click' THEN 'recreate_surface_once' WHEN 'view' THEN 'recreate_runtime' WHEN 'error' THEN 'backend_failed' WHEN 'purchase' THEN 'solid_colour' END AS action,
       CASE event_type WHEN 'click' THEN 'surface lost' WHEN 'view' THEN 'device lost' WHEN 'error' THEN 'invalid state (bug): x' WHEN 'signup' THEN 'transient error' END AS text FROM events""",
-    "warning_catalog": f"SELECT code, '[' || code || '] ' || name || chr(10) || '  Impact:  ' || impact || chr(10) || '  Fix:     ' || fix AS text FROM (VALUES {_WARNING_ROWS}) AS w(code, name, impact, fix)",
-    "profile_assignment": "SELECT * FROM (VALUES ('day', 'DP-1', '/a.png', 'image', 'cover'), ('day', 'DP-2', '/b.png', 'image', 'tile')) AS v(profile, output, path, backend, fit)",
-    "protocol_degradation": """SELECT * FROM (VALUES ('bare', true, 'integer', CAST(NULL AS VARCHAR), false, 'W023,W040'), ('full', true, 'fractional', 'photo', true, ''),
-      ('blurry', true, 'integer', 'photo', false, 'W024,W040'), ('unusable', false, 'integer', NULL, false, 'W023,W040')) AS v(compositor, usable, scaling, content_hint, fullscreen_detection, warnings)""",
+    "warning_catalog": f"""WITH {_A}, w AS (SELECT asset_id, 'W001' AS code FROM a WHERE small AND NOT {_BAD} UNION ALL SELECT asset_id, 'W002' FROM a WHERE exif AND NOT {_BAD})
+      SELECT asset_id, code, CASE code WHEN 'W001' THEN '[W001] ImageSmallerThanOutput' || chr(10) || '  Impact:  Upscaling with quality loss' || chr(10) || '  Fix:     Use an image at least as large as the output'
+        ELSE '[W002] ImageExifBroken' || chr(10) || '  Impact:  Orientation may be wrong' || chr(10) || '  Fix:     Rewrite the metadata of the image' END AS text FROM w""",
+    "profile_assignment": """WITH k AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) % 5 AS r FROM events WHERE json_extract(props, '$.k') IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 1)
+      SELECT r_name AS profile, n_name AS output, '/' || lower(n_name) || '.png' AS path, 'image' AS backend, CASE n_nationkey % 5 WHEN 0 THEN 'cover' WHEN 1 THEN 'contain' WHEN 2 THEN 'stretch' WHEN 3 THEN 'tile' ELSE 'center' END AS fit
+      FROM nation JOIN region ON n_regionkey = r_regionkey JOIN k ON r_regionkey = r""",
+    "protocol_degradation": """WITH p AS (SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) % 13 AS k FROM events),
+      h AS (SELECT user_id, coalesce(bool_or(k = 0), false) AS layer, coalesce(bool_or(k = 1), false) AS xdg, coalesce(bool_or(k = 2), false) AS fractional, coalesce(bool_or(k = 3), false) AS viewporter,
+        coalesce(bool_or(k = 4), false) AS content, coalesce(bool_or(k = 5), false) AS toplevel FROM p GROUP BY user_id)
+      SELECT user_id, layer AND xdg AS usable, CASE WHEN fractional AND viewporter THEN 'fractional' ELSE 'integer' END AS scaling, CASE WHEN content THEN 'photo' END AS content_hint, toplevel AS fullscreen_detection,
+        concat_ws(',', CASE WHEN NOT fractional THEN 'W023' END, CASE WHEN fractional AND NOT viewporter THEN 'W024' END, CASE WHEN NOT toplevel THEN 'W040' END) AS warnings FROM h""",
     "regression_gate": """WITH m AS (SELECT l_returnflag, strftime(l_shipdate, '%Y-%m') AS month, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2),
       p AS (SELECT *, lag(quantity) OVER (PARTITION BY l_returnflag ORDER BY month) AS previous FROM m)
       SELECT *, round((quantity - previous) / previous, 6) AS change, coalesce((quantity - previous) / previous > 0.1, false) AS blocked FROM p""",

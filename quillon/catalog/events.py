@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import compat, frames, ipc, lifecycle, policy, present
+from quillon.operators import compat, frames, ipc, lifecycle, policy, present, ranges
 from quillon.sources.tables import events, mock_frame_request, solid_buffer, table
 
 ORDER = ("ts", "event_id")
@@ -13,6 +13,8 @@ OPS = {"signup": "prepare", "view": "render_frame", "click": "resize", "error":
 TAGS = {"click": "Cpu", "view": "Unchanged", "purchase": "DeviceEncoded", "signup": "SkippedDegraded", "error": "Cpu"}
 RAW = {"click": "ping", "view": " status ", "error": "quit\n", "purchase": "noise", "signup": ""}
 CLI = {"click": "profile set", "view": "output list", "purchase": "status", "signup": "diag", "error": "statuses"}
+SEGMENT = 16
+RENDERS = {"signup": "prepare", "view": "render_begin", "click": "resize", "error": "pause", "purchase": "render_end"}
 ERRORS = {0: "SurfaceLost", 1: "DeviceLost", 2: "Transient"}
 
 
@@ -27,15 +29,36 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("long")
 
 
-def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = lambda most: F.when(F.col("event_type").isin("signup", "click"), _k() % most + 1)
-    of = events(spark, sf_dir).select("event_id", "user_id", "ts", _mapped(OPS).alias("op"), (_k() % 7 == 0).alias("is_first_frame"), size(400).alias("width"), size(300).alias("height"))
-    return lifecycle.replay(of, "user_id", ORDER)
+    return events(spark, sf_dir).select(
+        "event_id", "user_id", "ts", _mapped(OPS).alias("op"), (_k() % 7 == 0).alias("is_first_frame"), size(400).alias("width"), size(300).alias("height")
+    )
 
 
-def lifecycle_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.replay(_operations(spark, sf_dir), "user_id", ORDER)
+
+
+def _outcomes(replayed: DataFrame) -> DataFrame:
     surface = [F.col(f"surface.{c}").alias(c) for c in ("width", "height")]
-    return _replayed(spark, sf_dir).select("event_id", "phase_before", "outcome", "message", "phase", "output", *surface, F.col("frame.bytes").alias("bytes"), F.col("frame.stride").alias("stride"), F.col("frame.damage").alias("damage"))
+    frame = [F.col(f"frame.{c}").alias(c) for c in ("bytes", "stride", "damage")]
+    return replayed.select("event_id", "phase_before", "outcome", "message", "phase", "output", *surface, *frame)
+
+
+def lifecycle_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outcomes(_replayed(spark, sf_dir))
+
+
+def lifecycle_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same outcomes, every user's events replayed by ranges of time."""
+    return _outcomes(ranges.replay(_operations(spark, sf_dir), "user_id", ORDER))
+
+
+def call_trace_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's calls in segments of sixteen."""
+    of = events(spark, sf_dir).select("event_id", "user_id", "ts", _mapped(OPS).alias("op"))
+    return ranges.trace_segments(of, "user_id", ORDER, segment=SEGMENT).select("user_id", "segment", "first", F.array_join("calls", ",").alias("calls"))
 
 
 def lifecycle_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,9 +138,9 @@ def surface_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reentrancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls that come while the frame of the event before is still being rendered, as every third one is."""
-    of = events(spark, sf_dir).select("event_id", _mapped(OPS).alias("op"), F.coalesce(_k() % 3 == 0, F.lit(False)).alias("in_render"))
-    return of.select("event_id", "op", lifecycle.reentrant(F.col("in_render"), F.col("op")).alias("outcome"))
+    """Calls that come while a frame is still being rendered, as the events before them tell."""
+    of = events(spark, sf_dir).select("event_id", "user_id", "ts", _mapped(RENDERS).alias("op"))
+    return lifecycle.reentrancy(of, "user_id", ORDER).select("event_id", "op", "in_render", "outcome")
 
 
 def capability_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,11 +173,12 @@ def response_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mock_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mock frame source, prepared and rendered once, and what the mock renderer says to it."""
-    asked = mock_frame_request(spark)
-    rendered = asked.select("case_id", (F.col("seq") + 1).alias("seq"), F.lit("render_frame").alias("op"), F.lit(True).alias("is_first_frame"), *[F.lit(None).cast(t).alias(c) for c, t in (("width", "long"), ("height", "long"), ("scale", "double"))])
-    out = lifecycle.replay(asked.unionByName(rendered), "case_id", ["seq"])
-    return out.select("seq", "op", "phase", "output", F.col("surface.width").alias("width"), F.col("surface.height").alias("height"), F.col("frame.bytes").alias("bytes"), compat.mock_negotiate().alias("negotiation"))
+    """A mock frame source for every user, prepared when they sign up and rendered whenever they view, and what the
+    mock renderer says to it."""
+    asked = events(spark, sf_dir).where("event_type IN ('signup', 'view')").select("event_id", "user_id", "ts", _mapped(OPS).alias("op"), F.lit(False).alias("is_first_frame"))
+    size = mock_frame_request(spark).select("width", "height").first()
+    out = lifecycle.replay(asked.withColumns({"width": F.lit(size.width), "height": F.lit(size.height)}), "user_id", ORDER)
+    return out.select("event_id", "op", "phase", "output", F.col("surface.width").alias("width"), F.col("surface.height").alias("height"), F.col("frame.bytes").alias("bytes"), compat.mock_negotiate().alias("negotiation"))
 
 
 def deferred_present(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +201,7 @@ def solid_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.buffer_faults(made).select("p_partkey", F.octet_length(b["data"]).cast("long").alias("n_bytes"), b["stride"].alias("stride"), F.hex(F.substring(b["data"], 1, 4)).alias("pixel"), "fault")
 
 
-QUERIES = {f.__name__: f for f in (lifecycle_outcomes, lifecycle_status, call_traces, pause_noop_counts, frame_output_counts, present_recovery, frame_loop, ipc_router, ipc_json, recent_events, hotplug_burst, hotplug_burst_stated, deferred_present, deferred_present_stated, last_state, surface_order, reentrancy, capability_queries, fullscreen_pause, cli_verbs, date_gate, response_gate, mock_source)}
+QUERIES = {f.__name__: f for f in (lifecycle_outcomes, lifecycle_by_range, lifecycle_status, call_traces, call_trace_segments, pause_noop_counts, frame_output_counts, present_recovery, frame_loop, ipc_router, ipc_json, recent_events, hotplug_burst, hotplug_burst_stated, deferred_present, deferred_present_stated, last_state, surface_order, reentrancy, capability_queries, fullscreen_pause, cli_verbs, date_gate, response_gate, mock_source)}
 QUERIES["solid_buffer"] = solid_buffers
 
 
@@ -206,6 +230,7 @@ ORACLES = {
       CASE WHEN output = 'Cpu' THEN 4 * width * height END AS bytes, CASE WHEN output = 'Cpu' THEN 4 * width END AS stride, CASE WHEN output = 'Cpu' THEN 'Full' END AS damage FROM l""",
     "lifecycle_status": f"""WITH {_FOLD}, g AS (SELECT user_id, max_by(phase, rn) AS phase, count(*) AS events, count(*) FILTER (WHERE outcome IN ('err', 'panic')) AS rejected, count(*) FILTER (WHERE output = 'Cpu') AS frames_shown FROM l GROUP BY user_id)
       SELECT user_id, phase, {_STATUS} AS status, events, rejected, frames_shown FROM g""",
+    "call_trace_segments": f"WITH {_E} SELECT user_id, (rn - 1) // {SEGMENT} AS segment, (rn - 1) // {SEGMENT} * {SEGMENT} AS first, string_agg(op, ',' ORDER BY rn) AS calls FROM e GROUP BY user_id, (rn - 1) // {SEGMENT}",
     "call_traces": f"WITH {_E} SELECT user_id, string_agg(op, ',' ORDER BY rn) AS trace FROM e GROUP BY user_id",
     "pause_noop_counts": f"WITH {_FOLD} SELECT user_id, count(*) FILTER (WHERE op = 'pause' AND phase_before = 'Paused') AS repeated_pauses, count(*) FILTER (WHERE op = 'resume' AND phase_before <> 'Paused') AS idle_resumes FROM l GROUP BY user_id",
     "frame_output_counts": f"WITH {_FOLD} SELECT user_id, count(*) FILTER (WHERE output = 'Cpu') AS cpu, count(*) FILTER (WHERE output = 'Unchanged') AS unchanged, min_by(event_id, rn) FILTER (WHERE output = 'Cpu') AS first_shown FROM l GROUP BY user_id",
@@ -243,18 +268,28 @@ ORACLES = {
         CASE event_type WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 2 ELSE 3 END AS place, coalesce(k % 3 = 0, false) AS has_buffer FROM e),
       t AS (SELECT s.*, p.place AS before FROM s LEFT JOIN s p ON p.user_id = s.user_id AND p.rn = s.rn - 1)
       SELECT event_id, state, CASE WHEN before IS NULL AND has_buffer THEN 'buffer in initial commit' WHEN place = coalesce(before, 0) + 1 OR (place = 3 AND before = 3) THEN NULL ELSE 'out of order' END AS fault FROM t""",
-    "reentrancy": f"WITH {_E} SELECT event_id, op, CASE WHEN op = 'resize' AND k % 3 = 0 THEN 'panic' END AS outcome FROM e",
+    "reentrancy": f"""WITH RECURSIVE {_E}, m AS (SELECT user_id, rn, event_id, {_case(RENDERS)} AS op FROM e), r AS (
+      SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, '' AS op, false AS before, false AS open FROM (SELECT DISTINCT user_id FROM e)
+      UNION ALL
+      SELECT m.user_id, m.rn, m.event_id, m.op, r.open, CASE m.op WHEN 'render_begin' THEN true WHEN 'render_end' THEN false ELSE r.open END FROM r JOIN m ON m.user_id = r.user_id AND m.rn = r.rn + 1)
+      SELECT event_id, op, before AS in_render, CASE WHEN before AND op IN ('resize', 'render_begin') THEN 'panic' END AS outcome FROM r WHERE rn > 0""",
     "capability_queries": f"WITH {_FOLD} SELECT DISTINCT user_id, 'Static' AS source_kind, 'Immediate' AS resize, 'Freeze' AS pause_semantics, 'Photo' AS content_type_hint, 'Ok' AS status, CAST(1024 AS BIGINT) AS total_bytes, CAST(1 AS BIGINT) AS image_count FROM l WHERE op = 'prepare' AND outcome = 'ok'",
     "fullscreen_pause": f"WITH {_E} SELECT event_id, coalesce(event_type = 'view' AND k % 2 = 0, false) AS pause FROM e",
     "cli_verbs": "SELECT event_id, CASE event_type WHEN 'click' THEN 'SetProfile' WHEN 'view' THEN 'GetOutputs' WHEN 'purchase' THEN 'GetActiveProfile' WHEN 'signup' THEN 'Diag' END AS verb FROM events",
     "date_gate": "SELECT o_custkey, bool_and(coalesce(o_orderstatus <> 'P' AND CAST(o_orderdate AS DATE) <= DATE '1997-06-01', false)) AS open FROM orders GROUP BY o_custkey",
     "response_gate": """WITH f AS (SELECT date_diff('day', CAST(o_orderdate AS DATE), CAST(min(l_shipdate) AS DATE)) AS days FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate)
       SELECT CAST(median(days) AS DOUBLE) AS median_days, median(days) < 14 AS ok FROM f""",
-    "mock_source": """SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'prepare', 'Prepared', CAST(NULL AS VARCHAR), CAST(1920 AS BIGINT), CAST(1080 AS BIGINT), CAST(NULL AS BIGINT), 'Compatible'),
-      (1, 'render_frame', 'Rendering', 'Cpu', 1920, 1080, 8294400, 'Compatible')) AS v(seq, op, phase, output, width, height, bytes, negotiation)""",
+    "mock_source": """WITH a AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type IN ('signup', 'view')),
+      p AS (SELECT user_id, min(rn) AS ready FROM a WHERE event_type = 'signup' GROUP BY user_id),
+      b AS (SELECT a.*, coalesce(rn >= ready, false) AS made, row_number() OVER (PARTITION BY a.user_id, event_type, coalesce(rn >= ready, false) ORDER BY rn) AS nth,
+        count(*) FILTER (WHERE event_type = 'view' AND rn >= ready) OVER (PARTITION BY a.user_id ORDER BY rn) AS seen FROM a LEFT JOIN p ON p.user_id = a.user_id)
+      SELECT event_id, CASE event_type WHEN 'signup' THEN 'prepare' ELSE 'render_frame' END AS op, CASE WHEN NOT made THEN 'Created' WHEN seen > 0 THEN 'Rendering' ELSE 'Prepared' END AS phase,
+        CASE WHEN made AND event_type = 'view' THEN CASE WHEN nth = 1 THEN 'Cpu' ELSE 'Unchanged' END END AS output, CASE WHEN made THEN CAST(1920 AS BIGINT) END AS width, CASE WHEN made THEN CAST(1080 AS BIGINT) END AS height,
+        CASE WHEN made AND event_type = 'view' AND nth = 1 THEN CAST(8294400 AS BIGINT) END AS bytes, 'Compatible' AS negotiation FROM b""",
     "deferred_present": """WITH s AS (SELECT user_id, epoch_us(min(ts)) AS surface_us FROM events WHERE event_type = 'view' GROUP BY user_id)
       SELECT s.user_id, surface_us, least(surface_us + 86400000000, coalesce(min(epoch_us(e.ts)), surface_us + 86400000000)) AS present_us
       FROM s LEFT JOIN events e ON e.user_id = s.user_id AND e.event_type = 'click' AND epoch_us(e.ts) >= surface_us GROUP BY s.user_id, surface_us""",
     "last_state": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "solid_buffer": "SELECT p_partkey, CAST(4 AS BIGINT) * p_size * (p_size % 7 + 1) AS n_bytes, CAST(4 AS BIGINT) * p_size AS stride, '26334DFF' AS pixel, CAST(NULL AS VARCHAR) AS fault FROM part",
 }
+ORACLES["lifecycle_by_range"] = ORACLES["lifecycle_outcomes"]

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.detectors import SETS, number_after
 from quillon.functions.text import overlap, query_words
-from quillon.operators import resolve
+from quillon.operators import index, resolve
 from quillon.operators.extract import extract
 from quillon.operators.retrieve import retrieve
 from quillon.plans.answers import answer_alternative, answer_primary
-from quillon.sources.tables import document_corpora, preferences, table
+from quillon.sources.tables import PREFERENCES, document_corpora, preferences, table
 
 QUERY = "Licensed under the GNU General Public License Apache License Version CC BY-NC"
 QUERY2 = "Released under the MIT License"
@@ -49,6 +51,16 @@ def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve(chunks, _questions(chunks)).select("question_id", F.col("ord").alias("doc_id"), F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def retrieve_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first words of every conversation as a question about all documents, through the index."""
+    chunks = _chunks(spark, sf_dir).withColumn("corpus_id", F.lit(EVERYTHING))
+    opening = F.min(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))["text"]
+    asked = table(spark, sf_dir, "conversations").where("role = 'user' AND conv_id IS NOT NULL").groupBy("conv_id").agg(opening.alias("query"))
+    asked = asked.select("conv_id", F.col("conv_id").cast("string").alias("question_id"), F.lit(EVERYTHING).alias("corpus_id"), "query", F.lit(K).alias("top_k"))
+    out = index.ranked(asked, index.build(chunks), K, K)
+    return out.select(F.col("question_id").cast("long").alias("conv_id"), F.col("ord").alias("doc_id"), F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def extract_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_chunks(spark, sf_dir), DOUBLED).select(F.col("ord").alias("doc_id"), F.col("pos").cast("long").alias("pos"), F.col("value").cast("long").alias("value"), "source_type", "evidence")
 
@@ -92,7 +104,7 @@ def deactivated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
-    out = answer_primary(chunks, _questions(chunks), preferences(spark), DETECTORS)
+    out = answer_primary(chunks, _questions(chunks), PREFERENCES, DETECTORS)
     return out.select("question_id", "n_evidence", "n_hypotheses", "found", "state", "rule", F.col("answer").cast("long").alias("answer"), "source_type", "goal")
 
 
@@ -102,19 +114,23 @@ def alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("question_id", "n_evidence", "n_hypotheses", "state", "stalled", F.col("answer").cast("long").alias("answer"), "source_type", "goal")
 
 
+def _stated(kinds: Sequence[tuple[str, str]], chunk_id: str) -> Column:
+    """Claims in order of arrival from columns of one row: (source type, column)."""
+    return F.array(*[F.struct(F.col(c).alias("value"), F.lit(source).alias("source_type"), F.lit(chunk_id).alias("chunk_id")) for source, c in kinds])
+
+
 def single_claim_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turn counts of conversations by three ways of counting, which agree: the earliest answers, doubt stays."""
     counts = table(spark, sf_dir, "conversations").where("conv_id is not null").groupBy("conv_id").agg(
         (F.max("turn") + 1).cast("int").alias("last"), F.count_distinct("turn").cast("int").alias("distinct"), F.count("*").cast("int").alias("all"),
     )
     kinds = (("code_literal", "last"), ("forward_reference", "distinct"), ("author_anchor", "all"))
-    each = F.inline(F.array(*[F.struct(F.lit(k).alias("pos"), F.lit(s).alias("source_type"), F.col(c).alias("value")) for k, (s, c) in enumerate(kinds)]))
-    claims = counts.select(F.col("conv_id").cast("string").alias("question_id"), F.col("conv_id").cast("string").alias("chunk_id"), F.lit(1).alias("rank"), each)
-    states = resolve.evaluate(claims.select("question_id").distinct(), claims)
-    first = resolve.first_active(resolve.hypotheses(claims)).select("question_id", "value", "source_type")
-    out = states.join(first, "question_id", "left")
-    supported = F.col("state") == "supported"
-    return out.select("question_id", "state", F.col("tensions")["unresolved_ambiguity"].alias("doubt"), F.when(supported, F.col("value").cast("long")).alias("answer"), F.when(supported, F.col("source_type")).alias("source_type"))
+    out = resolve.judged(counts.select(F.col("conv_id").cast("string").alias("question_id"), _stated(kinds, "conversation").alias("claims")))
+    supported, first = F.col("state") == "supported", F.get("claims", F.lit(0))
+    return out.select(
+        "question_id", "state", F.col("tensions")["unresolved_ambiguity"].alias("doubt"),
+        F.when(supported, first["value"].cast("long")).alias("answer"), F.when(supported, first["source_type"]).alias("source_type"),
+    )
 
 
 def total_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,17 +140,12 @@ def total_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     derived = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(cents(line)).alias("derived"))
     out = table(spark, sf_dir, "orders").select("o_orderkey", cents(F.col("o_totalprice")).alias("stated")).join(derived, "o_orderkey")
     # two claims an order, in one array: a question is an order
-    of = enumerate((("author_anchor", "stated"), ("code_literal", "derived")))
-    kinds = F.inline(F.array(*[F.struct(F.lit(k).alias("pos"), F.lit(source).alias("source_type"), F.col(c).alias("value")) for k, (source, c) in of]))
-    claims = out.select(F.col("o_orderkey").alias("question_id"), F.lit("order").alias("chunk_id"), F.lit(1).alias("rank"), F.lit("how_many").alias("intent"), kinds)
-    h = resolve.hypotheses(claims)
-    states = resolve.evaluate(claims.select("question_id").distinct(), claims).select("question_id", "state")
-    won = resolve.narrow(h, preferences(spark)).select("question_id", "rule", F.col("value").alias("answer"))
-    both = states.join(won, "question_id").withColumnRenamed("question_id", "o_orderkey").join(out, "o_orderkey")
-    return both.select("o_orderkey", "stated", "derived", "state", F.when(F.col("state") == "conflicting", F.col("rule")).alias("rule"), "answer")
+    out = out.withColumn("claims", _stated((("author_anchor", "stated"), ("code_literal", "derived")), "order"))
+    out = resolve.chosen(resolve.judged(out), resolve.priorities(PREFERENCES, F.lit("how_many")))
+    return out.select("o_orderkey", "stated", "derived", "state", F.when(F.col("state") == "conflicting", F.col("best.rule")).alias("rule"), F.col("best.value").alias("answer"))
 
 
-QUERIES = {f.__name__: f for f in (keyword_score, retrieve_topk, extract_claims, evidence_k, evidence_kinds, hypotheses, evaluate_state, tensions, narrow_hypothesis, deactivated, single_claim_path, total_reconcile)}
+QUERIES = {f.__name__: f for f in (keyword_score, retrieve_topk, retrieve_indexed, extract_claims, evidence_k, evidence_kinds, hypotheses, evaluate_state, tensions, narrow_hypothesis, deactivated, single_claim_path, total_reconcile)}
 QUERIES |= {"answer_primary": primary, "answer_alternative": alternative}
 
 _WORDS = "list_distinct(list_transform(list_filter(string_split_regex('{}', '\\s+'), lambda t: length(t) > 2), lambda t: lower(t)))"
@@ -194,10 +205,19 @@ def _resolved(claims: str) -> str:
     )
 
 
+_OPENING = (
+    "SELECT conv_id, list_distinct(list_transform(list_filter(string_split_regex(o, '[\\s\\x0b\\x{85}\\p{Z}]+'), lambda t: length(t) > 2), lambda t: lower(t))) AS words FROM "
+    "(SELECT conv_id, min(struct_pack(a := turn, b := coalesce(text, ''))).b AS o FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL GROUP BY conv_id)"
+)
 _FIRST = "f AS (SELECT * FROM h WHERE h_ord = 1)"
 ORACLES = {
     "keyword_score": f"SELECT doc_id, {_score(QUERY)} AS score FROM documents",
     "retrieve_topk": f"WITH {_D}, {_top('t', QUERY, 1)} SELECT question_id, doc_id, score, rank FROM t",
+    "retrieve_indexed": (
+        f"WITH q AS ({_OPENING}), d AS (SELECT doc_id, lower(coalesce(text, '')) AS text FROM documents), "
+        "s AS (SELECT conv_id, doc_id, CAST(len(list_filter(words, lambda t: contains(text, t))) AS BIGINT) AS score FROM q CROSS JOIN d) "
+        f"SELECT conv_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= {K}"
+    ),
     "extract_claims": f"WITH {_C} SELECT doc_id, CAST(pos AS BIGINT) AS pos, value, source_type, evidence FROM c",
     "evidence_k": f"WITH {_C}, {_K} SELECT question_id, key, source_type, value FROM k",
     "evidence_kinds": f"WITH {_C}, {_K} SELECT question_id, (SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT DISTINCT source_type AS t FROM k WHERE k.question_id = q.question_id)) AS source_types, (SELECT string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) FROM (SELECT DISTINCT value AS v FROM k WHERE k.question_id = q.question_id)) AS values FROM (SELECT DISTINCT question_id FROM k) q",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.detectors import CLAIM, SETS, Detector
+from quillon.functions.detectors import SETS, Detector, claims
 
 
 def extract(chunks: DataFrame, detectors: str | Sequence[Detector] = "base") -> DataFrame:
@@ -18,6 +18,5 @@ def extract(chunks: DataFrame, detectors: str | Sequence[Detector] = "base") ->
     if not of:
         raise ValueError("no detectors")
     text, kind = F.col("text"), F.coalesce("kind", F.lit("prose"))
-    found = F.array(*[F.struct(F.lit(k).alias("pos"), d.claim(text, kind).cast(CLAIM).alias("claim")) for k, d in enumerate(of)])
-    out = chunks.withColumn("__found", F.explode(F.filter(found, lambda x: x["claim"].isNotNull())))
+    out = chunks.withColumn("__found", F.explode(F.filter(claims(of, text, kind), lambda x: x["claim"].isNotNull())))
     return out.select(*[c for c in chunks.columns if c != "text"], "__found.pos", "__found.claim.*")

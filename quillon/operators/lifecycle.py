@@ -28,7 +28,8 @@ def replay(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
     With sizes, ``surface`` is the size that the last successful prepare or resize set, and ``frame`` describes
     the buffer of a Cpu output: bytes, stride and damage, which is always whole. Unknown and null operations are
-    noops. A null is_first_frame is false."""
+    noops. A null is_first_frame is false. A key's events are replayed by one task, in constant memory; ``ranges.replay``
+    deals those of one key over many."""
     sized = {"width", "height"} <= set(events.columns)
     seen = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     at = F.row_number().over(Window.partitionBy(key).orderBy(*order))
@@ -37,6 +38,18 @@ def replay(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
         "__pause": F.max(of("pause")).over(seen), "__resume": F.max(of("resume")).over(seen),
         "__prepare": F.min(of("prepare")).over(seen), "__render": F.max(of("render_frame")).over(seen),
     })
+    out = judged(out)
+    shown = (F.col("op") == "render_frame") & (F.col("outcome") == "ok")
+    out = with_output(out, F.coalesce(F.max(shown.cast("int")).over(seen), F.lit(0)) == 0)
+    if sized:
+        here = seen.rowsBetween(Window.unboundedPreceding, 0)
+        out = with_frame(out, F.last(given_size(), ignorenulls=True).over(here))
+    return out.drop("__at", "__pause", "__resume", "__prepare", "__render")
+
+
+def judged(events: DataFrame) -> DataFrame:
+    """``events`` (op, and the numbers of the last pause, resume and render and of the first prepare before) with phases,
+    outcome, message and status."""
     # after any pause only pauses and resumes matter; before, a render counts once prepared
     before = (
         F.when(F.col("__pause") > F.coalesce("__resume", F.lit(0)), "Paused")
@@ -45,20 +58,29 @@ def replay(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
         .when(F.col("__prepare").isNotNull(), "Prepared")
         .otherwise("Created")
     )
-    out = out.withColumn("phase_before", before)
+    out = events.withColumn("phase_before", before)
     p, op = F.col("phase_before"), F.col("op")
     out = out.withColumn("outcome", _outcome(p, op)).withColumn("message", _message(p, op, F.col("outcome")))
-    out = out.withColumn("phase", _after(p, op, F.col("outcome")))
-    shown = (op == "render_frame") & (F.col("outcome") == "ok")
-    first = F.coalesce("is_first_frame", F.lit(False)) | (F.coalesce(F.max(shown.cast("int")).over(seen), F.lit(0)) == 0)
-    out = out.withColumn("output", F.when(shown, F.when(first, "Cpu").otherwise("Unchanged"))).withColumn("status", status_of(F.col("phase")))
-    if sized:
-        here = seen.rowsBetween(Window.unboundedPreceding, 0)
-        given = F.when((F.col("outcome") == "ok") & op.isin("prepare", "resize"), F.struct(F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height")))
-        out = out.withColumn("surface", F.last(given, ignorenulls=True).over(here))
-        w, h = F.col("surface.width"), F.col("surface.height")
-        out = out.withColumn("frame", F.when(F.col("output") == "Cpu", F.struct((4 * w * h).alias("bytes"), (4 * w).alias("stride"), F.lit("Full").alias("damage"))))
-    return out.drop("__at", "__pause", "__resume", "__prepare", "__render")
+    return out.withColumn("phase", _after(p, op, F.col("outcome"))).withColumn("status", status_of(F.col("phase")))
+
+
+def with_output(events: DataFrame, unseen: Column) -> DataFrame:
+    """``events`` with ``output``; ``unseen`` says that no frame was rendered before."""
+    shown = (F.col("op") == "render_frame") & (F.col("outcome") == "ok")
+    first = F.coalesce("is_first_frame", F.lit(False)) | unseen
+    return events.withColumn("output", F.when(shown, F.when(first, "Cpu").otherwise("Unchanged")))
+
+
+def given_size() -> Column:
+    """The size that an event sets, else null."""
+    size = F.struct(F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"))
+    return F.when((F.col("outcome") == "ok") & F.col("op").isin("prepare", "resize"), size)
+
+
+def with_frame(events: DataFrame, surface: Column) -> DataFrame:
+    """``events`` with ``surface`` and a rendered buffer's ``frame``."""
+    out, w, h = events.withColumn("surface", surface), F.col("surface.width"), F.col("surface.height")
+    return out.withColumn("frame", F.when(F.col("output") == "Cpu", F.struct((4 * w * h).alias("bytes"), (4 * w).alias("stride"), F.lit("Full").alias("damage"))))
 
 
 def _outcome(p: Column, op: Column) -> Column:
@@ -99,7 +121,7 @@ def load_report(prepared: Column) -> Column:
 
 def call_trace(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """(key, trace): the names of all calls in order, rejected ones included. A trace is one value: for keys
-    whose history fits in a row; long histories are rows of ``replay``."""
+    whose history fits in a row; ``ranges.trace_segments`` has no such bound."""
     calls = F.sort_array(F.collect_list(F.struct(*order, "op")))
     return events.groupBy(key).agg(F.transform(calls, lambda x: x["op"]).alias("trace"))
 
@@ -113,6 +135,11 @@ def summary(replayed: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     )
 
 
-def reentrant(in_render: Column, op: Column) -> Column:
-    """The outcome that a call gets while a frame is being rendered: resizing then is a violation."""
-    return F.when(in_render & (op == "resize"), "panic")
+def reentrancy(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """``events`` (key, order, op) with ``in_render``, whether a render that began before has not ended yet, and ``outcome``:
+    resizing then, or beginning another render, is a violation. Renders begin and end by the operations render_begin
+    and render_end; one without the other is open to the end, or has no effect."""
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    edge = F.when(F.col("op").isin("render_begin", "render_end"), F.col("op") == "render_begin")
+    out = events.withColumn("in_render", F.coalesce(F.last(edge, ignorenulls=True).over(before), F.lit(False)))
+    return out.withColumn("outcome", F.when(F.col("in_render") & F.col("op").isin("resize", "render_begin"), "panic"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,15 +54,58 @@ def tensions(n_evidence: Column, state: Column, n_active: Column) -> Column:
 
 
 def evaluate(questions: DataFrame, claims: DataFrame) -> DataFrame:
-    """A row per question, also without claims: n_evidence, n_hypotheses, n_active, n_values, state, tensions."""
-    k = evidence(claims).groupBy("question_id").agg(F.count("*").alias("n_evidence"))
-    active = F.col("active")
-    h = hypotheses(claims).groupBy("question_id").agg(F.count("*").alias("n_hypotheses"), F.count_if(active).alias("n_active"), F.count_distinct(F.when(active, F.col("value"))).alias("n_values"))
-    out = questions.join(k, "question_id", "left").join(h, "question_id", "left").fillna(0, ["n_evidence", "n_hypotheses", "n_active", "n_values"])
+    """A row per question, also without claims: n_evidence, n_hypotheses, n_active, n_values, state, tensions.
+
+    One aggregation of distinct claims; a question may have any number of them."""
+    of = lambda *cols: F.count_distinct(F.struct(*cols))
+    counts = claims.groupBy("question_id").agg(
+        of("chunk_id", "source_type").alias("n_evidence"), of("value", "source_type").alias("n_hypotheses"), F.count_distinct("value").alias("n_values"),
+    )
+    out = questions.join(counts, "question_id", "left").fillna(0, ["n_evidence", "n_hypotheses", "n_values"])
+    out = out.withColumn("n_active", F.col("n_hypotheses"))  # all are, before one is chosen
     out = out.withColumn("state", verdict(F.col("n_active"), F.col("n_values")))
     return out.withColumn("tensions", tensions(F.col("n_evidence"), F.col("state"), F.col("n_active")))
 
 
+# ---- the same over claims that are few, gathered in one array in order of arrival
+
+
+def distinct_claims(claims: Column, *fields: str) -> Column:
+    """How many claims of an array differ in some fields."""
+    return F.coalesce(F.size(F.array_distinct(F.transform(claims, lambda x: F.struct(*[x[f].alias(f) for f in fields])))), F.lit(0)).cast("long")
+
+
+def judged(gathered: DataFrame) -> DataFrame:
+    """``gathered`` (claims, ...) with the counts of ``evaluate``, ``state`` and ``tensions``, without a shuffle."""
+    c = F.col("claims")
+    out = gathered.withColumns({
+        "n_evidence": distinct_claims(c, "chunk_id", "source_type"), "n_hypotheses": distinct_claims(c, "value", "source_type"), "n_values": distinct_claims(c, "value"),
+    })
+    out = out.withColumn("n_active", F.col("n_hypotheses")).withColumn("state", verdict(F.col("n_active"), F.col("n_values")))
+    return out.withColumn("tensions", tensions(F.col("n_evidence"), F.col("state"), F.col("n_active")))
+
+
+def priorities(registry: Mapping[str, Iterable[str]], intent: Column) -> Column:
+    """A map of source type to priority, from 1, of an intent; null for one that the registry lacks."""
+    of = [x for name, types in registry.items() for x in (F.lit(name), F.create_map(*[y for k, t in enumerate(types, 1) for y in (F.lit(t), F.lit(k))]))]
+    return F.try_element_at(F.create_map(*of), intent) if of else F.lit(None).cast("map<string,int>")
+
+
+def chosen(gathered: DataFrame, priority: Column) -> DataFrame:
+    """``gathered`` (claims, ...) with ``best``: value, source type, scope (if claims have one), rule and ``at``, the place in
+    ``claims``, of the winner by priority (a map of source type to priority), as ``narrow`` has it; null without one."""
+    of = lambda x: F.try_element_at(F.col("__priority"), x["source_type"])
+    ranks = F.transform("claims", lambda x, k: F.when(of(x).isNotNull(), F.struct(of(x).alias("priority"), k.alias("at"))))
+    out = gathered.withColumn("__priority", priority).withColumn("__best", F.array_min(F.array_compact(ranks)))
+    fields = [f for f in gathered.schema["claims"].dataType.elementType.names if f in ("value", "source_type", "scope_operator")]
+    claim = F.get("claims", F.col("__best.at"))
+    best = F.struct(*[claim[f].alias(f) for f in fields], F.concat(F.lit("rule_"), F.col("__best.priority").cast("string")).alias("rule"), F.col("__best.at").alias("at"))
+    return out.withColumn("best", F.when(F.col("__best").isNotNull(), best)).drop("__priority", "__best")
+
+
+# ---- the choice, over hypotheses as rows
+
+
 def narrow(hypotheses_: DataFrame, preferences: DataFrame) -> DataFrame:
     """The winner of each question: of the first source type, by the intent's priority, that has an active
     hypothesis, the one that came first. Types outside the registry never win; a question whose intent has no

@@ -1,16 +1,13 @@
-"""The lifecycle automaton over a stream: one small state per key, kept by the state store."""
+"""The lifecycle automaton over a stream: one small state per key, surface size included."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
-OUT = "key string, ts timestamp, event_id long, op string, phase_before string, outcome string, phase string, output string"
-STATE = "phase string, shown boolean, handled long"
+from quillon.streaming.ordered import OrderedFold, folded
 
 
 class Step(NamedTuple):
@@ -38,22 +35,32 @@ def step(phase: str, shown: bool, op: str | None, is_first_frame: bool = False)
     return Step("noop", phase, None)
 
 
-def _fold(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    phase, shown, handled = state.get if state.exists else ("Created", False, 0)
-    # the events of a key in one trigger, in order; triggers bound their number
-    events = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-    out = []
-    for ts, event_id, op, first in zip(events["ts"], events["event_id"], events["op"], events["is_first_frame"]):
-        done = step(phase, shown, op, bool(first) if pd.notna(first) else False)
-        out.append((key[0], ts, event_id, op, phase, *done))
-        phase, shown, handled = done.phase, shown or done.output is not None, handled + 1
-    state.update((phase, shown, handled))
-    yield pd.DataFrame(out, columns=["key", "ts", "event_id", "op", "phase_before", "outcome", "phase", "output"])
+class Lifecycle(OrderedFold):
+    """Outcomes, phases, surface sizes and rendered buffers, as ``operators.lifecycle.replay`` has them."""
 
+    OUT = "key string, us long, event_id long, op string, phase_before string, outcome string, phase string, output string, width long, height long, bytes long, stride long, damage string"
+    STATE = "phase string, shown boolean, sized boolean, width long, height long"
+    EVENT = "op string, is_first_frame boolean, width long, height long"
 
-def replay_stream(events: DataFrame, key: str) -> DataFrame:
-    """A stream of ``events`` (key, ts, event_id, op, is_first_frame) -> outcomes, in append mode.
+    def start(self) -> tuple:
+        return "Created", False, False, None, None
 
-    A key's events have to arrive in order from trigger to trigger; within a trigger they are sorted."""
-    of = events.selectExpr(f"CAST({key} AS STRING) AS key", "ts", "event_id", "op", "is_first_frame")
-    return of.groupBy("key").applyInPandasWithState(_fold, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    def step(self, state: tuple, us: int, event_id: int, event: tuple) -> tuple[tuple, tuple]:
+        phase, shown, sized, width, height = state
+        op, first, new_width, new_height = event
+        done = step(phase, shown, op, bool(first))
+        if done.outcome == "ok" and op in ("prepare", "resize"):
+            sized, width, height = True, new_width, new_height
+        drawn = done.output == "Cpu"
+        whole = drawn and sized and width is not None
+        frame = (4 * width * height if whole and height is not None else None, 4 * width if whole else None, "Full" if drawn else None)
+        row = (us, event_id, op, phase, *done, width, height, *frame)
+        return (done.phase, shown or done.output is not None, sized, width, height), row
+
+
+def replay_stream(events: DataFrame, key: str, late: str = "0 seconds") -> DataFrame:
+    """A stream of ``events`` (key, ts, event_id, op, is_first_frame and, if they have sizes, width and height) -> outcomes, in
+    append mode, in any order of arrival within ``late``. Events are answered once the watermark has passed them."""
+    sizes = [c for c in ("width", "height") if c not in events.columns]
+    of = events.withColumns({c: F.lit(None).cast("long") for c in sizes}) if sizes else events
+    return folded(of.withColumns({c: F.col(c).cast("long") for c in ("width", "height")}), key, late, Lifecycle(), "op", "is_first_frame", "width", "height")

@@ -2,54 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "key string, present_us long, cause string"
+from quillon.streaming.ordered import OrderedFold, folded
+
 LIMIT_US = 100_000
 
 
-def _waiting(limit_us: int):  # noqa: ANN202
-    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # surface_us and scale_us are -1 until known; done is 1 once presented
-        surface, scale, done = state.get if state.exists else (-1, -1, 0)
-        cause = None
-        if state.hasTimedOut:
-            cause = "limit"
-        else:
-            for part in rows:
-                opened = part.loc[part["kind"] == "surface", "us"]
-                if len(opened):
-                    surface = int(opened.min()) if surface < 0 else min(surface, int(opened.min()))
-                later = part.loc[(part["kind"] == "scale") & (part["us"] >= surface), "us"] if surface >= 0 else part.loc[[], "us"]
-                if len(later):
-                    scale = int(later.min()) if scale < 0 else min(scale, int(later.min()))
-            if scale >= 0:
-                cause = "scale" if scale <= surface + limit_us else "limit"
-        if cause and not done and surface >= 0:
-            done = 1
-            at = min(scale, surface + limit_us) if scale >= 0 else surface + limit_us
-            yield pd.DataFrame({"key": [key[0]], "present_us": [at], "cause": [cause]})
-        state.update((surface, scale, done))
-        if surface >= 0 and not done:
-            state.setTimeoutTimestamp(max((surface + limit_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-
-    return run
+class FirstPresent(OrderedFold):
+    """The first presentation of a key: at the first scale from its first surface on, or when the limit has passed.
 
+    State: the surface's time, -1 before there is one, and whether it is presented."""
 
-def deferred_present_stream(events: DataFrame, key: str, limit_us: int = LIMIT_US, late: str = "0 seconds") -> DataFrame:
-    """A stream of ``events`` (key, ts, kind: surface or scale) -> one row per key: when it is first presented,
-    and why. The limit runs in event time, by the watermark."""
-    of = events.withWatermark("ts", late).select(F.col(key).cast("string").alias("key"), "kind", F.unix_micros("ts").alias("us"), "ts")
-    return of.groupBy("key").applyInPandasWithState(_waiting(limit_us), OUT, "surface long, scale long, done int", "append", GroupStateTimeout.EventTimeTimeout)
+    OUT = "key string, present_us long, cause string"
+    STATE = "surface long, done boolean"
+    EVENT = "kind string"
+
+    def __init__(self, limit_us: int) -> None:
+        self.limit_us = limit_us
+
+    def start(self) -> tuple:
+        return -1, False
+
+    def step(self, state: tuple, us: int, event_id: int, event: tuple) -> tuple[tuple, tuple | None]:
+        surface, done = state
+        if event[0] == "surface" and surface < 0:
+            # a scale at the same time may have come before it
+            return (us, done), None
+        if event[0] == "scale" and surface >= 0 and not done:
+            return (surface, True), (us, "scale")
+        return state, None
 
+    def due(self, state: tuple) -> int | None:
+        surface, done = state
+        return None if surface < 0 or done else surface + self.limit_us + 1
 
-SHOWN = "key string, event_id long, result string, status string, present_count long, recreate_count long"
+    def expire(self, state: tuple) -> tuple[tuple, tuple | None]:
+        return (state[0], True), (state[0] + self.limit_us, "limit")
+
+
+def deferred_present_stream(events: DataFrame, key: str, limit_us: int = LIMIT_US, late: str = "0 seconds") -> DataFrame:
+    """A stream of ``events`` (key, ts, kind: surface or scale) -> one row per key: when it is first presented,
+    and why. The limit runs in event time; events may arrive in any order within ``late``."""
+    of = events.withColumn("event_id", F.when(F.col("kind") == "surface", 0).otherwise(1).cast("long"))  # surfaces first
+    return folded(of, key, late, FirstPresent(limit_us), "kind")
 
 
 def present_step(state: tuple, tag: str | None, error: str | None, recreate: bool) -> tuple[tuple, str | None]:
@@ -66,21 +64,26 @@ def present_step(state: tuple, tag: str | None, error: str | None, recreate: boo
     return (status, "", presented + drawn, recreated), "Presented" if drawn else "Skipped"
 
 
-def _present(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    at, out = state.get if state.exists else ("Ready", "", 0, 0), []
-    events = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-    text = lambda x: x if isinstance(x, str) else None
-    for event_id, tag, error, recreate in zip(events["event_id"], events["frame_tag"], events["inject_error"], events["recreate"]):
-        at, result = present_step(at, text(tag), text(error), bool(recreate) if pd.notna(recreate) else False)
-        out.append((key[0], event_id, result, at[0], at[2], at[3]))
-    state.update(at)
-    yield pd.DataFrame(out, columns=["key", "event_id", "result", "status", "present_count", "recreate_count"])
+class Present(OrderedFold):
+    """Results of attempts, as ``operators.present.present`` has them."""
+
+    OUT = "key string, event_id long, result string, status string, present_count long, recreate_count long"
+    STATE = "status string, armed string, presented long, recreated long"
+    EVENT = "frame_tag string, inject_error string, recreate boolean"
+
+    def start(self) -> tuple:
+        return "Ready", "", 0, 0
+
+    def step(self, state: tuple, us: int, event_id: int, event: tuple) -> tuple[tuple, tuple]:
+        tag, error, recreate = event
+        state, result = present_step(state, tag, error, bool(recreate))
+        return state, (event_id, result, state[0], state[2], state[3])
 
 
-def present_stream(events: DataFrame, key: str) -> DataFrame:
-    """A stream of ``events`` (key, ts, event_id, frame_tag, inject_error, recreate) -> results, in append mode."""
-    of = events.select(F.col(key).cast("string").alias("key"), "ts", "event_id", "frame_tag", "inject_error", "recreate")
-    return of.groupBy("key").applyInPandasWithState(_present, SHOWN, "status string, armed string, presented long, recreated long", "append", GroupStateTimeout.NoTimeout)
+def present_stream(events: DataFrame, key: str, late: str = "0 seconds") -> DataFrame:
+    """A stream of ``events`` (key, ts, event_id, frame_tag, inject_error, recreate) -> results, in append mode, in any
+    order of arrival within ``late``."""
+    return folded(events, key, late, Present(), "frame_tag", "inject_error", "recreate")
 
 
 def present_to(results: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:

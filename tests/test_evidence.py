@@ -207,6 +207,18 @@ def test_null_texts_and_many_questions(spark):
     assert score(chunks, asked).where("text is null and question_id = 'q'").first().score == 0
 
 
+def test_texts_are_cut_once(spark):
+    df = extract(corpus(spark, "c", VECTOR + DECK), "extended")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_many_starts_in_one_text(spark):
+    """Reading on from a start takes its own sentence, not the rest of the text."""
+    text = "It defines many special methods, the special methods __a__ of " * 400 + "It defines two special methods."
+    assert claim_of(spark, text, "extended") == [(0, 2, None, "defines two special methods.")]
+
+
 def test_whole_state(spark):
     s = states(corpus(spark, "c", VECTOR), questions(spark, [Q_VECTOR]), preferences(spark)).first()
     assert set(s.K) == {"stated:author_anchor", "list:forward_reference", "code:code_literal"} and s.K["list:forward_reference"]["value"] == 4
