@@ -84,6 +84,94 @@ def test_fit_against_a_plain_one(monkeypatch):
     assert model.score(x) == pytest.approx([slow(v) for v in x.tolist()], abs=1e-9)
 
 
+def slow_pairs(x, y, model):
+    """Boosting of pairs on top of ``model``'s main effects, cell by cell: every cut of one feature, and every cut of the
+    other on either side of it. Gives the pairs and the whole score."""
+    bins = lambda v, of: sum(e <= v for e in of)
+    cuts = lambda j: sorted({sorted(r[j] for r in x)[math.ceil(k / g.PAIR_BINS * (len(x) - 1) - 1e-9)] for k in range(1, g.PAIR_BINS)})
+    edges = [cuts(j) for j in range(len(x[0]))]
+    main = lambda row: model.intercept + sum(t[bins(v, e)] for t, e, v in zip(model.tables, model.edges, row))
+    total = [main(r) for r in x]
+    gain = lambda a, b: a * a / (b + g.L2)
+
+    def halves(sums):
+        """Leaf of each column, and the gain, of the best cut of columns, if any is good."""
+        gs, hs = sum(a for a, _ in sums), sum(b for _, b in sums)
+        best, out = 1e-9, [gs / (hs + g.L2)] * len(sums)
+        for k in range(1, len(sums)):
+            (la, lb), (ra, rb) = ((sum(v) for v in zip(*part)) for part in (sums[:k], sums[k:]))
+            if min(lb, rb) * 4 >= g.LEAF_WEIGHT and gain(la, lb) + gain(ra, rb) - gain(gs, hs) > best + 1e-12:
+                best = gain(la, lb) + gain(ra, rb) - gain(gs, hs)
+                out = [la / (lb + g.L2)] * k + [ra / (rb + g.L2)] * (len(sums) - k)
+        return out
+
+    def best_tree(a, b):
+        grid = [[[0.0, 0.0] for _ in range(len(edges[b]) + 1)] for _ in range(len(edges[a]) + 1)]
+        for row, label, t in zip(x, y, total):
+            q, cell = 1 / (1 + math.exp(-t)), grid[bins(row[a], edges[a])][bins(row[b], edges[b])]
+            cell[0] += label - q
+            cell[1] += q * (1 - q)
+        columns = lambda rows: [tuple(sum(r[c][i] for r in rows) for i in (0, 1)) for c in range(len(edges[b]) + 1)]
+        whole = gain(*(sum(c[i] for r in grid for c in r) for i in (0, 1)))
+        best, out = 0.0, [[0.0] * (len(edges[b]) + 1) for _ in grid]
+        for k in range(1, len(grid)):
+            made, parts = -whole, []
+            for rows in (grid[:k], grid[k:]):
+                sums = columns(rows)
+                leaf = halves(sums)
+                for v in sorted(set(leaf)):
+                    made += gain(*(sum(s[i] for s, w in zip(sums, leaf) if w == v) for i in (0, 1)))
+                parts += [leaf] * len(rows)
+            if made > best + 1e-9:
+                best, out = made, parts
+        return best, out
+
+    ranked = sorted((-best_tree(a, b)[0], a, b) for a in range(len(edges)) for b in range(a + 1, len(edges)))
+    pairs = [(a, b) for got, a, b in ranked[: g.N_PAIRS] if got < 0]
+    tables = {p: [[0.0] * (len(edges[p[1]]) + 1) for _ in range(len(edges[p[0]]) + 1)] for p in pairs}
+    for _ in range(g.PAIR_ROUNDS):
+        for a, b in pairs:
+            step = best_tree(a, b)[1]
+            tables[a, b] = [[t + g.RATE * s for t, s in zip(r, rs)] for r, rs in zip(tables[a, b], step)]
+            total = [t + g.RATE * step[bins(r[a], edges[a])][bins(r[b], edges[b])] for r, t in zip(x, total)]
+    added = lambda row: sum(tables[a, b][bins(row[a], edges[a])][bins(row[b], edges[b])] for a, b in pairs)
+    return pairs, lambda row: 1 / (1 + math.exp(-(main(row) + added(row))))
+
+
+def test_pairs_against_plain_ones(monkeypatch):
+    r = np.random.default_rng(8)
+    x = np.round(r.normal(size=(140, 4)), 2)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.2) | (x[:, 2] * x[:, 3] > 1)).astype(float)
+    monkeypatch.setattr(g, "ROUNDS", 6)
+    monkeypatch.setattr(g, "PAIR_ROUNDS", 5)
+    monkeypatch.setattr(g, "N_PAIRS", 3)
+    model = g.fit(x, y)
+    pairs, slow = slow_pairs(x.tolist(), y.tolist(), model)
+    assert model.pairs == pairs and len(pairs) == 3
+    assert model.score(x) == pytest.approx([slow(v) for v in x.tolist()], abs=1e-9)
+
+
+def test_scores_of_documents_against_the_plain_model(spark, monkeypatch):
+    """The query's scores, from its own training rows and features, by the plain boosting of mains and pairs."""
+    monkeypatch.setattr(g, "ROUNDS", 4)
+    monkeypatch.setattr(g, "PAIR_ROUNDS", 3)
+    monkeypatch.setattr(g, "N_PAIRS", 2)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {}
+    for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in texts:
+            known[r.doc_id] = min(known.get(r.doc_id, 1), r.quality)
+    x, y = [list(g.features(texts[i])) for i in sorted(known)], [float(known[i] > 0) for i in sorted(known)]
+    model = g.fit(np.array(x), np.array(y))
+    plain = slow_fit(x, y)
+    mains = g.Additive(model.intercept, model.edges, model.tables)
+    assert mains.score(np.array(x)) == pytest.approx([plain(v) for v in x], abs=1e-9)
+    _, slow = slow_pairs(x, y, model)
+    for r in g.op8_quality_classifier(spark, SMALL).collect():
+        assert r.score == pytest.approx(slow(list(g.features(texts[r.doc_id]))), abs=1e-9)
+
+
 def test_rows_to_learn_from_are_bounded_and_one_an_id(spark):
     texts = [(k % 40, f"{'w ' * (k % 7)}{k}", "s") for k in range(2_000)]
     docs, labels = docs_of(spark, texts), spark.createDataFrame([(k, k % 2, 0) for k in range(40)], LABELS)

@@ -9,6 +9,7 @@ import pytest
 from quillon.llm import sharding
 from quillon.llm.sharding import communication_matrix, hypergeometric, hypergeometric_law, op1_sharding, shard_uniformly, write_shards
 from tests.llm.helpers import DOCS, SMALL, docs_of
+from tests.oracle import assert_same, connection
 
 
 def test_query_is_whole_and_balanced(spark):
@@ -99,3 +100,14 @@ def test_written_shards(spark, tmp_path):
     write_shards(shard_uniformly(docs_of(spark, list("abcdefghijk")), 2), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.shard, r["count"]) for r in back.groupBy("shard").count().collect()} == {(0, 6), (1, 5)}
+
+
+def test_sizes_and_checksums_agree_with_sql(spark):
+    """What SQL can tell of the query's rows; a checksum takes a step for each bit, so short texts only."""
+    bits = lambda x: f"list_reduce([{x}] || [CAST(k AS BIGINT) FOR k IN range(8)], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    step = f"lambda a, x: xor(a >> 8, {bits('xor(a, x) & 255')})"
+    sql = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE length(coalesce(text, '')) < 300), b AS (SELECT doc_id, t, hex(encode(t)) AS h FROM d)
+      SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, xor(list_reduce([CAST(4294967295 AS BIGINT)] || [CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT) FOR i IN range(strlen(t))], {step}), 4294967295) AS text_crc32 FROM b"""
+    short = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(coalesce(text, '')) < 300").select("doc_id")
+    out = op1_sharding(spark, SMALL).join(short, "doc_id").select("doc_id", "size", "text_crc32")
+    assert assert_same(out, connection(SMALL), sql) == short.count() > 10
