@@ -49,3 +49,10 @@ def test_batch_plans_run_no_python(spark):
 def test_scans_are_pruned_and_filters_pushed(spark):
     plan = catalog.QUERIES["deferred_present"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,view)" in plan and "props" not in plan
+
+
+@pytest.mark.parametrize(("name", "scans"), [("total_reconcile", 2), ("evaluate_state", 2), ("tensions", 2), ("single_claim_path", 1), ("whole_state", 3), ("answer_primary", 3), ("state_dump", 3)])
+def test_evidence_is_read_once(spark, name, scans):
+    """Tables are scanned once for claims, and for questions and their answers where these are a table of their own."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= scans and "NestedLoop" not in plan
