@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -36,30 +37,36 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import staged, table
+from quillon.llm.common import SPACES, staged, table
 
 WINDOW = 20
+#: Symbols of a run whose zones are looked at side by side with those of other runs.
+SHORT_RUN = 4
 #: Rounds of recompression before symbols are counted.
 ROUNDS = 4
 #: Words of a symbol that is settled as a whole, at least. Shorter ones settle few windows.
 LONG = 32
 #: Bytes of text in a block, about: documents are dealt to blocks by a hash, and symbols go back to blocks.
 BLOCK_BYTES = 2 << 20
-#: Words recompressed together, about.
-TOGETHER = 1 << 18
+#: Bytes of texts recompressed together, about, and bytes whose words are named together.
+TOGETHER, SEGMENT = 1 << 20, 1 << 18
 PLACE = "hi long, lo long, block int, at int, doc_id long, start int, end int"
 _GAP = np.uint64(0)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x2545F4914F6CDD1D
 
 
 class Symbols(NamedTuple):
-    """A sequence of symbols: names, the words [start, end) that each stands for, and its zone [left, right)."""
+    """A sequence of symbols: names, the words [start, end) that each stands for, names of the first and the last of
+    these, and its zone [left, right), if zones are asked for."""
 
     name: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    left: np.ndarray | None
+    right: np.ndarray | None
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -69,103 +76,185 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_names(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the words of all texts, a gap before, between and after them; and where each text begins."""
-    of: dict[bytes, int] = {}
-    size = np.array([len(t) for t in texts], dtype=np.int64)
-    at = np.fromiter((of.setdefault(w, len(of)) for t in texts for w in t), dtype=np.int64, count=int(size.sum()))
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, of), dtype=np.uint64, count=len(of))
-    hashed[hashed == _GAP] = 1
-    starts = 1 + np.cumsum(size + 1) - size - 1
-    words = np.zeros(int(size.sum()) + len(texts) + 1, dtype=np.uint64)
-    words[np.arange(len(at)) + 1 + np.repeat(np.arange(len(texts)), size)] = hashed[at]
-    return words, starts
-
-
-def spelled(words: np.ndarray) -> Symbols:
+#: Bytes that are not white space, and a number for every byte.
+_INSIDE = ~np.isin(np.arange(256), list(SPACES.encode()))
+_SPREAD = mixed(np.arange(1, 257, dtype=np.uint64))
+
+
+class Words(NamedTuple):
+    """Texts as words. ``names`` has a gap before, between and after the texts; ``first`` is where each text's words begin in
+    it, ``base`` the number of words before each text, ``size`` that of its own. ``joined`` holds all words with one space
+    between, and word k begins there at ``cuts[k]``."""
+
+    names: np.ndarray
+    first: np.ndarray
+    base: np.ndarray
+    size: np.ndarray
+    joined: memoryview
+    cuts: np.ndarray
+
+    def text(self, k: int) -> memoryview:
+        """The words of a text with one space between."""
+        a, n = int(self.base[k]), int(self.size[k])
+        return self.joined[self.cuts[a] : self.cuts[a + n] - 1] if n else self.joined[:0]
+
+
+def words_of(texts: pa.Array) -> Words:
+    """The words of an array of strings; a null has none."""
+    texts = texts.cast(pa.large_binary())
+    texts = texts.fill_null(b"") if texts.null_count else texts
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = _INSIDE[data]
+    begins = np.empty(len(data), dtype=bool)
+    begins[1:], begins[:1] = inside[1:] & ~inside[:-1], inside[:1]
+    at = ends[:-1][ends[:-1] < len(data)]
+    begins[at] = inside[at]  # a word ends with its text
+    start = np.flatnonzero(begins)
+    of = np.searchsorted(start, ends)  # words before each text
+    word = np.cumsum(begins, dtype=np.int32)[inside]  # of each byte that is no white space, from 1
+    length = np.bincount(word, minlength=len(start) + 1)[1:]
+    cuts = np.concatenate([[0], np.cumsum(length + 1)])
+    joined = np.full(int(cuts[-1]), 32, dtype=np.uint8)
+    joined[np.arange(len(word)) + word - 1] = data[inside]
+    base, size = of[:-1], np.diff(of)
+    first = 1 + base + np.arange(len(texts))
+    names = np.zeros(len(start) + len(texts) + 1, dtype=np.uint64)
+    at = np.ones(len(names), dtype=bool)
+    at[0] = False
+    at[first + size] = False
+    names[at] = _named(joined, cuts)
+    return Words(names, first, base, size, memoryview(joined), cuts)
+
+
+def _named(joined: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A name for every word: a sum over its bytes times powers of an odd number, spread. Words of one name need not be
+    equal: names only choose what is compared, and digests of the words decide."""
+    out = np.empty(len(cuts) - 1, dtype=np.uint64)
+    k = 0
+    while k < len(out):
+        upto = max(k + 1, int(np.searchsorted(cuts, cuts[k] + SEGMENT, side="right")) - 1)
+        low, high = int(cuts[k]), int(cuts[upto])
+        up, down = _powers(max(SEGMENT, 1 << (high - low - 1).bit_length()))
+        total = np.empty(high - low + 1, dtype=np.uint64)
+        total[0] = 0
+        np.cumsum(_SPREAD[joined[low:high]] * up[: high - low], out=total[1:])
+        begin = cuts[k:upto] - low
+        out[k:upto] = mixed((total[cuts[k + 1 : upto + 1] - 1 - low] - total[begin]) * down[begin])
+        k = upto
+    out[out == _GAP] = 1
+    return out
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse, modulo 2^64."""
+    out = np.empty((2, n), dtype=np.uint64)
+    out[:, 0], out[0, 1:], out[1, 1:] = 1, _BASE, pow(_BASE, -1, 1 << 64)
+    return tuple(np.cumprod(out, axis=1))
+
+
+def spelled(words: np.ndarray, zones: bool = True) -> Symbols:
     """Each word as a symbol."""
-    at = np.arange(len(words))
-    return Symbols(words, at, at + 1, at, at + 1)
+    at = np.arange(len(words) + 1, dtype=np.int32 if len(words) < 1 << 31 else np.int64)
+    return Symbols(words, at[:-1], at[1:], words, words, *((at[:-1], at[1:]) if zones else (None, None)))
 
 
-def compressed(s: Symbols, words: np.ndarray, round_: int) -> Symbols:
+def compressed(s: Symbols, round_: int) -> Symbols:
     """One round: runs, then pairs. Gaps stay, and nothing is formed across them."""
-    return _pairs(_runs(s, words), np.uint64(round_ + 1))
+    return _pairs(_runs(s), round_)
 
 
-def _runs(s: Symbols, words: np.ndarray) -> Symbols:
+def _runs(s: Symbols) -> Symbols:
     head = np.ones(len(s.name), dtype=bool)
     head[1:] = (s.name[1:] != s.name[:-1]) | (s.name[1:] == _GAP)
-    first = np.flatnonzero(head)
-    times = np.diff(first, append=len(head))
-    name = s.name[first]
-    name = np.where(times > 1, mixed(name + times.astype(np.uint64) * _ODD), name)
-    start, end = s.start[first], s.end[first + times - 1]
-    left, right = np.minimum.reduceat(s.left, first), np.maximum.reduceat(s.right, first)
+    at = np.flatnonzero(head)
+    alone = len(at) == len(head)
+    if alone and s.left is None:
+        return s
+    times = np.diff(at, append=len(head))
+    many = np.flatnonzero(times > 1)
+    name, end = s.name[at], s.end[at]
+    name[many] = mixed(name[many] + times[many].astype(np.uint64) * _ODD)
+    name[many[name[many] == _GAP]] = 1
+    end[many] = s.end[at[many] + times[many] - 1]
+    first, last = s.first[at], s.last[at]
+    if s.left is None:
+        return Symbols(name, s.start[at], end, first, last, None, None)
+    left, right = s.left[at], s.right[at]
+    for x, of, least in ((left, s.left, np.minimum), (right, s.right, np.maximum)):
+        for k in range(1, int(times.max(initial=1))):
+            more = many[times[many] > k]
+            x[more] = least(x[more], of[at[more] + k])
+            if k >= SHORT_RUN:  # the rest of long runs at once, run by run
+                for i in more[times[more] > k + 1].tolist():
+                    x[i] = least(x[i], least.reduce(of[at[i] + k : at[i] + times[i]]))
+                break
     # a run ends where another symbol follows: one whose next word differs, or else the whole of that symbol
-    differs = words[end[:-1]] != words[start[:-1]]
-    after = first[1:]
-    right[:-1] = np.maximum(right[:-1], np.where(differs, end[:-1] + 1, s.right[after]))
-    left[:-1] = np.minimum(left[:-1], np.where(differs, left[:-1], s.left[after]))
-    differs = words[start[1:] - 1] != words[s.end[first[1:]] - 1]
-    before = first[1:] - 1
-    left[1:] = np.minimum(left[1:], np.where(differs, start[1:] - 1, s.left[before]))
-    right[1:] = np.maximum(right[1:], np.where(differs, right[1:], s.right[before]))
-    return Symbols(name, start, end, left, right)
-
-
-def _pairs(s: Symbols, salt: np.uint64) -> Symbols:
-    side, word = mixed(s.name ^ mixed(np.full(1, salt))) >> np.uint64(63) == 0, s.name != _GAP
+    np.maximum(right[:-1], end[:-1] + 1, out=right[:-1])
+    np.minimum(left[1:], s.start[at[1:]] - 1, out=left[1:])
+    like = np.flatnonzero(first[1:] == first[:-1])
+    after = at[like + 1]
+    right[like], left[like] = np.maximum(right[like], s.right[after]), np.minimum(left[like], s.left[after])
+    like = np.flatnonzero(last[1:] == last[:-1]) + 1
+    before = at[like] - 1
+    right[like], left[like] = np.maximum(right[like], s.right[before]), np.minimum(left[like], s.left[before])
+    return Symbols(name, s.start[at], end, first, last, left, right)
+
+
+def _pairs(s: Symbols, round_: int) -> Symbols:
+    # names are spread: each of their bits is a fair side, and after 64 rounds those of other names
+    sides = s.name if round_ < 64 else mixed(s.name + np.uint64(round_ // 64) * _ODD)
+    side, word = (sides >> np.uint64(round_ % 64)) & np.uint64(1) == 0, s.name != _GAP
     ahead, behind = side & word, ~side & word
-    joined = np.flatnonzero(ahead[:-1] & behind[1:])
-    name, end, left, right = s.name.copy(), s.end.copy(), s.left.copy(), s.right.copy()
-    alone = np.ones(len(name), dtype=bool)
-    alone[joined] = alone[joined + 1] = False
-    # why a symbol stays alone: the next one is no right one, or the one before no left one
-    for of, by in ((np.flatnonzero(alone & ahead), 1), (np.flatnonzero(alone & behind), -1)):
+    pair = ahead[:-1] & behind[1:]
+    one = np.flatnonzero(pair)
+    kept = np.ones(len(s.name), dtype=bool)
+    kept[one + 1] = False
+    name, end, last = s.name.copy(), s.end.copy(), s.last.copy()
+    name[one] = mixed(mixed(s.name[one]) + s.name[one + 1])
+    name[one[name[one] == _GAP]] = 1
+    end[one], last[one] = s.end[one + 1], s.last[one + 1]
+    if s.left is None:
+        return Symbols(name[kept], s.start[kept], end[kept], s.first[kept], last[kept], None, None)
+    left, right = s.left.copy(), s.right.copy()
+    # what a pair is decided by, and why a symbol stays alone: the next is no right one, or the one before no left one
+    ahead[one] = behind[one + 1] = False
+    for of, by in ((one, 1), (np.flatnonzero(ahead), 1), (np.flatnonzero(behind), -1)):
         left[of], right[of] = np.minimum(s.left[of], s.left[of + by]), np.maximum(s.right[of], s.right[of + by])
-    name[joined] = mixed(mixed(s.name[joined] + salt) + s.name[joined + 1] * _ODD)
-    end[joined] = s.end[joined + 1]
-    left[joined], right[joined] = np.minimum(s.left[joined], s.left[joined + 1]), np.maximum(s.right[joined], s.right[joined + 1])
-    name[word & (name == _GAP)] = 1
-    kept = np.ones(len(name), dtype=bool)
-    kept[joined + 1] = False
-    return Symbols(*[x[kept] for x in (name, s.start, end, left, right)])
+    return Symbols(name[kept], s.start[kept], end[kept], s.first[kept], last[kept], left[kept], right[kept])
 
 
 def low_symbols(words: np.ndarray, rounds: int = ROUNDS) -> Symbols:
     s = spelled(words)
     for k in range(rounds):
-        s = compressed(s, words, k)
+        s = compressed(s, k)
     return s
 
 
 # ---- symbols that occur once
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int, list[list[bytes]]]]:
-    """Texts as words, up to ``TOGETHER`` of them together; (first, last, words of each)."""
-    some, first, n = [], 0, 0
-    for k, words in enumerate(map(_words, texts)):
-        if n and n + len(words) > TOGETHER:
-            yield first, k, some
-            some, first, n = [], k, 0
-        some.append(words)
-        n += len(words)
-    if some:
-        yield first, first + len(some), some
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
+    """Texts as words, up to ``TOGETHER`` bytes of them together: (first, last, words)."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    upto, first = np.cumsum(size, dtype=np.int64), 0
+    while first < len(size):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + TOGETHER, side="right")))
+        yield first, last, words_of(texts.slice(first, last - first))
+        first = last
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The symbols of texts, each once for texts named together: with the block of its text, or -1 if it occurs
     several times."""
     for b in batches:
-        blocks, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-        for first, last, some in _chunks(texts):
-            words, starts = word_names(some)
-            s = low_symbols(words)
+        blocks = b.column(0).to_numpy()
+        for first, last, words in _chunks(b.column(1)):
+            s = low_symbols(words.names)
             name, at, times = np.unique(s.name, return_index=True, return_counts=True)
-            of = np.searchsorted(starts, s.start[at], side="right") - 1
+            of = np.searchsorted(words.first, s.start[at], side="right") - 1
             block = np.where(times == 1, blocks[first:last][np.maximum(of, 0)], -1)[name != _GAP]
             yield pa.RecordBatch.from_arrays([pa.array(name[name != _GAP].view(np.int64)), pa.array(block, pa.int32())], names=["name", "block"])
 
@@ -176,37 +265,38 @@ def _candidates(texts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
     def run(docs: pa.Table, once: pa.Table) -> pa.Table:
         unique = np.sort(once.column("name").to_numpy().view(np.uint64))
-        held, live, counts, kept = [], [], [], []
-        own = docs.column("text").to_pylist()
-        for first, last, some in _chunks(own):
-            words, starts = word_names(some)
-            s = low_symbols(words)
-            k = np.flatnonzero((s.right - s.left <= WINDOW) & np.isin(s.name, unique))
-            dead = np.zeros(len(words) + 1, dtype=np.int64)
+        own = docs.column("text").combine_chunks()
+        live, counts, kept = [], [], []
+        for _, _, words in _chunks(own):
+            s = low_symbols(words.names)
+            k = np.flatnonzero((s.right - s.left <= WINDOW) & _among(s.name, unique))
+            dead = np.zeros(len(words.names) + 1, dtype=np.int32)
             np.add.at(dead, np.maximum(s.right[k] - WINDOW, 0), 1)
             np.add.at(dead, s.left[k] + 1, -1)
             alive = np.cumsum(dead) == 0
-            for text, of, at in zip(own[first:last], some, starts.tolist()):
-                ranges = _ranges(alive[at : at + max(0, len(of) - WINDOW + 1)])
-                held.append(text if len(ranges) else None)
-                live.append(ranges)
-                counts.append(len(of))
-                kept.append(None if len(ranges) else _kept(of, texts))
+            for t, (at, n) in enumerate(zip(words.first.tolist(), words.size.tolist())):
+                flags = alive[at : at + max(0, n - WINDOW + 1)]
+                live.append(_ranges(flags) if flags.any() else [])
+                counts.append(n)
+                kept.append(None if len(live[-1]) else _kept(words.text(t), texts))
+        held = pc.if_else(pc.is_null(pa.array(kept, pa.string())), own, pa.scalar(None, own.type))
         return pa.table({
-            "block": docs.column("block"), "at": pa.array(range(len(own)), pa.int32()), "doc_id": docs.column("doc_id"), "text": pa.array(held, pa.string()),
+            "block": docs.column("block"), "at": pa.array(range(len(own)), pa.int32()), "doc_id": docs.column("doc_id"), "text": held,
             "live": pa.array(live, pa.list_(pa.int32())), "n_words": pa.array(counts, pa.int64()), "kept": pa.array(kept, pa.string()),
         })
 
     return run
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8").split()  # of bytes: at the six ASCII white-space bytes
+def _among(names: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which names are among some, which are sorted."""
+    if not len(some):
+        return np.zeros(len(names), dtype=bool)
+    return some[np.minimum(np.searchsorted(some, names), len(some) - 1)] == names
 
 
-def _kept(words: list[bytes], texts: bool) -> str:
-    joined = b" ".join(words)
-    return joined.decode("utf-8") if texts else sha256(joined).hexdigest()
+def _kept(joined: memoryview | bytes, texts: bool) -> str:
+    return bytes(joined).decode("utf-8") if texts else sha256(joined).hexdigest()
 
 
 def _ranges(flags: np.ndarray) -> np.ndarray:
@@ -214,7 +304,7 @@ def _ranges(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8))).astype(np.int32)
 
 
-def _flags(ranges: list[int], n: int) -> np.ndarray:
+def _flags(ranges: list[int] | np.ndarray, n: int) -> np.ndarray:
     """The first ``n`` flags of ranges."""
     turn = np.zeros(n + 1, dtype=np.int8)
     at = np.array(ranges, dtype=np.int64)
@@ -226,22 +316,20 @@ def _flags(ranges: list[int], n: int) -> np.ndarray:
 # ---- long repeats
 
 
-def _digests(words: list[bytes], spans: list[tuple[int, int]]) -> np.ndarray:
-    """128-bit digests of stretches of words, as two signed numbers each."""
-    joined = b" ".join(words)
-    cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)]).tolist()
-    digest = xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join([digest(joined[cuts[a] : cuts[b] - 1]) for a, b in spans]), dtype="<i8").reshape(-1, 2)
+def _digests(words: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of stretches of words (numbers of words), as two signed numbers each."""
+    joined, digest = words.joined, xxhash.xxh3_128_digest
+    spans = zip(words.cuts[start].tolist(), (words.cuts[end] - 1).tolist())
+    return np.frombuffer(b"".join([digest(joined[a:b]) for a, b in spans]), dtype="<i8").reshape(-1, 2)
 
 
 def long_symbols(words: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the symbols of ``LONG`` words or more, of all rounds, all of whose windows are alive."""
     upto = np.concatenate([[0], np.cumsum(alive)])
-    s, round_, seen = spelled(words), 0, np.ones(len(words), dtype=np.int64)
+    s, round_, seen = spelled(words, zones=False), 0, np.ones(len(words), dtype=np.int32)
     starts, ends = [], []
     while True:
-        n = len(s.name)
-        s = compressed(s, words, round_)
+        s = compressed(s, round_)
         round_ += 1
         k = np.flatnonzero((s.end - s.start >= LONG) & (s.end - s.start > seen[s.start]))
         a, b = s.start[k], s.end[k]
@@ -249,7 +337,8 @@ def long_symbols(words: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.n
         k = upto[b - WINDOW + 1] - upto[a] == b - WINDOW + 1 - a
         starts.append(a[k])
         ends.append(b[k])
-        if len(s.name) == n and round_ > ROUNDS and (s.name == _GAP)[:-1][(s.name != _GAP)[1:]].sum() == (s.name != _GAP).sum():
+        gap = s.name == _GAP
+        if (gap[1:] | gap[:-1]).all():  # each text is one symbol
             return np.concatenate(starts), np.concatenate(ends)
 
 
@@ -257,20 +346,15 @@ def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The places of long symbols."""
     for b in batches:
         block, at, doc_id = (b.column(k) for k in range(3))
-        texts, live = b.column(3).to_pylist(), b.column(4).to_pylist()
-        for first, last, some in _chunks(texts):
-            words, starts = word_names(some)
-            alive = np.zeros(len(words), dtype=bool)
-            for a, of, ranges in zip(starts.tolist(), some, live[first:last]):
-                alive[a : a + len(of)] = _flags(ranges, len(of))
-            low, high = long_symbols(words, alive)
-            of = np.searchsorted(starts, low, side="right") - 1
-            order = np.argsort(of, kind="stable")
-            low, high, of = low[order], high[order], of[order]
-            low, high = low - starts[of], high - starts[of]
-            cuts = np.searchsorted(of, np.arange(len(some) + 1)).tolist()
-            found = [_digests(x, list(zip(low[i:j].tolist(), high[i:j].tolist()))) for x, i, j in zip(some, cuts, cuts[1:])]
-            digests, row = np.concatenate(found), pa.array(first + of)
+        live = b.column(4)
+        for first, last, words in _chunks(b.column(3)):
+            alive = np.zeros(len(words.names), dtype=bool)
+            for a, n, ranges in zip(words.first.tolist(), words.size.tolist(), live.slice(first, last - first).to_pylist()):
+                alive[a : a + n] = _flags(ranges, n)
+            low, high = long_symbols(words.names, alive)
+            of = np.searchsorted(words.first, low, side="right") - 1
+            low, high = low - words.first[of], high - words.first[of]
+            digests, row = _digests(words, words.base[of] + low, words.base[of] + high), pa.array(first + of)
             columns = [pa.array(digests[:, 0]), pa.array(digests[:, 1]), block.take(row), at.take(row), doc_id.take(row), pa.array(low, pa.int32()), pa.array(high, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["hi", "lo", "block", "at", "doc_id", "start", "end"])
 
@@ -285,94 +369,83 @@ def later_places(places: DataFrame) -> DataFrame:
 # ---- single windows
 
 
-class Windows(NamedTuple):
-    """Windows of a block: the document (its number in the block), start and digest of each."""
-
-    doc: np.ndarray
-    start: np.ndarray
-    digest: np.ndarray
-
-
-def _open_windows(docs: pa.Table, told: pa.Table) -> tuple[list[list[bytes]], list[np.ndarray], Windows]:
-    """Words of each document of a block, which of them are in settled repeats, and the windows left to decide."""
-    place = {at: k for k, at in enumerate(docs.column("at").to_pylist())}
-    of: list[list[tuple[int, int]]] = [[] for _ in place]
-    settled = told.filter(pc.is_valid(told.column("at")))
-    for at, a, b in zip(*(settled.column(c).to_pylist() for c in ("at", "start", "end"))):
-        of[place[at]].append((a, b))
-    texts = [_words(t) for t in docs.column("text").to_pylist()]
-    gone, doc, start, digest = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)]
-    for k, (words, ranges, spans) in enumerate(zip(texts, docs.column("live").to_pylist(), of)):
-        a, b = np.array(spans, dtype=np.int64).reshape(-1, 2).T
-        covered, inside = np.zeros(len(words) + 1, dtype=np.int64), np.zeros(len(words) + 1, dtype=np.int64)
-        np.add.at(covered, a, 1)
-        np.add.at(covered, b, -1)
-        np.add.at(inside, a, 1)
-        np.add.at(inside, b - WINDOW + 1, -1)
-        at = np.flatnonzero(_flags(ranges, len(words)) & (np.cumsum(inside[:-1]) == 0))
-        gone.append(np.cumsum(covered[:-1]) > 0)
-        doc.append(np.full(len(at), k))
-        start.append(at)
-        digest.append(_digests(words, list(zip(at.tolist(), (at + WINDOW).tolist()))))
-    return texts, gone, Windows(*map(np.concatenate, (doc, start, digest)))
-
-
-def _order(docs: pa.Table, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows by digest and place; which of them are the first of their digest, and which share its place."""
-    ids = docs.column("doc_id").to_pylist()
-    known = np.array([i is not None for i in ids], dtype=np.int64)[w.doc]
-    value = np.array([i or 0 for i in ids], dtype=np.int64)[w.doc]
-    order = np.lexsort((w.start, value, known, w.digest[:, 1], w.digest[:, 0]))
-    rows = np.column_stack([w.digest, known, value, w.start])[order]
+def _by_id(docs: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The documents in order of id, nulls first, and the rank of each id."""
+    docs = docs.sort_by([("doc_id", "ascending")])
+    ids = docs.column("doc_id").combine_chunks()
+    nulls = ids.null_count  # sorted to the end
+    docs = pa.concat_tables([docs.slice(len(docs) - nulls), docs.slice(0, len(docs) - nulls)])
+    known = ids.slice(0, len(ids) - nulls).to_numpy()
+    step = np.concatenate([np.zeros(nulls, dtype=np.int64), np.ones(len(known), dtype=np.int64)])
+    step[nulls + 1 :] = known[1:] != known[:-1]
+    return docs, np.cumsum(step)
+
+
+def _open_windows(docs: pa.Table, settled: pa.Table) -> pa.Table:
+    """What a block has to say of the windows that no long repeat has settled: for each digest the first place here
+    (with n = 1), and the places after it (n = 0), which are repeats for certain."""
+    docs, rank = _by_id(docs)
+    words = words_of(docs.column("text").combine_chunks())
+    base, n = words.base, len(words.cuts) - 1
+    live = docs.column("live").combine_chunks()
+    # differences of flags over the words of all documents
+    turn, inside = np.zeros(n + 1, dtype=np.int32), np.zeros(n + 1, dtype=np.int32)
+    ranges = live.flatten().to_numpy() + np.repeat(base, np.diff(live.offsets.to_numpy()))
+    np.add.at(turn, ranges[0::2], 1)
+    np.add.at(turn, ranges[1::2], -1)
+    numbers = docs.column("at").to_numpy()
+    of = {at: k for k, at in enumerate(numbers.tolist())}
+    place = base[np.fromiter(map(of.__getitem__, settled.column("at").to_pylist()), dtype=np.int64, count=len(settled))]
+    np.add.at(inside, place + settled.column("start").to_numpy(), 1)
+    np.add.at(inside, place + settled.column("end").to_numpy() - WINDOW + 1, -1)
+    at = np.flatnonzero((np.cumsum(turn[:-1]) > 0) & (np.cumsum(inside[:-1]) == 0))
+    digest = _digests(words, at, at + WINDOW)
+    doc = np.searchsorted(base + words.size, at, side="right")
+    start = at - base[doc]
+    # windows come in order of id and start already
+    order = np.lexsort((digest[:, 1], digest[:, 0]))
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else np.empty(0, np.int64)
-    return order, new, (rows[:, 2:] == rows[head, 2:]).all(axis=1)
-
-
-def _first_windows(docs: pa.Table, told: pa.Table) -> pa.Table:
-    """The first place of each digest among the windows that a block has to decide."""
-    _, _, w = _open_windows(docs, told)
-    order, new, _ = _order(docs, w)
-    k = order[new]
-    row = pa.array(w.doc[k])
+    new[1:] = (digest[order][1:] != digest[order][:-1]).any(axis=1)
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    later = ~new & ((rank[doc[order]] != rank[doc[head]]) | (start[order] != start[head]))
+    # equal rows of one id: none is later, each says that it is there
+    k = np.concatenate([order[~later], order[later]])
+    first = np.arange(len(k)) < len(k) - later.sum()
+    row = pa.array(doc[k])
+    # the later ones are asked about no more: they get numbers of their own instead of a digest that many share
     return pa.table({
-        "hi": w.digest[k, 0], "lo": w.digest[k, 1], "block": docs.column("block").take(row), "doc_id": docs.column("doc_id").take(row), "start": pa.array(w.start[k], pa.int32()),
+        "hi": np.where(first, digest[k, 0], k), "lo": np.where(first, digest[k, 1], start[k]), "n": pa.array(first.astype(np.int32)),
+        "block": docs.column("block").take(row), "at": docs.column("at").take(row), "doc_id": docs.column("doc_id").take(row), "start": pa.array(start[k], pa.int32()),
     })
 
 
 def _without_repeats(texts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The results of a block's documents, from settled repeats and from the digests that occur in an earlier block."""
-
-    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        all_words, gone, w = _open_windows(docs, told)
-        digests = told.filter(pc.is_null(told.column("at")))
-        earlier = np.column_stack([digests.column(c).to_numpy() for c in ("hi", "lo")]).astype(np.int64)
-        order, new, first = _order(docs, w)
-        known = _rows_in(w.digest[order], earlier)
-        for k in order[known | ~first].tolist():
-            gone[w.doc[k]][w.start[k] : w.start[k] + WINDOW] = True
-        spans = [_ranges(g) for g in gone]
-        kept = [_kept([words[k] for k in np.flatnonzero(~g).tolist()], texts) for words, g in zip(all_words, gone)]
+    """The results of a block's documents, from the stretches of words that are repeats."""
+
+    def run(docs: pa.Table, gone: pa.Table) -> pa.Table:
+        gone = gone.sort_by("at")
+        numbers, start, end = (gone.column(c).to_numpy() for c in ("at", "start", "end"))
+        at = docs.column("at").to_numpy()
+        low, high = np.searchsorted(numbers, at, side="left").tolist(), np.searchsorted(numbers, at, side="right").tolist()
+        counts, removed, spans, kept = [], [], [], []
+        words = words_of(docs.column("text").combine_chunks())
+        for k, (i, j, first, n) in enumerate(zip(low, high, words.base.tolist(), words.size.tolist())):
+            ranges = _ranges(_flags(np.column_stack([start[i:j], end[i:j]]).ravel(), n)) if i < j else []
+            cuts = [0, *(int(x) for x in ranges), n]
+            stay = [(a, b) for a, b in zip(cuts[0::2], cuts[1::2]) if a < b]
+            parts = [words.joined[words.cuts[first + a] : words.cuts[first + b] - 1] for a, b in stay]
+            counts.append(n)
+            removed.append(n - sum(b - a for a, b in stay))
+            spans.append(ranges)
+            kept.append(_kept(b" ".join(parts), texts))
         return pa.table({
-            "doc_id": docs.column("doc_id"), "n_words": pa.array([len(x) for x in all_words], pa.int64()), "n_removed": pa.array([int(g.sum()) for g in gone], pa.int64()),
+            "doc_id": docs.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
             "removed": pa.array(spans, pa.list_(pa.int32())), "kept": pa.array(kept, pa.string()),
         })
 
     return run
 
 
-def _rows_in(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Which rows (pairs of numbers) are among others."""
-    pair = np.dtype([("hi", "<i8"), ("lo", "<i8")])
-    one, two = (np.ascontiguousarray(x, dtype="<i8").view(pair)[:, 0] if len(x) else np.empty(0, pair) for x in (rows, of))
-    two = np.sort(two)
-    if not len(two):
-        return np.zeros(len(one), dtype=bool)
-    at = np.minimum(np.searchsorted(two, one), len(two) - 1)
-    return two[at] == one
-
-
 def repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, ``n_words``, ``n_removed``, ``removed`` (starts and ends, in turn,
     of the stretches of words that go) and ``kept``: the words that stay, joined by one space, or, without ``texts``,
@@ -393,15 +466,14 @@ def repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     held = judged.where("kept IS NULL").select("block", "at", "doc_id", "text", "live")
     places = staged(held.mapInArrow(_long, PLACE), "passages-long")
     later = staged(later_places(places), "passages-later")
-    told = later.select("block", "at", "start", "end", F.lit(None).cast("long").alias("hi"), F.lit(None).cast("long").alias("lo"))
-    # one row for each window and block
-    firsts = held.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_first_windows, "hi long, lo long, block int, doc_id long, start int")
-    least = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("hi", "lo"))
-    elsewhere = firsts.withColumn("first", least).where(~F.col("first").eqNullSafe(F.struct("doc_id", "start")))
-    none = F.lit(None).cast("int")
-    told = told.unionByName(staged(elsewhere.select("block", none.alias("at"), none.alias("start"), none.alias("end"), "hi", "lo"), "passages-windows"))
+    # one row for each window and block, and one for each window that is a repeat within its block
+    schema = "hi long, lo long, n int, block int, at int, doc_id long, start int"
+    windows = held.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(_open_windows, schema)
+    least = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("hi", "lo", "n"))
+    repeated = windows.withColumn("first", least).where(~F.col("first").eqNullSafe(F.struct("doc_id", "start")) | (F.col("n") == 0))
+    gone = later.unionByName(repeated.select("block", "at", "start", (F.col("start") + WINDOW).alias("end")))
     schema = "doc_id long, n_words long, n_removed long, removed array<int>, kept string"
-    return settled.unionByName(held.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_without_repeats(texts), schema))
+    return settled.unionByName(held.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_without_repeats(texts), schema))
 
 
 def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

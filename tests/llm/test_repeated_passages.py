@@ -1,7 +1,7 @@
 import random
 from hashlib import sha256
 
-import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import repeated_passages as rp
@@ -58,31 +58,58 @@ def test_query_agrees_with_sql(spark):
     assert_same(rp.op13_repeated_passages(spark, SMALL), connection(SMALL), ORACLES["op13_repeated_passages"])
 
 
+def named(*texts):
+    """Words of texts that are given as lists of words."""
+    return rp.words_of(pa.array([" ".join(t) for t in texts], pa.string()))
+
+
+def test_words_of_arrays():
+    texts = ["a  b\x0bc\n", None, "", " \t", "\u00e9\u00a0x y", "y", "b"]
+    for arr in (pa.array(texts), pa.array(["zz z", *texts, "q"]).slice(1, 7)):
+        w = rp.words_of(arr)
+        plain = [(t or "").encode().split() for t in texts]
+        assert w.size.tolist() == [len(p) for p in plain] and [bytes(w.text(k)) for k in range(7)] == [b" ".join(p) for p in plain]
+        flat = [x for p in plain for x in p]
+        assert [bytes(w.joined[a : b - 1]) for a, b in zip(w.cuts, w.cuts[1:])] == flat
+        names = [int(w.names[w.first[t] + k]) for t, p in enumerate(plain) for k in range(len(p))]
+        assert all((a == b) == (x == y) for a, x in zip(names, flat) for b, y in zip(names, flat))
+        assert (w.names == 0).sum() == 8 and (w.names[w.first - 1] == 0).all()
+
+
+def test_names_over_segments(monkeypatch):
+    r = random.Random(3)
+    texts = [" ".join("ab"[: r.randint(1, 2)] * r.randint(1, 40) for _ in range(50)) for _ in range(5)]
+    whole = rp.words_of(pa.array(texts)).names
+    monkeypatch.setattr(rp, "SEGMENT", 16)
+    assert (rp.words_of(pa.array(texts)).names == whole).all()
+    # bytes in another order, and other bytes, give other names
+    many = [f"w{k}" for k in range(20_000)] + ["".join(p) for p in ("ab", "ba", "aab", "aba", "baa")] + ["a" * k for k in range(1, 500)]
+    assert len(set(rp.words_of(pa.array([" ".join(many)])).names.tolist())) == len(set(many)) + 1
+
+
 def test_equal_words_get_equal_interior_symbols():
     """A stretch is parsed alike wherever it stands, but for symbols whose zones leave it."""
     r = random.Random(8)
     for kinds in (2, 30, 5_000):
-        shared = [b"%d" % r.randrange(kinds) for _ in range(200)]
-        texts = [[b"%d" % r.randrange(kinds) for _ in range(r.randint(0, 40))] for _ in range(2)]
+        shared = [str(r.randrange(kinds)) for _ in range(200)]
+        texts = [[str(r.randrange(kinds)) for _ in range(r.randint(0, 40))] for _ in range(2)]
         for rounds in range(1, 7):
-            inside = []
+            inside, there = [], []
             for t in texts:
-                words, starts = rp.word_names([t + shared + t[::-1]])
-                s = rp.low_symbols(words, rounds)
-                at = starts[0] + len(t)
+                words = named(t + shared + t[::-1])
+                s = rp.low_symbols(words.names, rounds)
+                at = words.first[0] + len(t)
                 k = (s.left >= at) & (s.right <= at + 200)
-                inside.append(set(zip(s.name[k].tolist(), (s.start[k] - at).tolist(), (s.end[k] - at).tolist(), (s.left[k] - at).tolist(), (s.right[k] - at).tolist())))
-            here, there = ({x[:3] for x in i} for i in inside)
+                symbols = list(zip(s.name.tolist(), (s.start - at).tolist(), (s.end - at).tolist()))
+                inside.append({x for x, i in zip(symbols, k) if i})
+                there.append(set(symbols))
             # what one place knows by its zone, the other has as well
-            for one, words_of in ((here, texts[1]), (there, texts[0])):
-                words, starts = rp.word_names([words_of + shared + words_of[::-1]])
-                s, at = rp.low_symbols(words, rounds), starts[0] + len(words_of)
-                assert one <= set(zip(s.name.tolist(), (s.start - at).tolist(), (s.end - at).tolist()))
+            assert inside[0] <= there[1] and inside[1] <= there[0]
 
 
 def test_long_symbols_cover_a_copy():
     r = random.Random(2)
-    words, _ = rp.word_names([[b"%d" % r.randrange(1_000) for _ in range(5_000)]])
+    words = named([str(r.randrange(1_000)) for _ in range(5_000)]).names
     alive = words != 0
     alive[-20:] = False
     low, high = rp.long_symbols(words, alive)
@@ -90,9 +117,9 @@ def test_long_symbols_cover_a_copy():
 
 
 def test_names_of_runs_and_gaps():
-    words, starts = rp.word_names([[], [b"a"] * 9, [], [b"a"] * 9, [b"b", b"a", b"a"]])
-    s = rp.low_symbols(words, 3)
-    assert starts.tolist() == [1, 2, 12, 13, 23] and (s.name == 0).sum() == 6
+    words = named([], ["a"] * 9, [], ["a"] * 9, ["b", "a", "a"])
+    s = rp.low_symbols(words.names, 3)
+    assert words.first.tolist() == [1, 2, 12, 13, 23] and (s.name == 0).sum() == 6
     runs = s.name[(s.end - s.start) == 9]
     assert len(runs) == 2 and runs[0] == runs[1]
 
@@ -109,9 +136,3 @@ def test_edge_cases(spark):
     hashed = {r.doc_id: r.kept for r in rp.repeats(docs, texts=False).where("doc_id >= 8").collect()}
     assert hashed == {8: sha256(b"").hexdigest(), 9: sha256(b"a b c").hexdigest()}
     assert rp.repeats(spark.createDataFrame([], DOCS)).collect() == []
-
-
-def test_rows_in():
-    a = np.array([[1, 2], [3, 4], [-1, 5]])
-    assert rp._rows_in(a, np.array([[3, 4], [-1, 6]])).tolist() == [False, True, False]
-    assert rp._rows_in(a, np.empty((0, 2), dtype=np.int64)).tolist() == [False] * 3
