@@ -52,10 +52,15 @@ def template_idf(docs: DataFrame) -> dict[str, float]:
 
 
 def rare_index(idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
-    """Postings (template number, position) of the highest-IDF words of each template, of those that occur."""
+    """Postings (template number, position) of the highest-IDF words of each template, of those that occur.
+
+    Templates that no text can hold are left out: a word of a key phrase occurs nowhere, or fewer words than the
+    score takes occur at all."""
     index: dict[str, list[tuple[int, int]]] = {}
     for t, template in enumerate(TEMPLATES):
         of = template.words
+        if not all(of[k] in idf for k in template.key) or sum(w in idf for w in of) < MIN_SCORE * len(of):
+            continue
         for w in sorted(idf.keys() & set(of), key=lambda w: (-idf[w], w))[: ANCHORS_PER_TEMPLATE + len(of) // WORDS_PER_ANCHOR]:
             index.setdefault(w, []).extend((t, i) for i, x in enumerate(of) if x == w)
     return index
