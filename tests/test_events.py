@@ -67,7 +67,13 @@ def test_random_histories_agree_with_the_step_function(spark):
 def test_reports_and_mock(spark):
     made = lifecycle.replay(mock_frame_request(spark), "case_id", ["seq"]).withColumn("report", lifecycle.load_report(F.col("outcome") == "ok")).first()
     assert made.report.status == "Ok" and made.report.stats.total_bytes == 1024 and (made.width, made.height) == (1920, 1080)
-    assert spark.range(1).select(lifecycle.reentrant(F.lit(True), F.lit("resize")).alias("o")).first().o == "panic"
+
+
+def test_calls_within_a_render(spark):
+    ops = ["resize", "render_end", "render_begin", "pause", "resize", "render_begin", "resize", "render_end", "resize", None, "render_begin", None, "resize"]
+    of = spark.createDataFrame([("x", k, op) for k, op in enumerate(ops)], "case_id string, seq long, op string")
+    got = lifecycle.reentrancy(of, "case_id", ["seq"]).orderBy("seq").collect()
+    assert [r.seq for r in got if r.outcome == "panic"] == [4, 5, 6, 12] and [r.seq for r in got if r.in_render] == [3, 4, 5, 6, 7, 11, 12]
 
 
 def shown(spark, rows):
