@@ -51,7 +51,7 @@ BLOCK_BYTES = 2 << 20
 #: Bytes of texts recompressed together, about, and bytes whose words are named together.
 TOGETHER, SEGMENT = 1 << 20, 1 << 18
 PLACE = "hi long, lo long, block int, at int, doc_id long, start int, end int"
-_GAP = np.uint64(0)
+_GAP, _ONCE = np.uint64(0), 1 << 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x2545F4914F6CDD1D
 
@@ -247,16 +247,16 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The symbols of texts, each once for texts named together: with the block of its text, or -1 if it occurs
-    several times."""
+    """The symbols of texts, each once for texts named together: 2^32 and the block of its text, or twice that if it
+    occurs several times. So a sum under 2^33 over all tasks means that it occurs once, and where."""
     for b in batches:
-        blocks = b.column(0).to_numpy()
+        blocks = b.column(0).to_numpy().astype(np.int64)
         for first, last, words in _chunks(b.column(1)):
             s = low_symbols(words.names)
             name, at, times = np.unique(s.name, return_index=True, return_counts=True)
             of = np.searchsorted(words.first, s.start[at], side="right") - 1
-            block = np.where(times == 1, blocks[first:last][np.maximum(of, 0)], -1)[name != _GAP]
-            yield pa.RecordBatch.from_arrays([pa.array(name[name != _GAP].view(np.int64)), pa.array(block, pa.int32())], names=["name", "block"])
+            told = np.where(times == 1, _ONCE + blocks[first:last][np.maximum(of, 0)], 2 * _ONCE)[name != _GAP]
+            yield pa.RecordBatch.from_arrays([pa.array(name[name != _GAP].view(np.int64)), pa.array(told)], names=["name", "told"])
 
 
 def _candidates(texts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -382,8 +382,9 @@ def _by_id(docs: pa.Table) -> tuple[pa.Table, np.ndarray]:
 
 
 def _open_windows(docs: pa.Table, settled: pa.Table) -> pa.Table:
-    """What a block has to say of the windows that no long repeat has settled: for each digest the first place here
-    (with n = 1), and the places after it (n = 0), which are repeats for certain."""
+    """What a block has to say of the windows that no long repeat has settled: for each digest the first place here,
+    and the places after it, which are repeats for certain. ``row`` holds block and document, ``place`` the window's start and
+    whether it is a later one: rows are many, and travel in five numbers."""
     docs, rank = _by_id(docs)
     words = words_of(docs.column("text").combine_chunks())
     base, n = words.base, len(words.cuts) - 1
@@ -410,12 +411,12 @@ def _open_windows(docs: pa.Table, settled: pa.Table) -> pa.Table:
     later = ~new & ((rank[doc[order]] != rank[doc[head]]) | (start[order] != start[head]))
     # equal rows of one id: none is later, each says that it is there
     k = np.concatenate([order[~later], order[later]])
-    first = np.arange(len(k)) < len(k) - later.sum()
-    row = pa.array(doc[k])
+    again = np.arange(len(k)) >= len(k) - later.sum()
+    blocks = docs.column("block").to_numpy().astype(np.int64)
     # the later ones are asked about no more: they get numbers of their own instead of a digest that many share
     return pa.table({
-        "hi": np.where(first, digest[k, 0], k), "lo": np.where(first, digest[k, 1], start[k]), "n": pa.array(first.astype(np.int32)),
-        "block": docs.column("block").take(row), "at": docs.column("at").take(row), "doc_id": docs.column("doc_id").take(row), "start": pa.array(start[k], pa.int32()),
+        "hi": np.where(again, k, digest[k, 0]), "lo": np.where(again, start[k], digest[k, 1]), "doc_id": docs.column("doc_id").take(pa.array(doc[k])),
+        "row": blocks[doc[k]] << 32 | numbers[doc[k]], "place": start[k] << 1 | again,
     })
 
 
@@ -457,9 +458,10 @@ def repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     an empty one; other columns are ignored."""
     n_blocks = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = rows.select("block", "text").mapInArrow(_counted, "name long, block int")
-    # one row for each symbol that a task has seen; what goes on is bound for one block each
-    once = counted.groupBy("name").agg(F.count("*").alias("n"), F.min("block").alias("block")).where("n = 1 AND block >= 0").select("block", "name")
+    counted = rows.select("block", "text").mapInArrow(_counted, "name long, told long")
+    # one number for each symbol that a task has seen; what goes on is bound for one block each
+    once = counted.groupBy("name").agg(F.sum("told").alias("told")).where(F.col("told") < 2 * _ONCE)
+    once = once.select((F.col("told") - _ONCE).cast("int").alias("block"), "name")
     schema = "block int, at int, doc_id long, text string, live array<int>, n_words long, kept string"
     judged = staged(rows.groupBy("block").cogroup(once.groupBy("block")).applyInArrow(_candidates(texts), schema), "passages-judged")
     settled = judged.where("kept IS NOT NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("removed"), "kept")
@@ -467,11 +469,11 @@ def repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     places = staged(held.mapInArrow(_long, PLACE), "passages-long")
     later = staged(later_places(places), "passages-later")
     # one row for each window and block, and one for each window that is a repeat within its block
-    schema = "hi long, lo long, n int, block int, at int, doc_id long, start int"
-    windows = held.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(_open_windows, schema)
-    least = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("hi", "lo", "n"))
-    repeated = windows.withColumn("first", least).where(~F.col("first").eqNullSafe(F.struct("doc_id", "start")) | (F.col("n") == 0))
-    gone = later.unionByName(repeated.select("block", "at", "start", (F.col("start") + WINDOW).alias("end")))
+    windows = held.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(_open_windows, "hi long, lo long, doc_id long, row long, place long")
+    least = F.min(F.struct("doc_id", "place")).over(Window.partitionBy("hi", "lo"))
+    repeated = windows.withColumn("first", least).where(~F.col("first").eqNullSafe(F.struct("doc_id", "place")) | (F.col("place").bitwiseAND(1) == 1))
+    block, at, start = F.shiftright("row", 32), F.col("row").bitwiseAND(0xFFFFFFFF), F.shiftright("place", 1)
+    gone = later.unionByName(repeated.select(*[x.cast("int").alias(c) for c, x in (("block", block), ("at", at), ("start", start), ("end", start + WINDOW))]))
     schema = "doc_id long, n_words long, n_removed long, removed array<int>, kept string"
     return settled.unionByName(held.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_without_repeats(texts), schema))
 
