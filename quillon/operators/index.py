@@ -1,19 +1,28 @@
 """Retrieval by an inverted index, for many questions over large corpora.
 
-A query's words hold no white space, so a word that occurs in a text occurs in one of its tokens. The index has two
-tables: posting lists (the chunks of each token, in blocks) and the trigrams of the vocabulary. A word is looked up
-by its rarest trigram, the tokens that come up are compared with it exactly, and the lists of those that hold it are the
-chunks that hold the word: no text is read again.
-
-Scores count words, so a chunk of score s holds one of any m - s + 1 of a query's m words. A first look at one rare
-word's chunks gives each question a score that k chunks reach; with it, the lists of its most frequent words need not be
-read at all. What is left is scored exactly and ranked as by ``retrieve.retrieve``.
+A query's words hold no white space, so a word that occurs in a text occurs in one of its tokens. The index has posting
+lists (the chunks of each token, in blocks) and the trigrams of the vocabulary.
+
+``ranked`` answers all questions of a corpus block by block: a task gets a block's lists, looks up which of its tokens hold
+which words (by their pieces, in a dictionary of all words that are asked), and adds up the lists of each question's words.
+A block gives each question its first k chunks, and those of all blocks are ranked. What a task holds is bounded by the
+chunks of a block and the questions of a part, and no pair of a question and a chunk is ever a row.
+
+``occurrences`` and ``candidates`` are for single words: a word is looked up by its rarest trigram, and the tokens that come up
+are compared with it exactly. Scores count words, so a chunk of score s holds one of any m - s + 1 of a query's m words. A
+first look at one rare word's chunks gives each question a score that k chunks reach; with it, the lists of its most
+frequent words need not be read at all.
 """
 
 from __future__ import annotations
 
+from array import array
+from collections import defaultdict
+from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +30,21 @@ from quillon.functions.text import BLANKS, query_words
 
 GRAM = 3
 #: A block of a posting list holds the chunks of so many neighbouring places (as a power of two) at most.
-BLOCK_BITS = 12
+BLOCK_BITS = 14
+#: A task scores about so many questions at once at most.
+PART = 1 << 17
+#: Words of more bytes are looked up by their first ones, and then compared.
+HEAD = 64
+#: A word that one in so many of a block's chunks hold has a row of the block's size, instead of a list.
+DENSE = 16
 
 
 class Index(NamedTuple):
-    """``postings`` (corpus_id, token, block, ords: array of bigint) and ``grams`` (gram, token)."""
+    """``postings`` (corpus_id, token, block, ords: array of bigint), ``grams`` (gram, token) and ``blocks`` (corpus_id, block)."""
 
     postings: DataFrame
     grams: DataFrame
+    blocks: DataFrame
 
 
 def trigrams(word: Column) -> Column:
@@ -42,11 +58,12 @@ def build(chunks: DataFrame) -> Index:
     """The index of ``chunks`` (corpus_id, ord, text). ``ord`` tells the chunks of a corpus apart. A null text has no
     tokens; tokens of less than three characters hold no query word and are left out."""
     token = F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), BLANKS)))
-    each = chunks.select("corpus_id", "ord", token.alias("token")).where(F.size(F.split("token", "")) >= GRAM)
+    each = chunks.select("corpus_id", "ord", token.alias("token")).where(F.char_length("token") >= GRAM)
     block = F.shiftright("ord", BLOCK_BITS).alias("block")
     # a block's places are bounded, whatever the token
     postings = each.groupBy("corpus_id", "token", block).agg(F.collect_set("ord").alias("ords"))
-    return Index(postings, each.select("token").distinct().select(F.explode(trigrams(F.col("token"))).alias("gram"), "token"))
+    grams = each.select("token").distinct().select(F.explode(trigrams(F.col("token"))).alias("gram"), "token")
+    return Index(postings, grams, chunks.select("corpus_id", block).distinct())
 
 
 def write(index: Index, path: str) -> None:
@@ -56,7 +73,8 @@ def write(index: Index, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/grams"))
+    postings = spark.read.parquet(f"{path}/postings")
+    return Index(postings, spark.read.parquet(f"{path}/grams"), postings.select("corpus_id", "block").distinct())
 
 
 def tokens_with(words: DataFrame, grams: DataFrame) -> DataFrame:
@@ -101,14 +119,105 @@ def score() -> Column:
     return F.size(F.array_intersect("words", "held"))
 
 
+def holders(words: list[bytes], tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place of a word, place of a token that holds it), in order of words. All pieces of a token that are as long as
+    some word are looked up."""
+    heads: dict[bytes, list[int]] = defaultdict(list)
+    for k, w in enumerate(words):
+        heads[w[:HEAD]].append(k)
+    lengths = sorted({len(h) for h in heads})
+    of, at = array("q"), array("q")
+    for place, token in enumerate(tokens):
+        n, seen = len(token), set()
+        for m in lengths:
+            if m > n:
+                break
+            for i in range(n - m + 1):
+                piece = token[i : i + m]
+                if piece in heads:
+                    seen.update(heads[piece] if m < HEAD else [k for k in heads[piece] if token.startswith(words[k], i)])
+        of.extend(seen)
+        at.extend([place] * len(seen))
+    word, place = np.frombuffer(of, np.int64), np.frombuffer(at, np.int64)
+    order = np.argsort(word, kind="stable")
+    return word[order], place[order]
+
+
+def lists_of(words: list[bytes], tokens: list[bytes], offsets: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """Each word's chunks, from those of the tokens (``places`` in a block, cut by ``offsets``): as sorted places, or as ones in a
+    row of the block's size if there are many."""
+    size = 1 << BLOCK_BITS
+    word, token = holders(words, tokens)
+    cuts = np.searchsorted(word, np.arange(len(words) + 1))
+    out = []
+    for k in range(len(words)):
+        held = token[cuts[k] : cuts[k + 1]]
+        n = offsets[held + 1] - offsets[held]
+        row = np.zeros(size, np.uint8)
+        # the lists of all tokens that hold the word, one after the other
+        row[places[np.repeat(offsets[held] - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = 1
+        out.append(row if np.count_nonzero(row) * DENSE >= size else np.flatnonzero(row).astype(np.int32))
+    return out
+
+
+def first_places(lists: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, score) of the first k chunks of a block by how many of some words' lists they are in, none with 0."""
+    total = np.zeros(1 << BLOCK_BITS, np.uint8 if len(lists) < 256 else np.int32)
+    for of in lists:
+        if of.dtype == np.uint8:
+            total += of
+        else:
+            total[of] += 1
+    least = int(total.max())
+    while least > 1 and np.count_nonzero(total >= least) < k:
+        least -= 1
+    at = np.flatnonzero(total >= max(least, 1))
+    score_ = total[at].astype(np.int32)
+    order = np.argsort(-score_, kind="stable")[:k]
+    return at[order], score_[order]
+
+
+def _scored_block(postings: pa.Table, asked: pa.Table) -> pa.Table:
+    """The first k chunks of a block for each question of a part."""
+    asked, postings = asked.combine_chunks(), postings.combine_chunks()
+    of, at, scores = [], [], []
+    if asked.num_rows and postings.num_rows:
+        base = postings["block"][0].as_py() << BLOCK_BITS
+        ords, words = postings["ords"].combine_chunks(), asked["words"].combine_chunks()
+        coded = words.flatten().dictionary_encode()
+        places = ords.flatten().to_numpy(zero_copy_only=False) - base
+        lengths = lambda lists: np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+        lists = lists_of(coded.dictionary.to_pylist(), postings["token"].to_pylist(), lengths(ords), places)
+        codes, cuts, most = coded.indices.to_numpy(zero_copy_only=False), lengths(words), asked["k"].to_pylist()
+        for q, k in enumerate(most):
+            # words that no chunk holds have empty lists
+            place, score_ = first_places([lists[c] for c in codes[cuts[q] : cuts[q + 1]] if lists[c].size], k)
+            of.append(np.full(len(place), q))
+            at.append(place + base)
+            scores.append(score_)
+    joined = lambda parts, kind: pa.array(np.concatenate([np.array([], kind), *parts]).astype(kind))
+    out = asked.select(["question_id", "corpus_id", "k"]).take(joined(of, np.int64))
+    return out.append_column("ord", joined(at, np.int64)).append_column("score", joined(scores, np.int32))
+
+
 def ranked(questions: DataFrame, index: Index, default_k: int, most: int) -> DataFrame:
     """(question_id, corpus_id, ord, score, rank) of each question's first k chunks, without those that score 0."""
-    asked = questions.select("question_id", "corpus_id", "top_k", F.explode(query_words(F.coalesce("query", F.lit("")))).alias("word"))
-    found, held = candidates(asked, occurrences(asked, index), default_k)
-    scored = found.join(held, ["corpus_id", "ord"]).select("question_id", "corpus_id", "ord", score().alias("score"))
+    binary: Callable[[Column], Column] = lambda w: w.cast("binary")
+    k = F.least(F.coalesce("top_k", F.lit(default_k)), F.lit(most)).alias("k")
+    asked = questions.select("question_id", "corpus_id", k, F.transform(query_words(F.coalesce("query", F.lit(""))), binary).alias("words"))
+    asked = asked.where((F.size("words") > 0) & (F.col("k") > 0))
+    parts = questions.count() // PART + 1
+    cells = index.blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("question_id"), F.lit(parts)).cast("int")).join(cells, ["corpus_id", "part"])
+    # names of their own, as the questions may come from the same table
+    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
+    lists = index.postings.select("corpus_id", "block", binary(F.col("token")).alias("token"), "ords").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    kind = {f.name: f.dataType.simpleString() for f in questions.schema.fields}
+    schema = f"question_id {kind['question_id']}, corpus_id {kind['corpus_id']}, k int, ord long, score int"
+    key = ("corpus_id", "block", "part")
+    best = lists.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_scored_block, schema)
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "ord"))
-    out = scored.withColumn("rank", rank).where(F.col("rank") <= most).join(questions.select("question_id", "top_k"), "question_id")
-    return out.where(F.col("rank") <= F.coalesce("top_k", F.lit(default_k))).drop("top_k")
+    return best.withColumn("rank", rank).where((F.col("rank") <= most) & (F.col("rank") <= F.col("k"))).drop("k")
 
 
 def retrieve(chunks: DataFrame, questions: DataFrame, index: Index, default_k: int = 4, most: int | None = None) -> DataFrame:

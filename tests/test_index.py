@@ -69,6 +69,34 @@ def test_ten_thousand_questions_look_at_few_chunks(spark):
     assert top.count() == 2 * n and top.where("score < 4").count() == 0
 
 
+def test_no_pair_of_question_and_chunk_is_a_row(spark):
+    """Frequent words alone: every chunk is a candidate of every question, and a task gives k rows a block and question."""
+    blocks, size, n = 3, 1 << index.BLOCK_BITS, 40
+    chunks = spark.range(blocks * size).select(F.lit("c").alias("corpus_id"), F.col("id").alias("ord"), F.concat(F.lit("the and for"), F.when(F.col("id") % 20_000 == 9, " with")).alias("text"))
+    chunks = chunks.withColumn("text", F.coalesce("text", F.lit("the and for")))
+    asked = spark.range(n).select(F.col("id").alias("question_id"), F.lit("c").alias("corpus_id"), F.lit("and with the for").alias("query"), F.lit(4).alias("top_k"))
+    ranked = index.ranked(asked, index.build(chunks), 4, 4)
+    got = sorted((r.question_id, r["rank"], r.ord, r.score) for r in ranked.collect())
+    assert got == [(q, k, o, s) for q in range(n) for k, o, s in ((1, 9, 4), (2, 20_009, 4), (3, 40_009, 4), (4, 0, 3))]
+    # no join of questions and chunks: only their parts meet, and the questions' blocks
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_questions_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(index, "PART", 7)
+    chunks, asked = tables(spark, 7)
+    assert rows(index.retrieve(chunks, asked, index.build(chunks))) == rows(retrieve.retrieve(chunks, asked))
+
+
+def test_long_words_and_tokens():
+    words = [b"a" * 64, b"a" * 70, b"a" * 64 + b"b", b"abc", b"bca"]
+    tokens = [b"xabcabc", b"a" * 69, b"a" * 80 + b"b", b"ca", b"bca"]
+    pairs = [tuple(map(int, p)) for p in zip(*index.holders(words, tokens))]
+    assert pairs == [(k, j) for k, w in enumerate(words) for j, t in enumerate(tokens) if w in t]
+    assert [len(x) for x in index.holders([], tokens)] == [0, 0] and [len(x) for x in index.holders(words, [])] == [0, 0]
+
+
 def test_edge_cases(spark):
     none = spark.createDataFrame([], CHUNK)
     chunks, asked = tables(spark, 6, 20, 5)
