@@ -13,19 +13,21 @@ map-side sums (``N_BUCKETS`` rows leave each task); scoring stays within the row
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACES, bounded_sample, quoted, table, without, words_of
+from quillon.llm.common import SPACES, quoted, staged, table, without, words_of
+from quillon.operators import ranges
 
 N_BUCKETS = 1 << 16
-#: One in ``HELD_OUT`` trusted documents is kept for the threshold, about ``MAX_HELD`` of them at most (chosen by hash).
-#: The target multinomial counts all others.
-HELD_OUT, MAX_HELD = 5, 4_000
+#: One in ``HELD_OUT`` trusted documents is kept for the threshold, which all of these give; the target multinomial counts
+#: all others.
+HELD_OUT = 5
+#: Scores are compared in units of one by so many when the threshold is taken.
+UNITS = 10**12
 #: Trusted ids are broadcast up to so many bytes, about; more are joined by a shuffle.
 BROADCAST_BYTES, ID_BYTES = 32 << 20, 40
 #: Pseudo-counts, as a share of a multinomial spread evenly over the buckets.
@@ -75,7 +77,8 @@ def fit_ratios(docs: DataFrame, labels: DataFrame) -> Ratios:
     """Counts both multinomials and takes the threshold. Where there is no trusted or no raw text all ratios are
     zero, and where no document is left to take the threshold from, none is rejected by it."""
     trusted = trusted_ids(labels)
-    counted = F.broadcast(trusted) if trusted.count() * ID_BYTES <= BROADCAST_BYTES else trusted
+    small = trusted.count() * ID_BYTES <= BROADCAST_BYTES
+    counted = F.broadcast(trusted) if small else trusted
     of = docs.select("doc_id", "text").join(counted, "doc_id", "left")
     each = with_grams(of).select("good", F.concat("__ones", "__twos").alias("grams"))
     # outer, as else the optimiser adds a filter that computes the grams a second time
@@ -88,13 +91,26 @@ def fit_ratios(docs: DataFrame, labels: DataFrame) -> Ratios:
     if not n_raw or not n_target:
         return Ratios([0.0] * N_BUCKETS, -math.inf)
     ratios = [round(math.log(_share(t, n_target) / _share(r, n_raw)), 4) for t, r in zip(target, raw)]
-    held = bounded_sample(trusted.where("good = 0").select("doc_id"), MAX_HELD, 9)
-    left = docs.select("doc_id", "text").join(F.broadcast(held), "doc_id")  # bounded by MAX_HELD
-    scores = [r["llr"] for r in apply_rules(left, Ratios(ratios, -math.inf)).select("llr", "base_failed").collect() if not r["base_failed"]]
-    if not scores:
+    held = trusted.where("good = 0").select("doc_id")
+    left = docs.select("doc_id", "text").join(F.broadcast(held) if small else held, "doc_id")
+    scored = apply_rules(left, Ratios(ratios, -math.inf)).where("NOT base_failed")
+    spread = _quantiles(staged(scored.select(F.round(F.col("llr") * UNITS).cast("long").alias("score")), "held"), (LOWEST, 0.25, 0.75))
+    if spread is None:
         return Ratios(ratios, -math.inf)
-    least, low, high = np.quantile(scores, [LOWEST, 0.25, 0.75])
-    return Ratios(ratios, float(least - MARGIN * (high - low)))
+    least, low, high = (x / UNITS for x in spread)
+    return Ratios(ratios, least - MARGIN * (high - low))
+
+
+def _quantiles(numbers: DataFrame, shares: Sequence[float]) -> list[float] | None:
+    """Quantiles of a column of bigint, between neighbours in proportion; None without a number. All numbers count, and the
+    driver sees counts only."""
+    last = numbers.count() - 1
+    if last < 0:
+        return None
+    at = [last * q for q in shares]
+    places = sorted({place(x) for x in at for place in (math.floor, math.ceil)})
+    of = dict(zip(places, ranges.select(numbers, places)))
+    return [of[math.floor(x)] + (of[math.ceil(x)] - of[math.floor(x)]) * (x - math.floor(x)) for x in at]
 
 
 def _share(n: int, total: int) -> float:

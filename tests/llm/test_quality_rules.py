@@ -121,6 +121,19 @@ def spark_hash(doc_id):
     return h - (1 << 64) if h >> 63 else h
 
 
+def test_threshold_is_that_of_all_held_out_documents(spark):
+    """Of more of them than a sample would have."""
+    n = 30_000
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(52)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(900)).cast("string"))), " ")
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    ratios = q.fit_ratios(docs, labels)
+    held = q.trusted_ids(labels).where("good = 0").select("doc_id")
+    scores = [r.llr for r in q.apply_rules(docs.join(held, "doc_id"), ratios).where("NOT base_failed").select("llr").collect()]
+    least, low, high = np.quantile(scores, [0.005, 0.25, 0.75])
+    assert len(scores) > 5_000 and ratios.threshold == pytest.approx(least - 0.5 * (high - low), abs=1e-9)
+
+
 def test_edge_cases(spark):
     r = rng(1)
     clean = words(r, 80)
