@@ -12,7 +12,7 @@ from quillon.functions.text import NUMERALS
 from quillon.operators import resolve
 from quillon.operators.extract import extract
 from quillon.plans.answers import answer_primary, claims_of, dump, states, trace
-from quillon.sources.tables import PREFERENCES, preferences, table
+from quillon.sources.tables import PREFERENCES, preferences, spread, table
 
 #: Words and digits of counts by part size modulo their number; the last two are no numbers.
 COUNTS = (*NUMERALS, "12", "007", "SEVEN", "eleven", "many")
@@ -23,6 +23,8 @@ NAMES = ("__init__", "__len__", "__getitem__", "__eq__", "__hash__")
 THINGS = ("cards", "element", "Items", "parts")
 GROUPS = ("a deck of", "a list made of", "the set of", "a box of")
 KINDS = 6
+#: Parts whose chunks a task writes and reads, about. A file holds a part in 6 bytes; its chunks take 1,500 and half a millisecond.
+PARTS_A_TASK = 2_500
 #: Queries and numbers of chunks by a brand's number modulo three.
 ASKED = (("special methods, len of a deck", 12), ("text implemented special", 12), ("special methods, len of a deck", 2))
 
@@ -34,7 +36,8 @@ def _pick(of: tuple, k: Column) -> Column:
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk for each part and each of six kinds of text; the parts of a brand are a corpus."""
     k, n = F.col("p_partkey"), F.col("p_size")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.explode(F.sequence(F.lit(0), F.lit(KINDS - 1))).alias("of"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey", PARTS_A_TASK)
+    parts = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(KINDS - 1))).alias("of"))
     count, scope = _pick(COUNTS, n % len(COUNTS)), k % len(SCOPES)
     tail = F.when(scope == 0, F.lit("")).otherwise(F.concat(F.lit("  "), _pick(tuple(a or "" for a, _ in SCOPES), scope), F.lit(" "), _pick(tuple(b or "" for _, b in SCOPES), scope)))
     stated = F.concat(F.lit("Some text. We  implemented "), count, F.lit(" special\nmethods"), tail, F.when(k % 3 == 0, "\nand more.").when(k % 3 == 1, ". More").otherwise(""))

@@ -4,7 +4,8 @@
     spark.udtf.register("exclamations", counted)
     spark.sql("SELECT c.chunk_id, x.* FROM chunks c, LATERAL exclamations(c.text, c.kind) x")
 
-Rows travel in Arrow batches. Native detectors are column expressions and need none of this.
+``extract_by`` hands the function Arrow batches and makes one of all that it finds in each; as a table function it is called,
+and its result converted, row by row. Native detectors are column expressions and need none of this.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, UserDefinedTableFunction
 
 #: A claim: number within its chunk, and the fields that detectors give.
@@ -48,11 +50,32 @@ def extractor(of: Extractor) -> UserDefinedTableFunction:
                     yield (nth, *(claim.get(f) for f in fields))
                     nth += 1
 
-    return F.udtf(Extract, useArrow=True)
+    out = F.udtf(Extract, useArrow=True)
+    out.claims_of = Extract().eval
+    return out
+
+
+#: ``CLAIM``, as Arrow has it.
+ARROW = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
 
 
 def extract_by(chunks: DataFrame, of: UserDefinedTableFunction, pos: int) -> DataFrame:
     """``operators.extract.extract`` by an extractor: a row for each of its claims, whose ``pos`` is its place among the
     detectors of a set. Several claims of one chunk have the same."""
-    found = chunks.lateralJoin(of(F.col("text").outer(), F.col("kind").outer()))
-    return found.select(*[c for c in chunks.columns if c != "text"], F.lit(pos).alias("pos"), *FIELDS)
+    claims_of = of.claims_of
+    kept = [c for c in chunks.columns if c != "text"]
+    fields = [StructField(f.name, f.dataType) for f in (*chunks.select(*kept).schema.fields, StructField("pos", IntegerType()), *CLAIM.fields[1:])]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for k, (text, kind) in enumerate(zip(batch["text"].to_pylist(), batch["kind"].to_pylist())):
+                for row in claims_of(text, kind):
+                    at.append(k)
+                    rows.append(row)
+            if rows:
+                chosen = batch.select(kept).take(pa.array(at, pa.int64()))
+                values = [pa.array(x, t) for x, t in list(zip(zip(*rows), ARROW))[1:]]
+                yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array([pos] * len(rows), pa.int32()), *values], names=[f.name for f in fields])
+
+    return chunks.mapInArrow(found, StructType(fields))

@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str, per_task: int) -> DataFrame:
+    """``rows`` dealt by a key to tasks of about so many each: for rows that are small when they are read and costly or large
+    after that, as a task reads megabytes of them. Takes a count."""
+    return rows.repartition(max(1, -(-rows.count() // per_task)), key)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table with ``ts`` as a UTC timestamp, which watermarks need."""
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -31,6 +31,13 @@ def test_beside_the_native_set(spark):
     assert [(r.chunk_id, r.pos, r.value) for r in both] == [("a", 0, 2), ("a", 3, 0), ("a", 3, 2), ("c", 3, 1)]
 
 
+def test_extractors_get_batches_not_rows(spark):
+    own = extract_by(corpus(spark, "c", CHUNKS), extractor(shouts), 3)
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "UDTF" not in plan
+    assert sorted((r.chunk_id, r.value, r["items"]) for r in own.collect()) == [("a", 0, None), ("a", 2, ["!", "!"]), ("c", 1, ["!"])]
+
+
 def test_unknown_fields_are_an_error(spark):
     chunks = corpus(spark, "c", CHUNKS[:1])
     with pytest.raises(PySparkException, match="a claim has no colour"):
