@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillon.functions.text import to_int, trimmed
+from quillon.functions.text import starts_blank, to_int, trimmed
 
 CLAIM = "struct<value:int,source_type:string,scope_operator:string,evidence:string,items:array<string>>"
 # The words of the grammars.
@@ -64,7 +64,7 @@ class Pieces:
         return F.lower(self[at])
 
     def blank(self, at: Column) -> Column:
-        return F.coalesce(trimmed(self[at]) == "", F.lit(False))
+        return F.coalesce(starts_blank(self[at]), F.lit(False))
 
     def text(self, first: Column, n: Column) -> Column:
         return F.array_join(F.slice(self.array, first + 1, F.greatest(n, F.lit(0))), "")
@@ -98,12 +98,27 @@ def cut(text: Column) -> Column:
     def noted(array: Column) -> Column:
         places = lambda test: F.filter(F.sequence(F.lit(0), F.size(array) - 1), lambda i: test(F.get(array, i)))
         ends = places(lambda x: (x == ".") | F.contains(x, F.lit("\n")))
-        breaks = places(lambda x: ~(x.isin(",", "__") | F.startswith(x, F.lit("__")) | (F.lower(x) == "and") | (trimmed(x) == "")))
+        breaks = places(lambda x: ~(x.isin(",", "__") | F.startswith(x, F.lit("__")) | starts_blank(x) | (F.lower(x) == "and")))
+        # each is noted for the detector that asks for it
+        ends, breaks = F.when(_may_state(text), ends), F.when(_may_list(text), breaks)
         return F.when(F.size(array) > 0, F.struct(array.alias("array"), ends.alias("stops"), breaks.alias("breaks")))
 
     return _let(F.regexp_extract_all(text, F.lit(r"(?U)\w+|\s+|[^\w\s]"), F.lit(0)), noted)
 
 
+def _has(text: Column, *words: str) -> Column:
+    """Whether a text has one of some lower-cased words at least."""
+    return reduce(or_, [F.contains(F.lower(text), F.lit(w)) for w in words])
+
+
+def _may_state(text: Column) -> Column:
+    return _has(text, "special") & _has(text, *VERBS)
+
+
+def _may_list(text: Column) -> Column:
+    return _has(text, "special") & F.contains(text, F.lit("__"))
+
+
 def claims(detectors: Sequence[Detector], text: Column, kind: Column) -> Column:
     """The claims of all detectors, in their order, null where one has none. The text is cut once at most."""
     hints = sorted({d.hint for d in detectors if d.hint})
@@ -114,10 +129,10 @@ def claims(detectors: Sequence[Detector], text: Column, kind: Column) -> Column:
     return _let(F.when(reduce(or_, [F.contains(lowered, F.lit(h)) for h in hints]), cut(text)), each)
 
 
-def _first(text: Column, p: Pieces, hint: str, starts: Callable[[Column], Column], read: Callable[[Column], Column]) -> Column:
-    """What ``read`` gives at the first place of ``starts`` where it gives anything; null without the hint."""
+def _first(may: Column, p: Pieces, starts: Callable[[Column], Column], read: Callable[[Column], Column]) -> Column:
+    """What ``read`` gives at the first place of ``starts`` where it gives anything; null for texts that can't have it."""
     found = F.get(F.array_compact(F.transform(p.places(starts), read)), F.lit(0))
-    return F.when(F.contains(F.lower(text), F.lit(hint)), found)
+    return F.when(may, found)
 
 
 def _sentence_rest(tail: Column) -> Column:
@@ -150,7 +165,7 @@ def _stated(text: Column, _: Column, p: Pieces) -> Column:
         return F.when(F.rlike(p[i + 2], F.lit(r"(?U)^\w")), out)
 
     starts = lambda i: p.lower(i).isin(*VERBS) & p.blank(i + 1) & p.blank(i + 3) & p.spell(i + 4, ["special", METHODS])
-    found = _first(text, p, "special", starts, read)
+    found = _first(_may_state(text), p, starts, read)
     return _let(found, lambda f: _claim(to_int(f["number"]), "author_anchor", trimmed(F.concat(f["said"], f["stop"])), f["scope"]))
 
 
@@ -169,7 +184,7 @@ def _listed(text: Column, _: Column, p: Pieces) -> Column:
         def step(s: Column, x: Column) -> Column:
             took = _is_name(x) & s["next"].isin("name", "name or and", "last name")
             then = (
-                F.when((s["next"] == "end") | (trimmed(x) == ""), s["next"])
+                F.when((s["next"] == "end") | starts_blank(x), s["next"])
                 .when(took, F.when(s["next"] == "last name", "end").otherwise("comma"))
                 .when((s["next"] == "comma") & (x == ","), "name or and")
                 .when((s["next"] == "name or and") & (F.lower(x) == "and"), "last name")
@@ -182,7 +197,7 @@ def _listed(text: Column, _: Column, p: Pieces) -> Column:
         return _let(listed, lambda s: F.when(F.size(s["names"]) > 1, F.struct(s["names"].alias("names"), said(s).alias("said"))))
 
     starts = lambda i: F.endswith(p.lower(i), F.lit("the")) & p.blank(i + 1) & p.spell(i + 2, ["special", METHODS]) & p.blank(i + 5)
-    found = _first(text, p, "special", starts, read)
+    found = _first(_may_list(text), p, starts, read)
     return _let(found, lambda f: _claim(F.when(f.isNotNull(), F.size(f["names"])), "forward_reference", trimmed(f["said"]), items=f["names"]))
 
 
@@ -233,7 +248,7 @@ def _counted(text: Column, _: Column, p: Pieces) -> Column:
         is_word = F.rlike(p[i + 2], F.lit(r"(?U)^\w"))
         return F.when(said.isNotNull() & is_word & p.blank(i + 1) & p.blank(i + 3), F.struct(p[i + 2].alias("number"), said.alias("said")))
 
-    found = _first(text, p, "of", lambda i: p.lower(i) == "of", read)
+    found = _first(_has(text, "of"), p, lambda i: p.lower(i) == "of", read)
     return _let(found, lambda f: _claim(to_int(f["number"]), "author_anchor", trimmed(f["said"])))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 NUMERALS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
 #: White space as Unicode has it.
 BLANKS = r"(?U)\s+"
+WHITE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def query_words(query: Column) -> Column:
@@ -30,7 +31,12 @@ def to_int(word: Column) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without white space, as Unicode has it, at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
+
+
+def starts_blank(text: Column) -> Column:
+    """Whether a text that is not empty starts with white space."""
+    return F.contains(F.lit(WHITE), F.substring(text, 1, 1))
 
 
 def claim_key(chunk_id: Column, source_type: Column) -> Column:

@@ -18,5 +18,6 @@ def extract(chunks: DataFrame, detectors: str | Sequence[Detector] = "base") ->
     if not of:
         raise ValueError("no detectors")
     text, kind = F.col("text"), F.coalesce("kind", F.lit("prose"))
-    out = chunks.withColumn("__found", F.explode(F.filter(claims(of, text, kind), lambda x: x["claim"].isNotNull())))
+    # outer, as else the optimiser adds a filter that computes all claims a second time
+    out = chunks.withColumn("__found", F.explode_outer(F.filter(claims(of, text, kind), lambda x: x["claim"].isNotNull()))).where("__found IS NOT NULL")
     return out.select(*[c for c in chunks.columns if c != "text"], "__found.pos", "__found.claim.*")

@@ -3,12 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions.text import overlap, query_words, to_int
+from quillon.catalog import claims
+from quillon.functions.text import overlap, query_words, starts_blank, to_int, trimmed
 from quillon.operators import resolve
 from quillon.operators.extract import extract
 from quillon.operators.retrieve import refined, retrieve, score
 from quillon.plans.answers import answer_alternative, answer_primary, dump, seeded, states, trace
 from quillon.sources.tables import corpus, preferences, questions
+from tests.conftest import SF
 
 DEFS = "class Vector:\n" + "".join(f"    def __{n}__(self):\n        pass\n" for n in ("init", "repr", "abs", "bool", "add", "mul"))
 VECTOR = [
@@ -226,3 +228,29 @@ def test_whole_state(spark):
     assert (s.E, s.T, s.P, s.goal) == ("supported", {}, ["author_anchor", "forward_reference", "code_literal"], "solved")
     none = states(corpus(spark, "c", VECTOR[:1]), questions(spark, [Q_VECTOR]), preferences(spark)).first()
     assert (none.K, none.H, none.E, none.goal) == (None, None, "unsupported", "open")
+
+
+def test_claims_are_computed_once(spark):
+    """The optimiser adds no filter on what it explodes."""
+    plan = extract(corpus(spark, "c", VECTOR), "extended")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+
+
+@pytest.mark.parametrize("kind", range(4))
+def test_white_space_as_regular_expressions_have_it(spark, kind):
+    """Of each of a quarter of all characters, and at the ends of texts."""
+    code = F.col("id") * 4 + kind
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    chars = spark.range(0x110000 // 4).where(~code.between(0xD800, 0xDFFF)).select(char.alias("c")).where("c <> ''")  # a byte order mark is decoded to nothing
+    blank = F.rlike("c", F.lit(r"(?U)^\s"))
+    assert chars.where(starts_blank(F.col("c")) != blank).count() == 0
+    assert chars.where(trimmed(F.concat("c", F.lit("x y"), "c")) != F.when(blank, "x y").otherwise(F.concat("c", F.lit("x y"), "c"))).count() == 0
+
+
+def test_tasks_hold_so_many_parts_whatever_the_table(spark, monkeypatch):
+    """A file of parts is small, what is written from it is not."""
+    n = spark.read.parquet(f"{SF}/part.parquet").count()
+    monkeypatch.setattr(claims, "PARTS_A_TASK", 20)
+    chunks = claims._chunks(spark, SF)
+    sizes = [r["count"] for r in chunks.groupBy(F.spark_partition_id()).count().collect()]
+    assert chunks.rdd.getNumPartitions() == -(-n // 20) and sum(sizes) == claims.KINDS * n and max(sizes) < claims.KINDS * 60
