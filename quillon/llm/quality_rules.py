@@ -93,8 +93,9 @@ def fit_ratios(docs: DataFrame, labels: DataFrame) -> Ratios:
     ratios = [round(math.log(_share(t, n_target) / _share(r, n_raw)), 4) for t, r in zip(target, raw)]
     held = trusted.where("good = 0").select("doc_id")
     left = docs.select("doc_id", "text").join(F.broadcast(held) if small else held, "doc_id")
-    scored = apply_rules(left, Ratios(ratios, -math.inf)).where("NOT base_failed")
-    spread = _quantiles(staged(scored.select(F.round(F.col("llr") * UNITS).cast("long").alias("score")), "held"), (LOWEST, 0.25, 0.75))
+    # filtered when it is staged, as else the optimiser applies the rules to all documents before they are joined
+    scored = staged(apply_rules(left, Ratios(ratios, -math.inf)).select("base_failed", F.round(F.col("llr") * UNITS).cast("long").alias("score")), "held")
+    spread = _quantiles(scored.where("NOT base_failed").select("score"), (LOWEST, 0.25, 0.75))
     if spread is None:
         return Ratios(ratios, -math.inf)
     least, low, high = (x / UNITS for x in spread)
