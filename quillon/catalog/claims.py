@@ -83,14 +83,14 @@ def claims_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed_claims(native.unionByName(own.select(*native.columns)))
 
 
-def _questions(chunks: DataFrame, intent: str = "how_many") -> DataFrame:
-    ids, kind = chunks.select("corpus_id").distinct(), F.replace("corpus_id", F.lit("Brand#"), F.lit("")).cast("int") % len(ASKED)
+def _questions(spark: SparkSession, sf_dir: str, intent: str = "how_many") -> DataFrame:
+    """One for each brand, off the table: chunks are written and dealt for ranking only."""
+    ids, kind = table(spark, sf_dir, "part").select(F.col("p_brand").alias("corpus_id")).distinct(), F.replace("corpus_id", F.lit("Brand#"), F.lit("")).cast("int") % len(ASKED)
     return ids.select(F.col("corpus_id").alias("question_id"), "corpus_id", _pick(tuple(q for q, _ in ASKED), kind).alias("query"), F.lit(None).cast("string").alias("query2"), F.lit(intent).alias("intent"), _pick(tuple(k for _, k in ASKED), kind).alias("top_k"))
 
 
 def _answered(spark: SparkSession, sf_dir: str, intent: str = "how_many") -> DataFrame:
-    chunks = _chunks(spark, sf_dir)
-    return answer_primary(chunks, _questions(chunks, intent), PREFERENCES, "extended")
+    return answer_primary(_chunks(spark, sf_dir), _questions(spark, sf_dir, intent), PREFERENCES, "extended")
 
 
 def answer_from_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +104,7 @@ def no_priority_halt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def within_type_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of one source type whose values differ: the first wins by its type's priority, right or not."""
-    chunks = _chunks(spark, sf_dir)
-    of_type = claims_of(chunks, _questions(chunks), "extended").where("source_type = 'author_anchor'")
+    of_type = claims_of(_chunks(spark, sf_dir), _questions(spark, sf_dir), "extended").where("source_type = 'author_anchor'")
     h = resolve.hypotheses(of_type)
     won = resolve.narrow(h, preferences(spark)).select("question_id", "rule", F.col("value").cast("long").alias("value"))
     return won.join(h.groupBy("question_id").agg(F.count_distinct("value").alias("n_values")), "question_id")
@@ -123,8 +122,7 @@ def state_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir)
-    s = states(chunks, _questions(chunks), PREFERENCES, "extended")
+    s = states(_chunks(spark, sf_dir), _questions(spark, sf_dir), PREFERENCES, "extended")
     return s.select("question_id", F.coalesce(F.size("K"), F.lit(0)).cast("long").alias("n_evidence"), F.array_join(F.sort_array(F.map_keys("K")), ",").alias("keys"), F.array_join(F.transform("H", lambda h: F.concat_ws(":", h["label"], h["active"].cast("string"))), ",").alias("hypotheses"), F.col("E").alias("state"), F.array_join("P", ",").alias("priorities"), "goal")
 
 

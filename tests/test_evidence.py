@@ -11,6 +11,7 @@ from quillon.operators.retrieve import refined, retrieve, score
 from quillon.plans.answers import answer_alternative, answer_primary, dump, seeded, states, trace
 from quillon.sources.tables import corpus, preferences, questions
 from tests.conftest import SF
+from tests.oracle import assert_same, connection
 
 DEFS = "class Vector:\n" + "".join(f"    def __{n}__(self):\n        pass\n" for n in ("init", "repr", "abs", "bool", "add", "mul"))
 VECTOR = [
@@ -254,3 +255,12 @@ def test_tasks_hold_so_many_parts_whatever_the_table(spark, monkeypatch):
     chunks = claims._chunks(spark, SF)
     sizes = [r["count"] for r in chunks.groupBy(F.spark_partition_id()).count().collect()]
     assert chunks.rdd.getNumPartitions() == -(-n // 20) and sum(sizes) == claims.KINDS * n and max(sizes) < claims.KINDS * 60
+
+
+@pytest.mark.parametrize("name", ["answer_from_claims", "answer_trace", "no_priority_halt", "state_dump", "whole_state"])
+def test_parts_are_dealt_once_for_answers(spark, monkeypatch, name):
+    """To many tasks for ranking, and not again for the questions; the rows are those of the SQL."""
+    monkeypatch.setattr(claims, "PARTS_A_TASK", 20)
+    answers = claims.QUERIES[name](spark, SF)
+    assert answers._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert_same(answers, connection(SF), claims.ORACLES[name])
