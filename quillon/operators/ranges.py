@@ -124,8 +124,10 @@ def select(values: DataFrame, places: Sequence[int], buckets: int = 4_096) -> li
     while any(a < b for a, b, _ in open_.values()):
         spans = sorted({(a, b) for a, b, _ in open_.values() if a < b})
         width = {s: -(-(s[1] - s[0] + 1) // buckets) for s in spans}
-        # the parts' numbers stay within bigint, as decimals carry the difference
-        part = lambda s: F.floor((F.col(name).cast("decimal(38,0)") - F.lit(s[0]).cast("decimal(38,0)")) / F.lit(width[s]).cast("decimal(38,0)")).cast("int")  # noqa: B023, E731
+        # decimals carry the difference; the remainder goes first, as a quotient keeps six digits and is rounded
+        whole = lambda x: x.cast("decimal(38,0)")
+        above = lambda s: whole(F.col(name)) - whole(F.lit(s[0]))
+        part = lambda s: ((above(s) - above(s) % whole(F.lit(width[s]))) / whole(F.lit(width[s]))).cast("int")  # noqa: B023, E731
         within = [F.when(F.col(name).between(*s), F.struct(F.lit(i).alias("i"), part(s).alias("part"))) for i, s in enumerate(spans)]
         counts = values.select(F.explode(F.array_compact(F.array(*within))).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
         of: dict[tuple[int, int], dict[int, int]] = {s: {} for s in spans}

@@ -84,6 +84,13 @@ def test_selection_is_exact(spark, values):
     assert ranges.select(df, places, buckets=16) == [order[p] for p in places]
 
 
+def test_selection_of_the_last_number_of_a_wide_part(spark):
+    """It is no part's first: quotients close below a number are not rounded up to it."""
+    values = [0, 2**59 - 1, 2**59, 2**62 - 1, 2**63 - 1]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    assert ranges.select(df, range(len(values)), buckets=16) == values
+
+
 def test_median_of_a_million_values(spark):
     df = spark.range(1_000_001).select((F.xxhash64("id") % 1_000_003).alias("v"))
     [low, high] = ranges.select(df, ranges.quantile_places(1_000_001))
