@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +99,55 @@ def test_long_words_and_tokens():
     assert [len(x) for x in index.holders([], tokens)] == [0, 0] and [len(x) for x in index.holders(words, [])] == [0, 0]
 
 
+@pytest.mark.parametrize(("seed", "frequent", "rows_", "pairs"), [(1, 64, 1 << 15, 1 << 20), (2, 2, 5, 9), (3, 0, 1 << 15, 50), (4, 1 << 20, 1, 1)])
+def test_places_that_reach_a_score(monkeypatch, seed, frequent, rows_, pairs):
+    for name, x in (("FREQUENT", frequent), ("ROWS", rows_), ("PAIRS", pairs), ("ROWS_AT_ONCE", 3), ("SLICE_BYTES", 20)):
+        monkeypatch.setattr(index, name, x)
+    r = random.Random(seed)
+    words, tokens = sorted({word(r, 4).encode() for _ in range(40)}), sorted({word(r, 9).encode() for _ in range(60)})
+    held = [sorted(r.sample(range(300), r.choice([1, 3, 30, 200]))) for _ in tokens]
+    cuts = np.cumsum([0, *map(len, held)])
+    lists = index.lists_of(words, tokens, cuts, np.array([p for h in held for p in h]))
+    texts = [[t for t, h in zip(tokens, held) if p in h] for p in range(300)]
+    has = lambda w, p: any(words[w] in t for t in texts[p])
+    assert [lists.places[f : f + n].tolist() for f, n in zip(lists.first, lists.df)] == [[p for p in range(300) if has(w, p)] for w in range(len(words))]
+    asked = [r.sample(range(len(words)), r.choice([1, 2, 9, 20])) for _ in range(50)]
+    least = [r.randint(1, len(a)) for a in asked]
+    got = [x for part in index.reaching(lists, np.array(sum(asked, [])), np.cumsum([0, *map(len, asked)]), np.array(least, np.int32)) for x in zip(*(a.tolist() for a in part))]
+    true = [(q, p, n) for q, a in enumerate(asked) for p in range(300) if (n := sum(has(w, p) for w in a)) >= least[q]]
+    assert sorted(got) == true and len(true) > 100
+
+
+def test_a_block_gives_only_chunks_that_can_be_among_the_first(spark):
+    """A question's least score comes from the longest chunks: blocks without a chunk that reaches it, or that come later and
+    have none above it, give no row, so rows don't grow with blocks times questions."""
+    size, n = 1 << index.BLOCK_BITS, 30
+    schema = pa.schema([("question_id", pa.int64()), ("k", pa.int32()), ("ord", pa.int64()), ("score", pa.int32())])
+    asked = pa.table({"corpus_id": ["c"] * n, "slice": pa.array([0] * n, pa.int32()), "part": pa.array([0] * n, pa.int32()), "question_id": pa.array(range(n)), "k": pa.array([2] * n, pa.int32()), "words": [[b"alpha", b"beta", b"gamma"]] * n})
+    long = pa.table({"ord": pa.array([size + 5, size + 1, size + 9]), "tokens": pa.array([[b"alpha", b"beta"], [b"beta", b"alphas"], [b"alpha", b"xbeta"]])})
+    bundles = index._least_scores(long, asked)
+    assert bundles.num_rows == 1
+    tokens = lambda block, held: pa.table({"block": [block] * 3, "token": [b"alpha", b"beta", b"gamma"], "places": pa.array(held, pa.list_(pa.int16()))})
+    found = lambda block, held: [tuple(x.values()) for x in index._scored_block(tokens(block, held), bundles, schema).select(["question_id", "ord", "score"]).to_pylist()]
+    # two of the three long ones come first: ords size + 1 and size + 5, with score 2
+    assert found(0, [[1, 2, 3], [4, 5], [6]]) == []
+    assert found(0, [[1, 2, 3], [2, 3], [3]]) == [x for q in range(n) for x in ((q, 3, 3), (q, 2, 2))]
+    assert found(2, [[1, 2, 3], [1, 2, 3], [7]]) == []
+    assert found(2, [[1, 2, 3], [1, 2, 3], [2]]) == [(q, 2 * size + 2, 3) for q in range(n)]
+
+
+def test_corpora_far_from_the_first_block(spark):
+    chunks, asked = tables(spark, 8)
+    chunks = chunks.withColumn("ord", F.col("ord") * 700_001 + 10**12)
+    assert rows(index.retrieve(chunks, asked, index.build(chunks))) == rows(retrieve.retrieve(chunks, asked))
+
+
+def test_questions_that_nothing_answers(spark):
+    chunks, asked = tables(spark, 9)
+    asked = asked.withColumns({"query": F.lit("zzzz qqqq"), "question_id": F.substring("question_id", 2, 9).cast("long")})
+    assert index.ranked(asked, index.build(chunks), 4, 4).count() == 0
+
+
 def test_edge_cases(spark):
     none = spark.createDataFrame([], CHUNK)
     chunks, asked = tables(spark, 6, 20, 5)
